@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massloom.llm.workspace import Workspace
@@ -37,39 +37,51 @@ def components(work: Workspace, edges: DataFrame) -> DataFrame:
             return label
 
 
-def link_in_buckets(work: Workspace, members: DataFrame, links: Callable[[DataFrame], DataFrame], hubs: int = 1) -> DataFrame:
-    """Components of the links between ids that share a bucket, without forming all pairs of a bucket.
+def link_in_buckets(
+    work: Workspace,
+    members: DataFrame,
+    possible: Callable[[str, str], Column],
+    links: Callable[[DataFrame], DataFrame],
+    kind: str = "long",
+    grow: int = 32,
+) -> DataFrame:
+    """Components of the links between ids that share a bucket, without writing out all pairs of a bucket.
 
-    members: bucket, id (distinct); links: keeps those of the pairs (a, b) that are linked.
-    In each round the first few ids of a bucket, its hubs, are compared with the bucket's other ids that are not
+    members: bucket, id (distinct, of the SQL type `kind`) and columns of the id that `possible` reads.
+    possible: a cheap condition that every linked pair meets, given the prefixes of its two sides' columns.
+    links: keeps those of the pairs (a, b) that are linked.
+    In each round the first few ids of a bucket, its hubs, are held against the bucket's other ids that are not
     known to be in the hub's component yet. A hub has then met everyone it needs to and leaves the bucket; a bucket
     is done when its ids are all in one component. So each linked pair of a bucket ends in one component, as if
     all pairs had been compared, while a group of n near copies costs about n comparisons. Hubs per bucket
-    grow eightfold each round, so that buckets of unlinked ids end after few rounds.
+    grow `grow`-fold each round, so that buckets of unlinked ids end after few rounds.
     """
-    counted = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    active = work.save(members.join(counted, "bucket").select("bucket", "id", F.xxhash64("id").alias("turn")), "active")
-    edges = label = None
+    carried = [c for c in members.columns if c not in ("bucket", "id")]
+    several = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    active = work.save(members.join(several, "bucket").withColumn("turn", F.xxhash64("id")), "active")
+    label, hubs = None, 1
     while active.limit(1).count():
         own = active.withColumn("component", F.col("id"))
         if label is not None:
             own = active.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        own = work.save(own.select("bucket", "id", "turn", "component"), "own")
-        open_ = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        own_open = work.save(own.join(open_, "bucket"), "open")
-        first = own_open.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "id"))).where(F.col("k") <= hubs)
-        first = work.save(first.select("bucket", F.col("id").alias("hub"), F.col("component").alias("hub_component"), F.col("turn").alias("hub_turn")), "hubs")
-        pairs = own_open.join(first, "bucket").where("id <> hub and component <> hub_component and (turn, id) > (hub_turn, hub)")
-        pairs = work.save(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
+            own = work.save(own, "own")
+        apart = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        open_ = own if label is None else work.save(own.join(apart, "bucket"), "open")
+        first = open_.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "id"))).where(F.col("k") <= hubs)
+        first = work.save(first.select("bucket", *(F.col(c).alias(f"hub_{c}") for c in ("id", "turn", "component", *carried))), "hubs")
+        on = (open_["bucket"] == first["bucket"]) & (F.col("component") != F.col("hub_component")) & ((F.col("turn") > F.col("hub_turn")) | ((F.col("turn") == F.col("hub_turn")) & (F.col("id") > F.col("hub_id"))))
+        pairs = open_.join(first, on & possible("", "hub_")).select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b"))
+        pairs = work.save(pairs.distinct(), "pairs")
         found = work.save(links(pairs).select("a", "b"), "found")
-        edges = found if edges is None else work.save(edges.union(found), "links")
-        rest = own_open.join(first.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "turn")
-        left = work.save(rest, "active")
-        work.drop(active, own, own_open, first, pairs)
-        active, hubs = left, hubs * 8
-        if label is not None:
-            work.drop(label)
-        label = components(work, edges)
+        rest = open_.join(first.select("bucket", F.col("hub_id").alias("id")), ["bucket", "id"], "left_anti").select(*active.columns)
+        rest = work.save(rest, "active")
+        work.drop(active, own, open_, first, pairs)
+        active, hubs = rest, hubs * grow
+        if found.limit(1).count():
+            edges = found if label is None else found.union(label.select("id", "component"))
+            before, label = label, components(work, edges)
+            if before is not None:
+                work.drop(before)
     if label is None:
-        label = members.sparkSession.createDataFrame([], "id long, component long")
+        label = members.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
     return label

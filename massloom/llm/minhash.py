@@ -4,8 +4,9 @@ One permutation of the shingle hashes is cut into bins; each bin keeps its small
 bin takes the value of the first non-empty one in an order drawn for that bin (optimal densification).
 Bands of bins are buckets. Within a bucket, edges run from hubs to the other documents (a star), so a
 group of n copies makes about n pairs; `components.link_in_buckets` repeats stars until no linked
-pair of the bucket is left apart. Every edge is confirmed on the full shingle sets. Documents with equal
-sets are one node from the start.
+pair of the bucket is left apart. A parity bitmap of each set (how many hashes fall in each of 512 cells, odd or
+even) bounds a pair's symmetric difference from below and drops pairs that can't be linked; every edge is
+confirmed on the full shingle sets. Documents with equal sets are one node from the start.
 
 Null and empty texts have no shingles and no links. A null id is never linked (component null, kept).
 Each input row gives one row; rows that repeat an id are one document. Other columns are ignored.
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.llm.components import link_in_buckets
@@ -85,8 +86,19 @@ def signatures(sets: list[np.ndarray], bins: int, probes: np.ndarray) -> np.ndar
     return sig
 
 
+PARITY = [f"p{k}" for k in range(8)]
+
+
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """Bit maps (n, 8) of 64 bits: whether the number of hashes in each of 512 cells is odd."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    cell = (np.concatenate([*sets, np.zeros(0, U64)]).astype(U64) & U64(511)).astype(np.int64)
+    odd = np.bincount(row << 9 | cell, minlength=len(sets) << 9).reshape(-1, 512) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
 def sketch(docs: DataFrame, how: MinHash) -> DataFrame:
-    """doc_id, n_shingles, k1 and k2 (128 bits that name the set), buckets (none for an empty set)."""
+    """doc_id, n_shingles, k1 and k2 (128 bits that name the set), parity bitmap, buckets (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, probes = how.bands * how.rows, probe_order(how.bands * how.rows)
@@ -100,9 +112,10 @@ def sketch(docs: DataFrame, how: MinHash) -> DataFrame:
                 bucket = mix(bucket * U64(0x9E3779B97F4A7C15) + sig[:, :, k])
             bounds = np.concatenate(([0], np.cumsum(np.where(size > 0, how.bands, 0)))).astype(np.int32)
             buckets = pa.ListArray.from_arrays(pa.array(bounds), pa.array(bucket[size > 0].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), buckets], ["doc_id", "n_shingles", "k1", "k2", "buckets"])
+            cols = [size, keys[:, 0].view(np.int64), keys[:, 1].view(np.int64), *parity(sets).T]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, cols), buckets], ["doc_id", "n_shingles", "k1", "k2", *PARITY, "buckets"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, buckets array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, k1 long, k2 long, {', '.join(f'{p} long' for p in PARITY)}, buckets array<long>")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -129,9 +142,16 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     shared = same.where("rep <> last").select("k1", "k2", "n_shingles", "rep")
     node = work.save(rows.join(shared, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "nodes")
     reps = same.select("k1", "k2", "n_shingles", F.col("rep").alias("doc_id"))
-    members = named.join(reps, ["k1", "k2", "n_shingles", "doc_id"], "left_semi").select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("id"))
+    members = named.join(reps, ["k1", "k2", "n_shingles", "doc_id"], "left_semi").select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("id"), "n_shingles", *PARITY)
     sets: list[DataFrame] = []
 
+    def possible(a: str, b: str) -> Column:
+        # 100 * both >= percent * (sum - both) means (100 + percent) * difference <= (100 - percent) * sum, and differ <= difference
+        differ = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in PARITY), F.lit(0))
+        n, m = F.col(f"{a}n_shingles"), F.col(f"{b}n_shingles")
+        sizes = (n * 100 >= m * how.percent) & (m * 100 >= n * how.percent)
+        return sizes & (differ * (100 + how.percent) <= (n + m) * (100 - how.percent))
+
     def links(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         if sets:
@@ -146,7 +166,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
         return sized.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * how.percent)
 
     # a repeated id keeps one of its texts' sets
-    label = link_in_buckets(work, members.distinct() if _repeats(rows) else members, links)
+    label = link_in_buckets(work, members.dropDuplicates(["bucket", "id"]) if _repeats(rows) else members, possible, links)
     joined = node.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -26,9 +26,51 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op2_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.llm.quality import quality
+
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality(_table(spark, sf_dir, "documents"), good)
+
+
+def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.llm.lines import line_report
+
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
+def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.llm.licenses import known_licenses, license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"), known_licenses(spark))
+
+
+def op8_language_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.llm.langid import language
+
+    return language(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.llm.decontam import contamination
+
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op5_best_fit_packing)}
+    every = (op1_minhash_near_dedup, op2_toxicity_nnpu, op3_quality_llr, op5_best_fit_packing, op6_fuzzy_line_dedup, op7_license_digests, op8_language_bigru, op10_decontaminate_index)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from massloom.llm.licenses import license_sql
+
+    return {"op7_license_digests": license_sql()}

@@ -27,8 +27,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 _CODES = mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
 _LOWER_CODES = _CODES.copy()
 _LOWER_CODES[65:91] = _CODES[97:123]
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(_SPACES)] = True
+SPACE = np.zeros(256, bool)
+SPACE[list(_SPACES)] = True
+#: ASCII other than letters and digits.
+PUNCTUATION = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -60,7 +62,7 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf, bounds - lo
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text; a longer text is a batch by itself."""
     for batch in batches:
         if not batch.num_rows:
@@ -74,16 +76,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 
 class Words:
-    """Maximal runs of bytes that are not ASCII white space, of all rows of a batch.
+    """Maximal runs of bytes that are not gaps (ASCII white space), of all rows of a batch.
 
     start, end: byte bounds of each word; rows: word bounds of each row (n + 1).
     """
 
-    def __init__(self, buf: np.ndarray, bounds: np.ndarray):
-        self.buf, self.bounds = buf, bounds
+    def __init__(self, buf: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = SPACE):
+        self.buf, self.bounds, self._total = buf, bounds, None
         n = len(buf)
         if n:
-            solid = ~_IS_SPACE[buf]
+            solid = ~gaps[buf]
             fresh = np.zeros(n + 1, bool)  # a row starts here
             fresh[bounds] = True
             before = np.empty(n, bool)
@@ -98,15 +100,28 @@ class Words:
             self.start = self.end = np.zeros(0, np.int64)
         self.rows = np.searchsorted(self.start, bounds)
 
+    def _sums(self, lower: bool) -> np.ndarray:
+        if self._total is None or self._total[0] != lower:
+            codes = (_LOWER_CODES if lower else _CODES)[self.buf]
+            codes *= powers(_BASE, len(codes))
+            total = np.zeros(len(codes) + 1, U64)
+            np.cumsum(codes, out=total[1:])
+            self._total = lower, total
+        return self._total[1]
+
     def hashes(self, lower: bool = False) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, U64)
-        n = len(self.buf)
-        codes = (_LOWER_CODES if lower else _CODES)[self.buf]
-        codes *= powers(_BASE, n)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(codes, out=total[1:])
-        return mix((total[self.end] - total[self.start]) * powers(_BASE_INV, n)[self.start])
+        total = self._sums(lower)
+        return mix((total[self.end] - total[self.start]) * powers(_BASE_INV, len(self.buf))[self.start])
+
+    def beginnings(self, n: int, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of the first n bytes of each word that has more, and which words those are."""
+        of = np.flatnonzero(self.end - self.start > n)
+        if not len(of):
+            return np.zeros(0, U64), of
+        total, start = self._sums(lower), self.start[of]
+        return mix((total[start + n] - total[start]) * powers(_BASE_INV, len(self.buf))[start]), of
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))

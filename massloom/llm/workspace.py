@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _OPEN: list["Workspace"] = []
 
 
@@ -32,6 +33,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        if spark.conf.get(_ARROW_ROWS, "10000") == "10000":  # texts are long: smaller batches to Python
+            spark.conf.set(_ARROW_ROWS, "1000")
         if not _OPEN:
             atexit.register(_close_all)
         _OPEN.append(self)
