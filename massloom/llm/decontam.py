@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massloom.llm.workspace import Workspace
+from massloom.llm.workspace import Workspace, small
 
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # between words, upper case not yet folded
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,11 +40,6 @@ def _folded(text: Column) -> Column:
     return F.transform(_words(text), _fold)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint if the written table is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def windows(items: DataFrame, size: int = 13) -> DataFrame:
     """item_id, wid, terms: the runs of `size` words of each item; an item of fewer words is one window."""
     words = items.select("item_id", _folded(F.col("text")).alias("words")).where(F.size("words") > 0)
@@ -63,19 +58,19 @@ class Index:
         placed = self.windows.dropDuplicates(["wid"]).select("wid", F.posexplode("terms").alias("place", "term"))
         terms = work.save(placed.select("term").distinct(), "terms")
         tokens = docs.select("k", F.posexplode(_words(F.col("text"))).alias("pos", "word")).select("k", "pos", _fold(F.col("word")).alias("term"))
-        self.frequency = work.save(tokens.join(_small(terms), "term").groupBy("term").agg(F.count("*").alias("n")), "frequency")
-        ranked = placed.join(_small(self.frequency), "term").groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("n", "place", "term"))).alias("by"))
+        self.frequency = work.save(tokens.join(small(terms, BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("n")), "frequency")
+        ranked = placed.join(small(self.frequency, BROADCAST_ROWS), "term").groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("n", "place", "term"))).alias("by"))
         full = placed.groupBy("wid").agg(F.count("*").cast("int").alias("length"))
         # a window with a term that no document has can't occur
         ranked = ranked.join(full, "wid").where(F.size("by") == F.col("length"))
         rare, next_ = F.col("by")[0], F.when(F.size("by") > 1, F.col("by")[1]).otherwise(F.col("by")[0])
         self.keys = work.save(ranked.select("wid", "length", *(c[f].alias(f"{f}{k}") for k, c in ((1, rare), (2, next_)) for f in ("term", "place"))), "keys")
         wanted = work.save(self.keys.select(F.col("term1").alias("term")).union(self.keys.select("term2")).distinct(), "wanted")
-        self.postings = work.save(tokens.join(_small(wanted), "term").select("term", "k", "pos"), "postings")
+        self.postings = work.save(tokens.join(small(wanted, BROADCAST_ROWS), "term").select("term", "k", "pos"), "postings")
 
     def candidates(self, slop: int = 0) -> DataFrame:
         """k, wid, start (from 0), length: where the two rarest terms stand at their distance, or within slop of it."""
-        keys = _small(self.keys)
+        keys = small(self.keys, BROADCAST_ROWS)
         first = self.postings.join(keys.withColumnRenamed("term1", "term"), "term").select("k", "wid", "length", (F.col("pos") - F.col("place1")).alias("start"))
         second = self.postings.join(keys.withColumnRenamed("term2", "term"), "term").select("k", "wid", (F.col("pos") - F.col("place2")).alias("start2"))
         on = [first["k"] == second["k"], first["wid"] == second["wid"]]
@@ -123,7 +118,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, percent: in
     index, rows = _hits(work, docs.select("doc_id", "text"), items, size)
     rows = work.save(rows.select(F.col("doc.doc_id").alias("doc_id"), "n_words", "n_hit", "wids"), "hits")
     met = rows.where("n_hit > 0").select("doc_id", F.explode("wids").alias("wid"))
-    met = met.join(_small(index.windows.select("wid", F.col("item_id").cast("string").alias("item_id"))), "wid").select("doc_id", "item_id")
+    met = met.join(small(index.windows.select("wid", F.col("item_id").cast("string").alias("item_id")), BROADCAST_ROWS), "wid").select("doc_id", "item_id")
     named = met.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("k")).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     out = rows.join(named, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("k"), "left")
     items_ = F.when(F.col("n_hit") > 0, F.col("items")).otherwise(F.array().cast("array<string>"))
@@ -145,7 +140,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, size: in
     """
     work = Workspace(docs.sparkSession, "proximity")
     index = Index(work, _keyed(docs), items, size)
-    places = work.save(index.candidates(slop), "places").join(_small(index.windows), "wid")
+    places = work.save(index.candidates(slop), "places").join(small(index.windows, BROADCAST_ROWS), "wid")
     near = docs.select("doc_id", "text").join(places, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) == F.col("k"))
     low = F.greatest(F.lit(1), F.col("start") + 1 - slop)
     part = F.slice(_words(F.col("text")), low, F.col("start") + 1 + F.col("length") + slop - low)

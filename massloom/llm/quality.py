@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massloom.llm.workspace import Workspace
+from massloom.llm.workspace import Workspace, small
 
 SPACE = r"[\x09-\x0D\x20]+"
 SYMBOLS = "#*$%&|<>"
@@ -73,9 +73,7 @@ def _buckets(bits: int) -> Column:
 def log_ratios(work: Workspace, docs: DataFrame, trusted: DataFrame, bits: int, smoothing: float) -> list[int]:
     """The buckets' log ratios. trusted: doc_id. A bucket's target share is smoothed by its raw share, of weight smoothing * 2 ** bits."""
     ids = work.save(trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct(), "trusted")
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
+    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(ids, BROADCAST_ROWS), F.col("doc_id") == F.col("trusted_id"), "left")
     marked = marked.select(F.col("trusted_id").isNotNull().cast("int").alias("good"), words(F.col("text")).alias("words"))
     grams = marked.select("good", F.explode(_buckets(bits)).alias("bucket"))
     counts = work.save(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")), "counts")

@@ -18,6 +18,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), MinHash(shingle_words=3, percent=85))
 
 
+def op4_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.llm.substrings import removed_report
+
+    return removed_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,7 +72,7 @@ def op10_decontaminate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_minhash_near_dedup, op2_toxicity_nnpu, op3_quality_llr, op5_best_fit_packing, op6_fuzzy_line_dedup, op7_license_digests, op8_language_bigru, op10_decontaminate_index)
+    every = (op1_minhash_near_dedup, op2_toxicity_nnpu, op3_quality_llr, op4_substring_automata, op5_best_fit_packing, op6_fuzzy_line_dedup, op7_license_digests, op8_language_bigru, op10_decontaminate_index)
     return {f.__name__: f for f in every}
 
 

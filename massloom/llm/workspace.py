@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _OPEN: list["Workspace"] = []
@@ -23,6 +24,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint for a written table of at most so many rows; others are joined by shuffle."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 class Workspace:
     """Written tables of one run.
 
