@@ -40,25 +40,32 @@ def components(work: Workspace, edges: DataFrame) -> DataFrame:
 def link_in_buckets(
     work: Workspace,
     members: DataFrame,
+    traits: DataFrame | None,
     possible: Callable[[str, str], Column],
     links: Callable[[DataFrame], DataFrame],
     kind: str = "long",
-    grow: int = 32,
+    grow: int = 30,
+    most: int = 900,
 ) -> DataFrame:
     """Components of the links between ids that share a bucket, without writing out all pairs of a bucket.
 
-    members: bucket, id (distinct, of the SQL type `kind`) and columns of the id that `possible` reads.
+    members: bucket, id (distinct, of the SQL type `kind`).
+    traits: id and columns that `possible` reads; joined only to ids that share a bucket.
     possible: a cheap condition that every linked pair meets, given the prefixes of its two sides' columns.
     links: keeps those of the pairs (a, b) that are linked.
     In each round the first few ids of a bucket, its hubs, are held against the bucket's other ids that are not
     known to be in the hub's component yet. A hub has then met everyone it needs to and leaves the bucket; a bucket
     is done when its ids are all in one component. So each linked pair of a bucket ends in one component, as if
     all pairs had been compared, while a group of n near copies costs about n comparisons. Hubs per bucket
-    grow `grow`-fold each round, so that buckets of unlinked ids end after few rounds.
+    grow `grow`-fold each round up to `most` (which Spark still picks before the shuffle), so that buckets of unlinked
+    ids end after few rounds.
     """
-    carried = [c for c in members.columns if c not in ("bucket", "id")]
     several = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    active = work.save(members.join(several, "bucket").withColumn("turn", F.xxhash64("id")), "active")
+    active = members.join(several, "bucket")
+    if traits is not None:
+        active = active.join(traits, "id")
+    carried = [c for c in active.columns if c not in ("bucket", "id")]
+    active = work.save(active.withColumn("turn", F.xxhash64("id")), "active")
     label, hubs = None, 1
     while active.limit(1).count():
         own = active.withColumn("component", F.col("id"))
@@ -76,7 +83,7 @@ def link_in_buckets(
         rest = open_.join(first.select("bucket", F.col("hub_id").alias("id")), ["bucket", "id"], "left_anti").select(*active.columns)
         rest = work.save(rest, "active")
         work.drop(active, own, open_, first, pairs)
-        active, hubs = rest, hubs * grow
+        active, hubs = rest, min(most, hubs * grow)
         if found.limit(1).count():
             edges = found if label is None else found.union(label.select("id", "component"))
             before, label = label, components(work, edges)

@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 
 from massloom.llm.components import link_in_buckets
 from massloom.llm.textcols import U64, Words, chunks, mix, ngrams, utf8
-from massloom.llm.workspace import Workspace
+from massloom.llm.workspace import Workspace, small
+
+
+#: Ids of documents to confirm, up to this many, are broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -142,7 +146,8 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     shared = same.where("rep <> last").select("k1", "k2", "n_shingles", "rep")
     node = work.save(rows.join(shared, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "nodes")
     reps = same.select("k1", "k2", "n_shingles", F.col("rep").alias("doc_id"))
-    members = named.join(reps, ["k1", "k2", "n_shingles", "doc_id"], "left_semi").select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("id"), "n_shingles", *PARITY)
+    members = named.join(reps, ["k1", "k2", "n_shingles", "doc_id"], "left_semi").select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("id"))
+    traits = named.select(F.col("doc_id").alias("id"), "n_shingles", *PARITY)
     sets: list[DataFrame] = []
 
     def possible(a: str, b: str) -> Column:
@@ -156,8 +161,9 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         if sets:
             ids = ids.join(sets[0].select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-        more = full_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), how.shingle_words)
-        more = work.save(more, "sets")
+        ids = work.save(ids, "ids")
+        own = docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi")
+        more = work.save(full_sets(own, how.shingle_words).dropDuplicates(["id"]), "sets")
         sets[:] = [sets[0].union(more) if sets else more]
         left = sets[0].select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         right = sets[0].select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
@@ -165,11 +171,23 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
         sized = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
         return sized.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * how.percent)
 
-    # a repeated id keeps one of its texts' sets
-    label = link_in_buckets(work, members.dropDuplicates(["bucket", "id"]) if _repeats(rows) else members, possible, links)
+    if _repeats(rows):  # such an id keeps one of its texts' sets
+        members, traits = members.dropDuplicates(["bucket", "id"]), traits.dropDuplicates(["id"])
+    label = link_in_buckets(work, members, traits, possible, links)
     joined = node.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = work.save(out, "result")
+    work.keep(out)
+    return out
+
+
+def drop_near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
+    """The rows of docs, with their columns, that are kept: the smallest id of each group, and rows without an id."""
+    work = Workspace(docs.sparkSession, "near-duplicates")
+    gone = work.save(near_duplicates(docs, how).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    gone = small(gone, BROADCAST_IDS)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
 
 
 def _repeats(rows: DataFrame) -> bool:

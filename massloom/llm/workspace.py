@@ -38,7 +38,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n, self._saved = 0, set()
         if spark.conf.get(_ARROW_ROWS, "10000") == "10000":  # texts are long: smaller batches to Python
             spark.conf.set(_ARROW_ROWS, "1000")
         if not _OPEN:
@@ -51,6 +51,7 @@ class Workspace:
         df.write.parquet(at, compression="zstd")
         out = self.spark.read.schema(df.schema).parquet(at)
         out._massloom_path = at
+        self._saved.add(at)
         return out
 
     def _delete(self, at: str) -> None:
@@ -61,6 +62,14 @@ class Workspace:
         for t in tables:
             if at := getattr(t, "_massloom_path", None):
                 self._delete(at)
+                self._saved.discard(at)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drop all tables but these."""
+        stay = {getattr(t, "_massloom_path", None) for t in tables}
+        for at in self._saved - stay:
+            self._delete(at)
+        self._saved &= stay
 
     def close(self) -> None:
         self._delete(self.path)
