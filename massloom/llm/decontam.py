@@ -91,7 +91,9 @@ def _hits(work: Workspace, docs: DataFrame, items: DataFrame, size: int) -> tupl
     keyed = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"))
     index = Index(work, _keyed(docs), items, size)
     places = index.candidates().groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "length", "wid"))).alias("places"))
-    joined = keyed.join(work.save(places, "places"), "k", "left")
+    places = work.save(places, "places")
+    work.keep(index.windows, places)
+    joined = keyed.join(places, "k", "left")
     joined = joined.select("doc", _words(F.col("doc.text")).alias("words"), "places")
 
     def there(p: Column) -> Column:

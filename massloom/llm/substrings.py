@@ -213,7 +213,7 @@ def dedup_substrings(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
     of = shard_of(docs, "doc", how.shard_mb)
     own = named.join(small(ids, how.broadcast_ids), "doc", "left_semi").withColumn("shard", of)
     phrases = work.save(shared.select(of.alias("shard"), "phrase").distinct(), "by-shard")
-    work.drop(shared)
+    work.keep(ids, phrases)
     by_window = Window.partitionBy("window")  # at most one row per shard
     met = _recurring(own, phrases, how).select("shard", "window", "hi", F.min("lo").over(by_window).alias("first"))
     confirmed = met.where("first < hi").select("shard", "window", "first")
