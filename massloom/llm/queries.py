@@ -63,6 +63,12 @@ def op8_language_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(_table(spark, sf_dir, "documents"))
 
 
+def op9_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.llm.brown import language_model
+
+    return language_model(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from massloom.llm.decontam import contamination
 
@@ -72,7 +78,7 @@ def op10_decontaminate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_minhash_near_dedup, op2_toxicity_nnpu, op3_quality_llr, op4_substring_automata, op5_best_fit_packing, op6_fuzzy_line_dedup, op7_license_digests, op8_language_bigru, op10_decontaminate_index)
+    every = (op1_minhash_near_dedup, op2_toxicity_nnpu, op3_quality_llr, op4_substring_automata, op5_best_fit_packing, op6_fuzzy_line_dedup, op7_license_digests, op8_language_bigru, op9_brown_scores, op10_decontaminate_index)
     return {f.__name__: f for f in every}
 
 
