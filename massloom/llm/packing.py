@@ -12,6 +12,9 @@ null ids like others. An empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,48 +24,131 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.llm.textcols import chunks
+from massloom.llm.textcols import U64, Words, chunks, utf8
 from massloom.llm.workspace import Workspace
 
 
+_LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+#: Letters are a pre-token, and so is the punctuation after them (but an apostrophe can belong to a contraction).
+_PLAIN = re.compile(rb"(?:[a-z]|" + _LATIN + rb")+([!-&(-/:-@\[-`{-~]*)")
+
+
+class Slots:
+    """Entry numbers by 64-bit hash, in an open-addressing table that is read and filled a vector at a time."""
+
+    def __init__(self, bits: int):
+        self.mask = U64((1 << bits) - 1)
+        self.keys, self.values = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 for unknown ones; keys are not 0."""
+        out, left, at = np.full(len(keys), -1, np.int64), np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(left):
+            have = self.keys[at]
+            hit = have == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (have != 0)
+            left, at = left[on], at[on] + 1 & int(self.mask)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """keys: distinct and unknown."""
+        at = (keys & self.mask).astype(np.int64)
+        while len(keys):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]
+            won = self.keys[at] == keys
+            self.values[at[won]] = values[won]
+            keys, values, at = keys[~won], values[~won], at[~won] + 1 & int(self.mask)
+
+
 class CachedEncoder:
-    """Token ids of texts, by white-space separated chunk.
+    """Token ids of texts, by white-space separated chunk with A-Z in lower case.
 
-    Right for tokenizers whose pre-tokenizer drops white space and never joins text across it.
-    At most `most` chunks are remembered.
+    Right for tokenizers that lower-case, whose pre-tokenizer drops white space, never joins text across it and keeps letters and
+    punctuation apart. The ids of about `most` chunks are remembered, under 64-bit hashes; beyond that
+    the chunks not met since the last such moment are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def _learn(self, new: list[bytes]) -> None:
-        found = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        first = len(self.pool) + np.concatenate(([0], np.cumsum(count)[:-1]))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.first, self.count = np.concatenate((self.first, first)), np.concatenate((self.count, count))
-        self.pool = np.concatenate((self.pool, np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum()))))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [t.encode().split() if t else [] for t in texts]
-        if len(self.known) > self.most:
-            self._clear()
-        if new := list({w for ws in split for w in ws}.difference(self.known)):
-            self._learn(new)
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((k for ws in split for k in map(self.known.__getitem__, ws)), np.int64, int(n.sum()))
-        count = self.count[at]
-        ends = np.concatenate(([0], np.cumsum(count)))
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.first[at] - ends[:-1], count)] if len(at) else np.zeros(0, np.uint32)
-        return np.split(ids, ends[np.cumsum(n)[:-1]]) if len(split) else []
+        self.bits = int(2 * most).bit_length()
+        size = self.tok.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tok.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+        self.slots, self.n, self.used = Slots(self.bits), 0, 0
+        self.keys, self.first, self.count = np.zeros(1 << 16, U64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.met, self.pool = np.zeros(1 << 16, bool), np.zeros(1 << 18, np.uint32)
+
+    def _ids(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all chunks together, and the start and number of each one's."""
+        found = [_PLAIN.fullmatch(w) for w in new]
+        plain = np.array([m is not None for m in found], bool)
+        ids, count = np.zeros(0, np.uint32), np.zeros(len(new), np.int64)
+        if plain.any():
+            # these are one or two pre-tokens each: they go together, and the last tokens of pre-tokens tell them apart
+            text = b" ".join(w for w, m in zip(new, found) if m).decode()
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.cumsum([1 + (m.end(1) > m.start(1)) for m in found if m]) - 1
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == last[-1] + 1:
+                count[plain] = np.diff(ends[last], prepend=-1)
+            else:
+                plain[:], ids = False, ids[:0]
+        parts = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w, p in zip(new, plain) if not p], add_special_tokens=False)]
+        count[~plain] = [len(x) for x in parts]
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        start = np.zeros(len(new), np.int64)
+        start[order] = np.cumsum(count[order]) - count[order]
+        return np.concatenate((ids, np.fromiter(itertools.chain.from_iterable(parts), np.uint32))), start, count
+
+    def _remember(self, keys: np.ndarray, flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        n, m, used, size = self.n, len(keys), self.used, len(flat)
+        while n + m > len(self.first):
+            self.keys, self.first, self.count, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.keys, self.first, self.count, self.met))
+        while used + size > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.keys[n : n + m], self.first[n : n + m], self.count[n : n + m] = keys, used + start, count
+        self.pool[used : used + size] = flat
+        self.slots.add(keys, np.arange(n, n + m))
+        self.n, self.used = n + m, used + size
+
+    def _forget(self) -> None:
+        stay = np.flatnonzero(self.met[: self.n])
+        keys, count = self.keys[stay], self.count[stay].astype(np.int64)
+        flat, start = self._take(stay), np.cumsum(count) - count
+        self.slots, self.n, self.used = Slots(self.bits), 0, 0
+        self.met[:] = False
+        self._remember(keys, flat, start, count)
+
+    def _take(self, entries: np.ndarray) -> np.ndarray:
+        """The ids of the entries, one after another."""
+        count = self.count[entries].astype(np.int64)
+        ends = np.cumsum(count)
+        return self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[entries] - ends + count, count)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        words = Words(*utf8(texts))
+        keys = words.hashes(lower=True)
+        keys[keys == 0] = 1
+        if self.n > self.most:
+            self._forget()
+        where = self.slots.find(keys)
+        if len(missing := np.flatnonzero(where < 0)):
+            new, at, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+            buf = words.buf.tobytes()
+            chunks_ = [buf[words.start[k] : words.end[k]].lower() for k in missing[at].tolist()]
+            self._remember(new, *self._ids(chunks_))
+            where[missing] = self.n - len(new) + back
+        self.met[where] = True
+        ends = np.concatenate(([0], np.cumsum(self.count[where].astype(np.int64))))
+        out = np.split(self._take(where), ends[words.rows[1:-1]]) if len(texts) else []
+        if b"<|" in words.buf.tobytes():  # such texts may spell a special token
+            for k, t in enumerate(texts.to_pylist()):
+                if t and "<|" in t:
+                    out[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 _encoders: dict[str, CachedEncoder] = {}
@@ -70,6 +156,7 @@ _encoders: dict[str, CachedEncoder] = {}
 
 def _encoder(path: str) -> CachedEncoder:
     if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _encoders[path] = CachedEncoder(path)
     return _encoders[path]
 
@@ -81,7 +168,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0,
         enc, part, seen = _encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for b in chunks(batches, limit=1 << 20):
             doc, out = [], {k: [] for k in ("piece", "start", "length", "ids_crc32", "nth", "ids")}
-            for k, ids in enumerate(enc.encode(b.column("text").to_pylist())):
+            for k, ids in enumerate(enc.encode(b.column("text"))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for piece, at in enumerate(range(0, len(ids), length)):
                     own = ids[at : at + length]
