@@ -85,12 +85,16 @@ def mass_options(sequence: Column, letters: str = STANDARD + "JUOX") -> Column:
     base = peptide_mass(sequence, letters=letters)
     out = F.array(base)
     for letter, (a, b) in AMBIGUOUS.items():
-        n = letter_count(sequence, letter)
-        extra = F.transform(F.sequence(F.lit(0), n), lambda k, a=a, b=b, n=n: k * F.lit(MONO[a]) + (n - k) * F.lit(MONO[b]))
-        out = F.flatten(F.transform(out, lambda m, extra=extra: F.transform(extra, lambda x: m + x)))
+        out = _with_either(out, letter_count(sequence, letter), MONO[a], MONO[b])
     return F.array_sort(F.array_distinct(out))
 
 
+def _with_either(masses: Column, n: Column, a: float, b: float) -> Column:
+    """The masses with n more residues, each of mass a or b."""
+    extra = F.transform(F.sequence(F.lit(0), n), lambda k: k * F.lit(a) + (n - k) * F.lit(b))
+    return F.flatten(F.transform(masses, lambda m: F.transform(extra, lambda x: m + x)))
+
+
 def mass_bounds(options: Column) -> Column:
     return F.struct(F.array_min(options).alias("lo"), F.array_max(options).alias("hi"))
 

@@ -12,11 +12,23 @@ from pyspark.sql import functions as F
 from massloom.functions.chemistry import ELEMENTS, ISOTOPES, MONO, PROTON, WATER, parse_formula
 from massloom.functions.tolerance import Tolerance
 
-#: pKa of the ends and of charged residues, as (end or residue, pKa, sign of the charge).
-PKA = {
-    "lide": {"n": {"": 7.7}, "c": {"": 3.3}, "positive": {"H": 6.04, "K": 10.54, "R": 12.48}, "negative": {"D": 3.71, "E": 4.15, "C": 8.14, "Y": 10.1}},
-    "lehninger": {"n": {"": 9.69}, "c": {"": 2.34}, "positive": {"H": 6.0, "K": 10.5, "R": 12.4}, "negative": {"D": 3.86, "E": 4.25, "C": 8.33, "Y": 10.0}},
-}
+#: pKa of each residue as (at the N-terminus, side chain, at the C-terminus).
+PKA: dict[str, dict[str, tuple[float, float | None, float]]] = {
+    "lide": {
+        "R": (9.00, 12.10, 2.03), "H": (9.09, 6.04, 1.70), "K": (9.16, 10.67, 2.15), "D": (9.66, 3.71, 1.95), "E": (9.58, 4.15, 2.16),
+        "Y": (9.04, 10.10, 2.24), "C": (10.28, 8.14, 1.91), "A": (9.71, None, 2.33), "G": (9.58, None, 2.34), "P": (10.47, None, 1.95),
+        "S": (9.05, None, 2.13), "T": (8.96, None, 2.20), "M": (9.08, None, 2.16), "F": (9.09, None, 2.18), "W": (9.34, None, 2.38),
+        "V": (9.52, None, 2.27), "I": (9.60, None, 2.26), "L": (9.58, None, 2.32), "Q": (9.00, None, 2.18), "N": (8.73, None, 2.16),
+    },
+    "lehninger": {
+        "R": (9.04, 12.48, 2.17), "H": (9.17, 6.00, 1.82), "K": (8.95, 10.53, 2.18), "D": (9.60, 3.65, 1.88), "E": (9.67, 4.25, 2.19),
+        "Y": (9.11, 10.07, 2.20), "C": (10.28, 8.18, 1.96), "A": (9.69, None, 2.34), "G": (9.60, None, 2.34), "P": (10.96, None, 1.99),
+        "S": (9.15, None, 2.21), "T": (9.62, None, 2.11), "M": (9.21, None, 2.28), "F": (9.13, None, 1.83), "W": (9.39, None, 2.38),
+        "V": (9.62, None, 2.32), "I": (9.68, None, 2.36), "L": (9.60, None, 2.36), "Q": (9.13, None, 2.17), "N": (8.80, None, 2.02),
+    },
+}
+#: Side chains that carry a charge, and its sign.
+CHARGED = {"R": 1, "H": 1, "K": 1, "D": -1, "E": -1, "C": -1, "Y": -1}
 
 
 def find_formulas(targets: DataFrame, mass: str, limits: dict[str, tuple[int, int]], tol: Tolerance) -> DataFrame:
@@ -95,41 +107,30 @@ def most_abundant(pattern: Column) -> Column:
     return F.size(pattern) - F.array_position(F.reverse(pattern), F.array_max(pattern)).cast("int")
 
 
-def net_charge(sequence: Column, ph: Column, pka: str = "lide") -> Column:
-    """Charge by Henderson-Hasselbalch."""
-    table = PKA[pka]
-    ten = F.lit(10.0)
-
-    def n(aa: str) -> Column:
-        return (F.length(sequence) - F.length(F.replace(sequence, F.lit(aa), F.lit("")))).cast("double")
-
-    total = 1.0 / (1.0 + F.pow(ten, ph - table["n"][""])) - 1.0 / (1.0 + F.pow(ten, F.lit(table["c"][""]) - ph))
-    for aa, v in table["positive"].items():
-        total = total + n(aa) / (1.0 + F.pow(ten, ph - v))
-    for aa, v in table["negative"].items():
-        total = total - n(aa) / (1.0 + F.pow(ten, F.lit(v) - ph))
-    return total
-
-
 def isoelectric_points(peptides: DataFrame, sequence: str, pka: str = "lide", rounds: int = 18) -> DataFrame:
-    """peptides and `pi`: bisection of the net charge between pH 0 and 14; null for empty or ambiguous sequences."""
+    """peptides and `pi`: bisection of the net charge (Henderson-Hasselbalch) between pH 0 and 14.
+
+    The ends have the pKa of their residues. Null for empty sequences and residues without a pKa.
+    """
     table = PKA[pka]
-    letters = [*table["positive"], *table["negative"]]
+    letters = list(CHARGED)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             known = s.notna() & s.fillna("").str.fullmatch("[ARNDCQEGHILKMFPSTWYV]+")
-            n = np.array([[x.count(a) for a in letters] for x in s.fillna("")], float).reshape(len(s), len(letters))
+            own = s.where(known, "A")
+            n = np.array([[x.count(a) for a in letters] for x in own], float).reshape(len(s), len(letters))
+            first, last = np.array([table[x[0]][0] for x in own]), np.array([table[x[-1]][2] for x in own])
             lo, hi = np.zeros(len(s)), np.full(len(s), 14.0)
             for _ in range(rounds):
                 ph = (lo + hi) / 2
-                charge = 1 / (1 + 10 ** (ph - table["n"][""])) - 1 / (1 + 10 ** (table["c"][""] - ph))
+                charge = 1 / (1 + 10 ** (ph - first)) - 1 / (1 + 10 ** (last - ph))
                 for k, a in enumerate(letters):
-                    v = (table["positive"] | table["negative"])[a]
-                    charge += n[:, k] / (1 + 10 ** (ph - v)) if a in table["positive"] else -n[:, k] / (1 + 10 ** (v - ph))
+                    sign = CHARGED[a]
+                    charge += sign * n[:, k] / (1 + 10 ** (sign * (ph - table[a][1])))
                 lo, hi = np.where(charge > 0, ph, lo), np.where(charge > 0, hi, ph)
-            yield pd.Series(np.where(known, (lo + hi) / 2, np.nan)).where(known)
+            yield pd.Series((lo + hi) / 2).where(known.reset_index(drop=True))
 
     return peptides.withColumn("pi", run(sequence))
 

@@ -38,7 +38,7 @@ def records(lines: DataFrame) -> DataFrame:
     first = F.split("header", r"\s+", 2)
     rest = F.coalesce(F.get(first, F.lit(1)), F.lit(""))
     tag = r"(?:^|\s)([A-Za-z_]+)=(.*?)(?=\s+[A-Za-z_]+=|$)"
-    keys, values = F.regexp_extract_all(rest, F.lit(tag), F.lit(1)), F.transform(F.regexp_extract_all(rest, F.lit(tag), F.lit(2)), F.trim)
+    keys, values = F.regexp_extract_all(rest, F.lit(tag), F.lit(1)), F.transform(F.regexp_extract_all(rest, F.lit(tag), F.lit(2)), lambda x: F.trim(x))
     # of a tag that comes twice the first counts
     once = F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda k: F.array_position(keys, F.get(keys, k)) == k + 1)
     once = F.when(F.size(keys) > 0, once).otherwise(F.array().cast("array<int>"))

@@ -15,7 +15,7 @@ PEAKS = "array<struct<mz:double,intensity:float>>"
 def mgf_records(blocks: DataFrame) -> DataFrame:
     """Of text read with lineSep 'BEGIN IONS': title, scan, rt_s, charge, precursor_mz, extra and peaks."""
     body = blocks.select(F.split("value", "END IONS", 2)[0].alias("b")).where(F.rlike("b", F.lit(r"(?m)^\s*[A-Za-z]+=|^\s*[0-9]")))
-    lines = F.transform(F.split("b", r"\r?\n"), F.trim)
+    lines = F.transform(F.split("b", r"\r?\n"), lambda x: F.trim(x))
     out = body.select(F.filter(lines, lambda x: F.contains(x, F.lit("=")) & x.rlike("^[A-Za-z]")).alias("h"), F.filter(lines, lambda x: x.rlike("^[0-9]")).alias("p"))
     pairs = F.transform("h", lambda x: F.struct(F.upper(F.split(x, "=", 2)[0]).alias("k"), F.split(x, "=", 2)[1].alias("v")))
     keys = F.array_distinct(F.transform(pairs, lambda e: e["k"]))

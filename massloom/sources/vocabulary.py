@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 def obo_stanzas(blocks: DataFrame) -> DataFrame:
     """Of text read with lineSep '\\n[': stanza (Term, Typedef, Instance), id, name, obsolete, synonyms, parents, tags."""
     body = blocks.select(F.regexp_replace("value", r"^\[", "").alias("b")).where(F.rlike("b", F.lit(r"^(Term|Typedef|Instance)\]")))
-    lines = F.filter(F.transform(F.split("b", r"\r?\n"), F.trim), lambda x: x.rlike(r"^[A-Za-z_-]+:"))
-    # a comment starts at an exclamation mark outside quotes; modifiers in braces end the line
-    pairs = F.transform(lines, lambda x: F.struct(F.split(x, ":", 2)[0].alias("tag"), F.trim(F.regexp_replace(F.split(x, ":", 2)[1], r'\s+!(?=[^"]*$).*$', "")).alias("value")))
+    # a comment starts at an exclamation mark behind white space, outside quotes
+    plain = F.regexp_replace("b", r'(?m)[ \t]+!(?=[^"\n]*$)[^\n]*$', "")
+    lines = F.filter(F.transform(F.split(plain, r"\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[A-Za-z_-]+:"))
+    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, "^([^:]+):", 1).alias("tag"), F.regexp_extract(x, r"^[^:]+:\s*(.*)$", 1).alias("value")))
     out = body.select(F.regexp_extract("b", r"^(\w+)\]", 1).alias("stanza"), pairs.alias("tags"))
 
     def first(tag: str) -> Column:
