@@ -50,6 +50,7 @@ SPELLINGS = {
     "realise": "realize",
     "recognise": "recognize",
     "signalling": "signaling",
+    "sublicence": "sublicense",
     "utilisation": "utilization",
     "whilst": "while",
 }

@@ -1,0 +1,400 @@
+"""The operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from massloom.llm import brown, decontam, langid, licenses, lines, minhash, packing, quality, substrings, toxicity
+from massloom.llm.components import components
+from massloom.llm.folds import remainder
+from massloom.llm.textcols import Words, chunks, ngrams, utf8
+from massloom.llm.workspace import Workspace
+
+WORDS = [a + b for a in ("ba", "de", "fi", "go", "lu", "ma", "ne", "po") for b in ("ra", "te", "si", "no", "ku", "é", "x", "yl")]
+
+
+def _text(r, n):
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def corpus(seed=0, n=60):
+    """Texts with exact and near copies, shared passages, nulls, empties, one very long one."""
+    r = random.Random(seed)
+    out = [_text(r, r.randint(1, 120)) for _ in range(n)]
+    passage = _text(r, 70)
+    for k in range(0, n, 7):
+        out[k] = out[k] + "\n" + passage + "\n" + _text(r, 20)
+    for k in range(3, n, 9):
+        out[k] = out[k - 1]
+    for k in range(5, n, 11):
+        words = out[k - 2].split(" ")
+        words[len(words) // 2] = "changed"
+        out[k] = " ".join(words)
+    out[10], out[11], out[12], out[13] = None, "", " \n\t ", _text(r, 30_000)
+    return out
+
+
+def frame(spark, texts, start=0):
+    rows = [(start + k, t, "x", "src", 1, 2.0) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_hit int, score double").repartition(3)
+
+
+def empty(spark):
+    return frame(spark, ["x"]).limit(0)
+
+
+def test_words_and_ngrams():
+    texts = pa.array(["Hello  wORLD\tx", None, "", "é a\x0bb", "a"])
+    w = Words(*utf8(texts))
+    assert [w.buf[a:b].tobytes() for a, b in zip(w.start, w.end)] == [b"Hello", b"wORLD", b"x", "é".encode(), b"a", b"b", b"a"]
+    h = w.hashes(lower=True)
+    assert h[4] == h[6] and len(set(h.tolist())) == 6
+    g, rows = ngrams(h, w.rows, 2)
+    assert rows.tolist() == [0, 2, 2, 2, 4, 4]
+    again = pa.array(["world X", "b"])
+    v = Words(*utf8(again))
+    assert ngrams(v.hashes(lower=True), v.rows, 2)[0][0] == g[1]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 100, "b", "c" * 300, "d"])], ["text"])
+    assert [b.num_rows for b in chunks(iter([batch]), limit=150)] == [2, 1, 1]
+
+
+def test_components(spark):
+    work = Workspace(spark, "t")
+    r = random.Random(3)
+    edges = [(k, k + 1) for k in range(40)] + [(100 + r.randint(0, 30), 100 + r.randint(0, 30)) for _ in range(30)] + [(7, 7)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r_["id"]: r_["component"] for r_ in components(work, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[x] == find(x) for x in got) and set(got) >= {x for a, b in edges if a != b for x in (a, b)}
+    assert components(work, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _shingles(text, n):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("n, percent", [(3, 85), (5, 80)])
+def test_minhash(spark, n, percent):
+    texts = corpus()
+    sets = [_shingles(t, n) for t in texts]
+    comp = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= percent * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+                    changed = True
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, minhash.MinHash(n, percent)).collect()}
+    assert got == {k: (len(sets[k]), comp[k], comp[k] == k) for k in range(len(texts))}
+    kept = minhash.drop_near_duplicates(docs, minhash.MinHash(n, percent))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k in range(len(texts)) if comp[k] == k}
+
+
+def test_minhash_nulls_repeats_and_empty(spark):
+    docs = frame(spark, ["a b c d e f", "a b c d e f"]).union(frame(spark, ["a b c d e f"])).union(frame(spark, ["a b c d e f"]).withColumn("doc_id", F.lit(None).cast("long")))
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert got == [(0, 0, True), (0, 0, True), (1, 0, False), (None, None, True)]
+    assert minhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_minhash_group_that_one_hub_does_not_link(spark):
+    """A chain of texts, each near the next one only."""
+    r = random.Random(9)
+    base = [r.choice(WORDS) + str(k) for k in range(120)]
+    texts = [" ".join([f"n{k}" for k in range(s)] + base[s:]) for s in range(0, 60, 6)]
+    sets = [_shingles(t, 3) for t in texts]
+    near = [(a, b) for a in range(10) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert near and len(near) < 45
+    got = minhash.near_duplicates(frame(spark, texts), minhash.MinHash(3, 85)).collect()
+    assert {r_["component_id"] for r_ in got} == {0}
+
+
+def test_quality(spark):
+    r = random.Random(2)
+    texts = [_text(r, 60) for _ in range(30)] + ["# * bad | bad | " * 30, "short", None, "", "same line here now\n" * 12, "A" + "b" * 70_000]
+    docs = frame(spark, texts)
+    got = {x["doc_id"]: x for x in quality.quality(docs, docs.where("doc_id < 20")).collect()}
+    for k, t in enumerate(texts):
+        w = [x for x in re.split("[\x09-\x0d\x20]+", t or "") if x]
+        seen, dup = set(), 0
+        for line in (t or "").split("\n"):
+            if line.strip(" \t\n\x0b\x0c\r"):
+                dup += line in seen
+                seen.add(line)
+        windows = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        hit = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        want = (len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), dup, len(hit))
+        x = got[k]
+        assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == want
+        assert x["base_failed"] == (len(w) < 20 or 100 * len(hit) > 30 * len(w))
+    assert all(got[k]["kept"] for k in range(20)) and got[30]["score"] < min(got[k]["score"] for k in range(30)) and got[32]["score"] is None
+    nothing = quality.quality(docs, docs.limit(0).select("doc_id")).collect()
+    assert all(x["score"] in (None, 0.0) for x in nothing)
+    assert quality.quality(empty(spark), docs.select("doc_id")).count() == 0
+
+
+@pytest.mark.parametrize("window, phrase", [(50, 10), (12, 4)])
+def test_substrings(spark, window, phrase):
+    texts = corpus(4)
+    texts[20] = (texts[7] + " ") * 2
+    words = [(t or "").encode().split() for t in texts]
+    first = {}
+    for d, w in enumerate(words):
+        for i in range(len(w) - window + 1):
+            first.setdefault(tuple(w[i : i + window]), d)
+    docs = frame(spark, texts)
+    how = substrings.Phrases(window, phrase, shard_mb=0.02)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.removed_report(docs, how).collect()}
+    for d, w in enumerate(words):
+        gone = {j for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < d for j in range(i, i + window)}
+        left = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        assert got[d] == (len(w), len(gone), hashlib.sha256(left).hexdigest())
+    assert any(v[1] for v in got.values())
+    nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert {r["n_removed"] for r in substrings.removed_report(nulls, how).collect()} == {0}
+    assert substrings.removed_report(empty(spark), how).count() == 0
+
+
+def test_packing(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    odd = ["It's we'll, \"x.\" 3.14 ..., <|endoftext|>. <|ENDOFTEXT|> don't.\nÀ la É. Σας ΣΑΣ. İx. y z. a.\n b", "rock'n'roll’s a’s. É, é;; ñ: œ. "]
+    texts = corpus(5) + odd
+    docs = frame(spark, texts)
+    rows = packing.pack(docs, path, 64, with_ids=True).collect()
+    ids = {k: tok.encode(t or "", add_special_tokens=False).ids + [0] for k, t in enumerate(texts)}
+    back, bins = collections.defaultdict(list), collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
+        assert r["start"] == 64 * r["piece"] and r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        back[r["doc_id"]] += r["ids"]
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert dict(back) == ids
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert len(bins) <= math.ceil(sum(map(len, ids.values())) / 64) * 1.01
+    assert packing.pack(empty(spark), path, 64).count() == 0
+    small = packing.CachedEncoder(path, most=50)
+    for _ in range(2):
+        for k in range(0, len(texts), 10):
+            got = small.encode(pa.array(texts[k : k + 10]))
+            assert [g.tolist() for g in got] == [ids[k + i][:-1] for i in range(len(got))]
+
+
+def test_fullest_combination():
+    r = random.Random(1)
+    for _ in range(60):
+        have = {r.randint(1, 30): r.randint(1, 3) for _ in range(5)}
+        room = r.randint(1, 60)
+        sums = {0}
+        for size, n in have.items():
+            sums = {s + size * k for s in sums for k in range(n + 1)}
+        got = packing.fullest(have, room)
+        assert sum(s * n for s, n in got) == max(s for s in sums if s <= room) and all(n <= have[s] for s, n in got)
+
+
+def test_lines(spark):
+    r = random.Random(6)
+    base = [_text(r, 14) for _ in range(25)]
+    near = base[3][:-1] + "q"
+    texts = ["\n".join(base[:5]), "\n".join([base[3].upper() + "!", base[6], "ok"]), near + "\n" + base[7], None, "", "ok\nok\nok", "\n".join(base[:5]), base[8] + "\n\n" + base[0]]
+    docs = frame(spark, texts)
+    how = lines.FuzzyLines()
+    up = {c: c + 32 for c in [*range(65, 91), *(x for x in range(0xC0, 0xDF) if x != 0xD7)]}
+
+    def compared(t):
+        forms = (" ".join(re.findall("[0-9A-Za-z\x80-\U0010ffff]+", x.translate(up))) for x in (t or "").split("\n"))
+        return [(k, f) for k, f in enumerate(forms) if f.count(" ") >= 4]
+
+    first = {}
+    for d, t in enumerate(texts):
+        for k, f in compared(t):
+            first.setdefault(f, (d, k))
+    forms = list(first)
+    w = Words(*utf8(pa.array(forms)))
+    sims = lines.simhashes(w.hashes(), w.rows[:-1], np.diff(w.rows)).tolist()
+    group = {first[f]: first[f] for f in forms}
+    for _ in forms:
+        for i, a in enumerate(forms):
+            for j, b in enumerate(forms[:i]):
+                if bin(sims[i] ^ sims[j]).count("1") <= how.bits and _distance(a, b) <= max(len(a), len(b)) * 20 // 100:
+                    group[first[a]] = group[first[b]] = min(group[first[a]], group[first[b]])
+    got = {x["doc_id"]: x for x in lines.line_report(docs, how).collect()}
+    left = {x["doc_id"]: x for x in lines.dedup_lines(docs, how).collect()}
+    for d, t in enumerate(texts):
+        gone = {k for k, f in compared(t) if group[first[f]] != (d, k)}
+        assert got[d]["n_removed"] == len(gone)
+        if t is None:
+            assert got[d]["kept_sha256"] is None and left[d]["text"] is None
+            continue
+        kept = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        assert got[d]["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest() and got[d]["n_lines"] == t.count("\n") + 1
+        assert (d in left) == (not (gone and not kept.strip())) and (d not in left or left[d]["text"] == kept)
+    assert lines.dedup_lines(docs).columns == docs.columns and lines.line_report(empty(spark)).count() == 0
+    clash = docs.withColumn("stay", F.lit(1)).withColumn("n_chars", F.length("text"))
+    assert {x["n_chars"] for x in lines.dedup_lines(clash).where("text is not null").select("n_chars", "text").collect() if x["n_chars"] != len(x["text"])} == set()
+    many = np.repeat(np.array([5], np.uint64), 40_000)
+    assert lines.simhashes(many, np.array([0]), np.array([40_000])).tolist() == [5]
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_licenses(spark):
+    mit = licenses.KNOWN["MIT"]
+    texts = [mit, "Copyright 2020 A\n" + mit.upper().replace(",", " , "), "// " + mit.replace("\n", "\n// ").replace("license", "licence"), mit + " more", None, "", "!!!", "Released under the MIT Licence"]
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r for r in licenses.license_scan(docs, licenses.known_licenses(spark)).collect()}
+    assert [got[k]["license_id"] for k in range(8)] == ["MIT", "MIT", "MIT", None, None, None, None, "notice:MIT"]
+    assert got[4]["digest"] is None and got[5]["digest"] == hashlib.sha256(b"").hexdigest() and got[6]["n_words"] == 0
+    assert licenses.license_scan(empty(spark), licenses.known_licenses(spark)).count() == 0
+
+
+def test_decontamination(spark):
+    r = random.Random(8)
+    items = [(k, _text(r, n)) for k, n in enumerate((40, 25, 13, 6, 0, 30))] + [(6, None), (7, "Same, as; ITEM"), (8, "same as item")]
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    long = items[0][1].split()
+    texts = [_text(r, 40) + " " + items[1][1].upper().replace(" ", ", ") + " " + _text(r, 9), " ".join(long[:13]) + " " + _text(r, 400), " ".join(long[:12]), items[3][1], None, "", "x same AS -item", items[2][1] + " " + items[2][1], _text(r, 20_000) + " " + items[5][1]]
+    docs, bench = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    windows = collections.defaultdict(set)
+    for k, t in items:
+        w = words(t)
+        for i in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(w[i : i + 13])].add(k)
+    got = {x["doc_id"]: x for x in decontam.contamination(docs, bench).collect()}
+    for d, t in enumerate(texts):
+        w, hit, own = words(t), set(), set()
+        for win, ks in windows.items():
+            for i in range(len(w) - len(win) + 1):
+                if tuple(w[i : i + len(win)]) == win:
+                    hit.update(range(i, i + len(win)))
+                    own |= ks
+        x = got[d]
+        assert (x["n_words"], x["n_hit"], x["items"], x["contaminated"]) == (len(w), len(hit), sorted(map(str, own)), bool(hit) and 20 * len(hit) >= len(w))
+    clean = decontam.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and {x["doc_id"] for x in clean.collect()} == {d for d in got if not got[d]["contaminated"]}
+    exact = {(x["doc_id"], x["item_id"]) for x in decontam.proximity_matches(docs, bench, slop=0).collect()}
+    assert exact == {(d, int(k)) for d in got for k in got[d]["items"]}
+    gap = frame(spark, [" ".join([*long[:5], "between", *long[5:13]])])
+    assert {x["item_id"] for x in decontam.proximity_matches(gap, bench, slop=2).collect()} >= {0} and not decontam.contamination(gap, bench).first()["n_hit"]
+    assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0 and decontam.contamination(empty(spark), bench).count() == 0
+
+
+def test_toxicity(spark):
+    r = random.Random(11)
+    texts = [_text(r, 40) + (" vile awful nasty" if k % 4 == 0 else "") for k in range(600)] + [None, "", "vile awful nasty vile"]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0 and k % 8 != 4)) for k in range(0, 600, 2)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.toxicity(docs, labels).collect()}
+    held = {k for k in got if zlib.crc32(str(k).encode()) % 5 == 0}
+    assert {k for k, x in got.items() if x["held_out"]} == held and all(0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.5) for x in got.values())
+    right = [got[k]["predicted"] == (k % 4 == 0) for k in held if k < 600]
+    assert np.mean(right) > 0.95 and got[602]["predicted"] == 1
+    changed = labels.withColumn("toxic", F.when(remainder("doc_id", 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert {k: x["score"] for k, x in got.items()} == {x["doc_id"]: x["score"] for x in toxicity.toxicity(docs, changed).collect()}
+    left = toxicity.drop_toxic(docs, labels)
+    assert left.columns == docs.columns and left.where("doc_id = 602").count() == 0
+    assert max(x["score"] for x in toxicity.toxicity(docs, labels.limit(0)).collect()) < 1e-9 and toxicity.toxicity(empty(spark), labels).count() == 0
+
+
+def test_language(spark):
+    r = random.Random(12)
+    kinds = {"aa": "abcde", "bb": "vwxyz"}
+    rows = [(k, "".join(r.choice(kinds[("aa", "bb")[k % 2]] + " ") for _ in range(r.randint(20, 200))), ("aa", "bb")[k % 2]) for k in range(240)] + [(240, None, "aa"), (241, "123 !", "bb"), (242, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in langid.language(docs).collect()}
+    assert [got[k]["lang_pred"] for k in (240, 241, 242)] == ["und"] * 3
+    assert np.mean([got[k]["lang_pred"] == rows[k][2] for k in range(240) if got[k]["held_out"]]) > 0.95
+    assert {x["lang_pred"] for x in langid.language(docs.where("lang is null")).collect()} == {"und"} and langid.language(docs.limit(0)).count() == 0
+
+
+def test_gradients():
+    net = langid.Network(["a", "b"], 3, 1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, length = np.array([[1, 2, 3, 0], [4, 5, 0, 0]], np.uint8), np.array([4, 2])
+    loss, g = net.gradients(x, length, np.array([0, 1]))
+    for name, at in (("f_xg", (2, 1)), ("b_xn", (4, 0)), ("f_hg", (0, 4)), ("b_hn", (1, 2)), ("out", (2, 1)), ("bias", (0,))):
+        net.p[name][at] += 1e-3
+        up = net.gradients(x, length, np.array([0, 1]))[0]
+        net.p[name][at] -= 2e-3
+        down = net.gradients(x, length, np.array([0, 1]))[0]
+        net.p[name][at] += 1e-3
+        assert (up - down) / 2e-3 == pytest.approx(g[name][at], abs=2e-4), name
+
+
+def test_language_model(spark):
+    texts = corpus(7) + ["UPPER Upper upper"]
+    docs = frame(spark, texts)
+    got = {x["doc_id"]: x for x in brown.language_model(docs, brown.Brown(frequent=20, endings=8, classes=5, shard_mb=0.03)).collect()}
+    tokens = [[*(t or "").encode().lower().split(), None] for t in texts]
+    train = [zlib.crc32(str(k).encode()) % 5 != 1 for k in range(len(texts))]
+    count = collections.Counter(w for t, own in zip(tokens, train) if own for w in t)
+    n, v = sum(count.values()), len(count)
+    for k, t in enumerate(tokens):
+        x = got[k]
+        assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (not train[k], len(t), sum(count[w] > 0 for w in t), n)
+        assert x["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) and x["score"] < 0
+    assert brown.language_model(empty(spark)).count() == 0
+
+
+def test_exchange_gains_likelihood():
+    r = np.random.default_rng(0)
+    counts = np.zeros((12, 12))
+    for _ in range(4000):  # even units follow odd ones
+        a = r.integers(0, 12)
+        counts[a, r.choice([k for k in range(12) if k % 2 != a % 2])] += 1
+
+    def likelihood(own):
+        grid = np.zeros((2, 2))
+        np.add.at(grid, (own[:, None], own[None, :]), counts)
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return f(grid) - f(grid.sum(0)) - f(grid.sum(1))
+
+    own = brown.exchange(counts, 2, 10)
+    assert likelihood(own) >= likelihood(np.arange(12) % 2) - 1e-6 and len(set(own[::2])) == 1
+
+
+def test_model_is_a_distribution():
+    how = brown.Brown(frequent=3, endings=2, classes=2)
+    r = np.random.default_rng(1)
+    pairs = r.integers(0, 9, (6, 6)).astype(float)
+    words = np.array([1, 1, 1, 4, 2, 1.0])
+    m = brown.fit(np.array([1, 2, 3], np.uint64), pairs, words, int(pairs.sum()), int(words.sum()), how)
+    assert (10**m.follows).sum(axis=1) == pytest.approx(np.ones(2))
