@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.functions import chemistry as ch
+from massloom.functions.modifications import MODIFICATIONS as _MODS
 from massloom.functions.text import CODONS, trigrams
 from massloom.functions.tolerance import Tolerance, signed_ppm
 from massloom.operators import digest as dg
 from massloom.operators import fragments as fr
 from massloom.operators import generate, joins, ranking, spectra
+from massloom.operators import modifications as md
+from massloom.operators import statistics as stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -348,3 +351,118 @@ def multiple_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     names = _table(spark, sf_dir, "part").select(F.split("p_name", " ")[1].alias("noun"), _residues("p_name").alias("s")).distinct()
     return multiple_alignment(names.withColumn("key", F.col("s")), "noun", "key", "s")
+
+
+def _sql_modifications() -> str:
+    rows = ", ".join("('{}', {!r}::DOUBLE, '{}')".format(n.replace("'", "''"), ch.formula_mass(ch.parse_formula(f)), r) for _, n, f, r in _MODS)
+    return f"(VALUES {rows}) AS m(name, delta, residues)"
+
+
+@_query(f"""WITH t AS (SELECT p_partkey, substr('KMSTCRNQEY', CAST(p_partkey % 10 AS INTEGER) + 1, 1) AS residue, p_size * 1.9958 + 0.0001 * (p_partkey % 7) AS d FROM part),
+j AS (SELECT p_partkey, name, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(d - delta), name) AS k FROM t JOIN {_sql_modifications()} ON abs(d - delta) <= 0.3 AND contains(residues, residue))
+SELECT t.p_partkey, residue, name FROM t LEFT JOIN j ON t.p_partkey = j.p_partkey AND k = 1""")
+def modification_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letter = F.substring(F.lit("KMSTCRNQEY"), (F.col("p_partkey") % 10).cast("int") + 1, F.lit(1))
+    shifts = _table(spark, sf_dir, "part").select("p_partkey", letter.alias("residue"), (F.col("p_size") * 1.9958 + 0.0001 * (F.col("p_partkey") % 7)).alias("delta_mass"))
+    return md.replace_mass_shifts(shifts, md.modification_table(spark), Tolerance.absolute(0.3)).select("p_partkey", "residue", "name")
+
+
+def _sql_glycans() -> str:
+    hex_, nac = (repr(ch.formula_mass(ch.parse_formula(f))) for f in ("C6H10O5", "C8H13NO5"))
+    return f"""WITH t AS (SELECT DISTINCT p_size % 6 AS h, p_size % 4 AS n FROM part WHERE p_size % 6 > 0 AND p_size % 4 > 0),
+p AS (SELECT h, n, a, b FROM t, range(0, 6) AS x(a), range(0, 4) AS y(b) WHERE a <= h AND b <= n AND a + b > 0)
+SELECT 'Hex' || h || 'HexNAc' || n AS glycan, CASE WHEN a > 0 THEN 'Hex' || a ELSE '' END || CASE WHEN b > 0 THEN 'HexNAc' || b ELSE '' END AS part, ion,
+round(CASE ion WHEN 'B' THEN a * {hex_}::DOUBLE + b * {nac}::DOUBLE ELSE 1000.0 + (h - a) * {hex_}::DOUBLE + (n - b) * {nac}::DOUBLE END, 6) AS neutral FROM p, (VALUES ('B'), ('Y')) AS i(ion)"""
+
+
+@_query(_sql_glycans())
+def glycan_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, n = F.col("p_size") % 6, F.col("p_size") % 4
+    glycans = _table(spark, sf_dir, "part").where((h > 0) & (n > 0)).select(F.concat(F.lit("Hex"), h, F.lit("HexNAc"), n).alias("glycan")).distinct().withColumn("mass", F.lit(1000.0))
+    return md.glycan_fragments(glycans, peptide_mass="mass").select("glycan", "part", "ion", F.round("neutral", 6).alias("neutral"))
+
+
+@_query("""SELECT l_returnflag, l_linestatus, CAST(floor((l_extendedprice - 1000.0) / 250.0) AS BIGINT) AS bin, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem GROUP BY ALL""")
+def offset_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").withColumn("offset", F.col("l_extendedprice") - 1000.0)
+    halves = [stats.offset_histogram(rows.where(F.col("l_orderkey") % 2 == k), ["l_returnflag", "l_linestatus"], "offset", 250.0, "l_linenumber") for k in (0, 1)]
+    return stats.merge_histograms(halves, ["l_returnflag", "l_linestatus"])
+
+
+@_query("""WITH s AS (SELECT n_nationkey, count(*) AS n FROM nation GROUP BY 1), e AS (SELECT event_id, 'f' || user_id % 5 AS file, event_id % 3 AS k FROM events),
+p AS (SELECT o_orderkey, 'f' || o_orderkey % 5 AS file, CASE o_orderkey % 3 WHEN 0 THEN 'index' WHEN 1 THEN 'number' ELSE 'native' END AS kind, o_orderkey // 3 AS idx FROM orders)
+SELECT o_orderkey, event_id FROM p JOIN e ON p.file = e.file AND e.event_id = CASE kind WHEN 'number' THEN idx - 1 ELSE idx END""")
+def psm_spectrum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 3
+    idx = F.floor(key / 3).cast("long")
+    psms = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("f"), key % 5).alias("file"), F.when(kind == 0, "index").when(kind == 1, "number").otherwise("native").alias("kind"), idx.alias("idx"), F.concat(F.lit("scan="), idx).alias("native"))
+    events = _table(spark, sf_dir, "events").select(F.concat(F.lit("f"), F.col("user_id") % 5).alias("file"), F.col("event_id").alias("idx"), F.concat(F.lit("scan="), F.col("event_id")).alias("native"))
+    return joins.spectrum_join(psms, events).select("o_orderkey", F.col("spectrum_idx").alias("event_id"))
+
+
+@_query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s_name FROM lineitem LEFT JOIN (SELECT s_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) ON l_suppkey % 25 = s_nationkey AND k = 1""")
+def protein_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_suppkey") % 25).cast("int").alias("key"))
+    proteins = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), "s_suppkey", "s_name")
+    return joins.first_by_key(lines, proteins, "key", [F.col("s_suppkey")]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "s_name")
+
+
+@_query("""SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN CASE c_custkey % 3 WHEN 0 THEN 'swissprot' ELSE 'trembl' END ELSE 'undefined' END AS kind,
+CASE WHEN c_custkey % 3 < 2 THEN 'P' || c_custkey ELSE c_name END AS accession, CASE WHEN c_custkey % 3 < 2 THEN c_mktsegment END AS name, c_custkey % 5 = 0 AS decoy FROM customer""")
+def fasta_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.sources.sequences import identifier
+
+    key = F.col("c_custkey")
+    text = F.when(key % 3 < 2, F.concat_ws("|", F.when(key % 3 == 0, "sp").otherwise("TR"), F.concat(F.lit("P"), key), "c_mktsegment")).otherwise(F.col("c_name"))
+    full = F.concat(F.lit(">"), F.when(key % 5 == 0, "rev_").otherwise(""), text)
+    return _table(spark, sf_dir, "customer").select("c_custkey", identifier(full).alias("i")).select("c_custkey", "i.kind", "i.accession", "i.name", "i.decoy")
+
+
+@_query("""SELECT CAST(o_orderkey AS VARCHAR) AS scan, CASE WHEN o_orderkey % 2 = 0 THEN 'metamorpheus' ELSE 'sage' END AS format, CAST(o_custkey % 4 AS INTEGER) AS charge,
+greatest(-1.0, least(1.0, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS DOUBLE) / 100 ELSE CAST(o_custkey AS DOUBLE) END)) AS confidence FROM orders""")
+def format_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.sources.psm import FORMATS, common, union_formats
+
+    orders = _table(spark, sf_dir, "orders")
+    parts = []
+    for k, name in enumerate(("metamorpheus", "sage")):
+        own, version = FORMATS[name], FORMATS[name].versions[0]
+        texts = {"scan": F.col("o_orderkey"), "charge": F.col("o_custkey") % 4, "score": F.col("o_custkey"), "peptide": F.lit("PEPK")}
+        pairs = [x for c, h in version.headers.items() for x in (F.lit(h.lower()), texts.get(c, F.lit("")).cast("string"))]
+        rows = orders.where(F.col("o_orderkey") % 2 == k).select(F.create_map(*pairs).alias("values"), F.lit(None).cast("string").alias("error"))
+        parts.append(common(rows, own, version))
+    return union_formats(parts).select("scan", "format", "charge", "confidence")
+
+
+@_query(f"""SELECT p_partkey, z AS charge, round((p_retailprice + z * {ch.PROTON!r}::DOUBLE) / z, 6) AS mz FROM part, (VALUES (1), (2), (3)) AS c(z) WHERE z <= greatest(1, p_size // 10)""")
+def charge_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.col("p_size") / 10).cast("int"))).alias("top"))
+    return generate.charge_states(part, "p_retailprice", 1, F.col("top")).select("p_partkey", "charge", F.round("mz", 6).alias("mz"))
+
+
+@_query(f"""WITH s AS (SELECT doc_id, {_SQL_RESIDUES.format("text")} AS s FROM documents) SELECT doc_id, length(s) AS n, round({ch.sql_residue_sum("s")} + {ch.WATER!r}::DOUBLE, 3) AS mass FROM s""")
+def protein_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proteins = _table(spark, sf_dir, "documents").select("doc_id", _residues("text").alias("s"))
+    return proteins.select("doc_id", F.length("s").cast("long").alias("n"), F.round(ch.peptide_mass(F.col("s")), 3).alias("mass"))
+
+
+@_query("""SELECT a.n_regionkey AS region, a.n_nationkey AS a_key, b.n_nationkey AS b_key FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey > b.n_nationkey""")
+def triangular_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = _table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    return joins.triangular_pairs(nations, "n_nationkey", ["n_regionkey"]).select(F.col("a_n_regionkey").alias("region"), F.col("a_n_nationkey").alias("a_key"), F.col("b_n_nationkey").alias("b_key"))
+
+
+@_query(None)
+def csv_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as lines with quotes where needed and read back by the tokenizer."""
+    from massloom.sources.delimited import to_lines, tokenize
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[\n\r\"']", " ").alias("text"))
+    return to_lines(turns).withColumn("t", tokenize(F.col("value"), ",")).select("t.fields", "t.error")
+
+
+@_query(None)
+def alignment_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.operators.alignment import sequence_variance
+
+    return sequence_variance(multiple_align(spark, sf_dir), ["noun", "cluster"])
