@@ -43,7 +43,8 @@ def test_psm_formats(spark, tmp_path):
     with pytest.raises(ValueError):
         psm.detect(["x"], psm.BY_EXTENSION["tsv"])
     assert len(psm.FORMATS) == 20
-    stream = parsing.stream_psms(spark, str(tmp_path / "in"), "ssl", "1", ["file", "scan", "charge", "sequence", "score"]) if (tmp_path / "in").mkdir() is None else None
+    (tmp_path / "in").mkdir()
+    stream = parsing.stream_psms(spark, str(tmp_path / "in"), "ssl", "1", ["file", "scan", "charge", "sequence", "score"])
     (tmp_path / "in" / "a.ssl").write_text(p.read_text())
     w = stream.writeStream.format("memory").queryName("psm_stream").start()
     w.processAllAvailable()
@@ -139,7 +140,7 @@ def test_germlines(spark, tmp_path):
     feature = 'FT   V-REGION        1..9\nFT                   /IMGT_allele="IGHV1-2*01"\nFT                   /codon_start=1\n'
     p.write_text("ID   A1\nAC   A1;\nOS   Homo sapiens\n" + feature + 'FT   V-REGION        complement(1..6)\nFT                   /IMGT_allele="IGHV3*02"\nFT                   /pseudo\nFT   J-REGION        5..40\nFT                   /allele="IGHJ1*01"\nSQ   Sequence 12 BP;\n     atggcctaa ttt        12\n//\n')
     rows = germlines.read_germlines(spark, str(p)).collect()
-    assert [(r["sequence"], r["functional"], r["error"] is None) for r in rows] == [("MA*", True, True), ("GH", False, True), ("YD"[:0] + rows[2]["sequence"], True, False)]
+    assert [(r["sequence"], r["functional"], r["error"] is None) for r in rows] == [("MA*", True, True), ("GH", False, True), ("PN", True, False)]
     table = germlines.germline_table(germlines.read_germlines(spark, str(p)))
     assert [tuple(r) for r in table.collect()] == [("Homo sapiens", "H", "V", "1-2", 1, "MA*", "A1")]
     assert select_germlines(table, ["Homo sapiens"], ["H"], ["V"], "first").count() == 1 and select_germlines(table, genes=["J"]).count() == 0
@@ -172,7 +173,7 @@ def test_modification_operators(spark):
     rules = "array<struct<position:string,residues:array<string>>>"
     df = spark.createDataFrame([([("anywhere", ["K"]), ("any_n_term", [])], [("anywhere", ["K", "R"])], "A", 0), ([("any_n_term", ["Q"]), ("any_n_term", ["E"])], [("any_n_term", ["Q", "E"])], "E", 2)], f"r {rules}, w {rules}, aa string, i int")
     out = df.select(md.placed(F.col("r"), F.col("aa"), F.col("i"), F.lit(5)).alias("p"), md.rules_within(F.col("r"), F.col("w")).alias("s"), md.merge_rules(F.col("r")).alias("m")).collect()
-    assert [r["p"] for r in out] == [True, False] and [r["s"] for r in out] == [True, True] or [r["s"] for r in out] == [False, True]
+    assert [r["p"] for r in out] == [True, False] and [r["s"] for r in out] == [True, True]
     assert out[1]["m"][0]["residues"] == ["E", "Q"]
     errors = spark.sql("SELECT 100.0D o, array(100.1D, 99.99D) m").select(st.mass_error(F.col("o"), F.col("m"), False).alias("e"), st.flanking(F.lit("ABCDE"), F.lit(1), F.lit(2)).alias("f")).first()
     assert errors["e"] == pytest.approx(0.01) and tuple(errors["f"]) == ("A", "D")
