@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.llm.workspace import Workspace
+from massloom.llm.workspace import Workspace, small
 
 
 def components(work: Workspace, edges: DataFrame) -> DataFrame:
@@ -46,6 +46,7 @@ def link_in_buckets(
     kind: str = "long",
     grow: int = 30,
     most: int = 900,
+    most_buckets: int = 1_000_000,
 ) -> DataFrame:
     """Components of the links between ids that share a bucket, without writing out all pairs of a bucket.
 
@@ -58,14 +59,18 @@ def link_in_buckets(
     is done when its ids are all in one component. So each linked pair of a bucket ends in one component, as if
     all pairs had been compared, while a group of n near copies costs about n comparisons. Hubs per bucket
     grow `grow`-fold each round up to `most` (which Spark still picks before the shuffle), so that buckets of unlinked
-    ids end after few rounds.
+    ids end after few rounds. Up to `most_buckets` keys of larger buckets are broadcast (8 bytes each); more are joined by shuffle.
     """
-    several = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    active = members.join(several, "bucket")
+    several = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
+    several = work.save(several, "several")
+    # most such buckets have two ids, which are known then; only for larger ones are the members asked again
+    active = several.where("n = 2").select("bucket", F.explode(F.array("lo", "hi")).alias("id"))
+    active = active.unionAll(members.join(small(several.where("n > 2").select("bucket"), most_buckets), "bucket"))
     if traits is not None:
         active = active.join(traits, "id")
     carried = [c for c in active.columns if c not in ("bucket", "id")]
     active = work.save(active.withColumn("turn", F.xxhash64("id")), "active")
+    work.drop(several)
     label, hubs = None, 1
     while active.limit(1).count():
         own = active.withColumn("component", F.col("id"))
