@@ -190,13 +190,15 @@ def align_pairs(pairs: DataFrame, a: str = "a", b: str = "b", kind: str = "globa
     return pairs.withColumn("al_", run(a, b, F.col(kind_column) if kind_column else F.lit(kind))).select(*pairs.columns, "al_.*")
 
 
-def align_to_templates(queries: DataFrame, templates: DataFrame, kind: str = "either_global", templates_most: int = 100_000, **how: object) -> DataFrame:
+def align_to_templates(queries: DataFrame, templates: DataFrame, kind: str = "either_global", block: int = 100_000, **how: object) -> DataFrame:
     """Every query (query_id, query) against every template (template_id, template): a search of a stated query set
-    against all rows, so its cost is their product. Templates up to `templates_most` are broadcast."""
-    if templates.limit(templates_most + 1).count() > templates_most:
-        raise ValueError("cut the templates into blocks")
-    pairs = queries.join(F.broadcast(templates), F.length("query") >= 0)
-    return align_pairs(pairs, "query", "template", kind, **how)
+    against all rows, so its cost is their product. Templates are broadcast in blocks of about `block` rows."""
+    blocks, out = -(-templates.count() // block), None
+    for k in range(max(1, blocks)):
+        own = templates.where(F.pmod(F.xxhash64("template_id"), F.lit(blocks)) == k) if blocks > 1 else templates
+        pairs = align_pairs(queries.join(F.broadcast(own), F.length("query") >= 0), "query", "template", kind, **how)
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def distance(identical: str = "identical", mass_similar: str = "mass_similar", a: str = "a", b: str = "b") -> Column:

@@ -56,12 +56,15 @@ def digest(proteins: DataFrame, protease: Protease, missed: int = 1, lengths: tu
     """The columns of proteins but the sequence, with peptide, first_piece (from 0) and missed of each peptide."""
     keep = [c for c in proteins.columns if c != sequence]
     cut = proteins.select(*keep, pieces(F.col(sequence), protease).alias("pieces_"))
-    at = F.posexplode(F.col("pieces_"))
-    spread = cut.select(*keep, "pieces_", at.alias("first_piece", "piece_"))
-    more = F.transform(F.sequence(F.lit(0), F.least(F.lit(missed), F.size("pieces_") - 1 - F.col("first_piece"))), lambda m: F.struct(m.cast("int").alias("missed"), F.array_join(F.slice("pieces_", F.col("first_piece") + 1, m + 1), "").alias("peptide")))
-    # no more pieces than a peptide can hold are looked at, so long proteins stay cheap
-    out = spread.select(*keep, "first_piece", F.explode(more).alias("p_")).select(*keep, "first_piece", "p_.missed", "p_.peptide")
-    return out.where(F.length("peptide").between(*lengths))
+    n = F.size("pieces_")
+
+    def from_piece(k: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.least(F.lit(missed), n - 1 - k)), lambda m: F.struct(k.alias("first_piece"), m.cast("int").alias("missed"), F.array_join(F.slice("pieces_", k + 1, m + 1), "").alias("peptide")))
+
+    # all peptides of a protein are put together in its row; only they are exploded, so no row carries the pieces along
+    peptides = F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_piece)))
+    inside = F.filter(peptides, lambda p: F.length(p["peptide"]).between(*lengths))
+    return cut.select(*keep, F.explode(inside).alias("p_")).select(*keep, "p_.first_piece", "p_.missed", "p_.peptide")
 
 
 def sub_sequence(sequence: Column, start: Column, end: Column) -> Column:
