@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.functions.chemistry import ELEMENTS, MONO, PROTON, WATER
+from massloom.functions.chemistry import ELEMENTS, FORMULA, MONO, PROTON, WATER, formula_mass, parse_formula
 
 _H, _C, _N, _O = (ELEMENTS[e] for e in "HCNO")
 
@@ -108,3 +108,46 @@ def label(ion: str = "ion", index: str = "index", loss: str = "loss", charge: st
     """Such as b3-H2O^2."""
     z = F.when(F.col(charge) > 1, F.concat(F.lit("^"), F.col(charge).cast("string"))).otherwise("")
     return F.concat(F.col(ion), F.when(F.col(ion) == "precursor", "").otherwise(F.col(index).cast("string")), F.col(loss), z)
+
+
+def side_chain_losses() -> dict[str, list[float]]:
+    """Mass of what a side chain loses behind its beta carbon, by residue: all but CH2, or one branch of a branched one.
+
+    Residues without such a part, aromatic ones and proline have none.
+    """
+
+    def mass(text: str) -> float:
+        return formula_mass(parse_formula(text))
+
+    backbone = mass("C2H2NO") + mass("CH2")
+    out = {aa: [formula_mass(parse_formula(FORMULA[aa])) - backbone] for aa in "RNDCQEKMLS"}
+    return out | {"V": [mass("CH3")], "I": [mass("CH3"), mass("C2H5")], "T": [mass("OH"), mass("CH3")]}
+
+
+def satellite_fragments(peptides: DataFrame, key: list[str], sequence: str = "peptide", charges: tuple[int, ...] = (1,)) -> DataFrame:
+    """key, ion (d: a + H less a side-chain part of its last residue; w: z + H less one of its first), index, loss (which part, from 0), charge, mz."""
+    masses = F.create_map(*(F.lit(x) for kv in MONO.items() for x in kv))
+    lost = F.create_map(*(x for aa, m in side_chain_losses().items() for x in (F.lit(aa), F.array(*map(F.lit, m)))))
+    own = peptides.where(F.length(sequence) > 1).select(*key, F.length(sequence).alias("n_"), F.posexplode(F.filter(F.split(sequence, ""), lambda x: x != "")).alias("at_", "aa_"))
+    upto = Window.partitionBy(*key).orderBy("at_")
+    own = own.withColumn("m_", F.element_at(masses, F.col("aa_"))).withColumn("before_", F.sum("m_").over(upto)).withColumn("total_", F.sum("m_").over(Window.partitionBy(*key)))
+    own = own.select("*", F.posexplode(F.element_at(lost, F.col("aa_"))).alias("loss", "lost_"))
+    d = own.where("at_ < n_ - 1").select(*key, F.lit("d").alias("ion"), (F.col("at_") + 1).alias("index"), "loss", (F.col("before_") + N_TERMINAL["a"] + _H - F.col("lost_")).alias("neutral"))
+    w = own.where("at_ > 0").select(*key, F.lit("w").alias("ion"), (F.col("n_") - F.col("at_")).alias("index"), "loss", (F.col("total_") - F.col("before_") + F.col("m_") + C_TERMINAL["z"] + _H - F.col("lost_")).alias("neutral"))
+    out = d.unionAll(w).withColumn("charge", F.explode(F.array(*(F.lit(z) for z in charges))))
+    return out.withColumn("mz", (F.col("neutral") + F.col("charge") * F.lit(PROTON)) / F.col("charge")).drop("neutral")
+
+
+def with_losses(fragments_: DataFrame, losses: dict[str, float]) -> DataFrame:
+    """fragments (neutral, loss, charge) and each of them less every given neutral loss that leaves a positive mass."""
+    kinds = F.array(F.struct(F.lit("").alias("name"), F.lit(0.0).alias("m")), *(F.struct(F.lit(n).alias("name"), F.lit(m).alias("m")) for n, m in losses.items()))
+    out = fragments_.withColumn("k_", F.explode(kinds)).withColumn("neutral", F.col("neutral") - F.col("k_.m")).withColumn("loss", F.concat("loss", "k_.name")).drop("k_").where("neutral > 0")
+    return out.withColumn("mz", (F.col("neutral") + F.col("charge") * F.lit(PROTON)) / F.col("charge"))
+
+
+def cleaved_linkers(links: DataFrame, stubs: list[tuple[float, float]]) -> DataFrame:
+    """links (mass_a, mass_b: neutral chains without the linker) and, for each way the linker breaks into two stubs, `neutral_a` and `neutral_b`; both ways round."""
+    ways = sorted({w for a, b in stubs for w in ((a, b), (b, a))})
+    kinds = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ways))
+    out = links.withColumn("s_", F.explode(kinds))
+    return out.withColumn("neutral_a", F.col("mass_a") + F.col("s_.a")).withColumn("neutral_b", F.col("mass_b") + F.col("s_.b")).drop("s_")

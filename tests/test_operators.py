@@ -110,3 +110,17 @@ def test_alignment_frames(spark):
     assert len(own) == 3 and all(r["normalised"] == 1.0 for r in own)
     rows = al.multiple(["ANGARS", "AGGQRS", "ANGARK"])
     assert len({len(x) for _, x in rows}) == 1 and [x.replace("-", "") for _, x in rows] == ["ANGARS", "AGGQRS", "ANGARK"]
+
+
+def test_satellites_losses_and_linkers(spark):
+    df = spark.createDataFrame([("GLI",)], "peptide string")
+    got = {(r["ion"], r["index"], r["loss"]): r["mz"] for r in fr.satellite_fragments(df, ["peptide"]).collect()}
+    ladder = {(r["ion"], r["index"]): r["mz"] for r in fr.fragments(df, fr.FragmentModel((fr.Series("a"), fr.Series("z"))), ["peptide"]).collect()}
+    h = ch.ELEMENTS["H"]
+    assert set(got) == {("d", 2, 0), ("w", 2, 0), ("w", 1, 0), ("w", 1, 1)}
+    assert got["d", 2, 0] == pytest.approx(ladder["a", 2] + h - 43.0547752, abs=1e-5) and got["w", 1, 0] == pytest.approx(ladder["z", 1] + h - 15.0234751, abs=1e-5)
+    b = fr.fragments(df, fr.FragmentModel((fr.Series("b"),)), ["peptide"])
+    more = fr.with_losses(b, {"-X": 50.0, "-Y": 1e6})
+    assert {(r["index"], r["loss"]) for r in more.collect()} == {(1, ""), (2, ""), (1, "-X"), (2, "-X")}
+    halves = fr.cleaved_linkers(spark.createDataFrame([(100.0, 200.0)], "mass_a double, mass_b double"), [(54.0, 86.0)])
+    assert {(r["neutral_a"], r["neutral_b"]) for r in halves.collect()} == {(154.0, 286.0), (186.0, 254.0)}
