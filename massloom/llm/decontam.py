@@ -8,7 +8,8 @@ What is left is confirmed on all words of the documents themselves.
 
 Words are runs of ASCII letters, digits and any non-ASCII characters, after lower-casing A-Z. Null and empty
 texts have no words and no hits; items without a word have no windows. A null doc_id gets a row like
-any other (such rows share one postings key; each is confirmed on its own words), and so do repeated rows.
+any other (such rows share one postings key; each is confirmed on its own words, their items are listed together), and so do
+repeated rows.
 Further columns of either table are ignored.
 """
 
@@ -23,6 +24,8 @@ _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # between words, upper case
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Tables of terms up to this many rows are broadcast (about 100 bytes a row); larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Up to this many places that are to be confirmed go to the documents by broadcast (24 bytes each); more meet them by shuffle.
+BROADCAST_PLACES = 1_000_000
 #: The postings key of rows without an id.
 _NO_ID = -(1 << 63)
 
@@ -90,10 +93,12 @@ def _hits(work: Workspace, docs: DataFrame, items: DataFrame, size: int) -> tupl
     """doc (the whole row), n_words, n_hit, wids: of every row of docs."""
     keyed = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"))
     index = Index(work, _keyed(docs), items, size)
-    places = index.candidates().groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "length", "wid"))).alias("places"))
+    met = work.save(index.candidates(), "candidates")
+    places = met.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "length", "wid"))).alias("places"))
     places = work.save(places, "places")
+    few = met.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
     work.keep(index.windows, places)
-    joined = keyed.join(places, "k", "left")
+    joined = keyed.join(F.broadcast(places) if few else places, "k", "left")
     joined = joined.select("doc", _words(F.col("doc.text")).alias("words"), "places")
 
     def there(p: Column) -> Column:
