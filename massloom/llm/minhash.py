@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
         members, traits = members.dropDuplicates(["bucket", "id"]), traits.dropDuplicates(["id"])
     label = link_in_buckets(work, members, traits, possible, links)
     joined = node.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     out = joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
     out = work.save(out, "result")
     work.keep(out)
