@@ -83,6 +83,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from massloom.llm import sql
     from massloom.llm.licenses import license_sql
 
-    return {"op7_license_digests": license_sql()}
+    return {
+        "op1_minhash_near_dedup": sql.NEAR_DUPLICATES,
+        "op4_substring_automata": sql.SUBSTRINGS,
+        "op7_license_digests": license_sql(),
+        "op10_decontaminate_index": sql.CONTAMINATION,
+    }
