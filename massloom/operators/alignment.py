@@ -309,3 +309,8 @@ def sequence_variance(aligned: DataFrame, group: list[str]) -> DataFrame:
     """group, column (from 0), residue, n: what stands in each column of aligned rows."""
     letters = aligned.select(*group, F.posexplode(F.split("aligned", "")).alias("column", "residue"))
     return letters.where("residue <> ''").groupBy(*group, "column", "residue").agg(F.count("*").alias("n"))
+
+
+def combine(a: list[str], b: list[str], scoring: Scoring = Scoring(), steps: int = 4) -> list[str]:
+    """The rows of two multiple alignments as one."""
+    return merge_columns(a, b, scoring, steps)

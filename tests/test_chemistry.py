@@ -77,3 +77,15 @@ def test_isotopes_and_pi(spark):
     mass = ch.MONO["A"] + ch.MONO["G"] + ch.WATER
     sets = generate.isobaric_sets(spark.createDataFrame([(mass,)], "m double"), "m", Tolerance.ppm(10))
     assert sorted(r["residues"] for r in sets.collect()) == ["GA", "Q"]
+
+
+def test_residue_classes(spark):
+    from massloom.functions import residues
+
+    table = {r["aa"]: r for r in residues.class_table(spark).collect()}
+    assert len(table) == 26 and (table["K"]["charge"], table["W"]["hydrogen_bond"], table["G"]["volume"], table["X"]["polarity"]) == ("positive", "donor", "very_small", "unknown")
+    assert all(sum(aa in own for own in kind.values()) == 1 for kind in residues.CLASSES.values() for aa in ch.STANDARD)
+    pairs = spark.createDataFrame([("A", "A"), ("X", "K"), ("J", "L"), ("D", "B"), ("Z", "N"), ("I", "L")], "a string, b string")
+    assert [r[0] for r in pairs.select(residues.same_residue(F.col("a"), F.col("b"))).collect()] == [True, True, True, True, False, False]
+    d = spark.sql("SELECT array(100.0D, 200.0D) a, array(150.0D, 200.5D) b").select(residues.mass_difference(F.col("a"), F.col("b")).alias("d")).first()["d"]
+    assert d == pytest.approx(0.5)
