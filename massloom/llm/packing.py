@@ -38,7 +38,7 @@ class Slots:
 
     def __init__(self, bits: int):
         self.mask = U64((1 << bits) - 1)
-        self.keys, self.values = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int64)
+        self.keys, self.values = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The entry of each key, -1 for unknown ones; keys are not 0."""
@@ -70,13 +70,17 @@ class CachedEncoder:
     the chunks not met since the last such moment are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
         self.bits = int(2 * most).bit_length()
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tok.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all chunks: a task leaves no memory behind in its worker, which others use after it."""
         self.slots, self.n, self.used = Slots(self.bits), 0, 0
         self.keys, self.first, self.count = np.zeros(1 << 16, U64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.met, self.pool = np.zeros(1 << 16, bool), np.zeros(1 << 18, np.uint32)
@@ -183,6 +187,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0,
             if with_ids:
                 cols, names = [*cols, pa.array(out["ids"], pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
+        enc.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids

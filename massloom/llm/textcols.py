@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +64,13 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf, bounds - lo
 
 
+def _trim() -> None:
+    """Give freed memory back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text; a longer text is a batch by itself."""
     for batch in batches:
@@ -73,6 +82,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    _trim()
 
 
 class Words:
