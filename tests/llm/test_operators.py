@@ -276,6 +276,16 @@ def _distance(a, b):
     return row[-1]
 
 
+def test_edit_distances():
+    r = random.Random(3)
+    for _ in range(300):
+        a = "".join(r.choice("abc é") for _ in range(r.randint(0, 40)))
+        b = a if r.random() < 0.2 else "".join(c for c in a if r.random() > 0.1) + r.choice(["", "x", "abc"])
+        b = b[::-1] if r.random() < 0.2 else b
+        d = _distance(a, b)
+        assert [lines.within(a, b, k) for k in (d - 1, d, d + 1)] == [d == 0 and False, True, True]
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN["MIT"]
     texts = [mit, "Copyright 2020 A\n" + mit.upper().replace(",", " , "), "// " + mit.replace("\n", "\n// ").replace("license", "licence"), mit + " more", None, "", "!!!", "Released under the MIT Licence"]
