@@ -266,6 +266,21 @@ def test_lines(spark):
     assert lines.simhashes(many, np.array([0]), np.array([40_000])).tolist() == [5]
 
 
+def test_lines_of_which_words_changed(spark):
+    """Pairs by edit similarity alone, with no SimHash in what is expected."""
+    r = random.Random(12)
+    texts = []
+    for k in range(150):
+        words = _text(r, r.randint(8, 60)).split(" ")
+        other = list(words)
+        for at in r.sample(range(len(words)), max(1, len(words) // 12)):
+            other[at] = "".join(r.choice("abcdefghik") for _ in other[at])
+        texts += [" ".join(words), " ".join(other)]
+    assert all(_distance(a, b) * 5 <= max(len(a), len(b)) for a, b in zip(texts[::2], texts[1::2]))
+    got = {x["doc_id"]: x["n_removed"] for x in lines.line_report(frame(spark, texts)).collect()}
+    assert sum(got[k] for k in range(1, len(texts), 2)) >= 0.97 * 150 and sum(got[k] for k in range(0, len(texts), 2)) == 0
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
