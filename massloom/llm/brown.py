@@ -2,7 +2,9 @@
 
 Tokens are lower-cased words and one end per text. Every training word belongs to a unit: the most frequent words are
 units of their own, the others share one by their last bytes and length, the end is one too. Exchange clustering puts units
-into classes: each unit in turn moves to the class that gains most likelihood of the class bigrams. A token's probability is
+into classes: each unit in turn moves to the class that gains most likelihood of the class bigrams. Then every other training
+word is clustered by itself: all at once, each moves to the class that gains most by its own neighbours' classes, to which `prior` neighbours
+of its ending are added. The class bigrams are counted anew after that; words without a training text keep their ending's class. A token's probability is
 P(class | previous token's class) * P(word | class); the first smoothed by the classes' own shares, the second by half a
 count, with half a count for unseen words. A text begins after an end.
 
@@ -173,10 +175,95 @@ def fit(frequent: np.ndarray, pairs: np.ndarray, unit_words: np.ndarray, total:
     own = exchange(pairs, how.classes, how.sweeps)
     grid = np.zeros((how.classes, how.classes))
     np.add.at(grid, (own[:, None], own[None, :]), pairs)
+    return of_grid(frequent, own, grid, np.bincount(own, unit_words, minlength=how.classes), total, vocabulary, how)
+
+
+def of_grid(frequent: np.ndarray, own: np.ndarray, grid: np.ndarray, words: np.ndarray, total: int, vocabulary: int, how: Brown) -> Model:
+    """grid: how often class j follows class i; words: the number of training words in each class."""
     count = grid.sum(axis=0)
     share = (count + 1) / (count.sum() + how.classes)
     follows = np.log10((grid + how.prior * share) / (grid.sum(axis=1) + how.prior)[:, None])
-    return Model(frequent, own, follows, count, np.bincount(own, unit_words, minlength=how.classes), total, vocabulary)
+    return Model(frequent, own, follows, count, words, total, vocabulary)
+
+
+def _neighbours(docs: DataFrame, model: Model, how: Brown) -> DataFrame:
+    """word, ending, at, n: how often each class stands before (at < classes) or after each word; of training texts, a row per word and shard."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: pa.Table) -> pa.Table:
+        m, total = sent.value, None
+        for b in chunks(iter(texts.to_batches())):
+            t = Tokens(b.column("text"), how)
+            own = m.classes[units(t.hashes, t.endings, m.frequent, how)]
+            k = np.flatnonzero(t.hashes != END)  # an end stands before and after every text
+            before = np.where(np.isin(k, t.rows[:-1]), m.classes[how.units - 1], own[k - 1])
+            rare = ~np.isin(t.hashes[k], m.frequent)
+            k, before = k[rare], before[rare]
+            new = pa.table({"word": np.tile(t.hashes[k].view(np.int64), 2), "ending": np.tile(t.endings[k].astype(np.int32), 2), "at": np.concatenate((before, how.classes + own[k + 1])).astype(np.int32), "n": np.ones(2 * len(k), np.int64)})
+            total = new if total is None else pa.concat_tables([total, new])
+            if total.num_rows > 1 << 20:
+                total = summed(total)
+        return summed(total)
+
+    def summed(t: pa.Table) -> pa.Table:
+        return t.group_by(["word", "ending", "at"]).aggregate([("n", "sum")]).rename_columns(["word", "ending", "at", "n"])
+
+    return docs.where("train").groupBy("shard").applyInArrow(run, "word long, ending int, at int, n long")
+
+
+def gains(grid: np.ndarray, prior: float) -> np.ndarray:
+    """What one neighbour (2 * classes rows: classes before, then after) adds to the likelihood of a word's being in each class."""
+    g = grid + prior * (grid.sum(axis=1, keepdims=True) + 1) * (grid.sum(axis=0) + 1) / (grid.sum() + len(grid)) / (grid.sum() + len(grid))
+    # a word has as many neighbours before as after: those carry the columns' totals, these the rows'
+    return np.concatenate((np.log(g) - np.log(g.sum(axis=0)), (np.log(g) - np.log(g.sum(axis=1))[:, None]).T))
+
+
+def _word_classes(near: DataFrame, grid: np.ndarray, of_endings: np.ndarray, how: Brown) -> DataFrame:
+    """word, cls of every word in near; of_endings: the neighbours that each ending adds."""
+    sent = near.sparkSession.sparkContext.broadcast((gains(grid, how.prior), of_endings))
+
+    def run(rows: pa.Table) -> pa.Table:
+        gain, added = sent.value
+        word, at, inverse = np.unique(rows.column("word").to_numpy(), return_index=True, return_inverse=True)
+        column, n, ending = (rows.column(c).to_numpy() for c in ("at", "n", "ending"))
+        order = np.argsort(inverse, kind="stable")
+        ascending = inverse[order]
+        value = np.empty((len(word), how.classes), np.float32)
+        step = 1 << 14
+        for k in range(0, len(word), step):  # rows of a block of words
+            a, b = np.searchsorted(ascending, (k, min(k + step, len(word))))
+            mine, size = order[a:b], min(step, len(word) - k)
+            have = np.bincount((inverse[mine] - k) * 2 * how.classes + column[mine], n[mine], minlength=size * 2 * how.classes)
+            value[k : k + size] = (have.reshape(size, -1) + added[ending[at[k : k + size]]]) @ gain
+        return pa.table({"word": word, "cls": value.argmax(axis=1).astype(np.int32)})
+
+    return near.groupBy("part").applyInArrow(run, "word long, cls int")
+
+
+def _class_of(t: Tokens, word: np.ndarray, cls: np.ndarray, m: Model, how: Brown) -> np.ndarray:
+    """word: sorted; cls: -1 for words that have their unit's class."""
+    own = cls[np.searchsorted(word, t.hashes)]
+    return np.where(own >= 0, own, m.classes[units(t.hashes, t.endings, m.frequent, how)])
+
+
+def _class_pairs(docs: DataFrame, counts: DataFrame, model: Model, how: Brown) -> DataFrame:
+    """pair (previous class * classes + class), n: of the training texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        m, total = sent.value, np.zeros(how.classes**2, np.int64)
+        word, cls = known.column("word").to_numpy().view(U64), known.column("cls").to_numpy()
+        order = np.argsort(word)
+        for b in chunks(iter(texts.to_batches())):
+            t = Tokens(b.column("text"), how)
+            own = _class_of(t, word[order], cls[order], m, how)
+            before = np.empty_like(own)
+            before[1:] = own[:-1]
+            before[t.rows[:-1]] = m.classes[how.units - 1]
+            total += np.bincount(before * how.classes + own, minlength=len(total))
+        return pa.table({"pair": np.arange(len(total)).astype(np.int32), "n": total})
+
+    return docs.where("train").groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(run, "pair int, n long")
 
 
 def _score(docs: DataFrame, counts: DataFrame, model: Model, how: Brown) -> DataFrame:
@@ -186,13 +273,13 @@ def _score(docs: DataFrame, counts: DataFrame, model: Model, how: Brown) -> Data
         m = sent.value
         word, c = known.column("word").to_numpy().view(U64), known.column("c").to_numpy()
         order = np.argsort(word)
-        word, c = word[order], c[order]
+        word, c, cls = word[order], c[order], known.column("cls").to_numpy()[order]
         out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for b in chunks(iter(texts.to_batches())):
             t = Tokens(b.column("text"), how)
             n = c[np.searchsorted(word, t.hashes)]
             base = np.log10((n + 0.5) / (m.total + 0.5 * (m.vocabulary + 1)))
-            own = m.classes[units(t.hashes, t.endings, m.frequent, how)]
+            own = _class_of(t, word, cls, m, how)
             before = np.empty_like(own)
             before[1:] = own[:-1]
             before[t.rows[:-1]] = m.classes[how.units - 1]
@@ -231,5 +318,25 @@ def language_model(docs: DataFrame, how: Brown = Brown()) -> DataFrame:
     for r in _pairs(docs, frequent, how).groupBy("pair").agg(F.sum("n").alias("n")).toArrow().to_batches():  # at most units ** 2 rows
         pairs[r.column("pair").to_numpy()] = r.column("n").to_numpy()
     model = fit(frequent, pairs.reshape(how.units, how.units), unit_words, total, vocabulary, how)
-    scored = _score(docs, met.select("shard", "word", "c"), model, how)
+    if total:
+        pairs = pairs.reshape(how.units, how.units)
+        to_class = np.eye(how.classes)[model.classes]
+        endings = slice(how.frequent, how.frequent + how.endings)
+        of_endings = np.concatenate(((to_class.T @ pairs[:, endings]).T, pairs[endings] @ to_class), axis=1)
+        of_endings *= how.prior / np.maximum(of_endings.sum(axis=1, keepdims=True) / 2, 1)
+        parts = met.agg(F.max("shard")).first()[0] + 1
+        near = _neighbours(docs, model, how).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)))
+        chosen = work.save(_word_classes(near, to_class.T @ pairs @ to_class, of_endings, how), "classes")
+        classed = work.save(met.join(chosen, "word", "left").select("shard", "word", "c", "once", F.coalesce("cls", F.lit(-1)).alias("cls")), "classed")
+        work.drop(met)
+        words = np.bincount(model.classes[[*range(len(frequent)), how.units - 1]], minlength=how.classes).astype(float)
+        for r in classed.where("once and cls >= 0").groupBy("cls").count().collect():  # at most `classes` rows
+            words[r["cls"]] += r["count"]
+        grid = np.zeros(how.classes**2)
+        for r in _class_pairs(docs, classed.select("shard", "word", "cls"), model, how).groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most classes ** 2 rows
+            grid[r["pair"]] = r["n"]
+        model = of_grid(frequent, model.classes, grid.reshape(how.classes, -1), words, total, vocabulary, how)
+    else:
+        classed = met.withColumn("cls", F.lit(-1))
+    scored = _score(docs, classed.select("shard", "word", "c", "cls"), model, how)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -399,6 +399,19 @@ def test_language_model(spark):
     assert brown.language_model(empty(spark)).count() == 0
 
 
+def test_rare_words_are_classed_by_their_neighbours(spark):
+    r = random.Random(4)
+    name = lambda end: "".join(r.choice("bcdfgh") for _ in range(4)) + end
+    after_x = [name("aq") for _ in range(60)] + [name("oz") for _ in range(4)]  # a few end like the other kind
+    after_y = [name("oz") for _ in range(60)] + [name("aq") for _ in range(4)]
+    texts = [" ".join(f"xx {r.choice(after_x)} yy {r.choice(after_y)}" for _ in range(20)) for _ in range(300)]
+    asked = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5 == 1][:8]
+    for k, (right, wrong) in zip(asked[::2], zip(after_x[-4:], after_y[-4:])):
+        texts[k], texts[asked[asked.index(k) + 1]] = f"xx {right} yy", f"xx {wrong} yy"
+    got = {x["doc_id"]: x["score"] - x["base_score"] for x in brown.language_model(frame(spark, texts), brown.Brown(frequent=2, endings=8, classes=5)).collect()}
+    assert all(got[a] > got[b] for a, b in zip(asked[::2], asked[1::2]))
+
+
 def test_exchange_gains_likelihood():
     r = np.random.default_rng(0)
     counts = np.zeros((12, 12))
