@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.llm.workspace import Workspace, small
@@ -54,11 +54,12 @@ def link_in_buckets(
     traits: id and columns that `possible` reads; joined only to ids that share a bucket.
     possible: a cheap condition that every linked pair meets, given the prefixes of its two sides' columns.
     links: keeps those of the pairs (a, b) that are linked.
-    In each round the first few ids of a bucket, its hubs, are held against the bucket's other ids that are not
+    In each round some ids of a bucket, its hubs, are held against the bucket's other ids that are not
     known to be in the hub's component yet. A hub has then met everyone it needs to and leaves the bucket; a bucket
     is done when its ids are all in one component. So each linked pair of a bucket ends in one component, as if
-    all pairs had been compared, while a group of n near copies costs about n comparisons. Hubs per bucket
-    grow `grow`-fold each round up to `most` (which Spark still picks before the shuffle), so that buckets of unlinked
+    all pairs had been compared, while a group of n near copies costs about n comparisons. About `hubs` ids per bucket are
+    hubs: those whose hash lies below hubs / size of the bucket, so that no task has to sort a bucket, and always the least one. Their
+    number grows `grow`-fold each round up to `most`, so that buckets of unlinked
     ids end after few rounds. Up to `most_buckets` keys of larger buckets are broadcast (8 bytes each); more are joined by shuffle.
     """
     several = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
@@ -77,9 +78,10 @@ def link_in_buckets(
         if label is not None:
             own = active.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
             own = work.save(own, "own")
-        apart = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = own if label is None else work.save(own.join(apart, "bucket"), "open")
-        first = open_.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "id"))).where(F.col("k") <= hubs)
+        state = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many"), F.min("turn").alias("least")).where("lo <> hi")
+        open_ = work.save(own.join(state.select("bucket", "many", "least"), "bucket"), "open")
+        share = F.col("turn") / F.lit(2.0**64) + 0.5  # of the ids, those before this one
+        first = open_.where((share * F.col("many") < hubs) | (F.col("turn") == F.col("least")))
         first = work.save(first.select("bucket", *(F.col(c).alias(f"hub_{c}") for c in ("id", "turn", "component", *carried))), "hubs")
         on = (open_["bucket"] == first["bucket"]) & (F.col("component") != F.col("hub_component")) & ((F.col("turn") > F.col("hub_turn")) | ((F.col("turn") == F.col("hub_turn")) & (F.col("id") > F.col("hub_id"))))
         pairs = open_.join(first, on & possible("", "hub_")).select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b"))

@@ -148,12 +148,3 @@ def ngrams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np
     first = np.arange(bounds[-1]) + np.repeat(rows[:-1] - bounds[:-1], per_row)
     return mix((total[first + n] - total[first]) * powers(_ROLL_INV, len(hashes))[first]), bounds
 
-
-def byte_grams(buf: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every run of n bytes (A-Z as a-z) that lies in one row, and the bounds of the rows (shorter rows: none)."""
-    per_row = np.maximum(np.diff(rows) - n + 1, 0)
-    bounds = np.concatenate(([0], np.cumsum(per_row)))
-    total = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_LOWER_CODES[buf] * powers(_BASE, len(buf)), out=total[1:])
-    first = np.arange(bounds[-1]) + np.repeat(rows[:-1] - bounds[:-1], per_row)
-    return mix((total[first + n] - total[first]) * powers(_BASE_INV, len(buf))[first]), bounds
