@@ -3,25 +3,28 @@
 A window is `window` consecutive words of a document. Every window names one phrase of `phrase` words in it, the one of
 smallest hash (the leftmost of equal ones), so equal windows name equal phrases; only about one phrase in twenty is ever named. Phrases
 named in two documents or more are exchanged first; then the windows that name such a phrase, one
-row per window and shard of documents, which confirms the windows that recur and the smallest document each starts in. For
-every shard an Aho-Corasick automaton of its recurring phrases (pyahocorasick, on word numbers) streams the shard's
-documents and finds every occurrence; the windows around an occurrence that are confirmed, and start in a
-smaller document too, are cut.
+row per window and shard of documents, which gives the windows that recur and the smallest document each starts in. So far all is hashes, and only proposes:
+the words under a document's recurring windows are passages, which go, as words, to the shards whose documents have them too.
+For every shard an Aho-Corasick automaton (pyahocorasick) of its passages, cut into chunks of half a window, streams the words of all of the shard's
+documents. Wherever a window of a passage stands in a document, a whole chunk of it does, so every occurrence is found; it is then
+followed word by word to both sides, and runs of `window` words or more that a smaller document has are cut. Only
+words found by the automaton and compared as words decide.
 
 Words are runs of bytes other than ASCII white space. Null texts have no words. Documents without an id are compared with
 nothing and keep all words; rows that repeat an id are one document and don't count as each other's copies. Every input row
-gives one row; further columns are ignored. Windows and phrases are compared by 64-bit hashes.
+gives one row, a very long text too (it is a shard's batch by itself); an empty table gives none; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress, repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massloom.llm.shards import shard_of
@@ -104,53 +107,79 @@ def _recurring(own: DataFrame, phrases: DataFrame, how: Phrases) -> DataFrame:
     return own.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(run, "shard long, window long, lo long, hi long")
 
 
-def covered(named: Named, k: int, doc: int, automaton: ahocorasick.Automaton | None, windows: np.ndarray, first: np.ndarray, how: Phrases) -> np.ndarray:
-    """Which words of text k are to go; windows (sorted) and first: the confirmed windows and the smallest document of each."""
-    lo, hi = named.words.rows[k], named.words.rows[k + 1]
-    gone = np.zeros(hi - lo, bool)
-    own = named.windows[named.window_rows[k] : named.window_rows[k + 1]]
-    if automaton is None or not len(own) or not len(windows):
-        return gone
-    numbers = tuple((named.hashes[lo:hi] & U64(0xFFFFFFFF)).tolist())
-    ends = np.fromiter((end for end, _ in automaton.iter(numbers)), np.int64)
-    if not len(ends):
+def _passages(docs: DataFrame, spans: DataFrame, how: Phrases) -> DataFrame:
+    """shard, doc, words: the stretches of each first document that its recurring windows (spans: first, shard, windows) cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            named, lists = Named(b.column("text"), how), b.column("windows")
+            buf, shards, ids, found = named.words.buf.tobytes(), [], [], []
+            for k, (shard, doc) in enumerate(zip(b.column("shard").to_pylist(), b.column("doc").to_pylist())):
+                own = named.windows[named.window_rows[k] : named.window_rows[k + 1]]
+                at = np.flatnonzero(np.isin(own, lists[k].values.to_numpy().view(U64)))
+                if not len(at):  # another row of the same id
+                    continue
+                apart = np.flatnonzero(np.diff(at) > how.window)
+                lo, hi = at[np.concatenate(([0], apart + 1))], at[np.append(apart, len(at) - 1)] + how.window - 1
+                lo, hi = named.words.start[named.words.rows[k] + lo], named.words.end[named.words.rows[k] + hi]
+                found += [buf[x:y].decode() for x, y in zip(lo.tolist(), hi.tolist())]
+                shards += [shard] * len(lo)
+                ids += [doc] * len(lo)
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["shard", "doc", "words"])
+
+    firsts = small(spans.select("first").distinct(), how.broadcast_ids)
+    own = docs.join(firsts, F.col("doc") == F.col("first"), "left_semi")
+    return own.join(spans, F.col("doc") == F.col("first")).select("doc", "text", "shard", "windows").mapInArrow(run, "shard long, doc long, words string")
+
+
+class Automaton:
+    """Of the passages of a shard: (document, words)."""
+
+    def __init__(self, passages: list[tuple[int, bytes]], how: Phrases):
+        self.how, self.chunk, self.number = how, (how.window + 1) // 2, {}
+        self.docs, self.words = [], []
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for k, (doc, words) in enumerate(passages):
+            numbers = [self.number.setdefault(w, len(self.number) + 1) for w in words.split()]
+            self.docs.append(doc)
+            self.words.append(np.array(numbers, np.int32))
+            for at in range(0, len(numbers) - self.chunk + 1, self.chunk):
+                places.setdefault(tuple(numbers[at : at + self.chunk]), []).append((k, at))
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, found in places.items():
+            self.machine.add_word(key, found)
+        if places:
+            self.machine.make_automaton()
+
+    def covered(self, words: list[bytes], doc: int) -> np.ndarray:
+        """Which of a document's words are to go."""
+        gone = np.zeros(len(words), bool)
+        if not len(self.machine) or len(words) < self.how.window:
+            return gone
+        numbers = tuple(map(self.number.get, words, repeat(0)))
+        own, seen = np.array(numbers, np.int32), set()
+        for end, places in self.machine.iter(numbers):
+            for k, at in places:
+                shift = end - self.chunk + 1 - at  # where the passage's first word would stand
+                if self.docs[k] >= doc or (k, shift) in seen:
+                    continue
+                seen.add((k, shift))
+                passage = self.words[k]
+                lo, hi = max(shift, 0), min(shift + len(passage), len(own))
+                same = np.zeros(hi - lo + 2, np.int8)
+                same[1:-1] = own[lo:hi] == passage[lo - shift : hi - shift]
+                edge = np.flatnonzero(np.diff(same))
+                for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    if y - x >= self.how.window:
+                        gone[lo + x : lo + y] = True
         return gone
-    # a window holds the phrase if it starts in the span up to the phrase's start
-    edge = np.zeros(len(numbers) + 2, np.int64)
-    start = ends - how.phrase + 1
-    np.add.at(edge, np.maximum(start - (named.span - 1), 0), 1)
-    np.add.at(edge, start + 1, -1)
-    near = np.flatnonzero(np.cumsum(edge)[: len(own)])
-    at = np.minimum(np.searchsorted(windows, own[near]), len(windows) - 1)
-    cut = near[(windows[at] == own[near]) & (first[at] < doc)]
-    edge[:] = 0
-    np.add.at(edge, cut, 1)
-    np.add.at(edge, cut + how.window, -1)
-    return np.cumsum(edge)[: len(gone)] > 0
-
-
-def automaton(words: list[tuple[int, ...]]) -> ahocorasick.Automaton | None:
-    """The automaton of sequences of word numbers."""
-    if not words:
-        return None
-    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for w in words:
-        out.add_word(w)
-    out.make_automaton()
-    return out
-
-
-def _kept(named: Named, k: int, gone: np.ndarray) -> bytes:
-    buf, (lo, hi) = named.words.buf.tobytes(), named.words.rows[k : k + 2]
-    start, end = named.words.start[lo:hi], named.words.end[lo:hi]
-    return b" ".join(buf[a:b] for a, b in zip(start[~gone].tolist(), end[~gone].tolist()))
 
 
 _OUT = "n_words long, n_removed long, kept string"
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """Of documents that lose nothing."""
+    """Of documents that are compared with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -161,42 +190,25 @@ def _whole(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc long, {_OUT}")
 
 
-def _cut(own: DataFrame, confirmed: DataFrame, phrases: DataFrame, how: Phrases) -> DataFrame:
-    """confirmed: shard, hash, first (null for phrases)."""
-    listed = confirmed.select("shard", F.col("window").alias("hash"), "first").unionAll(phrases.select("shard", F.col("phrase").alias("hash"), F.lit(None).cast("long").alias("first")))
+def _cut(docs: DataFrame, passages: DataFrame, how: Phrases) -> DataFrame:
+    """docs: doc, text, shard; passages: shard, doc, words."""
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        hashes, first = known.column("hash").to_numpy().view(U64), known.column("first")
-        is_phrase = first.is_null().to_numpy()
-        recurring = np.unique(hashes[is_phrase])
-        windows, first = hashes[~is_phrase], first.drop_null().to_numpy()
-        order = np.argsort(windows)
-        windows, first = windows[order], first[order]
-        wanted: dict[int, tuple[int, ...]] = {}
-        batches = list(chunks(iter(texts.to_batches())))
-        for b in batches:
-            named = Named(b.column("text"), how)
-            low = (named.hashes & U64(0xFFFFFFFF)).tolist()
-            for k in range(b.num_rows):
-                _, phrases, at = named.text(k)
-                at = np.unique(at)
-                for p, h in zip(at[np.isin(phrases[at], recurring)].tolist(), phrases[at][np.isin(phrases[at], recurring)].tolist()):
-                    if h not in wanted:
-                        lo = named.words.rows[k] + p
-                        wanted[h] = tuple(low[lo : lo + how.phrase])
-        machine = automaton(list(set(wanted.values())))
-        ids, n_words, n_removed, kept = [], [], [], []
-        for b in batches:
-            named, doc = Named(b.column("text"), how), b.column("doc").to_pylist()
-            for k in range(b.num_rows):
-                gone = covered(named, k, doc[k], machine, windows, first, how)
-                ids.append(doc[k])
-                n_words.append(len(gone))
+        machine = Automaton(list(zip(known.column("doc").to_pylist(), known.column("words").cast(pa.binary()).to_pylist())), how)
+        out = []
+        for b in chunks(iter(texts.to_batches())):
+            n_words, n_removed, kept = [], [], []
+            for doc, text in zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+                words = (text or b"").split()
+                gone = machine.covered(words, doc)
+                n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
-                kept.append(_kept(named, k, gone).decode())
-        return pa.table({"doc": pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+                kept.append(b" ".join(compress(words, (~gone).tolist()) if n_removed[-1] else words))
+            cols = [b.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            out.append(pa.RecordBatch.from_arrays(cols, ["doc", "n_words", "n_removed", "kept"]))
+        return pa.Table.from_batches(out, pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
-    return own.groupBy("shard").cogroup(listed.groupBy("shard")).applyInArrow(run, f"doc long, {_OUT}")
+    return docs.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(run, f"doc long, {_OUT}")
 
 
 def dedup_substrings(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
@@ -211,15 +223,20 @@ def dedup_substrings(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
     work.drop(every)
     ids = work.save(shared.select("doc").distinct(), "ids")
     of = shard_of(docs, "doc", how.shard_mb)
-    own = named.join(small(ids, how.broadcast_ids), "doc", "left_semi").withColumn("shard", of)
-    phrases = work.save(shared.select(of.alias("shard"), "phrase").distinct(), "by-shard")
-    work.keep(ids, phrases)
-    by_window = Window.partitionBy("window")  # at most one row per shard
-    met = _recurring(own, phrases, how).select("shard", "window", "hi", F.min("lo").over(by_window).alias("first"))
-    confirmed = met.where("first < hi").select("shard", "window", "first")
-    cut = _cut(own, confirmed, phrases, how)
-    rest = docs.where("doc is null").unionAll(named.join(small(ids, how.broadcast_ids), "doc", "left_anti"))
-    return _whole(rest).unionAll(cut).select(F.col("doc").alias("doc_id"), "n_words", "n_removed", "kept")
+    sharded = named.withColumn("shard", of)
+    own = sharded.join(small(ids, how.broadcast_ids), "doc", "left_semi")
+    phrases = shared.select(of.alias("shard"), "phrase").distinct()
+    met = work.save(_recurring(own, phrases, how), "windows")
+    work.drop(shared)
+    # summed before the exchange: a window that every shard has is no more rows in one task than there are tasks
+    first = met.groupBy("window").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("window", "first")
+    spans = met.join(first, "window").where("first < hi").groupBy("first", "shard").agg(F.collect_list("window").alias("windows"))
+    spans = work.save(spans, "spans")
+    work.drop(met, ids)
+    passages = work.save(_passages(named, spans, how), "passages")
+    work.keep(passages)
+    cut = _cut(sharded, passages, how)
+    return _whole(docs.where("doc is null")).unionAll(cut).select(F.col("doc").alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def removed_report(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
