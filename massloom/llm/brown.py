@@ -11,7 +11,7 @@ count, with half a count for unseen words. A text begins after an end.
 Counts cover every training text. Word counts are exchanged once per word and shard of documents, so that a shard
 gets the counts of its own words alone, however large the vocabulary; clustering sees a table of unit pairs, at most units ** 2.
 
-Null texts count as empty (one end token). Null ids are scored like others; their fold is that of the empty text. Repeated
+A text of any length is one batch of its shard. Null texts count as empty (one end token). Null ids are scored like others; their fold is that of the empty text. Repeated
 rows count as often as they occur; an empty table gives no rows; further columns are ignored. Without a training text the model
 knows nothing and base scores are 0.
 """
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massloom.llm.folds import remainder
@@ -187,28 +187,29 @@ def of_grid(frequent: np.ndarray, own: np.ndarray, grid: np.ndarray, words: np.n
 
 
 def _neighbours(docs: DataFrame, model: Model, how: Brown) -> DataFrame:
-    """word, ending, at, n: how often each class stands before (at < classes) or after each word; of training texts, a row per word and shard."""
+    """word, ending, at, n: how often (n) each class stands before (at < classes) or after each word; of training texts, a row per word and shard."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Table) -> pa.Table:
-        m, total = sent.value, None
+        m, found = sent.value, []
         for b in chunks(iter(texts.to_batches())):
             t = Tokens(b.column("text"), how)
-            own = m.classes[units(t.hashes, t.endings, m.frequent, how)]
-            k = np.flatnonzero(t.hashes != END)  # an end stands before and after every text
-            before = np.where(np.isin(k, t.rows[:-1]), m.classes[how.units - 1], own[k - 1])
-            rare = ~np.isin(t.hashes[k], m.frequent)
-            k, before = k[rare], before[rare]
-            new = pa.table({"word": np.tile(t.hashes[k].view(np.int64), 2), "ending": np.tile(t.endings[k].astype(np.int32), 2), "at": np.concatenate((before, how.classes + own[k + 1])).astype(np.int32), "n": np.ones(2 * len(k), np.int64)})
-            total = new if total is None else pa.concat_tables([total, new])
-            if total.num_rows > 1 << 20:
-                total = summed(total)
-        return summed(total)
-
-    def summed(t: pa.Table) -> pa.Table:
-        return t.group_by(["word", "ending", "at"]).aggregate([("n", "sum")]).rename_columns(["word", "ending", "at", "n"])
+            unit = units(t.hashes, t.endings, m.frequent, how)
+            own = m.classes[unit].astype(np.int64)
+            before = np.empty_like(own)
+            before[1:] = own[:-1]
+            before[t.rows[:-1]] = m.classes[how.units - 1]  # an end stands before and after every text
+            k = np.flatnonzero((unit >= how.frequent) & (unit < how.units - 1))
+            found.append((t.hashes[k], t.endings[k], before[k], how.classes + own[k + 1]))
+        hashes, endings, left, right = (np.concatenate(x) for x in zip(*found))
+        word, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        wide = 2 * how.classes
+        pair, n = np.unique(np.concatenate((inverse * wide + left, inverse * wide + right)), return_counts=True)
+        bounds = pa.array(np.searchsorted(pair, np.arange(len(word) + 1) * wide).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(kind))) for x, kind in ((pair % wide, np.int16), (n, np.int32))]
+        return pa.table({"word": word.view(np.int64), "ending": endings[first].astype(np.int32), "at": lists[0], "n": lists[1]})
 
-    return docs.where("train").groupBy("shard").applyInArrow(run, "word long, ending int, at int, n long")
+    return docs.where("train").groupBy("shard").applyInArrow(run, "word long, ending int, at array<smallint>, n array<int>")
 
 
 def gains(grid: np.ndarray, prior: float) -> np.ndarray:
@@ -225,7 +226,9 @@ def _word_classes(near: DataFrame, grid: np.ndarray, of_endings: np.ndarray, how
     def run(rows: pa.Table) -> pa.Table:
         gain, added = sent.value
         word, at, inverse = np.unique(rows.column("word").to_numpy(), return_index=True, return_inverse=True)
-        column, n, ending = (rows.column(c).to_numpy() for c in ("at", "n", "ending"))
+        ending, lists, many = rows.column("ending").to_numpy(), rows.column("at").combine_chunks(), rows.column("n").combine_chunks()
+        inverse = np.repeat(inverse, lists.value_lengths().to_numpy())
+        column, n = lists.flatten().to_numpy().astype(np.int64), many.flatten().to_numpy()
         order = np.argsort(inverse, kind="stable")
         ascending = inverse[order]
         value = np.empty((len(word), how.classes), np.float32)
@@ -300,9 +303,13 @@ def language_model(docs: DataFrame, how: Brown = Brown()) -> DataFrame:
     work = Workspace(docs.sparkSession, "brown")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (remainder("doc_id", how.folds) != how.held_out).alias("train"))
     docs = docs.withColumn("shard", shard_of(docs, "doc_id", how.shard_mb))
-    by_word = Window.partitionBy("word")  # at most one row per shard
-    met = _counts(docs, how).select("shard", "word", "ending", F.sum("n").over(by_word).alias("c"), (F.min("shard").over(by_word) == F.col("shard")).alias("once"))
-    met = work.save(met, "words")
+    met = work.save(_counts(docs, how), "counts")
+    # summed before the exchange and joined back, so that a word that every shard has does not meet in one task
+    totals = met.groupBy("word").agg(F.sum("n").alias("c"), F.min("shard").alias("least"))
+    counted = met.join(totals, "word").select("shard", "word", "ending", "c", (F.col("shard") == F.col("least")).alias("once"))
+    counted = work.save(counted, "words")
+    work.drop(met)
+    met = counted
     known = met.where("once and c > 0")
     per_ending = known.groupBy("ending").agg(F.count("*").alias("v"), F.sum("c").alias("c")).collect()  # at most endings + 1 rows
     total, vocabulary = sum(r["c"] for r in per_ending), sum(r["v"] for r in per_ending)
