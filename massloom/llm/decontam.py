@@ -7,9 +7,9 @@ start, so the two lists are intersected by an equi-join on (document, window, st
 What is left is confirmed on all words of the documents themselves.
 
 Words are runs of ASCII letters, digits and any non-ASCII characters, after lower-casing A-Z. Null and empty
-texts have no words and no hits; items without a word have no windows. A null doc_id gets a row like
-any other (such rows share one postings key; each is confirmed on its own words, their items are listed together), and so do
-repeated rows.
+texts have no words and no hits; items without a word have no windows. A posting names a row by a hash of its id and text, so rows
+that repeat an id or have none are rows by themselves: places are confirmed, and items listed, on each row's own words. A very long text is one
+row of postings like others. An empty table of documents gives none, an empty benchmark no hits.
 Further columns of either table are ignored.
 """
 
@@ -26,8 +26,6 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 200_000
 #: Up to this many places that are to be confirmed go to the documents by broadcast (24 bytes each); more meet them by shuffle.
 BROADCAST_PLACES = 1_000_000
-#: The postings key of rows without an id.
-_NO_ID = -(1 << 63)
 
 
 def _words(text: Column) -> Column:
@@ -74,24 +72,28 @@ class Index:
     def candidates(self, slop: int = 0) -> DataFrame:
         """k, wid, start (from 0), length: where the two rarest terms stand at their distance, or within slop of it."""
         keys = small(self.keys, BROADCAST_ROWS)
-        first = self.postings.join(keys.withColumnRenamed("term1", "term"), "term").select("k", "wid", "length", (F.col("pos") - F.col("place1")).alias("start"))
-        second = self.postings.join(keys.withColumnRenamed("term2", "term"), "term").select("k", "wid", (F.col("pos") - F.col("place2")).alias("start2"))
-        on = [first["k"] == second["k"], first["wid"] == second["wid"]]
-        if slop:
-            on.append(F.abs(first["start"] - second["start2"]) <= slop)
-        else:
-            on.append(first["start"] == second["start2"])
-        found = first.join(second, on).select(first["k"], first["wid"], "start", "length")
-        return (found if slop else found.where("start >= 0")).distinct()
+        lists = [self.postings.join(keys.withColumnRenamed(f"term{k}", "term"), "term").select("k", "wid", "length", (F.col("pos") - F.col(f"place{k}")).alias("start"), F.lit(k).alias("list")) for k in (1, 2)]
+        if not slop:  # what is on both lists, however often a row is repeated
+            met = lists[0].unionAll(lists[1]).where("start >= 0").groupBy("k", "wid", "length", "start").agg(F.bit_or("list").alias("lists"))
+            return met.where("lists = 3").drop("lists")
+        first, second = (x.drop("list").distinct() for x in lists)
+        second = second.select(F.col("k").alias("k2"), F.col("wid").alias("wid2"), F.col("start").alias("start2"))
+        near = (F.col("k") == F.col("k2")) & (F.col("wid") == F.col("wid2")) & (F.abs(F.col("start") - F.col("start2")) <= slop)
+        return first.join(second, near).select("k", "wid", "start", "length").distinct()
+
+
+def _key(doc_id: Column, text: Column) -> Column:
+    """Of a row of documents. Should two rows ever share it, each still confirms all places on its own words."""
+    return F.xxhash64(doc_id, text)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), "text")
+    return docs.select(_key(F.col("doc_id"), F.col("text")).alias("k"), "text")
 
 
 def _hits(work: Workspace, docs: DataFrame, items: DataFrame, size: int) -> tuple[Index, DataFrame]:
-    """doc (the whole row), n_words, n_hit, wids: of every row of docs."""
-    keyed = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"))
+    """k, doc (the whole row), n_words, n_hit, wids: of every row of docs."""
+    keyed = docs.select(F.struct("*").alias("doc"), _key(F.col("doc_id"), F.col("text")).alias("k"))
     index = Index(work, _keyed(docs), items, size)
     met = work.save(index.candidates(), "candidates")
     places = met.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "length", "wid"))).alias("places"))
@@ -99,12 +101,12 @@ def _hits(work: Workspace, docs: DataFrame, items: DataFrame, size: int) -> tupl
     few = met.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
     work.keep(index.windows, places)
     joined = keyed.join(F.broadcast(places) if few else places, "k", "left")
-    joined = joined.select("doc", _words(F.col("doc.text")).alias("words"), "places")
+    joined = joined.select("k", "doc", _words(F.col("doc.text")).alias("words"), "places")
 
     def there(p: Column) -> Column:
         return F.xxhash64(F.transform(F.slice("words", p["start"] + 1, p["length"]), _fold)) == p["wid"]
 
-    found = joined.select("doc", F.size("words").cast("long").alias("n_words"), F.when(F.col("places").isNotNull(), F.filter("places", there)).alias("found"))
+    found = joined.select("k", "doc", F.size("words").cast("long").alias("n_words"), F.when(F.col("places").isNotNull(), F.filter("places", there)).alias("found"))
     none = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end"))
 
     def cover(acc: Column, p: Column) -> Column:
@@ -112,7 +114,7 @@ def _hits(work: Workspace, docs: DataFrame, items: DataFrame, size: int) -> tupl
         return F.struct((acc["hit"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], p["start"]))).alias("hit"), F.greatest(acc["end"], end).alias("end"))
 
     n_hit = F.coalesce(F.aggregate("found", none, cover, lambda acc: acc["hit"]), F.lit(0)).cast("long")
-    return index, found.select("doc", "n_words", n_hit.alias("n_hit"), F.array_distinct(F.transform("found", lambda p: p["wid"])).alias("wids"))
+    return index, found.select("k", "doc", "n_words", n_hit.alias("n_hit"), F.array_distinct(F.transform("found", lambda p: p["wid"])).alias("wids"))
 
 
 def _contaminated(percent: int) -> Column:
@@ -123,11 +125,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, percent: in
     """doc_id, n_words, n_hit, n_items, items (sorted, as strings), contaminated: for every row of docs."""
     work = Workspace(docs.sparkSession, "decontam")
     index, rows = _hits(work, docs.select("doc_id", "text"), items, size)
-    rows = work.save(rows.select(F.col("doc.doc_id").alias("doc_id"), "n_words", "n_hit", "wids"), "hits")
-    met = rows.where("n_hit > 0").select("doc_id", F.explode("wids").alias("wid"))
-    met = met.join(small(index.windows.select("wid", F.col("item_id").cast("string").alias("item_id")), BROADCAST_ROWS), "wid").select("doc_id", "item_id")
-    named = met.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("k")).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    out = rows.join(named, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("k"), "left")
+    rows = work.save(rows.select("k", F.col("doc.doc_id").alias("doc_id"), "n_words", "n_hit", "wids"), "hits")
+    # the wids are part of the group, so that each row lists its own items
+    met = rows.where("n_hit > 0").select("k", "wids").distinct().select("k", "wids", F.explode("wids").alias("wid"))
+    met = met.join(small(index.windows.select("wid", F.col("item_id").cast("string").alias("item_id")), BROADCAST_ROWS), "wid")
+    named = met.groupBy("k", "wids").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    out = rows.join(named, ["k", "wids"], "left")
     items_ = F.when(F.col("n_hit") > 0, F.col("items")).otherwise(F.array().cast("array<string>"))
     out = out.select("doc_id", "n_words", "n_hit", items_.alias("items"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", _contaminated(percent).alias("contaminated"))
@@ -148,7 +151,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, size: in
     work = Workspace(docs.sparkSession, "proximity")
     index = Index(work, _keyed(docs), items, size)
     places = work.save(index.candidates(slop), "places").join(small(index.windows, BROADCAST_ROWS), "wid")
-    near = docs.select("doc_id", "text").join(places, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) == F.col("k"))
+    near = docs.select("doc_id", "text").join(places, _key(F.col("doc_id"), F.col("text")) == F.col("k"))
     low = F.greatest(F.lit(1), F.col("start") + 1 - slop)
     part = F.slice(_words(F.col("text")), low, F.col("start") + 1 + F.col("length") + slop - low)
     near = near.select("doc_id", "item_id", "start", "terms", F.transform(part, _fold).alias("part"))
