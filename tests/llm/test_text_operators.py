@@ -345,6 +345,15 @@ def test_licenses(spark):
     assert [got[k]["license_id"] for k in range(8)] == ["MIT", "MIT", "MIT", None, None, None, None, "notice:MIT"]
     assert got[4]["digest"] is None and got[5]["digest"] == hashlib.sha256(b"").hexdigest() and got[6]["n_words"] == 0
     assert licenses.license_scan(empty(spark), licenses.known_licenses(spark)).count() == 0
+    # titles, copyright statements, wrapped lines; repeated rows and null ids; long texts
+    wrapped = "ISC License\n\nCopyright (c) 2004, A B\n(c) 2005 C\n\n" + licenses.KNOWN["ISC"].replace("above copyright", "above\ncopyright")
+    apache = dict(licenses.known_texts())["Apache-2.0"]
+    bsd = "Copyright <YEAR> <COPYRIGHT HOLDER>\nAll rights reserved.\n\n" + licenses.KNOWN["BSD-3-Clause"]
+    more = [(1, wrapped), (1, wrapped), (2, "The MIT License (MIT)\n\n© 2020 D\n\n" + mit), (None, apache.replace("\n", "\r\n").upper()), (3, mit * 400), (4, bsd), (5, "Copyright law\n" + mit), (6, apache)]
+    got = licenses.license_scan(spark.createDataFrame(more, "doc_id long, text string"), licenses.known_licenses(spark)).collect()
+    assert sorted((r["doc_id"] or 0, r["license_id"] or "") for r in got) == [(0, "Apache-2.0"), (1, "ISC"), (1, "ISC"), (2, "MIT"), (3, ""), (4, "BSD-3-Clause"), (5, ""), (6, "Apache-2.0")]
+    twins = spark.createDataFrame([("b", "Some text."), ("a", "some, TEXT")], "license_id string, text string")
+    assert licenses.license_scan(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), twins).first()["license_id"] == "a"
 
 
 def test_decontamination(spark):
