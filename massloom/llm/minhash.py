@@ -9,7 +9,8 @@ even) bounds a pair's symmetric difference from below and drops pairs that can't
 confirmed on the full shingle sets. Documents with equal sets are one node from the start.
 
 Null and empty texts have no shingles and no links. A null id is never linked (component null, kept).
-Each input row gives one row; rows that repeat an id are one document. Other columns are ignored.
+Each input row gives one row. Rows that repeat an id are one document, which has the links of all its texts; each row has its own set's size.
+A very long text is a batch by itself; an empty table gives none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massloom.llm.components import link_in_buckets
+from massloom.llm.components import components, link_in_buckets
 from massloom.llm.textcols import U64, Words, chunks, mix, ngrams, utf8
 from massloom.llm.workspace import Workspace, small
 
@@ -102,7 +103,7 @@ def parity(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, how: MinHash) -> DataFrame:
-    """doc_id, n_shingles, k1 and k2 (128 bits that name the set), parity bitmap, buckets (none for an empty set)."""
+    """doc_id, h, n_shingles, k1 and k2 (128 bits that name the set), parity bitmap, buckets (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, probes = how.bands * how.rows, probe_order(how.bands * how.rows)
@@ -117,37 +118,42 @@ def sketch(docs: DataFrame, how: MinHash) -> DataFrame:
             bounds = np.concatenate(([0], np.cumsum(np.where(size > 0, how.bands, 0)))).astype(np.int32)
             buckets = pa.ListArray.from_arrays(pa.array(bounds), pa.array(bucket[size > 0].ravel().view(np.int64)))
             cols = [size, keys[:, 0].view(np.int64), keys[:, 1].view(np.int64), *parity(sets).T]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, cols), buckets], ["doc_id", "n_shingles", "k1", "k2", *PARITY, "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *map(pa.array, cols), buckets], ["doc_id", "h", "n_shingles", "k1", "k2", *PARITY, "buckets"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, k1 long, k2 long, {', '.join(f'{p} long' for p in PARITY)}, buckets array<long>")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, f"doc_id long, h long, n_shingles long, k1 long, k2 long, {', '.join(f'{p} long' for p in PARITY)}, buckets array<long>")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
+    """docs: id, text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             sets = shingle_sets(b, n)
             bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             own = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*sets, np.zeros(0, U64)]).astype(U64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), own], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), own], ["id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id)."""
     spark = docs.sparkSession
     work = Workspace(spark, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     rows = work.save(sketch(docs, how), "sketch")
+    # a row is named by its document's id, or where ids repeat by a number of its own
+    repeated = _repeats(rows)
+    rows = work.save(rows.withColumn("id", F.monotonically_increasing_id()), "numbered") if repeated else rows.withColumn("id", F.col("doc_id"))
     named = rows.where("n_shingles > 0 and doc_id is not null")
-    same = named.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    same = named.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     same = work.save(same, "same")
-    # only sets that several documents share need a lookup; the other documents stand for themselves
+    # only sets that several rows share need a lookup; the others stand for themselves
     shared = same.where("rep <> last").select("k1", "k2", "n_shingles", "rep")
-    node = work.save(rows.join(shared, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "nodes")
-    reps = same.select("k1", "k2", "n_shingles", F.col("rep").alias("doc_id"))
-    members = named.join(reps, ["k1", "k2", "n_shingles", "doc_id"], "left_semi").select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("id"))
-    traits = named.select(F.col("doc_id").alias("id"), "n_shingles", *PARITY)
+    node = work.save(rows.join(shared, ["k1", "k2", "n_shingles"], "left").select("doc_id", "id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "nodes")
+    reps = same.select("k1", "k2", "n_shingles", F.col("rep").alias("id"))
+    members = named.join(reps, ["k1", "k2", "n_shingles", "id"], "left_semi").select(F.explode("buckets").alias("bucket"), "id")
+    traits = named.select("id", "n_shingles", *PARITY)
     sets: list[DataFrame] = []
 
     def possible(a: str, b: str) -> Column:
@@ -158,12 +164,17 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
         return sizes & (differ * (100 + how.percent) <= (n + m) * (100 - how.percent))
 
     def links(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         if sets:
-            ids = ids.join(sets[0].select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+            ids = ids.join(sets[0].select("id"), "id", "left_anti")
+        if repeated:
+            ids = rows.join(ids, "id", "left_semi").select(F.col("doc_id").alias("d"), F.col("h").alias("own_h"), "id")
+        else:
+            ids = ids.select(F.col("id").alias("d"), "id")
         ids = work.save(ids, "ids")
-        own = docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi")
-        more = work.save(full_sets(own, how.shingle_words).dropDuplicates(["id"]), "sets")
+        own = docs.join(small(ids, BROADCAST_IDS), (F.col("doc_id") == F.col("d")) & ((F.col("h") == F.col("own_h")) if repeated else F.lit(True)))
+        more = full_sets(own, how.shingle_words)
+        more = work.save(more.dropDuplicates(["id"]) if repeated else more, "sets")
         sets[:] = [sets[0].union(more) if sets else more]
         left = sets[0].select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         right = sets[0].select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
@@ -171,17 +182,27 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
         sized = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
         return sized.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * how.percent)
 
-    if _repeats(rows):  # such an id keeps one of its texts' sets
-        members, traits = members.dropDuplicates(["bucket", "id"]), traits.dropDuplicates(["id"])
     label = link_in_buckets(work, members, traits, possible, links)
-    joined = node.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
-    out = joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    found = node.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    found = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component"))
+    if repeated:
+        found = work.save(found, "found")
+        found = _by_document(work, found)
+    out = found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
     out = work.save(out, "result")
     work.keep(out)
     return out
 
 
+def _by_document(work: Workspace, found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component of rows whose component is a row's number: documents with a row in the same component are joined."""
+    # within a row component all documents are linked to its least one; a document's rows may be in several
+    least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("b"))
+    edges = found.join(least, "component").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
+    label = components(work, edges).select(F.col("id").alias("doc_id"), F.col("component").alias("root"))
+    return found.join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component"))
+
+
 def drop_near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     """The rows of docs, with their columns, that are kept: the smallest id of each group, and rows without an id."""
     work = Workspace(docs.sparkSession, "near-duplicates")
