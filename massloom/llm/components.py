@@ -57,10 +57,10 @@ def link_in_buckets(
     In each round some ids of a bucket, its hubs, are held against the bucket's other ids that are not
     known to be in the hub's component yet. A hub has then met everyone it needs to and leaves the bucket; a bucket
     is done when its ids are all in one component. So each linked pair of a bucket ends in one component, as if
-    all pairs had been compared, while a group of n near copies costs about n comparisons. About `hubs` ids per bucket are
-    hubs: those whose hash lies below hubs / size of the bucket, so that no task has to sort a bucket, and always the least one. Their
-    number grows `grow`-fold each round up to `most`, so that buckets of unlinked
-    ids end after few rounds. Up to `most_buckets` keys of larger buckets are broadcast (8 bytes each); more are joined by shuffle.
+    all pairs had been compared, while a group of n near copies costs about n comparisons. The first hub is the least id. After that
+    the ids outside of the bucket's least component are asked, `grow` of them, then `grow`-fold more each round up to `most`: those whose
+    hash lies below their number's share, so that no task sorts a bucket. A bucket of unlinked ids so ends after few rounds.
+    Up to `most_buckets` keys of larger buckets are broadcast (8 bytes each); more are joined by shuffle.
     """
     several = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
     several = work.save(several, "several")
@@ -70,7 +70,7 @@ def link_in_buckets(
     if traits is not None:
         active = active.join(traits, "id")
     carried = [c for c in active.columns if c not in ("bucket", "id")]
-    active = work.save(active.withColumn("turn", F.xxhash64("id")), "active")
+    active = work.save(active, "active")
     work.drop(several)
     label, hubs = None, 1
     while active.limit(1).count():
@@ -78,17 +78,20 @@ def link_in_buckets(
         if label is not None:
             own = active.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
             own = work.save(own, "own")
-        state = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many"), F.min("turn").alias("least")).where("lo <> hi")
-        open_ = work.save(own.join(state.select("bucket", "many", "least"), "bucket"), "open")
-        share = F.col("turn") / F.lit(2.0**64) + 0.5  # of the ids, those before this one
-        first = open_.where((share * F.col("many") < hubs) | (F.col("turn") == F.col("least")))
-        first = work.save(first.select("bucket", *(F.col(c).alias(f"hub_{c}") for c in ("id", "turn", "component", *carried))), "hubs")
-        on = (open_["bucket"] == first["bucket"]) & (F.col("component") != F.col("hub_component")) & ((F.col("turn") > F.col("hub_turn")) | ((F.col("turn") == F.col("hub_turn")) & (F.col("id") > F.col("hub_id"))))
+        state = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
+        if hubs == 1:
+            hub = F.col("id") == F.col("lo")
+        else:
+            share = F.xxhash64("id", "bucket") / F.lit(2.0**64) + 0.5  # of the ids, those before this one
+            hub = (F.col("component") != F.col("lo")) & (share * F.col("many") < hubs)
+        open_ = work.save(own.join(state.drop("hi"), "bucket").withColumn("hub", hub).drop("lo", "many"), "open")
+        first = work.save(open_.where("hub").select("bucket", *(F.col(c).alias(f"hub_{c}") for c in ("id", "component", *carried))), "hubs")
+        # two hubs of a bucket meet once
+        on = (open_["bucket"] == first["bucket"]) & (F.col("component") != F.col("hub_component")) & (~F.col("hub") | (F.col("id") > F.col("hub_id")))
         pairs = open_.join(first, on & possible("", "hub_")).select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b"))
         pairs = work.save(pairs.distinct(), "pairs")
         found = work.save(links(pairs).select("a", "b"), "found")
-        rest = open_.join(first.select("bucket", F.col("hub_id").alias("id")), ["bucket", "id"], "left_anti").select(*active.columns)
-        rest = work.save(rest, "active")
+        rest = work.save(open_.where("not hub").select(*active.columns), "active")
         work.drop(active, own, open_, first, pairs)
         active, hubs = rest, min(most, hubs * grow)
         if found.limit(1).count():

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from massloom.llm import brown, decontam, langid, licenses, lines, minhash, packing, quality, substrings, toxicity
+from massloom.llm import brown, decontam, edits, langid, licenses, lines, minhash, packing, quality, substrings, toxicity
 from massloom.llm.components import components
 from massloom.llm.folds import remainder
 from massloom.llm.textcols import Words, chunks, ngrams, utf8
@@ -334,7 +334,21 @@ def test_edit_distances():
         b = a if r.random() < 0.2 else "".join(c for c in a if r.random() > 0.1) + r.choice(["", "x", "abc"])
         b = b[::-1] if r.random() < 0.2 else b
         d = _distance(a, b)
-        assert [lines.within(a, b, k) for k in (d - 1, d, d + 1)] == [d == 0 and False, True, True]
+        assert [edits.within(a, b, k) for k in (d - 1, d, d + 1)] == [d == 0 and False, True, True]
+
+
+def test_edit_distances_of_many_pairs(monkeypatch):
+    monkeypatch.setattr(edits, "LEAST_PAIRS", 1)
+    r = random.Random(4)
+    for _ in range(6):
+        pairs, most = [], []
+        for _ in range(40):
+            a = "".join(r.choice("abcé d") for _ in range(r.choice([1, 5, 60, 63, 64, 65, 127, 128, 129, 200]) + r.randint(0, 3)))
+            b = "".join((r.choice("abc一") if r.random() < 0.15 else c) + ("b" if r.random() < 0.04 else "") for c in a if r.random() > 0.08)
+            b = "".join(r.choice("abcé d") for _ in a) if r.random() < 0.2 else b
+            pairs.append((a, b))
+            most.append(max(0, _distance(a, b) + r.choice([-10, -2, -1, 0, 0, 1, 5])))
+        assert edits.all_within(pairs, most).tolist() == [_distance(a, b) <= m for (a, b), m in zip(pairs, most)]
 
 
 def test_licenses(spark):
