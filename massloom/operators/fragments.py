@@ -98,8 +98,8 @@ def fragments(peptides: DataFrame, model: FragmentModel, key: list[str], sequenc
         own = starts.where(F.col("at_") + lo <= F.col("length") - 2).select(*key, "length", "sum_", "sums_", "at_", F.explode(ends).alias("end_"))
         own = own.select(*key, "length", F.lit("internal").alias("ion"), (F.col("end_") - F.col("at_")).cast("int").alias("index"), (F.col("end_") + 1).cast("int").alias("position"), F.lit("").alias("loss"), F.lit(0).alias("variant"), (F.element_at("sums_", F.col("end_") + 1) - F.col("sum_")).alias("neutral"))
         out = own if out is None else out.unionByName(own)
-    if out is None:
-        raise ValueError("a model without fragments")
+    if out is None:  # a model without fragments
+        out = base.select(*key, "length", F.lit("").alias("ion"), *(F.lit(0).alias(c) for c in ("index", "position")), F.lit("").alias("loss"), F.lit(0).alias("variant"), F.lit(0.0).alias("neutral")).limit(0)
     out = out.where("neutral > 0").withColumn("charge", F.explode(F.array(*(F.lit(z) for z in model.charges))))
     return out.withColumn("mz", (F.col("neutral") + F.col("charge") * F.lit(PROTON)) / F.col("charge"))
 

@@ -38,7 +38,7 @@ def placed(rules: Column, residue: Column, index: Column, length: Column) -> Col
 
 def rules_within(narrow: Column, wide: Column) -> Column:
     """Whether each rule of `narrow` is covered by one of `wide` at the same position (or anywhere)."""
-    return F.forall(narrow, lambda a: F.exists(wide, lambda b: b["position"].isin("anywhere") | (a["position"] == b["position"]) & (F.size(F.array_except(a["residues"], b["residues"])) == 0)))
+    return F.forall(narrow, lambda a: F.exists(wide, lambda b: ((b["position"] == "anywhere") | (a["position"] == b["position"])) & (F.size(F.array_except(a["residues"], b["residues"])) == 0)))
 
 
 def merge_rules(rules: Column) -> Column:

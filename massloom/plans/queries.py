@@ -301,21 +301,6 @@ def composition_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.composition_key(letters, ["p_partkey"])
 
 
-@_query(None)
-def isoelectric_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    peptides = _table(spark, sf_dir, "part").select("p_partkey", _residues("p_name").alias("peptide"))
-    return generate.isoelectric_points(peptides, "peptide").select("p_partkey", "peptide", F.round("pi", 2).alias("pi"))
-
-
-@_query(None)
-def isotope_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns of C n H 2n N O 2 by part size."""
-    sizes = _table(spark, sf_dir, "part").select("p_size").distinct()
-    text = F.concat(F.lit("C"), F.col("p_size") * 1, F.lit("H"), F.col("p_size") * 2, F.lit("NO2"))
-    out = sizes.withColumn("formula", text).withColumn("pattern", generate.isotope_patterns("formula"))
-    return out.select("p_size", "formula", "pattern", generate.most_abundant(F.col("pattern")).alias("neutrons"))
-
-
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(_residues("p_name").alias("s")).distinct()
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +17,13 @@ def session(app: str = "massloom", master: str | None = None, **conf: str) -> Sp
     for k, v in (every | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder in the one that spark.checkpoint.dir names; a temporary one only where that is unset, in local mode."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="massloom-")
+    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"

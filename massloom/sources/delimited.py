@@ -115,6 +115,33 @@ def number_column(values: Column | str, *names: str, kind: str = "double") -> Co
     return F.try_to_number(text, F.lit("")) if kind == "" else text.try_cast(kind)
 
 
+def or_empty(text: Column) -> Column:
+    """Null for an empty text and for a dash."""
+    return F.when(~text.isin("", "-"), text)
+
+
+def ignore(text: Column, pattern: str) -> Column:
+    """Null for exactly this text."""
+    return F.when(text != pattern, text)
+
+
+def skip(text: Column, n: int) -> Column:
+    """Without the first n characters."""
+    return F.substring(text, F.lit(n + 1), F.greatest(F.length(text) - n, F.lit(0)))
+
+
+def trim_matches(text: Column, start: str = "", end: str = "") -> Column:
+    """Without repeats of `start` at the beginning and of `end` at the end."""
+    text = F.regexp_replace(text, f"^(?:{re.escape(start)})+", "") if start else text
+    return F.regexp_replace(text, f"(?:{re.escape(end)})+$", "") if end else text
+
+
+def split_once(text: Column, separator: str) -> tuple[Column, Column]:
+    """Text before and behind the first separator; nulls without one."""
+    at = F.instr(text, separator)
+    return F.when(at > 0, F.substring(text, F.lit(1), at - 1)), F.when(at > 0, F.substring(text, at + len(separator), F.length(text)))
+
+
 def between(text: Column, first: str, last: str) -> tuple[Column, Column, Column]:
     """Text before the first `first`, up to the last `last` behind it, and behind that."""
     m = f"(?s)^(.*?){re.escape(first)}(.*){re.escape(last)}(.*)$"

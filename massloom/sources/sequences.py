@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Prefixes of identifiers and what their parts are.
 PREFIXES = {
-    "lcl": "local", "bbs": "backbone_seqid", "bbm": "backbone_moltype", "gim": "import_id", "gb": "genbank", "emb": "embl", "pir": "pir", "sp": "swissprot",
+    "lcl": "local", "bbs": "backbone_seqid", "bbm": "backbone_moltype", "gim": "import_id", "gi": "integrated", "gb": "genbank", "emb": "embl", "pir": "pir", "sp": "swissprot",
     "tr": "trembl", "ref": "refseq", "gnl": "general", "dbj": "ddbj", "prf": "prf", "pdb": "pdb", "tpg": "tpg", "tpe": "tpe", "tpd": "tpd", "gpp": "pipeline", "nat": "named", "pat": "patent", "pgp": "pregrant",
 }
 LETTERS = "ARNDCQEGHILKMFPSTWYVBJZUOX"
@@ -23,14 +23,14 @@ def identifier(text: Column) -> Column:
     kind = F.coalesce(F.element_at(kinds, F.lower(parts[0])), F.lit("undefined"))
     known = (kind != "undefined") & (F.size(parts) > 1)
     # pat and pgp have a country before the number; pdb's second part is the chain
-    last = F.lower(parts[0]).isin("pat", "pgp", "gnl")
+    last = F.lower(parts[0]).isin("pat", "pgp", "gnl", "gi", "lcl", "bbs", "bbm", "gim")
     accession = F.when(known & last, F.array_join(F.slice(parts, 2, 3), "|")).when(known, F.get(parts, F.lit(1))).otherwise(plain)
     name = F.when(known & ~last & (F.size(parts) > 2) & (F.get(parts, F.lit(2)) != ""), F.get(parts, F.lit(2)))
     return F.struct(F.when(known, kind).otherwise("undefined").alias("kind"), accession.alias("accession"), name.alias("name"), decoy.alias("decoy"))
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """Records of text that was read with lineSep '\\n>': id_kind, accession, name, decoy, description, tags, regions, sequence, error."""
+    """Records of text that was read with lineSep '\\n>': id_kind, accession, name, decoy, description, tags, regions, annotations (of positions from 0), sequence, error."""
     text = lines.select(F.regexp_replace("value", "^>", "").alias("r")).where("trim(r) <> ''")
     head = F.regexp_replace(F.split("r", r"\r?\n", 2)[0], r"\s+$", "")
     body = F.upper(F.regexp_replace(F.coalesce(F.get(F.split("r", r"\r?\n", 2), F.lit(1)), F.lit("")), r"\s+", ""))
@@ -47,9 +47,13 @@ def records(lines: DataFrame) -> DataFrame:
     item = F.split(F.element_at("tags", "REGIONS"), ";")
     parsed = F.transform(item, lambda x: F.struct(F.split(x, ":")[0].alias("region"), F.get(F.split(x, ":"), F.lit(1)).try_cast("int").alias("length")))
     out = out.withColumn("regions", F.coalesce(parsed, F.array(F.struct(F.lit("all").alias("region"), F.length("sequence").alias("length")))))
+    note = F.split(F.coalesce(F.element_at("tags", "ANNOTATIONS"), F.lit("")), ";")
+    notes = F.transform(F.filter(note, lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[0].alias("annotation"), F.get(F.split(x, ":"), F.lit(1)).try_cast("int").alias("position")))
+    out = out.withColumn("annotations", notes)
+    outside = F.exists("annotations", lambda a: a["position"].isNull() | (a["position"] < 0) | (a["position"] >= F.length("sequence")))
     total = F.aggregate("regions", F.lit(0), lambda acc, x: acc + F.coalesce(x["length"], F.lit(0)))
-    error = F.when(F.rlike("sequence", F.lit(f"[^{LETTERS}*]")), F.lit("no amino acid")).when(total != F.length("sequence"), F.lit("regions do not fill the sequence"))
-    return out.select(F.col("i.kind").alias("id_kind"), "i.accession", "i.name", "i.decoy", F.nullif("description", F.lit("")).alias("description"), "tags", "regions", F.regexp_replace("sequence", r"\*$", "").alias("sequence"), error.alias("error"))
+    error = F.when(F.rlike("sequence", F.lit(f"[^{LETTERS}*]")), F.lit("no amino acid")).when(total != F.length("sequence"), F.lit("regions do not fill the sequence")).when(outside, F.lit("an annotation is outside of the sequence"))
+    return out.select(F.col("i.kind").alias("id_kind"), "i.accession", "i.name", "i.decoy", F.nullif("description", F.lit("")).alias("description"), "tags", "regions", "annotations", F.regexp_replace("sequence", r"\*$", "").alias("sequence"), error.alias("error"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

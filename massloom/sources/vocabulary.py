@@ -74,6 +74,14 @@ def gene_name(name: str) -> tuple[str, str, str, int | None]:
     return m["chain"], kind, m["gene"], int(m["number"]) if m["number"] else None
 
 
+def gene_parts(name: Column) -> Column:
+    """gene_name as a struct chain, kind, gene, number; null where it is none."""
+    pattern = r"^\s*(?:IG|TR)?([HKLI])([VJC]|[ADEGM])([^*]*)(?:\*(\d+))?\s*$"
+    part = [F.regexp_extract(name, pattern, k) for k in range(1, 5)]
+    kind = F.when(part[1].isin("V", "J", "C"), part[1]).otherwise(F.concat(F.lit("C"), part[1]))
+    return F.when(F.rlike(name, F.lit(pattern)), F.struct(part[0].alias("chain"), kind.alias("kind"), part[2].alias("gene"), F.nullif(part[3], F.lit("")).cast("int").alias("number")))
+
+
 def combine_germlines(genes: DataFrame) -> DataFrame:
     """One row per species, name and sequence; alleles of a gene in order of their number. genes: species, name, number, sequence, acc."""
     return genes.groupBy("species", "name", "number", "sequence").agg(F.min("acc").alias("acc")).orderBy("species", "name", "number")

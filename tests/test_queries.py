@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from massloom.plans.queries import QUERIES, SQL
+from massloom.plans import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
