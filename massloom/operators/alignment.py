@@ -1,20 +1,29 @@
 """Mass-based alignment of sequences: pairs, best templates, consecutive genes and multiple alignments.
 
 Two sequences are aligned by dynamic programming with affine gaps. Besides a pair of residues, a step may hold a block of up
-to `steps` residues of each side whose masses agree: a rotation if the residues are the same, else isobaric. The kernel is a
-loop over cells and so runs as an Arrow-batched Python function, one row per pair of sequences.
+to `steps` residues of each side whose masses agree: a rotation if the residues are the same, else isobaric. Which blocks agree is
+found for all places at once from running sums of masses, so that the loop over cells meets only blocks that do; it
+runs as an Arrow-batched Python function, one row per pair of sequences.
+
+Sequences are ProForma texts of one chain. B and Z have the masses of both of their residues; modifications add to their residue's mass, terminal ones
+to the first and last one's, and a modification that only may be there (a label #...) gives masses with and without it.
+Texts that are none, unknown modifications and nulls give a row with `error` and no alignment.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.functions.chemistry import MONO, STANDARD
+from massloom.functions.chemistry import AMBIGUOUS, MONO, STANDARD
+from massloom.functions.modifications import modification_mass
+from massloom.functions.proforma import parse
 
 #: Rows of the BLOSUM62 matrix for the residues A R N D C Q E G H I L K M F P S T W Y V.
 _BLOSUM62 = """
@@ -39,12 +48,35 @@ _BLOSUM62 = """
 -2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7 -1
 0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
 """
-BLOSUM62 = {(a, b): int(v) for a, row in zip(STANDARD, _BLOSUM62.strip().split("\n")) for b, v in zip(STANDARD, row.split())}
+#: Rows of the same matrix for the letters that stand for two residues, over A R N D C Q E G H I L K M F P S T W Y V B Z J.
+_STANDING = {
+    "B": "-2 -1 3 4 -3 0 1 -1 0 -3 -4 0 -3 -3 -2 0 -1 -4 -3 -3 4 1 -3",
+    "Z": "-1 0 0 1 -3 3 4 -2 0 -3 -3 1 -1 -3 -1 0 -1 -3 -2 -2 1 4 -3",
+    "J": "-1 -2 -3 -3 -1 -2 -3 -4 -3 3 3 -3 2 0 -3 -2 -1 -2 -1 2 -3 -3 3",
+}
+
+
+def _matrix() -> dict[tuple[str, str], int]:
+    """All letters: U counts as C, O as K, and X has -1 with any other."""
+    out = {(a, b): int(v) for a, row in zip(STANDARD, _BLOSUM62.strip().split("\n")) for b, v in zip(STANDARD, row.split())}
+    for a, row in _STANDING.items():
+        for b, v in zip(STANDARD + "BZJ", row.split()):
+            out[a, b] = out[b, a] = int(v)
+    known = {**{x: x for x in STANDARD + "BZJ"}, "U": "C", "O": "K"}
+    out = {(a, b): out[x, y] for a, x in known.items() for b, y in known.items()}
+    return out | {k: -1 for x in [*known, "X"] for k in ((x, "X"), ("X", x))}
+
+
+BLOSUM62 = _matrix()
+IDENTITY = {(a, b): int(a == b) for a in STANDARD + "BZJUOX" for b in STANDARD + "BZJUOX"}
 
 
 @dataclass(frozen=True)
 class Ends:
-    """For each end, whether the alignment must reach the end of both sequences, of a or b alone, of either one, or of none."""
+    """For each end, whether the alignment must reach the end of both sequences, of a or b alone, of either one, or of none.
+
+    On the right, reaching the end of a is reaching that of both: so are the recorded results of these types.
+    """
 
     left: str = "both"
     right: str = "both"
@@ -56,8 +88,8 @@ TYPES = {
     "either_global": Ends("either", "either"),
     "global_a": Ends("a", "a"),
     "global_b": Ends("b", "b"),
-    "extend_a": Ends("both", "a"),
-    "extend_b": Ends("both", "b"),
+    "extend_a": Ends("b", "a"),
+    "extend_b": Ends("a", "b"),
     "global_left": Ends("both", "none"),
     "global_right": Ends("none", "both"),
 }
@@ -66,12 +98,15 @@ TYPES = {
 @dataclass(frozen=True)
 class Scoring:
     mismatch: int = 0
+    mass_mismatch: int = 0
     mass_base: int = 1
     rotated: int = 3
     isobaric: int = 2
     gap_start: int = -4
     gap_extend: int = -1
     ppm: float = 10.0
+    #: Which side may carry modifications of its own: "same", "database_to_peptide" (b) or "peptide_to_database" (a).
+    pair: str = "same"
     matrix: dict[tuple[str, str], int] = field(default_factory=lambda: BLOSUM62, hash=False)
 
 
@@ -89,103 +124,203 @@ class Alignment:
 
     @property
     def cigar(self) -> str:
+        """Runs of = X m I D with their length, and each block with its size: 2r, 3i, or 2:1i for sides of two and one."""
         out: list[list] = []
         for kind, n, m, _ in self.path:
-            if kind in "=XID":
-                if out and out[-1][1] == kind:
-                    out[-1][0] += 1
-                else:
-                    out.append([1, kind])
+            if kind in "=XmID" and out and out[-1][1] == kind:
+                out[-1][0] += 1
             else:
-                out.append([f"{n}:{m}" if (n, m) != (1, 1) or kind == "r" else "1", kind])
+                out.append([1 if kind in "=XmID" else n if n == m else f"{n}:{m}", kind])
         return "".join(f"{n}{k}" for n, k in out)
 
 
-def _near(a: float, b: float, ppm: float) -> bool:
-    return abs(a - b) <= abs(a) * ppm / 1e6
+_STEP = re.compile(r"(\d+)(?::(\d+))?([=XmIDri])")
 
 
-def align(a: str, b: str, kind: str = "global", scoring: Scoring = Scoring(), steps: int = 4) -> Alignment:
-    """Kinds of steps: = equal, X mismatch, i isobaric, r rotated, I only in b, D only in a."""
-    ends, n, m = TYPES[kind], len(a), len(b)
-    mass_a, mass_b = ([0.0] + [MONO[c] for c in s] for s in (a, b))
-    for masses in (mass_a, mass_b):
-        for k in range(1, len(masses)):
-            masses[k] += masses[k - 1]
-    free_a, free_b = ends.left in ("b", "either", "none"), ends.left in ("a", "either", "none")  # may skip the start of a, of b
-    lowest = -(1 << 30)
-    # best score of a cell, and of a cell reached by a gap in either side
-    best = [[lowest] * (m + 1) for _ in range(n + 1)]
-    step: list[list[tuple[str, int, int, int] | None]] = [[None] * (m + 1) for _ in range(n + 1)]
-    best[0][0] = 0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if i == 0 and j == 0:
-                continue
-            if (j == 0 and free_a) or (i == 0 and free_b):
-                best[i][j] = 0
-                continue
-            options: list[tuple[int, tuple[str, int, int, int]]] = []
-            if i and j and best[i - 1][j - 1] > lowest:
-                x, y = a[i - 1], b[j - 1]
-                if x == y:
-                    gain, name = scoring.matrix.get((x, y), 1), "="
-                elif _near(MONO[x], MONO[y], scoring.ppm):
-                    gain, name = scoring.mass_base + scoring.isobaric, "i"
+def read_cigar(text: str) -> list[tuple[str, int, int]]:
+    """The steps (kind, residues of a, residues of b) that a cigar text stands for."""
+    out: list[tuple[str, int, int]] = []
+    at = 0
+    while at < len(text):
+        m = _STEP.match(text, at)
+        if not m or (m[2] and m[3] != "i"):
+            raise ValueError(f"no alignment path: {text!r} at {at}")
+        n, at = int(m[1]), m.end()
+        one = {"I": (0, 1), "D": (1, 0)}.get(m[3], (1, 1))
+        out += [(m[3], n, int(m[2] or n))] if m[3] in "ri" else [(m[3], *one)] * n
+    return out
+
+
+@dataclass
+class Residues:
+    """letters; each one's modifications; each one's possible masses."""
+
+    letters: str
+    modifications: list[tuple[str, ...]]
+    masses: list[list[float]]
+
+
+def _options(letter: str) -> list[float]:
+    return [MONO[x] for x in AMBIGUOUS[letter]] if letter in AMBIGUOUS else [MONO[letter]]
+
+
+def residues(text: str) -> Residues:
+    """Of a ProForma text of one chain."""
+    if text and all(c in MONO or c in AMBIGUOUS for c in text):
+        return Residues(text, [()] * len(text), [_options(c) for c in text])
+    if not text:
+        return Residues("", [], [])
+    ions = parse(text)
+    if len(ions) != 1 or len(ions[0].chains) != 1:
+        raise ValueError("more than one chain")
+    c = ions[0].chains[0]
+
+    def mass(m: str) -> list[float]:
+        known = modification_mass(m)
+        if known is None and not m.startswith("#"):
+            raise ValueError(f"no mass is known for {m}")
+        return [0.0, known or 0.0] if "#" in m and not m.partition("#")[2].startswith("XL") else [known or 0.0]
+
+    out = []
+    for k, (letter, own) in enumerate(zip(c.residues, c.modifications)):
+        masses = _options(letter)
+        for m in [*own, *(c.n_term if k == 0 else []), *(c.c_term if k + 1 == len(c.residues) else [])]:
+            masses = [x + y for x in masses for y in mass(m)]
+        for m, rules in c.fixed:
+            if letter in rules:
+                masses = [x + y for x in masses for y in mass(m)]
+        out.append(sorted(set(masses)))
+    return Residues(c.sequence, [tuple(m) for m in c.modifications], out)
+
+
+def _blocks(r: Residues, steps: int) -> list[list[list[float]]]:
+    """For sizes 1 to steps, the possible masses of the block that ends at each residue from the size on."""
+    out = [r.masses]
+    for _ in range(1, min(steps, len(r.masses))):
+        before = out[-1]
+        out.append([sorted({x + y for x in before[k] for y in r.masses[k + len(out)]}) for k in range(len(before) - 1)])
+    return out
+
+
+def _agreeing(a: Residues, b: Residues, steps: int, ppm: float) -> tuple[np.ndarray, dict[tuple[int, int], list[tuple[int, int]]]]:
+    """Which pairs of residues agree in mass, and by cell the larger blocks (sizes in a and b) that end there and agree."""
+    blocks_a, blocks_b = _blocks(a, steps), _blocks(b, steps)
+    single, found = np.zeros((len(a.letters), len(b.letters)), bool), {}
+    for p, own in enumerate(blocks_a, 1):
+        lo_a, hi_a = np.array([m[0] for m in own]), np.array([m[-1] for m in own])
+        lo_a, hi_a, many_a = lo_a - np.abs(lo_a) * (ppm / 1e6), hi_a + np.abs(hi_a) * (ppm / 1e6), any(len(m) > 1 for m in own)
+        for q, other in enumerate(blocks_b, 1):
+            lo_b, hi_b = np.array([m[0] for m in other]), np.array([m[-1] for m in other])
+            near = np.argwhere((lo_a[:, None] <= hi_b) & (lo_b <= hi_a[:, None]))
+            if many_a or any(len(m) > 1 for m in other):  # ranges that overlap; now the masses themselves
+                near = [(i, j) for i, j in near.tolist() if any(abs(x - y) <= abs(x) * ppm / 1e6 for x in own[i] for y in other[j])]
+            else:
+                near = near.tolist()
+            for i, j in near:
+                if p == q == 1:
+                    single[i, j] = True
                 else:
-                    gain, name = scoring.matrix.get((x, y), -1) + scoring.mismatch, "X"
-                options.append((best[i - 1][j - 1] + gain, (name, 1, 1, gain)))
-            for name, di, dj in (("I", 0, 1), ("D", 1, 0)):
-                if i >= di and j >= dj and best[i - di][j - dj] > lowest:
-                    before = step[i - di][j - dj]
-                    gain = scoring.gap_extend + (0 if before and before[0] == name else scoring.gap_start)
-                    options.append((best[i - di][j - dj] + gain, (name, di, dj, gain)))
-            top = max(options, key=lambda o: o[0]) if options else (lowest, None)
-            if not (top[1] and top[1][0] == "="):
-                for p in range(1, min(steps, i) + 1):
-                    for q in range(1, min(steps, j) + 1):
-                        if (p == 1 and q == 1) or best[i - p][j - q] <= lowest or not _near(mass_a[i] - mass_a[i - p], mass_b[j] - mass_b[j - q], scoring.ppm):
-                            continue
-                        same = p == q and sorted(a[i - p : i]) == sorted(b[j - q : j])
-                        gain = scoring.mass_base + (scoring.rotated * p if same else scoring.isobaric * (p + q) // 2)
-                        if best[i - p][j - q] + gain > top[0]:
-                            top = (best[i - p][j - q] + gain, ("r" if same else "i", p, q, gain))
-            if top[1] is None or (ends.left == "none" and top[0] <= 0):
-                best[i][j] = 0 if ends.left == "none" else lowest
-                continue
-            best[i][j], step[i][j] = top
-    cells = {"both": [(n, m)], "a": [(n, j) for j in range(m + 1)], "b": [(i, m) for i in range(n + 1)]}
-    cells["either"] = cells["a"] + cells["b"]
-    cells["none"] = [(i, j) for i in range(n + 1) for j in range(m + 1)]
-    i, j = max(cells[ends.right], key=lambda c: (best[c[0]][c[1]], c))
-    score, path = best[i][j], []
-    while (s := step[i][j]) is not None:
+                    found.setdefault((i + p, j + q), []).append((p, q))
+    return single, found
+
+
+def align(a: str | Residues, b: str | Residues, kind: str = "global", scoring: Scoring = Scoring(), steps: int = 4) -> Alignment:
+    """Kinds of steps: = equal, X mismatch, m the same residue of another mass, i isobaric, r rotated, I only in b, D only in a.
+
+    Of equal scores a gap in b goes before one in a, gaps before pairs and pairs before blocks; of equal ends the last one counts.
+    """
+    a, b = residues(a) if isinstance(a, str) else a, residues(b) if isinstance(b, str) else b
+    ends, n, m = TYPES[kind], len(a.letters), len(b.letters)
+    single, blocks = _agreeing(a, b, steps, scoring.ppm) if n and m else (np.zeros((n, m), bool), {})
+    single, gap, longer = single.tolist(), scoring.gap_extend, scoring.gap_start
+    same = [list(zip(x.letters, x.modifications)) for x in (a, b)]
+    score = [[0] * (m + 1) for _ in range(n + 1)]
+    step: list[list[tuple[str, int, int, int] | None]] = [[None] * (m + 1) for _ in range(n + 1)]
+    for i in range(1, n + 1) if ends.left in ("both", "a") else ():
+        score[i][0], step[i][0] = longer + i * gap, ("D", 1, 0, gap + (longer if i == 1 else 0))
+    for j in range(1, m + 1) if ends.left in ("both", "b") else ():
+        score[0][j], step[0][j] = longer + j * gap, ("I", 0, 1, gap + (longer if j == 1 else 0))
+    top, where = 0, (0, 0)
+    for i in range(1, n + 1):
+        above, own, x = score[i - 1], score[i], a.letters[i - 1]
+        for j in range(1, m + 1):
+            up, left = step[i - 1][j], step[i][j - 1]
+            down = gap if up and up[0] == "D" else gap + longer
+            right = gap if left and left[0] == "I" else gap + longer
+            best, how = above[j] + down, ("D", 1, 0, down)
+            if own[j - 1] + right > best:
+                best, how = own[j - 1] + right, ("I", 0, 1, right)
+            y = b.letters[j - 1]
+            if single[i - 1][j - 1]:
+                name, gain = ("=", scoring.matrix[x, y]) if x == y else ("i", scoring.mass_base + scoring.isobaric)
+            elif x == y and ((scoring.pair == "database_to_peptide" and b.modifications[j - 1]) or (scoring.pair == "peptide_to_database" and a.modifications[i - 1])):
+                name, gain = "m", scoring.matrix[x, y] + scoring.mass_mismatch
+            else:
+                name, gain = "X", scoring.matrix[x, y] + scoring.mismatch
+            if above[j - 1] + gain > best:
+                best, how = above[j - 1] + gain, (name, 1, 1, gain)
+            if how[0] != "=":
+                for p, q in blocks.get((i, j), ()):
+                    turned = p == q and sorted(same[0][i - p : i]) == sorted(same[1][j - q : j])
+                    gain = scoring.mass_base + (scoring.rotated * p if turned else scoring.isobaric * (p + q) // 2)
+                    if score[i - p][j - q] + gain > best:
+                        best, how = score[i - p][j - q] + gain, ("r" if turned else "i", p, q, gain)
+            if best >= top:
+                top, where = best, (i, j)
+            if ends.left != "none" or best > 0:
+                own[j], step[i][j] = best, how
+    i, j = n, m
+    if ends.right == "none":
+        i, j = where
+    elif ends.right in ("b", "either"):
+        i = max(range(n + 1), key=lambda k: (score[k][m], k))
+        if ends.right == "either":
+            k = max(range(m + 1), key=lambda k: (score[n][k], k))
+            i, j = (i, m) if score[i][m] >= score[n][k] else (n, k)
+    total, path = score[i][j], []
+    while (s := step[i][j]) is not None and not (ends.left == "none" and score[i][j] < 0):
         path.append(s)
         i, j = i - s[1], j - s[2]
-    own = [sum(scoring.matrix.get((c, c), 1) for c in s[k : k + sum(p[w] for p in path)]) for s, k, w in ((a, i, 1), (b, j, 2))]
-    return Alignment(i, j, path[::-1], max(score, 0) if ends.left == "none" else score, sum(own) / 2)
+    own = [sum(scoring.matrix[c, c] for c in s.letters[k : k + sum(p[w] for p in path)]) for s, k, w in ((a, i, 1), (b, j, 2))]
+    return Alignment(i, j, path[::-1], total if path else 0, int(sum(own) / 2))
 
 
 def statistics(path: list[tuple[str, int, int, int]]) -> dict[str, int]:
-    """identical, mass_similar, gaps and length (the longer side of each step)."""
-    return {"identical": sum(k == "=" for k, *_ in path), "mass_similar": sum(max(n, m) for k, n, m, _ in path if k in "=ir"), "gaps": sum(k in "ID" for k, *_ in path), "length": sum(max(n, m) for _, n, m, _ in path)}
+    """identical, mass_similar, similar (pairs with a score above 0), gaps and length (the longer side of each step)."""
+    out = dict.fromkeys(("identical", "mass_similar", "similar", "gaps", "length"), 0)
+    for kind, n, m, gain in path:
+        wide = max(n, m)
+        out["length"] += wide
+        out["identical"] += kind in "=m"
+        out["mass_similar"] += wide if kind in "=ir" else 0
+        out["similar"] += kind in "=mX" and gain > 0
+        out["gaps"] += kind in "ID"
+    return out
 
 
-ALIGNED = "start_a int, start_b int, cigar string, score int, normalised double, identical int, mass_similar int, gaps int, length int"
+ALIGNED = "start_a int, start_b int, cigar string, score int, normalised double, identical int, mass_similar int, similar int, gaps int, length int, error string"
 
 
 def align_pairs(pairs: DataFrame, a: str = "a", b: str = "b", kind: str = "global", scoring: Scoring = Scoring(), steps: int = 4, kind_column: str | None = None) -> DataFrame:
     """pairs and the alignment of each; kind_column: the type by row."""
 
+    names, whole = [c.split()[0] for c in ALIGNED.split(", ")], [c.split()[0] for c in ALIGNED.split(", ") if c.endswith(" int")]
+
     @F.pandas_udf(ALIGNED)
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for xs, ys, kinds in batches:
             rows = []
             for x, y, k in zip(xs, ys, kinds):
-                al = align(x, y, k, scoring, steps)
+                try:
+                    if x is None or y is None:
+                        raise ValueError("no sequence")
+                    al = align(x, y, k, scoring, steps)
+                except (ValueError, KeyError) as e:
+                    rows.append((*[None] * (len(names) - 1), str(e)))
+                    continue
                 s = statistics(al.path)
-                rows.append((al.start_a, al.start_b, al.cigar, al.score, al.normalised, s["identical"], s["mass_similar"], s["gaps"], s["length"]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ALIGNED.split(", ")])
+                rows.append((al.start_a, al.start_b, al.cigar, al.score, al.normalised, s["identical"], s["mass_similar"], s["similar"], s["gaps"], s["length"], None))
+            yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in whole})
 
     return pairs.withColumn("al_", run(a, b, F.col(kind_column) if kind_column else F.lit(kind))).select(*pairs.columns, "al_.*")
 

@@ -90,16 +90,50 @@ def test_ranking(spark):
     assert {r["p"]: r["class"] for r in ranking.target_or_decoy(kinds, ["p"]).collect()} == {1: "Target", 2: "Decoy", 3: "Unknown"}
 
 
+HEAVY_TAIL = "VTVSSASTKGPSVFPLAPSSKSTSGGTAALGCLVKDYFPEPVTVSWNSGALTSGVHTFPAVLQSSGLYSLSSVVTVPSSSLGTQTYICNVNHKPSNTKVDK{}VEPKSCDKTHTCPPCPAPELLGGPSVFLFPPKPKDTLMISRTPEVTCVVVDVSHEDPEVKFNWYVDGVEVHNAKTKPREEQYNSTYRVVSVLTVLHQDWLNGKEYKCKVSNKALPAPIEKTISKAKGQPREPQVYTLPPSREEMTKNQVSLTCLVKGFYPSDIAVEWESNGQPENNYKTTPPVLDSDGSFFLYSKLTVDKSRWQQGNVFSCSVMHEALHNHYTQKSLSLSPG"
+HEAVY_A = "EPELVESGGGLAQPGTSLRLSCEASGFTFDDYAMHWVRQAPGRALEWVSGISWSSDNLAYSDSVEGRFTISRDNAKNSLYLQMNSLRLDDTAFYYCAKDVRPYYDFWAFDSWGRGTP" + HEAVY_TAIL.format("R")
+HEAVY_B = "EVQLVESGGGLVQPGGSLRLSCAASGFNIKDTYIHWVRQAPGKGLEWVARIYPTNGYTRYADSVKGRFTISADTSKNTAYLQMNSLRAEDTAVYYCSRWGGDGFYAMDYWGQGTL" + HEAVY_TAIL.format("K")
+
+
 @pytest.mark.parametrize(
     "a, b, kind, path",
     [
         ("ANA", "AGGA", "global", "1=1:2i1="),
         ("ANGARS", "AGGQRS", "global", "1=1:2i2:1i2="),
-        ("AAK", "AAKGGG", "global_a", "3="),
+        ("AAK", "AAKGGG", "global_a", "3=3I"),  # to the right, reaching the end of a is reaching both
+        ("AAK", "AAKGGG", "either_global", "3="),
+        ("AEDTAVYYC[Carboxymethyl]SRWGGDGFYA", "AEDTAVYYM[oxidation]QSW[oxidation]SRW", "global_b", "8=1X3I3="),
+        ("HJKASFHLKJFHAS", "JHSLAFKJHFLKSFJ", "global_a", "2r3X1=3i2i3X1I"),
+        ("AAASSS", "ASSS", "global_a", "1=2D3="),
+        ("HHHHHHAA", "AAHHHHHHH", "either_global", "6="),
+        (HEAVY_A, "DLQLVESGGGLVQPGGSLRLSC[carboxymethyl]AASGF", "either_global", "3X8=1X3=1X5=2X4="),
+        (HEAVY_A, "TSGVHTAPFVLQSSGLY", "either_global", "6=3r8="),
+        (HEAVY_B, "SGFGGLKN[deamidated]TYLHW", "either_global", "3=1:2i1i1=1i2=1i2="),
+        (HEAVY_B, "DTLM[oxidation]LSRTPEVTC[carbamidomethyl]VVVN[deamidated]VSHEN[deamidated]PEVK", "either_global", "3=1X1i7=1X3=1i4=1i4="),
+        ("ADA", "AN[deamidated]A", "local", "1=1i1="),
+        ("IVQEVS", "LEVQVES", "global", "1i1I2=2r1="),
+        ("AGGHT", "ANTH", "global", "1=2:1i2r"),
+        ("AGGHTK", "ANTHK", "global", "1=2:1i2r1="),
+        ("[gln->pyro-glu]-QADFS-[Methyl]", "[glu->pyro-glu]-EADFT", "global", "1i3=1i"),
     ],
 )
 def test_alignments(a, b, kind, path):
-    assert al.align(a, b, kind).cigar == path
+    found = al.align(a, b, kind)
+    assert found.cigar == path
+    assert al.read_cigar(path) == [s[:3] for s in found.path]
+
+
+def test_alignment_scores_and_letters(spark):
+    assert al.align("ANNA", "AGGGGA", "local", al.Scoring(mismatch=12)).cigar == "4X"
+    assert al.align("ABZJA", "ADQLA").cigar == "1=1i1i1i1=" and al.align("AXA", "AWA").cigar == "1=1X1="
+    assert al.align("AC[Carbamidomethyl]A", "ACA", scoring=al.Scoring(pair="peptide_to_database", mass_mismatch=-1)).path[1] == ("m", 1, 1, 8)
+    assert al.align("", "AA").cigar == "2I" and al.align("", "").cigar == ""
+    rows = [("ANA", "AGGA"), (None, "A"), ("A1", "A"), ("A[unheard of]", "A"), ("A+G", "A"), ("B", "Z")]
+    got = al.align_pairs(spark.createDataFrame(rows, "a string, b string"), kind="global").collect()
+    assert [r["cigar"] for r in got] == ["1=1:2i1=", None, None, None, None, "1X"] and [r["error"] is None for r in got] == [True, False, False, False, False, True]
+    for bad in ("3", "2:1r", "x="):
+        with pytest.raises(ValueError):
+            al.read_cigar(bad)
 
 
 def test_alignment_frames(spark):
