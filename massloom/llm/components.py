@@ -44,8 +44,7 @@ def link_in_buckets(
     possible: Callable[[str, str], Column],
     links: Callable[[DataFrame], DataFrame],
     kind: str = "long",
-    grow: int = 30,
-    most: int = 900,
+    some: int = 30,
     most_buckets: int = 1_000_000,
 ) -> DataFrame:
     """Components of the links between ids that share a bucket, without writing out all pairs of a bucket.
@@ -57,9 +56,9 @@ def link_in_buckets(
     In each round some ids of a bucket, its hubs, are held against the bucket's other ids that are not
     known to be in the hub's component yet. A hub has then met everyone it needs to and leaves the bucket; a bucket
     is done when its ids are all in one component. So each linked pair of a bucket ends in one component, as if
-    all pairs had been compared, while a group of n near copies costs about n comparisons. The first hub is the least id. After that
-    the ids outside of the bucket's least component are asked, `grow` of them, then `grow`-fold more each round up to `most`: those whose
-    hash lies below their number's share, so that no task sorts a bucket. A bucket of unlinked ids so ends after few rounds.
+    all pairs had been compared, while a group of n near copies costs about n comparisons. The first hub is the least id. In the
+    second round about `some` of the ids outside of the bucket's least component are hubs (those whose hash lies below their
+    number's share, so that no task sorts a bucket), and in the third all that are still outside of it.
     Up to `most_buckets` keys of larger buckets are broadcast (8 bytes each); more are joined by shuffle.
     """
     several = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
@@ -72,33 +71,38 @@ def link_in_buckets(
     carried = [c for c in active.columns if c not in ("bucket", "id")]
     active = work.save(active, "active")
     work.drop(several)
-    label, hubs = None, 1
-    while active.limit(1).count():
+    label = None
+    for turn in range(3):
+        if not active.limit(1).count():
+            break
         own = active.withColumn("component", F.col("id"))
         if label is not None:
             own = active.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
             own = work.save(own, "own")
         state = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
-        if hubs == 1:
+        if turn == 0:
             hub = F.col("id") == F.col("lo")
         else:
-            share = F.xxhash64("id", "bucket") / F.lit(2.0**64) + 0.5  # of the ids, those before this one
-            hub = (F.col("component") != F.col("lo")) & (share * F.col("many") < hubs)
+            hub = F.col("component") != F.col("lo")
+            if turn == 1:
+                share = F.xxhash64("id", "bucket") / F.lit(2.0**64) + 0.5  # of the ids, those before this one
+                hub = hub & (share * F.col("many") < some)
         open_ = work.save(own.join(state.drop("hi"), "bucket").withColumn("hub", hub).drop("lo", "many"), "open")
-        first = work.save(open_.where("hub").select("bucket", *(F.col(c).alias(f"hub_{c}") for c in ("id", "component", *carried))), "hubs")
+        first = open_.where("hub").select(F.col("bucket").alias("hub_bucket"), *(F.col(c).alias(f"hub_{c}") for c in ("id", "component", *carried)))
         # two hubs of a bucket meet once
-        on = (open_["bucket"] == first["bucket"]) & (F.col("component") != F.col("hub_component")) & (~F.col("hub") | (F.col("id") > F.col("hub_id")))
+        on = (F.col("bucket") == F.col("hub_bucket")) & (F.col("component") != F.col("hub_component")) & (~F.col("hub") | (F.col("id") > F.col("hub_id")))
         pairs = open_.join(first, on & possible("", "hub_")).select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b"))
         pairs = work.save(pairs.distinct(), "pairs")
         found = work.save(links(pairs).select("a", "b"), "found")
-        rest = work.save(open_.where("not hub").select(*active.columns), "active")
-        work.drop(active, own, open_, first, pairs)
-        active, hubs = rest, min(most, hubs * grow)
+        work.drop(active, own, pairs)
+        active = open_.where("not hub").select(*active.columns)
+        active._massloom_path = open_._massloom_path
         if found.limit(1).count():
             edges = found if label is None else found.union(label.select("id", "component"))
             before, label = label, components(work, edges)
             if before is not None:
                 work.drop(before)
+    work.drop(active)
     if label is None:
         label = members.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
     return label
