@@ -1,5 +1,8 @@
 """From documents to packed training sequences.
 
+Empty tables give empty ones; rows with a null text or id, repeated rows and very long texts go through like others, each stage as its operator defines it;
+further columns of documents are kept up to the last stage, whatever their names.
+
 Stages: toxic documents go; repeated lines go, but for one of each group; one document of each group of near
 duplicates stays; documents that hold benchmark passages go; the rest is packed into sequences. Every
 stage takes all rows that its predecessor kept, with the columns of documents, and its result is a written
@@ -10,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from massloom.llm.decontam import decontaminate
@@ -42,6 +44,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # its files are needed here only
+
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 

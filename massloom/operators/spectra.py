@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massloom.functions.tolerance import Tolerance
-from massloom.operators.joins import nearest_join
+from massloom.operators.joins import bin_of, bins_near, nearest_join
 
 
 def mz_window(rows: DataFrame, lo: float, hi: float, mz: str = "mz") -> DataFrame:
@@ -67,11 +67,11 @@ def shift_fdr(fragments: DataFrame, peaks: DataFrame, tol: Tolerance, spectrum:
     n = peaks.groupBy(spectrum).agg(F.count("*").alias("n_peaks"))
     moved = peaks.select(spectrum, "peak_idx", "mz", F.explode(F.array(F.lit(None).cast("int"), *(F.lit(k) for k in shifts))).alias("k"))
     moved = moved.select(F.col(spectrum), "peak_idx", "k", F.coalesce(F.col("mz") + F.lit(shift) + F.col("k"), F.col("mz")).alias("shifted_mz"))
-    targets = fragments.select(F.col(spectrum).alias("fragment_spectrum"), F.col("mz").alias("fragment_mz")).distinct()
-    from massloom.operators.joins import band_join
-
-    hit = band_join(moved, targets, ("shifted_mz", "fragment_mz"), tol, ([spectrum], ["fragment_spectrum"]))
-    each = hit.select(spectrum, "k", "peak_idx").distinct().groupBy(spectrum, "k").agg(F.count("*").alias("hits"))
+    # the bins are spread out on the fragments, of which there are fewer; a semi-join counts each moved peak once, so nothing has to be made distinct
+    moved = moved.withColumn("bin_", bin_of(F.col("shifted_mz"), tol))
+    targets = fragments.select(F.col(spectrum).alias("fragment_spectrum"), F.col("mz").alias("fragment_mz"), F.explode(bins_near(F.col("mz"), tol)).alias("fragment_bin"))
+    on = [moved[spectrum] == targets["fragment_spectrum"], F.col("bin_") == F.col("fragment_bin"), tol.within(F.col("shifted_mz"), F.col("fragment_mz"))]
+    each = moved.join(targets, on, "left_semi").groupBy(spectrum, "k").agg(F.count("*").alias("hits"))
     m = len(shifts)
     total = each.groupBy(spectrum).agg(
         F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("hits"))), F.lit(0)).alias("actual_hits"),

@@ -182,9 +182,8 @@ o AS (SELECT p_partkey, p_retailprice AS observed FROM part),
 j AS (SELECT p_partkey, peptide, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(observed - mass), peptide) AS rank FROM o JOIN m ON abs(observed - mass) <= 1e-5 * abs(observed))
 SELECT p_partkey, CAST(rank AS INTEGER) AS rank, peptide FROM j WHERE rank <= 3""")
 def mass_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masses = _peptides(spark, sf_dir).select("peptide").distinct().withColumn("mass", ch.peptide_mass(F.col("peptide")))
     observed = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("observed"))
-    met = joins.band_join(observed, masses, ("observed", "mass"), Tolerance.ppm(10))
+    met = joins.mass_join(observed, _peptides(spark, sf_dir).select("peptide"), "observed", ch.peptide_mass(F.col("peptide")), Tolerance.ppm(10))
     return ranking.top_k(met, ["p_partkey"], [F.abs(F.col("observed") - F.col("mass")), F.col("peptide")], 3).select("p_partkey", "rank", "peptide")
 
 
