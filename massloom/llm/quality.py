@@ -3,12 +3,16 @@
 Words and pairs of neighbouring words are hashed into 2 ** bits buckets. Two multinomials over the buckets, one
 of the trusted target (texts marked good, smoothed by the raw shares), one of the whole raw corpus, give a
 log ratio per bucket, held as an integer of ten-thousandths. A document's score is the mean over
-its n-grams; it passes at `threshold` or above. The model is 2 ** bits integers, whatever the size of the
-corpus, and is a constant of the scan: scoring joins and shuffles nothing.
+its n-grams. The model is 2 ** bits integers, whatever the size of the
+corpus, and is a constant of the scan: scoring joins and shuffles nothing. (Published selection by hashed n-gram ratios uses 10,000 buckets.)
+
+The threshold follows from the corpus: trusted texts of every `folds`-th fold are no part of the target model, and the threshold is the
+score that all but `miss` per mille of them reach (the lowest one's at least; a text at the threshold passes). So it moves along with
+the scores as tables grow. Without such a text it is 0.
 
 Null and empty texts have no words and fail the base rules. Without a trusted text every log ratio counts as 0.
 Repeated rows count as often as they occur, null ids are never trusted but are judged like
-others, and further columns are ignored.
+others, a text of any length is one row's arrays, an empty table gives none, and further columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from massloom.llm.folds import remainder
 from massloom.llm.workspace import Workspace, small
 
 SPACE = r"[\x09-\x0D\x20]+"
@@ -104,13 +109,33 @@ def log_ratios(work: Workspace, docs: DataFrame, trusted: DataFrame, bits: int,
     return model
 
 
-def quality(docs: DataFrame, trusted: DataFrame, threshold: float = -0.17, bits: int = 16, smoothing: float = 4.0) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, bits: int = 16, smoothing: float = 4.0, folds: int = 5, miss: int = 20) -> DataFrame:
     """doc_id, the base counts, base_failed, score (mean log ratio, null without words), kept."""
     work = Workspace(docs.sparkSession, "quality")
-    model = log_ratios(work, docs, trusted, bits, smoothing)
+    model = log_ratios(work, docs, trusted.where(remainder("doc_id", folds) != 0), bits, smoothing)
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")  # folds to one constant in the plan
+    held = work.save(trusted.select(F.col("doc_id").alias("trusted_id")).where((remainder("trusted_id", folds) == 0) & F.col("trusted_id").isNotNull()).distinct(), "held")
+    own = docs.join(small(held, BROADCAST_ROWS), F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    least = _threshold(_scored(own, table, bits), miss)
+    scored = _scored(docs, table, bits)
+    good = F.col("sum") >= F.col("n_grams") * least
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (F.col("sum") / F.nullif("n_grams", F.lit(0)) / SCALE).alias("score"), (~base_failed() & good).alias("kept"))
+
+
+def _scored(docs: DataFrame, table: Column, bits: int) -> DataFrame:
+    """doc_id, the base counts, sum of ten-thousandths and number of n-grams."""
     counted = base_counts(docs.select("doc_id", "text"), "doc_id").withColumn("buckets", _buckets(bits)).drop("hashes", "pairs")
     value = F.aggregate("buckets", F.lit(0).cast("long"), lambda acc, k: acc + F.get(table, k))
-    scored = counted.withColumn("sum", value).withColumn("n_grams", F.size("buckets"))
-    good = F.col("sum") >= F.col("n_grams") * round(threshold * SCALE)
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (F.col("sum") / F.nullif("n_grams", F.lit(0)) / SCALE).alias("score"), (~base_failed() & good).alias("kept"))
+    return counted.withColumn("sum", value).withColumn("n_grams", F.size("buckets"))
+
+
+def _threshold(held: DataFrame, miss: int) -> int:
+    """In whole ten-thousandths, rounded down: what all but `miss` per mille of the texts that pass the base rules reach."""
+    scores = held.where(~base_failed()).groupBy(F.floor(F.col("sum") / F.col("n_grams")).cast("int").alias("v")).agg(F.count("*").alias("n"))
+    rows = sorted((r["v"], r["n"]) for r in scores.collect())  # at most one row for each ten-thousandth of a log ratio
+    left = sum(n for _, n in rows) * miss // 1000
+    for v, n in rows:
+        if n > left:
+            return v
+        left -= n
+    return 0
