@@ -3,11 +3,12 @@
 A text's UTF-8 bytes are cut into segments; two recurrent layers read each segment, one from either end, and
 every byte gets probabilities of the learned languages from both states there. The document's
 probabilities are the means over all its bytes. Training is numpy backpropagation through time on the
-driver, on a bounded draw of texts per language (`per_language` expected); scoring reads every byte of every text.
+driver, on a bounded draw of segments per language (`per_language` expected, from anywhere in its texts, by a hash of id and place); scoring reads
+every byte of every text. Every non-null lang value is learned.
 
-Null texts and texts without a letter are `und` with score 0; without a text to learn from, all are. At most
-`languages` lang values are learned, the most frequent ones, and null lang is not one of them. lang, source
-and ids are no inputs of a prediction. Repeated rows and null ids get rows like others; further columns are ignored.
+Null texts and texts without a letter are `und` with score 0; without a text to learn from, all are. lang, source
+and ids are no inputs of a prediction. Repeated rows and null ids get rows like others (the fold of a null id is that of the empty text), and a
+very long text is a batch by itself; an empty table gives none. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massloom.llm.folds import drawn, remainder
-from massloom.llm.textcols import chunks, utf8
+from massloom.llm.folds import remainder
+from massloom.llm.textcols import U64, chunks, mix, utf8
 
 
 @dataclass(frozen=True)
@@ -30,9 +31,7 @@ class BiGRU:
     held_out: int = 1
     hidden: int = 8
     segment: int = 64
-    languages: int = 64
-    per_language: int = 300
-    segments_per_text: int = 8
+    per_language: int = 2400
     epochs: int = 4
     batch: int = 64
     rate: float = 0.02
@@ -163,28 +162,26 @@ class Network:
 
 def train(docs: DataFrame, how: BiGRU = BiGRU()) -> Network | None:
     """docs: doc_id, text, lang."""
+    width = how.segment
     known = docs.where(remainder("doc_id", how.folds) != how.held_out).where("lang is not null and text is not null")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(how.languages).collect()
-    if not counts:
+    counts = known.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / width)).alias("n")).where("n > 0")
+    shares = counts.select(F.col("lang").alias("own"), F.least(F.lit(1.0), F.lit(float(how.per_language)) / F.col("n")).alias("share")).collect()  # a row per language
+    if not shares:
         return None
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], how.per_language / r["n"]).otherwise(share)
-    # the draw of a language depends on its ids alone; the first bytes of its segments in a fixed order are learned from
-    own = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30))
-    width, most = how.segment, how.segments_per_text
+    table = docs.sparkSession.createDataFrame(shares, "own string, share double")
+    own = known.join(F.broadcast(table), F.col("lang") == F.col("own")).select("lang", "share", F.xxhash64("doc_id", F.lit(3)).alias("h"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             x, length, row = segments(*utf8(b.column("text")), width)
-            nth = np.arange(len(row)) - np.searchsorted(row, row)
-            many = np.bincount(row, minlength=b.num_rows)[row]
-            pick = nth * most // np.maximum(many, most) != (nth - 1) * most // np.maximum(many, most)  # evenly over the text
-            data = [x[k, : length[k]].tobytes() for k in np.flatnonzero(pick)]
+            nth = (np.arange(len(row)) - np.searchsorted(row, row)).astype(U64)
+            draw = mix(b.column("h").to_numpy().view(U64)[row] + mix(nth + U64(11))) >> U64(11)
+            pick = np.flatnonzero(draw < (b.column("share").to_numpy()[row] * float(1 << 53)).astype(U64))
+            data = [x[k, : length[k]].tobytes() for k in pick]
             yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(row[pick])), pa.array(data, pa.binary())], ["lang", "data"])
 
-    got = own.select("lang", "text").mapInArrow(cut, "lang string, data binary").toArrow()
-    classes = sorted(r["lang"] for r in counts)
+    got = own.mapInArrow(cut, "lang string, data binary").toArrow()
+    classes = sorted(r["own"] for r in shares)
     data, lang = got.column("data").to_pylist(), got.column("lang").to_pylist()
     if not data:
         return None
@@ -218,7 +215,7 @@ def language(docs: DataFrame, how: BiGRU = BiGRU()) -> DataFrame:
                 names, score = np.array(net.classes, object)[best], mean[np.arange(n), best]
             else:
                 names, score, letters = np.array(["und"] * n, object), np.zeros(n), np.zeros(n, bool)
-            names[~letters], score = "und", np.where(letters, np.clip(score, 0, 1), 0.0)
+            names[~letters], score = "und", np.where(letters, np.round(np.clip(score, 0, 1), 6), 0.0)  # the last bits depend on the batch
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
