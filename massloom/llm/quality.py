@@ -116,7 +116,8 @@ def quality(docs: DataFrame, trusted: DataFrame, bits: int = 16, smoothing: floa
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")  # folds to one constant in the plan
     held = work.save(trusted.select(F.col("doc_id").alias("trusted_id")).where((remainder("trusted_id", folds) == 0) & F.col("trusted_id").isNotNull()).distinct(), "held")
     own = docs.join(small(held, BROADCAST_ROWS), F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    least = _threshold(_scored(own, table, bits), miss)
+    # written first: a filter moved into the counts would compute them again and again
+    least = _threshold(work.save(_scored(own, table, bits).drop("doc_id"), "held-scores"), miss)
     scored = _scored(docs, table, bits)
     good = F.col("sum") >= F.col("n_grams") * least
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (F.col("sum") / F.nullif("n_grams", F.lit(0)) / SCALE).alias("score"), (~base_failed() & good).alias("kept"))
