@@ -345,3 +345,23 @@ def exact_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = events.select(F.col("event_id").alias("a_id"), F.col("user_id").alias("a_user"), F.col("value").alias("a_value"))
     right = events.select(F.col("event_id").alias("b_id"), F.col("user_id").alias("b_user"), F.col("value").alias("b_value"))
     return band_join(left, right, ("a_value", "b_value"), Tolerance.absolute(0.0), (["a_user"], ["b_user"])).where("a_id < b_id").select("a_id", "b_id")
+
+
+@_query("""WITH o AS (SELECT * FROM orders WHERE o_orderkey % 10 = 0) SELECT CAST(o_orderkey AS VARCHAR) AS psm_id, 'PEPK' AS peptide, CAST(o_custkey % 4 + 1 AS INTEGER) AS charge, round(o_totalprice, 2) AS mz, 'P' || o_custkey % 7 AS protein, 'ms_run[' || (o_orderkey // 10 % 3 + 1) || ']:scan=' || o_orderkey AS scan,
+CASE WHEN o_custkey % 7 < 5 THEN 'protein ' || o_custkey % 7 END AS description, CAST(NULL AS VARCHAR) AS error FROM o""")
+def mztab_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of three files and their proteins, some of which are missing and some written twice, as mzTab and back."""
+    from massloom.sources import mztab
+    from massloom.sources.psm import read_psms
+
+    path = scratch(spark) + "/found.mztab"
+    orders = _table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    key = F.col("o_custkey") % 7
+    proteins = orders.select(F.concat(F.lit("P"), key).alias("accession"), F.concat(F.lit("protein "), key).alias("description")).where("accession not in ('P5', 'P6')").distinct()
+    proteins = proteins.unionAll(proteins.select("accession", F.concat("description", F.lit(" again"))))
+    psms = orders.select(F.lit("PEPK").alias("sequence"), F.col("o_orderkey").alias("psm_id"), F.concat(F.lit("P"), key).alias("accession"), (F.col("o_custkey") % 4 + 1).alias("charge"), F.round("o_totalprice", 2).alias("exp_mass_to_charge"),
+                         F.concat(F.lit("run"), F.floor(F.col("o_orderkey") / 10) % 3).alias("spectra_file"), F.concat(F.lit("scan="), "o_orderkey").alias("spectra_id"))
+    mztab.write_mztab([("description", "matches")], proteins, psms, path)
+    _, _, back = mztab.read_mztab(spark, path)
+    rows = read_psms(spark, path).join(back.select("psm_id", F.col("protein.description").alias("description")), "psm_id")
+    return rows.select("psm_id", "peptide", "charge", F.round("mz", 2).alias("mz"), "protein", "scan", "description", "error")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Columns that the format requires of proteins and of peptide-spectrum matches.
 REQUIRED = {
     "PRH": ["accession", "description", "taxid", "species", "database", "database_version", "search_engine", "ambiguity_members", "modifications"],
     "PSH": ["sequence", "psm_id", "accession", "unique", "database", "database_version", "search_engine", "modifications", "retention_time", "charge", "exp_mass_to_charge", "spectra_ref", "pre", "post", "start", "end"],
@@ -32,7 +33,8 @@ def _section(lines: DataFrame, kind: str, names: list[str]) -> DataFrame:
 
 
 def read_mztab(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """metadata (key, value); proteins; psms, with their protein. Of several proteins of an accession one counts."""
+    """metadata (key, value); proteins; psms, with `protein` (description, species, database; null where the accession is none of them).
+    Of several proteins of an accession the one with the least description counts."""
     lines = spark.read.text(path).where("value <> ''")
     parts = F.split("value", "\t", 3)
     metadata = lines.where(F.startswith("value", F.lit("MTD\t"))).select(parts[1].alias("key"), F.get(parts, F.lit(2)).alias("value"))
@@ -42,7 +44,8 @@ def read_mztab(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     value = F.col("values")
     out = psms.select(*(value[c].alias(c) for c in REQUIRED["PSH"]), _confidence(value).alias("confidence"), "values", "error")
     out = out.withColumns({"charge": F.col("charge").try_cast("int"), "exp_mass_to_charge": F.col("exp_mass_to_charge").try_cast("double"), "rt_s": F.split("retention_time", r"\|")[0].try_cast("double"), "unique": F.col("unique") == "1", "start": F.col("start").try_cast("int"), "end": F.col("end").try_cast("int")})
-    return metadata, proteins, out
+    known = proteins.select("accession", F.struct("description", "species", "database").alias("protein"))
+    return metadata, proteins, out.join(known, "accession", "left")
 
 
 def _confidence(values: Column) -> Column:
@@ -62,16 +65,15 @@ def mztab_lines(metadata: list[tuple[str, str]], proteins: DataFrame, psms: Data
     head += [(f"ms_run[{k}]-location", r["spectra_file"]) for k, r in enumerate(runs, 1)]
     rows = [(f"MTD\t{k}\t{v}", 0, i) for i, (k, v) in enumerate(head)]
     rows += [("PRH\t" + "\t".join(REQUIRED["PRH"]), 1, 0), ("PSH\t" + "\t".join(REQUIRED["PSH"]), 3, 0)]
-    number = F.lit(None).cast("string")
-    for k, r in enumerate(runs, 1):
-        number = F.when(F.col("spectra_file") == r["spectra_file"], F.lit(f"ms_run[{k}]:")).otherwise(number)
-    own = psms.withColumn("spectra_ref", F.concat(number, F.col("spectra_id")))
+    numbers = spark.createDataFrame([(r["spectra_file"], f"ms_run[{k}]:") for k, r in enumerate(runs, 1)], "spectra_file string, run_ string")
+    own = psms.join(numbers, "spectra_file", "left").withColumn("spectra_ref", F.concat("run_", "spectra_id")).drop("run_")
 
     def line(kind: str, names: list[str], table: DataFrame) -> Column:
         texts = (F.coalesce(F.col(c).cast("string"), F.lit("null")) if c in table.columns else F.lit("null") for c in names)
         return F.concat_ws("\t", F.lit(kind), *texts)
 
-    once = proteins.dropDuplicates(["accession"])
+    rest = [c for c in proteins.columns if c != "accession"]
+    once = proteins.groupBy("accession").agg(F.min(F.struct(*rest)).alias("p_")).select("accession", "p_.*") if rest else proteins.distinct()
     body = once.select(line("PRT", REQUIRED["PRH"], once).alias("value"), F.lit(2).alias("section"), F.monotonically_increasing_id().alias("row"))
     body = body.union(own.select(line("PSM", REQUIRED["PSH"], own).alias("value"), F.lit(4).alias("section"), F.monotonically_increasing_id().alias("row")))
     return spark.createDataFrame(rows, "value string, section int, row long").union(body)

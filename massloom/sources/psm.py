@@ -160,6 +160,8 @@ def _extension(path: str) -> str:
 
 def read_psms(spark: SparkSession, path: str, format: str | None = None, version: str | None = None) -> DataFrame:
     """COMMON columns, confidence (-1 to 1), format, version, extras and error of every line."""
+    if format == "mztab" or (not format and _extension(path) == "mztab"):
+        return _from_mztab(spark, path)
     names = [format] if format else BY_EXTENSION.get(_extension(path), [])
     if not names:
         raise ValueError(f"no format is known for {path}")
@@ -177,6 +179,15 @@ def read_psms(spark: SparkSession, path: str, format: str | None = None, version
     return common(read_delimited(spark, path, separator, own.header), own, v)
 
 
+def _from_mztab(spark: SparkSession, path: str) -> DataFrame:
+    from massloom.sources.mztab import read_mztab
+
+    _, _, psms = read_mztab(spark, path)
+    own = {"peptide": F.col("sequence"), "charge": F.col("charge"), "mz": F.col("exp_mass_to_charge"), "rt_s": F.col("rt_s"), "protein": F.col("accession"), "psm_id": F.col("psm_id"), "scan": F.col("spectra_ref"), "score": F.col("confidence")}
+    columns = [own.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in COMMON.items()]
+    return psms.select(*columns, F.col("confidence"), F.lit("mztab").alias("format"), F.lit("1.0").alias("version"), F.col("values").alias("extras"), F.col("error"))
+
+
 def common(rows: DataFrame, own: Format, v: Version) -> DataFrame:
     """rows: values (map), error."""
     out = {}
