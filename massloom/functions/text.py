@@ -36,11 +36,13 @@ def codon_table() -> dict[str, str | None]:
 
 
 def translate(dna: Column, frame: int = 0) -> Column:
-    """Residues of the whole codons from `frame` on; * for a stop, X for what isn't nucleotides."""
+    """Residues of the whole codons from `frame` on; * for a stop, X for what isn't nucleotides. Codons with ambiguous
+    nucleotides have the residue, or the letter for two residues, that all their readings share, else X."""
     clean = F.substring(F.translate(F.upper(dna), "U", "T"), F.lit(1 + frame), F.length(dna))
     known = F.create_map(*(F.lit(x) for kv in CODONS.items() for x in kv))
+    wide = F.create_map(*(F.lit(x) for k, v in codon_table().items() if k not in CODONS and v != "X" for x in (k, v or "*")))
     codons = F.regexp_extract_all(clean, F.lit("(?s)..."), F.lit(0))
-    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.element_at(known, c), F.lit("X"))), "")
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.element_at(known, c), F.element_at(wide, c), F.lit("X"))), "")
 
 
 def reverse_complement(dna: Column) -> Column:

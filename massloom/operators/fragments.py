@@ -50,17 +50,38 @@ class FragmentModel:
     internal: tuple[int, int] | None = None
 
 
-#: Named models; water losses where usual.
+_WATER = ("", "-H2O")
+
+
+def _all(ions: str, losses: tuple[str, ...] = _WATER, **variants: tuple[int, ...]) -> tuple[Series, ...]:
+    return tuple(Series(i, losses=losses, variants=variants.get(i, (0,))) for i in ions)
+
+
+#: Series, losses, hydrogens more or fewer, and other ions of the usual ways of fragmentation.
 MODELS = {
     "none": FragmentModel(()),
-    "all": FragmentModel(tuple(Series(i, losses=("", "-H2O", "-NH3")) for i in "abcxyz"), (1, 2), ("", "-H2O"), True, True, internal=(2, 20)),
-    "cid": FragmentModel((Series("a", Location(take=1), ("",)), Series("b", losses=("", "-H2O")), Series("y", losses=("", "-H2O"))), (1, 2), ("", "-H2O"), True),
-    "etd": FragmentModel((Series("c", variants=(-1, 0, 2)), Series("y"), Series("z", variants=(-1, 0, 1, 2))), (1, 2), ("",), True),
-    "ead": FragmentModel(tuple(Series(i, losses=("", "-H2O")) for i in "abcxy") + (Series("z", losses=("", "-H2O"), variants=(0, 1)),), (1, 2), ("", "-H2O"), True, True),
-    "uvpd": FragmentModel(tuple(Series(i, losses=("", "-H2O"), variants=(0, 1) if i in "az" else (0,)) for i in "abcxyz"), (1, 2), ("",), True),
+    "all": FragmentModel(_all("abcxyz", ("", "-H2O", "-NH3")), (1, 2), _WATER, True, True, internal=(2, 20)),
+    "cid": FragmentModel((Series("a", Location(take=1), _WATER), *_all("by")), (1, 2), _WATER, True, internal=(2, 200)),
+    "etd": FragmentModel(_all("cyz", c=(-1, 0, 2), z=(-1, 0, 1, 2)), (1, 2), ("", "-H2O", "-NH3"), True, internal=(2, 200)),
+    "etcid": FragmentModel((Series("a", Location(take=1)), *_all("bcyz", c=(0, 1), z=(0, 1))), (1, 2), _WATER, True, internal=(2, 200)),
+    "ead": FragmentModel(_all("abcxyz", z=(0, 1)), (1, 2), _WATER, True, True),
+    "eacid": FragmentModel(_all("abcxyz", z=(0, 1)), (1, 2), _WATER, True),
+    "uvpd": FragmentModel(_all("abcxyz", ("",), a=(0, 1, 2), b=(0, 2), x=(-1, 0, 1, 2), y=(-2, -1, 0)), (1, 2), _WATER, True, True),
 }
 
 
+def combined(a: FragmentModel, b: FragmentModel) -> FragmentModel:
+    """A model with all that either has: series of an ion and place are one, with the losses and variants of both."""
+    every: dict[tuple[str, Location], Series] = {}
+    for s in (*a.series, *b.series):
+        have = every.get((s.ion, s.location))
+        both = (s.losses, s.variants) if have is None else (tuple(dict.fromkeys(have.losses + s.losses)), tuple(sorted({*have.variants, *s.variants})))
+        every[s.ion, s.location] = Series(s.ion, s.location, *both)
+    inside = [m.internal for m in (a, b) if m.internal]
+    internal = (min(x for x, _ in inside), max(y for _, y in inside)) if inside else None
+    return FragmentModel(tuple(every.values()), tuple(sorted({*a.charges, *b.charges})), tuple(dict.fromkeys(a.precursor_losses + b.precursor_losses)), a.precursor or b.precursor, a.immonium or b.immonium, max(a.ppm, b.ppm), internal)
+
+
 def fragments(peptides: DataFrame, model: FragmentModel, key: list[str], sequence: str = "peptide") -> DataFrame:
     """key, length, ion, index (residues in it), position (of the last residue from the N-terminus), loss, variant, charge, neutral, mz.
 

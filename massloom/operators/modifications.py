@@ -26,11 +26,14 @@ def modification_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "id string, name string, formula string, delta double, residues array<string>")
 
 
-def placed(rules: Column, residue: Column, index: Column, length: Column) -> Column:
-    """Whether one of the rules (residues: array<string>, position) allows a residue at index (from 0) of a chain; no residues: any."""
+def placed(rules: Column, residue: Column, index: Column, length: Column, starts: Column | None = None, ends: Column | None = None) -> Column:
+    """Whether one of the rules (residues: array<string>, position) allows a residue at index (from 0) of a chain; no residues: any.
+    starts, ends: whether the chain's ends are those of its protein; without them any end may be."""
+    starts, ends = (F.lit(True) if x is None else x for x in (starts, ends))
 
     def one(r: Column) -> Column:
-        here = F.when(r["position"].isin("any_n_term", "protein_n_term"), index == 0).when(r["position"].isin("any_c_term", "protein_c_term"), index == length - 1).otherwise(True)
+        first, last = index == 0, index == length - 1
+        here = F.when(r["position"] == "any_n_term", first).when(r["position"] == "any_c_term", last).when(r["position"] == "protein_n_term", first & starts).when(r["position"] == "protein_c_term", last & ends).otherwise(True)
         return here & ((F.size(r["residues"]) == 0) | F.array_contains(r["residues"], residue))
 
     return F.exists(rules, one)

@@ -365,3 +365,24 @@ def mztab_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, back = mztab.read_mztab(spark, path)
     rows = read_psms(spark, path).join(back.select("psm_id", F.col("protein.description").alias("description")), "psm_id")
     return rows.select("psm_id", "peptide", "charge", F.round("mz", 2).alias("mz"), "protein", "scan", "description", "error")
+
+
+@_query(f"""WITH n AS ({_NAMES}), r AS (SELECT p_partkey, k, length(s) AS n, substr(s, k + 1, 1) AS aa FROM (SELECT p_partkey, s, CAST(unnest(range(0, length(s))) AS INTEGER) AS k FROM n))
+SELECT p_partkey, k AS index, aa, contains('KR', aa) OR (k = 0 AND p_partkey % 2 = 0) OR (k = n - 1 AND aa = 'E') OR (k = n - 1 AND aa = 'T' AND p_partkey % 3 = 0) AS allowed FROM r""")
+def placed_modifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residues that a modification of K and R, of protein starts, of E at any end and of T at protein ends may be on."""
+    rule = lambda residues, position: F.struct(F.array(*map(F.lit, residues)).cast("array<string>").alias("residues"), F.lit(position).alias("position"))
+    rules = F.array(rule("KR", "anywhere"), rule("", "protein_n_term"), rule("E", "any_c_term"), rule("T", "protein_c_term"))
+    each = _named(spark, sf_dir).select("p_partkey", F.length("s").alias("n"), F.posexplode(F.filter(F.split("s", ""), lambda x: x != "")).alias("index", "aa"))
+    key = F.col("p_partkey")
+    return each.select("p_partkey", "index", "aa", md.placed(rules, F.col("aa"), F.col("index"), F.col("n"), key % 2 == 0, key % 3 == 0).alias("allowed"))
+
+
+@_query(f"""WITH n AS ({_NAMES}), t AS (SELECT * FROM (VALUES ('GCN', 'A'), ('RAY', 'B'), ('SAR', 'Z'), ('MTT', 'J'), ('TAR', '*'), ('YTN', 'X'), ('AUG', 'M')) AS v(codon, aa)),
+c AS (SELECT p_partkey, k, ['GCN', 'RAY', 'SAR', 'MTT', 'TAR', 'YTN', 'AUG'][(p_partkey + k) % 7 + 1] AS codon FROM part, range(0, 3) AS r(k)) SELECT p_partkey, string_agg(aa, '' ORDER BY k) AS protein FROM c JOIN t USING (codon) GROUP BY 1""")
+def ambiguous_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.functions.text import translate
+
+    codons = F.array(*map(F.lit, ("GCN", "RAY", "SAR", "MTT", "TAR", "YTN", "AUG")))
+    dna = F.concat(*(F.get(codons, ((F.col("p_partkey") + k) % 7).cast("int")) for k in range(3)))
+    return _table(spark, sf_dir, "part").select("p_partkey", translate(dna).alias("protein"))

@@ -70,6 +70,16 @@ def test_fragments(spark):
     assert {r["ion"] for r in every.select("ion").distinct().collect()} == {*"abcxyz", "precursor", "immonium"}
 
 
+def test_fragment_models(spark):
+    both = fr.combined(fr.MODELS["etd"], fr.MODELS["cid"])
+    assert {s.ion for s in both.series} == {*"abcyz"} and both.internal == (2, 200) and len([s for s in both.series if s.ion == "y"]) == 1
+    assert fr.combined(fr.MODELS["none"], fr.MODELS["ead"]).series == fr.MODELS["ead"].series
+    df = spark.createDataFrame([("PEPTIDE",)], "peptide string")
+    assert fr.fragments(df, fr.MODELS["none"], ["peptide"]).count() == 0
+    got = {(r["ion"], r["loss"], r["variant"]) for r in fr.fragments(df, fr.MODELS["etcid"], ["peptide"]).collect()}
+    assert {("z", "", 1), ("c", "-H2O", 0), ("a", "", 0), ("internal", "", 0)} <= got and not any(ion == "x" for ion, *_ in got)
+
+
 def test_annotation_and_scores(spark):
     ions = spark.createDataFrame([(1, "b1", "b", 1, 100.0), (1, "b2", "b", 2, 200.0), (1, "y1", "y", 2, 100.001)], "spectrum_id int, fragment_id string, ion string, position int, mz double")
     peaks = spark.createDataFrame([(1, 0, 100.0005, 5.0), (1, 1, 150.0, 7.0), (2, 0, 50.0, 1.0)], "spectrum_id int, peak_idx int, mz double, intensity double")
