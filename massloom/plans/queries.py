@@ -436,15 +436,6 @@ def triangular_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.triangular_pairs(nations, "n_nationkey", ["n_regionkey"]).select(F.col("a_n_regionkey").alias("region"), F.col("a_n_nationkey").alias("a_key"), F.col("b_n_nationkey").alias("b_key"))
 
 
-@_query(None)
-def csv_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns written as lines with quotes where needed and read back by the tokenizer."""
-    from massloom.sources.delimited import to_lines, tokenize
-
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[\n\r\"']", " ").alias("text"))
-    return to_lines(turns).withColumn("t", tokenize(F.col("value"), ",")).select("t.fields", "t.error")
-
-
 @_query(None)
 def alignment_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from massloom.operators.alignment import sequence_variance
