@@ -77,8 +77,26 @@ def op10_decontaminate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op11_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.llm.codes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from massloom.llm.spelling import corpus_words, spelling_variants
+
+    return spelling_variants(corpus_words(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_minhash_near_dedup, op2_toxicity_nnpu, op3_quality_llr, op4_substring_automata, op5_best_fit_packing, op6_fuzzy_line_dedup, op7_license_digests, op8_language_bigru, op9_brown_scores, op10_decontaminate_index)
+    every = (op1_minhash_near_dedup, op2_toxicity_nnpu, op3_quality_llr, op4_substring_automata, op5_best_fit_packing, op6_fuzzy_line_dedup, op7_license_digests, op8_language_bigru, op9_brown_scores, op10_decontaminate_index, op11_block_top_k, op12_vector_codes, op13_spelling_variants)
     return {f.__name__: f for f in every}
 
 
@@ -91,4 +109,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_automata": sql.SUBSTRINGS,
         "op7_license_digests": license_sql(),
         "op10_decontaminate_index": sql.CONTAMINATION,
+        "op11_block_top_k": sql.TOP_K,
+        "op12_vector_codes": sql.vector_codes(),
+        "op13_spelling_variants": sql.spelling_variants(),
     }

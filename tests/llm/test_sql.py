@@ -11,7 +11,7 @@ from massloom.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows(spark, data_dir, name):
     with duckdb.connect() as con:
-        for t in ("documents", "benchmark"):
+        for t in ("documents", "benchmark", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data_dir}/{t}.parquet'")
         want = con.execute(queries.oracle_sql()[name])
         columns, rows = [d[0] for d in want.description], want.fetchall()
