@@ -1,4 +1,5 @@
-"""Mass-based alignment of sequences: pairs, best templates, consecutive genes and multiple alignments.
+"""Mass-based alignment of sequences: pairs, templates and consecutive genes. `alignment_batch` has the kernel of many pairs, `alignment_index` the best
+templates, `profiles` multiple alignments.
 
 Two sequences are aligned by dynamic programming with affine gaps. Besides a pair of residues, a step may hold a block of up
 to `steps` residues of each side whose masses agree: a rotation if the residues are the same, else isobaric. Which blocks agree is
@@ -92,6 +93,8 @@ TYPES = {
     "extend_b": Ends("a", "b"),
     "global_left": Ends("both", "none"),
     "global_right": Ends("none", "both"),
+    "ragged_left": Ends("either", "both"),
+    "ragged_right": Ends("both", "either"),
 }
 
 
@@ -308,32 +311,34 @@ def align_pairs(pairs: DataFrame, a: str = "a", b: str = "b", kind: str = "globa
 
     @F.pandas_udf(ALIGNED)
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        from massloom.operators.alignment_batch import align_many
+
         for xs, ys, kinds in batches:
-            rows = []
-            for x, y, k in zip(xs, ys, kinds):
-                try:
-                    if x is None or y is None:
-                        raise ValueError("no sequence")
-                    al = align(x, y, k, scoring, steps)
-                except (ValueError, KeyError) as e:
-                    rows.append((*[None] * (len(names) - 1), str(e)))
-                    continue
-                s = statistics(al.path)
-                rows.append((al.start_a, al.start_b, al.cigar, al.score, al.normalised, s["identical"], s["mass_similar"], s["similar"], s["gaps"], s["length"], None))
+            rows: list[tuple] = [()] * len(xs)
+            for k, of in xs.groupby(kinds.values).indices.items():
+                pairs = list(zip(xs.iloc[of], ys.iloc[of]))
+                for at, al in zip(of, align_many(pairs, k, scoring, steps)):
+                    if isinstance(al, str):
+                        rows[at] = (*[None] * (len(names) - 1), al)
+                        continue
+                    s = statistics(al.path)
+                    rows[at] = (al.start_a, al.start_b, al.cigar, al.score, al.normalised, s["identical"], s["mass_similar"], s["similar"], s["gaps"], s["length"], None)
             yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in whole})
 
     return pairs.withColumn("al_", run(a, b, F.col(kind_column) if kind_column else F.lit(kind))).select(*pairs.columns, "al_.*")
 
 
-def align_to_templates(queries: DataFrame, templates: DataFrame, kind: str = "either_global", block: int = 100_000, **how: object) -> DataFrame:
-    """Every query (query_id, query) against every template (template_id, template): a search of a stated query set
-    against all rows, so its cost is their product. Templates are broadcast in blocks of about `block` rows."""
-    blocks, out = -(-templates.count() // block), None
-    for k in range(max(1, blocks)):
-        own = templates.where(F.pmod(F.xxhash64("template_id"), F.lit(blocks)) == k) if blocks > 1 else templates
-        pairs = align_pairs(queries.join(F.broadcast(own), F.length("query") >= 0), "query", "template", kind, **how)
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+def _met(queries: DataFrame, templates: DataFrame, strip: int = 1000) -> DataFrame:
+    """Every query with every template, by a join on strips of about so many templates to which all queries go."""
+    strips = max(1, -(-templates.count() // strip))
+    own = queries.withColumn("strip_", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    return own.join(templates.withColumn("strip_", F.pmod(F.xxhash64("template_id"), F.lit(strips)).cast("int")), "strip_").drop("strip_")
+
+
+def align_to_templates(queries: DataFrame, templates: DataFrame, kind: str = "either_global", **how: object) -> DataFrame:
+    """Every query (query_id, query) against every template (template_id, template), all of them: its cost is their
+    product. The best ones alone are found by `alignment_index.best_templates`, which leaves most pairs out."""
+    return align_pairs(_met(queries, templates), "query", "template", kind, **how)
 
 
 def distance(identical: str = "identical", mass_similar: str = "mass_similar", a: str = "a", b: str = "b") -> Column:
@@ -349,7 +354,7 @@ def consecutive(queries: DataFrame, genes: list[DataFrame], keep: int = 1, **how
     left, out = queries.select("query_id", "query", F.lit(0).alias("from_")), None
     for k, templates in enumerate(genes):
         rest = left.select("query_id", "query", "from_", F.substring(F.col("query"), F.col("from_") + 1, F.length("query")).alias("rest_"))
-        met = align_pairs(rest.where("length(rest_) > 0").join(F.broadcast(templates), F.length("rest_") > 0), "rest_", "template", "local", **how)
+        met = align_pairs(_met(rest.where("length(rest_) > 0"), templates), "rest_", "template", "local", **how)
         used = F.aggregate(F.expr(r"regexp_extract_all(cigar, '([0-9:]+)([A-Za-z=])', 0)"), F.lit(0), lambda acc, s: acc + F.when(s.endswith("I"), F.lit(0)).otherwise(F.regexp_extract(s, r"^(\d+)", 1).cast("int")))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("normalised"), F.desc("score"), "template_id"))
         ranked = met.withColumn("end_", F.col("from_") + F.col("start_a") + used).withColumn("rank", rank).where(F.col("rank") <= keep)
@@ -360,92 +365,7 @@ def consecutive(queries: DataFrame, genes: list[DataFrame], keep: int = 1, **how
     return out
 
 
-def merge_columns(rows: list[str], more: list[str], scoring: Scoring, steps: int) -> list[str]:
-    """Two aligned groups as one: the first rows are aligned and the gaps are put into all."""
-    al = align(rows[0].replace("-", ""), more[0].replace("-", ""), "global", scoring, steps)
-
-    def spread(group: list[str], which: int) -> list[str]:
-        # columns of the group by residue of its first row; columns before a residue go along with it
-        cols, at = [], 0
-        for c in range(len(group[0])):
-            if group[0][c] != "-":
-                cols.append(range(at, c + 1))
-                at = c + 1
-        tail = range(at, len(group[0]))
-        out, k = [""] * len(group), 0
-        for _, n, m, _ in al.path:
-            own, wide = (n, m)[which - 1], 0
-            for _ in range(own):
-                for r, row in enumerate(group):
-                    out[r] += row[cols[k].start : cols[k].stop]
-                wide += len(cols[k])
-                k += 1
-            pads[which].append(wide)
-        for r, row in enumerate(group):
-            out[r] += row[tail.start : tail.stop]
-        return out
-
-    pads: dict[int, list[int]] = {1: [], 2: []}
-    first, second = spread(rows, 1), spread(more, 2)
-    result = [""] * (len(rows) + len(more))
-    at = [0, 0]
-    for w1, w2 in zip(pads[1], pads[2]):
-        wide = max(w1, w2)
-        for r, row in enumerate(first):
-            result[r] += row[at[0] : at[0] + w1].rjust(wide, "-")
-        for r, row in enumerate(second):
-            result[len(rows) + r] += row[at[1] : at[1] + w2].rjust(wide, "-")
-        at = [at[0] + w1, at[1] + w2]
-    wide = max(len(first[0]) - at[0], len(second[0]) - at[1])
-    for r, row in enumerate([*first, *second]):
-        result[r] += row[at[r >= len(rows)] :].ljust(wide, "-")
-    return result
-
-
-def multiple(sequences: list[str], scoring: Scoring = Scoring(), steps: int = 4, most: float | None = None) -> list[tuple[int, str]]:
-    """Group number and aligned row of each sequence: the two nearest groups are merged again and again, up to distance `most`."""
-    n = len(sequences)
-    near = {}
-    for i in range(n):
-        for j in range(i):
-            s = statistics(align(sequences[i], sequences[j], "global", scoring, steps).path)
-            near[j, i] = 1 - (s["identical"] + s["mass_similar"]) / 2 / max(1, min(len(sequences[i]), len(sequences[j])))
-    groups = {k: ([k], [s]) for k, s in enumerate(sequences)}
-    while near:
-        (i, j), d = min(near.items(), key=lambda kv: (kv[1], kv[0]))
-        if most is not None and d > most:
-            break
-        groups[i] = (groups[i][0] + groups[j][0], merge_columns(groups[i][1], groups[j][1], scoring, steps))
-        del groups[j], near[i, j]
-        for k in groups:
-            if k != i:
-                a, b = near.pop((min(i, k), max(i, k))), near.pop((min(j, k), max(j, k)))
-                near[min(i, k), max(i, k)] = (a + b - d) / 2
-    out: list[tuple[int, str]] = [(0, "")] * n
-    for g, (members, rows) in enumerate(groups.values()):
-        for k, row in zip(members, rows):
-            out[k] = (g, row)
-    return out
-
-
-def multiple_alignment(sequences: DataFrame, group: str, key: str, sequence: str, **how: object) -> DataFrame:
-    """group, key, cluster, aligned. A group is one call: it is for sets of tens of sequences, not for whole corpora."""
-    fields = sequences.select(group, key).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        rows = multiple(pdf[sequence].tolist(), **how)
-        return pd.DataFrame({group: pdf[group].values, key: pdf[key].values, "cluster": [g for g, _ in rows], "aligned": [r for _, r in rows]})
-
-    return sequences.select(group, key, sequence).groupBy(group).applyInPandas(run, f"{group} {fields[group].dataType.simpleString()}, {key} {fields[key].dataType.simpleString()}, cluster int, aligned string")
-
-
 def sequence_variance(aligned: DataFrame, group: list[str]) -> DataFrame:
     """group, column (from 0), residue, n: what stands in each column of aligned rows."""
     letters = aligned.select(*group, F.posexplode(F.split("aligned", "")).alias("column", "residue"))
     return letters.where("residue <> ''").groupBy(*group, "column", "residue").agg(F.count("*").alias("n"))
-
-
-def combine(a: list[str], b: list[str], scoring: Scoring = Scoring(), steps: int = 4) -> list[str]:
-    """The rows of two multiple alignments as one."""
-    return merge_columns(a, b, scoring, steps)

@@ -204,16 +204,19 @@ def residue_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return letters.join(F.broadcast(table), "aa").groupBy("kind", "class").agg(F.sum("count").alias("n"))
 
 
-_SAME = " OR ".join(["x = y", "x = 'X'", "y = 'X'"] + [f"(x = '{w}' AND y IN ('{o[0]}', '{o[1]}')) OR (y = '{w}' AND x IN ('{o[0]}', '{o[1]}'))" for w, o in STANDS_FOR.items()])
+_SAME = " OR ".join(["a = b", "a = 'X'", "b = 'X'"] + [f"(a = '{w}' AND b IN ('{o[0]}', '{o[1]}')) OR (b = '{w}' AND a IN ('{o[0]}', '{o[1]}'))" for w, o in STANDS_FOR.items()])
 
 
-@_query(f"""WITH l AS (SELECT unnest(string_split('ARNDCQEGHILKMFPSTWYVBJZUOX', '')) AS x) SELECT a.x AS a, b.y AS b, ({_SAME}) AS same FROM l a, (SELECT x AS y FROM l) b""")
+@_query(f"""WITH l AS (SELECT regexp_extract_all(upper(text), '[A-Z]') AS s FROM documents WHERE text IS NOT NULL),
+e AS (SELECT s[k] AS a, s[k + 1] AS b FROM (SELECT s, unnest(range(1, len(s))) AS k FROM l))
+SELECT a, b, ({_SAME}) AS same, count(*) AS n FROM e GROUP BY ALL""")
 def same_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each letter beside each other one: a table of 26 by 26."""
-    letters = F.split(F.lit("ARNDCQEGHILKMFPSTWYVBJZUOX"), "")
-    one = spark.range(1).select(F.explode(F.filter(letters, lambda c: c != "")).alias("a"))
-    both = one.select("a", F.explode(F.filter(letters, lambda c: c != "")).alias("b"))
-    return both.select("a", "b", same_residue(F.col("a"), F.col("b")).alias("same"))
+    """Neighbouring letters of the documents, whether they can be the same residue, and how often they stand together."""
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    pairs = F.regexp_extract_all("s", F.lit("(?=(..))"), F.lit(1))
+    both = _table(spark, sf_dir, "documents").select(letters.alias("s")).select(F.explode(pairs).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    both = both.select(F.substring("p", 1, 1).alias("a"), F.substring("p", 2, 1).alias("b"), "n")
+    return both.select("a", "b", same_residue(F.col("a"), F.col("b")).alias("same"), "n")
 
 
 @_query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE upper(c_mktsegment) END AS cv, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'x' || c_custkey || ':y' END AS accession FROM customer""")

@@ -329,14 +329,33 @@ def consecutive_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consecutive(names.select(F.col("s").alias("query_id"), F.col("s").alias("query")), genes)
 
 
-@_query(None)
-def multiple_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from massloom.operators.alignment import multiple_alignment
+def _families(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from massloom.operators.profiles import multiple_alignment
 
     names = _table(spark, sf_dir, "part").select(F.split("p_name", " ")[1].alias("noun"), _residues("p_name").alias("s")).distinct()
     return multiple_alignment(names.withColumn("key", F.col("s")), "noun", "key", "s")
 
 
+@_query(None)
+def multiple_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _families(spark, sf_dir)[0]
+
+
+@_query(None)
+def merge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _families(spark, sf_dir)[1]
+
+
+@_query(None)
+def align_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best part names of each word of eight residues or more in the documents."""
+    from massloom.operators.alignment_index import best_templates
+
+    words = _table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[^A-Za-z]+")).alias("word")).select(_residues("word").alias("query")).where("length(query) >= 8").distinct()
+    names = _names(spark, sf_dir)
+    return best_templates(words.select(F.col("query").alias("query_id"), "query"), names.select(F.col("s").alias("template_id"), F.col("s").alias("template")), keep=3)
+
+
 def _sql_modifications() -> str:
     rows = ", ".join("('{}', {!r}::DOUBLE, '{}')".format(n.replace("'", "''"), ch.formula_mass(ch.parse_formula(f)), r) for _, n, f, r in _MODS)
     return f"(VALUES {rows}) AS m(name, delta, residues)"
