@@ -194,7 +194,9 @@ def best_templates(
     rare = theirs.join(theirs.groupBy("triple").agg(F.count("*").alias("many")).where(F.col("many") <= common).select("triple"), "triple")
     shared = _triples(queries, "query_id", "query").join(rare, "triple").groupBy("query_id", "template_id").agg(F.count("*").alias("triples"))
     first = shared.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("triples"), "template_id"))).where(F.col("place") <= 2 * keep)
-    scored = align_pairs(first.join(queries, "query_id").join(templates, "template_id").select("query_id", "query", "template"), "query", "template", kind, scoring, steps).where("score is not null")
+    # alignments cost more than their bytes tell, so tasks are counted by rows
+    spread = min(n_packs * 4, 10_000)
+    scored = align_pairs(first.join(queries, "query_id").join(templates, "template_id").select("query_id", "query", "template").repartition(spread, "query_id"), "query", "template", kind, scoring, steps).where("score is not null")
     least = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") == keep).select("query_id", F.col("score").alias("least"))
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -213,9 +215,11 @@ def best_templates(
             out += [(own["query_id"].iloc[k], others["template_id"].iloc[good_t[at]], s) for s, at in hits]
         return pd.DataFrame(out, columns=["query_id", "template_id", "score"])
 
+    tasks = min(n_packs * n_strips, 10_000)
+    left, right = (x.repartition(tasks, "pack", "strip") for x in (left, right))
     met = left.groupBy("pack", "strip").cogroup(right.groupBy("pack", "strip")).applyInPandas(run, schema)
     best = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "template_id"))).where(F.col("rank") <= keep).drop("score")
-    rows = queries.join(best, "query_id", "left").join(templates, "template_id", "left")
+    rows = queries.join(best, "query_id", "left").join(templates, "template_id", "left").repartition(spread, "query_id")
     # a query without any hit is aligned with itself to learn what is wrong with it; where nothing is, there were no templates
     out = align_pairs(rows.withColumn("with_", F.coalesce("template", F.when(F.col("template_id").isNull(), F.col("query")))), "query", "with_", kind, scoring, steps)
     names = [c.split()[0] for c in ALIGNED.split(", ")]

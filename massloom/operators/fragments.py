@@ -1,4 +1,4 @@
-"""Theoretical fragment ions of plain sequences."""
+"""Theoretical fragment ions, of plain sequences and of modified, ambiguous and cross-linked ones."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massloom.functions.chemistry import ELEMENTS, FORMULA, MONO, PROTON, WATER, formula_mass, parse_formula
+from massloom.functions.masses import ladders
 
 _H, _C, _N, _O = (ELEMENTS[e] for e in "HCNO")
 
@@ -172,3 +173,33 @@ def cleaved_linkers(links: DataFrame, stubs: list[tuple[float, float]]) -> DataF
     kinds = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ways))
     out = links.withColumn("s_", F.explode(kinds))
     return out.withColumn("neutral_a", F.col("mass_a") + F.col("s_.a")).withColumn("neutral_b", F.col("mass_b") + F.col("s_.b")).drop("s_")
+
+
+def modified_fragments(peptides: DataFrame, model: FragmentModel, key: list[str], sequence: str = "peptide", losses: dict[str, float] | None = None) -> DataFrame:
+    """key, ion_index, chain, length, ion, index, inside, loss, variant, charge, neutral, mz, error: fragments of ProForma texts with modifications, open places and cross-links.
+
+    Each text becomes one ladder of prefixes and suffixes in one pass, and every part of it meets the model's rules (series, places, losses, hydrogens, charges) of its side: an array
+    of constants, so nothing is shuffled. losses: masses of loss names beside those known. inside: the open modifications that lie in the fragment. A text that can't be read gives one
+    row with `error`; fragments that would have no mass are left out.
+    """
+    known = LOSSES | (losses or {})
+    kind = "ion string, side string, loss string, variant int, offset double, skip_n int, skip_c int, take int".split(", ")
+    names = [k.split()[0] for k in kind]
+    rules = [
+        (s.ion, "n" if s.ion in N_TERMINAL else "c", loss, v, (N_TERMINAL | C_TERMINAL)[s.ion] - known[loss] + v * _H, s.location.skip_n, s.location.skip_c, s.location.take)
+        for s in model.series
+        for loss in s.losses
+        for v in s.variants
+    ] + [("precursor", "whole", loss, 0, -known[loss], 0, -1, None) for loss in (model.precursor_losses if model.precursor else ())]
+    table = F.array(*(F.struct(*(F.lit(x).cast(k.split()[1]).alias(n) for n, x, k in zip(names, r, kind))) for r in rules)) if rules else F.array().cast("array<struct<" + ",".join(k.replace(" ", ":") for k in kind) + ">>")
+    own = peptides.select(*key, ladders(sequence).alias("l_")).select(*key, F.explode_outer("l_.parts").alias("p_"), F.col("l_.error").alias("error"))
+    index, length = F.col("p_.index"), F.col("p_.length")
+    fits = lambda r: (r["side"] == F.col("p_.side")) & (index > r["skip_n"]) & (index < length - r["skip_c"]) & (r["take"].isNull() | (index <= r["take"]))
+    out = own.select(*key, "p_", "error", F.explode_outer(F.when(F.col("error").isNull(), F.filter(table, fits))).alias("r_")).where("error is not null or r_ is not null")
+    neutral = F.col("p_.mass") + F.col("r_.offset")
+    out = out.select(
+        *key, F.col("p_.ion").alias("ion_index"), "p_.chain", "p_.length", F.col("r_.ion").alias("ion"), "p_.index", "p_.inside", "r_.loss", "r_.variant", neutral.alias("neutral"), "error"
+    ).where("error is not null or neutral > 0")
+    charges = F.when(F.col("error").isNull(), F.array(*map(F.lit, model.charges))).otherwise(F.array(F.lit(None).cast("int")))
+    out = out.withColumn("charge", F.explode(charges))
+    return out.withColumn("mz", (F.col("neutral") + F.col("charge") * F.lit(PROTON)) / F.col("charge"))

@@ -92,12 +92,18 @@ def isotope_pattern(formula: dict[str, int], threshold: float = 1e-6) -> np.ndar
 
 
 def isotope_patterns(formula: Column | str) -> Column:
-    """isotope_pattern of formula texts."""
+    """isotope_pattern of formula texts; null for texts that are no formula."""
+
+    def one(text: str) -> list[float] | None:
+        try:
+            return isotope_pattern(parse_formula(text)).tolist()
+        except (ValueError, KeyError):
+            return None
 
     @F.pandas_udf("array<double>")
     def run(formulas: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in formulas:
-            yield s.map(lambda t: isotope_pattern(parse_formula(t)).tolist(), na_action="ignore")
+            yield s.map(one, na_action="ignore")
 
     return run(formula)
 

@@ -77,28 +77,35 @@ def replace_mass_shifts(shifts: DataFrame, modifications: DataFrame, tol: Tolera
 
 
 def glycan_fragments(glycans: DataFrame, column: str = "glycan", peptide_mass: str | None = None) -> DataFrame:
-    """glycans and, for each part of the composition, `part`, `ion` (B: the part alone; Y: the peptide with the rest) and `neutral`."""
+    """glycans and, for each part of the composition, `part`, `ion` (B: the part alone; Y: the peptide with the rest), `neutral` and `error`.
+
+    A text that is no composition gives one row with `error`; a null or empty one gives none.
+    """
     sugars = {s: formula_mass(parse_formula(f), ELEMENTS) for s, f in SUGARS.items()}
 
-    @F.pandas_udf("array<struct<part:string,mass:double,rest:double>>")
-    def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(text: str) -> list[dict]:
-            counts = composition(text)
-            total = sum(sugars[s] * n for s, n in counts.items())
-            out = []
-            for p in sub_compositions(counts):
-                mass = sum(sugars[s] * n for s, n in p.items())
-                out.append({"part": "".join(f"{s}{n}" for s, n in sorted(p.items())), "mass": mass, "rest": total - mass})
-            return out
+    names = ("ion", "part", "mass", "error")
 
+    def one(text: str) -> list[dict]:
+        try:
+            counts = composition(text)
+        except ValueError as e:
+            return [dict.fromkeys(names) | {"error": str(e)}]
+        total, out = sum(sugars[s] * n for s, n in counts.items()), []
+        for p in sub_compositions(counts):
+            mass, part = sum(sugars[s] * n for s, n in p.items()), "".join(f"{s}{n}" for s, n in sorted(p.items()))
+            out.append(("B", part, mass, None))
+            if peptide_mass:
+                out.append(("Y", part, total - mass, None))
+        return [dict(zip(names, x)) for x in out]
+
+    @F.pandas_udf("array<struct<ion:string,part:string,mass:double,error:string>>")
+    def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(one, na_action="ignore")
 
-    each = glycans.withColumn("p_", F.explode(parts(column))).select(*glycans.columns, F.col("p_.part").alias("part"), F.col("p_.mass").alias("mass_"), F.col("p_.rest").alias("rest_"))
-    out = each.select(*glycans.columns, "part", F.lit("B").alias("ion"), F.col("mass_").alias("neutral"))
-    if peptide_mass:
-        out = out.unionAll(each.select(*glycans.columns, "part", F.lit("Y"), F.col(peptide_mass) + F.col("rest_")))
-    return out
+    each = glycans.withColumn("p_", F.explode(parts(column)))
+    neutral = F.col("p_.mass") + (F.when(F.col("p_.ion") == "Y", F.col(peptide_mass)).otherwise(0.0) if peptide_mass else 0.0)
+    return each.select(*glycans.columns, "p_.part", "p_.ion", neutral.alias("neutral"), "p_.error")
 
 
 def glycan_formulas() -> dict[str, str]:
