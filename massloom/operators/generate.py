@@ -52,22 +52,65 @@ def find_formulas(targets: DataFrame, mass: str, limits: dict[str, tuple[int, in
     return out.where(F.col("formula_mass").between(F.col("lo_"), F.col("hi_"))).drop("lo_", "hi_", "sum_")
 
 
-def isobaric_sets(targets: DataFrame, mass: str, tol: Tolerance, most: int = 3, letters: str = "ARNDCQEGHLKMFPSTWYV") -> DataFrame:
-    """targets with `residues` of every multiset of up to `most` residues whose peptide mass is within tolerance.
-
-    Multisets grow by residues that do not come before their last one, and no further than the mass.
+def _blocks(letters: str, fixed: list[tuple[str, float, str]], variable: list[tuple[str, float, str]]) -> list[tuple[str, str, float]]:
+    """Text, letter and mass of each residue with its modifications, by mass; a fixed modification replaces the plain residue."""
+    out = []
+    for x in letters:
+        own = [(f"[{n}]", m) for n, m, on in fixed if x in on]
+        base = (x + "".join(n for n, _ in own), MONO[x] + sum(m for _, m in own))
+        out += [(base[0], x, base[1]), *((f"{base[0]}[{n}]", x, base[1] + m) for n, m, on in variable if x in on)]
+    return sorted(out, key=lambda b: (b[2], b[0]))
+
+
+def isobaric_sets(
+    targets: DataFrame,
+    mass: str,
+    tol: Tolerance,
+    most: int = 3,
+    letters: str = "ARNDCQEGHLKMFPSTWYV",
+    fixed: list[tuple[str, float, str]] = [],  # noqa: B006
+    variable: list[tuple[str, float, str]] = [],  # noqa: B006
+    n_term: list[tuple[str, float, str]] = [],  # noqa: B006
+    c_term: list[tuple[str, float, str]] = [],  # noqa: B006
+    broadcast_rows: int = 500_000,
+) -> DataFrame:
+    """targets with `residues`, `n_term` and `c_term` of every multiset of up to `most` residues whose peptide mass is within tolerance.
+
+    Modifications are (name, mass, residues that carry it): fixed ones are on each such residue, variable ones may be, one a residue. A terminal one may be on the set if one of its residues can be at that end
+    (two different ones if both ends have one); n_term and c_term are null without. Sets meet in the middle: a set in the order of masses is a lower half and an upper half that
+    doesn't begin before it ends, halves of up to (most + 1) // 2 residues are made once, and a target asks, for each lower half, the mass bins that can hold an upper half. So the work grows
+    with the halves and the results, not with all sets. Upper halves depend on the parameters alone and are broadcast if they are `broadcast_rows` at most.
     """
-    order = sorted(letters, key=lambda x: (MONO[x], x))
+    spark, blocks = targets.sparkSession, _blocks(letters, list(fixed), list(variable))
+    table = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("text"), F.lit(m).alias("m")) for k, (t, _, m) in enumerate(blocks)))
+    grown = spark.range(1).select(F.lit("").alias("text"), F.lit(0.0).alias("m"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(0).alias("size"))
+    halves = grown
+    for _ in range((most + 1) // 2):
+        grown = grown.withColumn("r_", F.explode(F.filter(table, lambda r: r["k"] >= F.col("last"))))
+        grown = grown.select(F.concat("text", "r_.text").alias("text"), (F.col("m") + F.col("r_.m")).alias("m"), F.when(F.col("size") == 0, F.col("r_.k")).otherwise(F.col("first")).alias("first"), F.col("r_.k").alias("last"), (F.col("size") + 1).alias("size"))
+        halves = halves.unionAll(grown)
     lo, hi = tol.bounds(F.col(mass))
-    grown = targets.withColumn("lo_", lo - F.lit(WATER)).withColumn("hi_", hi - F.lit(WATER)).withColumn("residues", F.lit("")).withColumn("sum_", F.lit(0.0)).withColumn("last_", F.lit(0))
-    table = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x).alias("aa"), F.lit(MONO[x]).alias("m")) for k, x in enumerate(order)))
-    out = None
-    for _ in range(most):
-        more = F.filter(table, lambda r: (r["k"] >= F.col("last_")) & (F.col("sum_") + r["m"] <= F.col("hi_")))
-        grown = grown.withColumn("r_", F.explode(more)).withColumn("residues", F.concat("residues", "r_.aa")).withColumn("sum_", F.col("sum_") + F.col("r_.m")).withColumn("last_", F.col("r_.k")).drop("r_")
-        hit = grown.where(F.col("sum_") >= F.col("lo_"))
-        out = hit if out is None else out.unionAll(hit)
-    return out.drop("lo_", "hi_", "sum_", "last_")
+    ends = [(None, 0.0, ""), *n_term], [(None, 0.0, ""), *c_term]
+    terms = spark.createDataFrame([(1, a, b, float(x + y), on, of) for a, x, on in ends[0] for b, y, of in ends[1]], "one_ int, n_term string, c_term string, end_ double, on_n_ string, on_c_ string")
+    asked = targets.withColumn("one_", F.lit(1)).join(F.broadcast(terms), "one_").withColumn("lo_", lo - F.lit(WATER) - F.col("end_")).withColumn("hi_", hi - F.lit(WATER) - F.col("end_"))
+    wide = asked.agg(F.max(F.col("hi_") - F.col("lo_"))).first()[0] or 1.0
+    width = F.lit(max(float(wide), 1e-4))
+    lower = halves.where(F.col("size") <= most // 2).select(F.lit(1).alias("one_"), F.col("text").alias("text_"), F.col("m").alias("m_"), F.col("last").alias("last_"), F.col("size").alias("size_"))
+    upper = halves.where("size > 0").withColumn("bin_", F.floor(F.col("m") / width))
+    if upper.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        upper = F.broadcast(upper)
+    # each target goes through the lower halves, of which there are no more than upper ones
+    met = asked.join(F.broadcast(lower), "one_").where("m_ <= hi_").drop("one_")
+    from_, to = F.floor((F.col("lo_") - F.col("m_")) / width), F.floor((F.col("hi_") - F.col("m_")) / width)
+    met = met.withColumn("bin_", F.explode(F.sequence(from_, to))).join(upper, "bin_")
+    # of a set of n, the lower half has n // 2
+    met = met.where((F.col("first") >= F.col("last_")) & ((F.col("size") == F.col("size_")) | (F.col("size") == F.col("size_") + 1)) & (F.col("size") + F.col("size_") <= most))
+    met = met.where((F.col("m_") + F.col("m")).between(F.col("lo_"), F.col("hi_"))).withColumn("residues", F.concat("text_", "text"))
+    bare = F.regexp_replace("residues", r"\[[^\]]*\]", "")
+    left = lambda on: F.length(F.regexp_replace(bare, F.concat(F.lit("[^#"), on, F.lit("]")), F.lit("")))
+    can = (F.col("n_term").isNull() | (left(F.col("on_n_")) > 0)) & (F.col("c_term").isNull() | (left(F.col("on_c_")) > 0))
+    two = F.col("n_term").isNull() | F.col("c_term").isNull() | (F.length(bare) == 1) | (left(F.concat("on_n_", "on_c_")) > 1)
+    return met.where(can & two).select(*targets.columns, "residues", "n_term", "c_term")
 
 
 def isotope_pattern(formula: dict[str, int], threshold: float = 1e-6) -> np.ndarray:

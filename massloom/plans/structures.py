@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from massloom.functions import chemistry as ch
 from massloom.functions.modifications import SUGARS, modification_mass
+from massloom.functions.tolerance import Tolerance
 from massloom.operators import fragments as fr
+from massloom.operators import generate
 from massloom.plans.queries import _SQL_RESIDUES, _query, _residues, _table
 
 _TREE_SUGARS = ("Man", "GlcNAc", "Fuc")
@@ -85,3 +87,55 @@ def linked_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.substring("a", 1, 1), F.lit("[+138.068#XL1]"), F.substring("a", F.lit(2), F.length("a")), F.lit("//"), "b", F.lit("[#XL1]"))
     out = fr.modified_fragments(own.select("p_partkey", text.alias("peptide")), _MODEL, ["p_partkey"])
     return out.select("p_partkey", "chain", "ion", "index", "loss", "charge", F.expr("CAST(floor(round(mz * 1000) / 10) AS BIGINT)").alias("centi"))
+
+
+_MOLECULES = """CASE p_partkey % 6 WHEN 0 THEN 'C' || (n) || 'H' || (2 * n + 2) || 'O' WHEN 1 THEN 'C' || (n + 2) || 'H' || (2 * n + 4) WHEN 2 THEN 'C' || (n + 6) || 'H' || (2 * n + 6)
+WHEN 3 THEN 'C' || (n + 1) || 'H' || (2 * n + 2) || 'O2' WHEN 4 THEN 'C' || (n + 5) || 'H' || (2 * n + 5) || 'N' END"""
+
+
+@_query(f"""WITH t AS (SELECT p_partkey, 2 + p_size % 9 AS n FROM part) SELECT p_partkey, {_MOLECULES} AS formula, CAST(CASE p_partkey % 6 WHEN 0 THEN n WHEN 1 THEN n + 2 WHEN 2 THEN n + 6 WHEN 3 THEN n + 2 WHEN 4 THEN n + 6 END AS INTEGER) AS bonds,
+CAST(CASE p_partkey % 6 WHEN 0 THEN 0 WHEN 3 THEN 0 WHEN 5 THEN NULL ELSE 1 END AS INTEGER) AS rings, p_partkey % 6 = 5 AS bad FROM t""")
+def smiles_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alcohols, rings, aromatic chains, acids and texts that are no molecule, one for each part."""
+    from massloom.functions.smiles import molecules
+
+    n, key = (2 + F.col("p_size") % 9).cast("int"), F.col("p_partkey") % 6
+    chain = F.repeat(F.lit("C"), n)
+    text = F.when(key == 0, F.concat(chain, F.lit("O"))).when(key == 1, F.concat(F.lit("C1"), chain, F.lit("C1"))).when(key == 2, F.concat(F.lit("c1ccccc1"), chain))
+    text = text.when(key == 3, F.concat(chain, F.lit("C(=O)O"))).when(key == 4, F.concat(F.lit("c1cc("), chain, F.lit(")cnc1"))).otherwise(F.concat(chain, F.lit("(")))
+    out = _table(spark, sf_dir, "part").select("p_partkey", molecules(text).alias("m"))
+    return out.select("p_partkey", "m.formula", F.when(F.col("m.bonds").isNotNull(), F.size("m.bonds")).alias("bonds"), "m.rings", F.col("m.error").isNotNull().alias("bad"))
+
+
+@_query("""WITH RECURSIVE e AS (SELECT c_custkey AS child, c_custkey // 2 AS parent FROM customer WHERE c_custkey > 0 UNION SELECT c_custkey, c_custkey * 2 // 3 FROM customer WHERE c_custkey > 0 AND c_custkey % 3 > 0),
+r AS (SELECT child AS id, parent AS ancestor, 1 AS distance FROM e UNION SELECT r.id, e.parent, r.distance + 1 FROM r JOIN e ON e.child = r.ancestor)
+SELECT 'N:' || id AS id, 'N:' || ancestor AS ancestor, CAST(min(distance) AS INTEGER) AS distance FROM r GROUP BY ALL""")
+def ontology_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as terms with one or two parents, written as OBO text, and all that they descend from."""
+    from massloom.session import scratch
+    from massloom.sources import ontology as on
+    from massloom.sources.vocabulary import read_obo
+
+    key, path = F.col("c_custkey"), f"{scratch(spark)}/terms"
+    line = lambda p: F.concat(F.lit("is_a: N:"), F.floor(p).cast("string"), F.lit(" ! parent"))
+    second = F.when(key % 3 > 0, line(key * 2 / 3))
+    text = F.concat_ws("\n", F.lit("[Term]"), F.concat(F.lit("id: N:"), key), F.concat(F.lit("name: customer "), key), F.when(key > 0, line(key / 2)), F.when(key > 0, second), F.lit(""))
+    _table(spark, sf_dir, "customer").select(text).write.text(path)
+    return on.closure(on.edges(read_obo(spark, path)))
+
+
+def _sql_larger_sets() -> str:
+    blocks = generate._blocks("ARNDCQEGHLKMFPSTWYV", [("Carbamidomethyl", 57.021464, "C")], [("Oxidation", 15.994915, "M")])
+    rows = ", ".join(f"({k}, '{t}', {m!r}::DOUBLE)" for k, (t, _, m) in enumerate(blocks))
+    return f"""WITH RECURSIVE b AS (SELECT * FROM (VALUES {rows}) AS v(k, a, m)), t AS (SELECT DISTINCT p_size, 250.125::DOUBLE + p_size * 9.0045::DOUBLE AS mass FROM part),
+s AS (SELECT a AS residues, m, k, 1 AS n FROM b UNION ALL SELECT s.residues || b.a, s.m + b.m, b.k, n + 1 FROM s JOIN b ON b.k >= s.k WHERE n < 5),
+x AS (SELECT * FROM (VALUES (NULL, 0.0::DOUBLE), ('Acetyl', 42.010565::DOUBLE)) AS v(n_term, extra))
+SELECT p_size, residues, n_term FROM t, x JOIN s ON m BETWEEN mass - 0.02 - {ch.WATER!r}::DOUBLE - extra AND mass + 0.02 - {ch.WATER!r}::DOUBLE - extra WHERE n_term IS NULL OR regexp_matches(regexp_replace(residues, '\\[[^\\]]*\\]', '', 'g'), '[AGK]')"""
+
+
+@_query(_sql_larger_sets())
+def larger_isobaric_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of up to five residues, with carbamidomethylated C, M with and without oxidation, and an acetyl group at starts that A, G or K can be."""
+    targets = _table(spark, sf_dir, "part").select("p_size", (F.lit(250.125) + F.col("p_size") * 9.0045).alias("mass")).distinct()
+    out = generate.isobaric_sets(targets, "mass", Tolerance.absolute(0.02), 5, fixed=[("Carbamidomethyl", 57.021464, "C")], variable=[("Oxidation", 15.994915, "M")], n_term=[("Acetyl", 42.010565, "AGK")])
+    return out.select("p_size", "residues", "n_term")

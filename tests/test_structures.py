@@ -148,7 +148,7 @@ def test_modified_fragments(spark):
     model = fr.FragmentModel((fr.Series("b"), fr.Series("y", losses=("", "-H3PO4"))), (1, 2), precursor=True)
     rows = fr.modified_fragments(df, model, ["id"], losses={"-H3PO4": 97.976896}).collect()
     phospho = modification_mass("Phospho")
-    got = {(x.ion, x.index, x.inside, x.loss): x.mz for x in rows if x.id == 1 and x.charge == 1}
+    got = {(x.ion, x["index"], x.inside, x.loss): x.mz for x in rows if x.id == 1 and x.charge == 1}
     b1, b2 = ch.MONO["A"] + ch.PROTON, ch.MONO["A"] + ch.MONO["S"] + ch.PROTON
     assert got["b", 1, "", ""] == pytest.approx(b1, abs=1e-5) and got["b", 2, "", ""] == pytest.approx(b2, abs=1e-5) and got["b", 2, "#g", ""] == pytest.approx(b2 + phospho, abs=1e-5)
     assert ("b", 1, "#g", "") not in got and ("b", 3, "", "") not in got and got["y", 2, "#g", "-H3PO4"] == pytest.approx(got["y", 2, "#g", ""] - 97.976896, abs=1e-6)
