@@ -6,9 +6,9 @@ named in two documents or more are exchanged first; then the windows that name s
 row per window and shard of documents, which gives the windows that recur and the smallest document each starts in. So far all is hashes, and only proposes:
 the words under a document's recurring windows are passages, which go, as words, to the shards whose documents have them too.
 For every shard an Aho-Corasick automaton (pyahocorasick) of its passages, cut into chunks of half a window, streams the words of all of the shard's
-documents. Wherever a window of a passage stands in a document, a whole chunk of it does, so every occurrence is found; it is then
-followed word by word to both sides, and runs of `window` words or more that a smaller document has are cut. Only
-words found by the automaton and compared as words decide.
+documents. Wherever a window of a passage stands in a document, a whole chunk of it does, so every occurrence is found; of the windows around
+what was found, those whose words are a window of a smaller document's passage are cut. Only
+windows found by the automaton and compared as words decide, and the work follows the words, however often they repeat.
 
 Words are runs of bytes other than ASCII white space. Null texts have no words. Documents without an id are compared with
 nothing and keep all words; rows that repeat an id are one document and don't count as each other's copies. Every input row
@@ -133,46 +133,56 @@ def _passages(docs: DataFrame, spans: DataFrame, how: Phrases) -> DataFrame:
 
 
 class Automaton:
-    """Of the passages of a shard: (document, words)."""
+    """Of the passages of a shard: (document, words).
+
+    The machine knows each distinct chunk of half a window, so it is no larger, and a document's stream through it no slower, for passages that repeat themselves. Each distinct
+    window of the passages is kept once, with a place of the smallest document that has it.
+    """
 
     def __init__(self, passages: list[tuple[int, bytes]], how: Phrases):
         self.how, self.chunk, self.number = how, (how.window + 1) // 2, {}
-        self.docs, self.words = [], []
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, (doc, words) in enumerate(passages):
-            numbers = [self.number.setdefault(w, len(self.number) + 1) for w in words.split()]
-            self.docs.append(doc)
-            self.words.append(np.array(numbers, np.int32))
-            for at in range(0, len(numbers) - self.chunk + 1, self.chunk):
-                places.setdefault(tuple(numbers[at : at + self.chunk]), []).append((k, at))
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, found in places.items():
-            self.machine.add_word(key, found)
-        if places:
+        parts = [[self.number.setdefault(w, len(self.number) + 1) for w in words.split()] for _, words in passages]
+        self.words = np.array([n for own in parts for n in own], np.int32)
+        rows = np.concatenate(([0], np.cumsum([len(own) for own in parts], dtype=np.int64)))
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for key in {tuple(own[at : at + self.chunk]) for own in parts for at in range(0, len(own) - self.chunk + 1, self.chunk)}:
+            self.machine.add_word(key)
+        if len(self.machine):
             self.machine.make_automaton()
+        names, bounds = ngrams(mix(self.words.astype(U64)), rows, how.window)
+        place = np.arange(len(names)) + np.repeat(rows[:-1] - bounds[:-1], np.diff(bounds))
+        docs = np.repeat(np.array([doc for doc, _ in passages], np.int64), np.diff(bounds))
+        order = np.lexsort((docs, names))
+        order = order[np.concatenate((np.ones(min(1, len(order)), bool), names[order][1:] != names[order][:-1]))] if len(order) else order
+        self.names, self.place, self.docs = names[order], place[order], docs[order]
 
     def covered(self, words: list[bytes], doc: int) -> np.ndarray:
-        """Which of a document's words are to go."""
-        gone = np.zeros(len(words), bool)
-        if not len(self.machine) or len(words) < self.how.window:
+        """Which of a document's words are to go: those in windows around a chunk that the machine has found, whose words are those of a smaller document's window."""
+        gone, window = np.zeros(len(words), bool), self.how.window
+        if not len(self.machine) or len(words) < window or not len(self.names):
             return gone
         numbers = tuple(map(self.number.get, words, repeat(0)))
-        own, seen = np.array(numbers, np.int32), set()
-        for end, places in self.machine.iter(numbers):
-            for k, at in places:
-                shift = end - self.chunk + 1 - at  # where the passage's first word would stand
-                if self.docs[k] >= doc or (k, shift) in seen:
-                    continue
-                seen.add((k, shift))
-                passage = self.words[k]
-                lo, hi = max(shift, 0), min(shift + len(passage), len(own))
-                same = np.zeros(hi - lo + 2, np.int8)
-                same[1:-1] = own[lo:hi] == passage[lo - shift : hi - shift]
-                edge = np.flatnonzero(np.diff(same))
-                for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    if y - x >= self.how.window:
-                        gone[lo + x : lo + y] = True
-        return gone
+        ends = np.fromiter((end for end, _ in self.machine.iter(numbers)), np.int64)
+        if not len(ends):
+            return gone
+        own = np.array(numbers, np.int32)
+        # a window that holds the chunk that ends at `end` starts from end - window + 1 on, and at its first word at the latest
+        edge = np.zeros(len(own) + 1, np.int32)
+        np.add.at(edge, np.maximum(ends - window + 1, 0), 1)
+        np.add.at(edge, ends - self.chunk + 2, -1)
+        starts = np.flatnonzero(np.cumsum(edge)[: len(own) - window + 1])
+        names, _ = ngrams(mix(own.astype(U64)), np.array([0, len(own)]), window)
+        at = np.minimum(np.searchsorted(self.names, names[starts]), len(self.names) - 1)
+        known = (self.names[at] == names[starts]) & (self.docs[at] < doc)
+        starts, at = starts[known], self.place[at[known]]
+        count = np.zeros(len(own) + 1, np.int64)
+        each = np.arange(window)
+        for k in range(0, len(starts), 1 << 13):
+            s, p = starts[k : k + (1 << 13)], at[k : k + (1 << 13)]
+            s = s[(own[s[:, None] + each] == self.words[p[:, None] + each]).all(1)]
+            np.add.at(count, s, 1)
+            np.add.at(count, s + window, -1)
+        return np.cumsum(count)[:-1] > 0
 
 
 _OUT = "n_words long, n_removed long, kept string"

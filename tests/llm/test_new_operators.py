@@ -226,3 +226,30 @@ def test_near_words_in_hot_segments(spark):
 def test_spelling_of_no_words(spark):
     assert spelling.spelling_variants(spark.createDataFrame([], "word string, n long")).count() == 0
     assert spelling.spelling_variants(spark.createDataFrame([("ab", 1), ("b", 9)], "word string, n long")).where("root = 'b'").count() == 2
+
+
+def test_automaton_by_brute_force():
+    from massloom.llm.substrings import Automaton, Phrases
+
+    r, how = random.Random(9), Phrases(window=6, phrase=2)
+    for _ in range(200):
+        letters = [b"a", b"b", b"c"][: r.randint(1, 3)]
+        passages = [(r.randint(1, 5), [r.choice(letters) for _ in range(r.randint(6, 30))]) for _ in range(r.randint(1, 4))]
+        machine = Automaton([(d, b" ".join(w)) for d, w in passages], how)
+        own, doc = [r.choice(letters) for _ in range(r.randint(0, 40))], r.randint(1, 6)
+        known = {tuple(w[k : k + 6]) for d, w in passages if d < doc for k in range(len(w) - 5)}
+        want = np.zeros(len(own), bool)
+        for k in range(len(own) - 5):
+            if tuple(own[k : k + 6]) in known:
+                want[k : k + 6] = True
+        assert (machine.covered(own, doc) == want).all()
+
+
+@pytest.mark.parametrize("line", [["word"], [f"w{k}" for k in range(10)]])
+def test_long_texts_that_repeat_themselves(spark, line):
+    """A million words twice, within seconds."""
+    from massloom.llm.substrings import Phrases, removed_report
+
+    text = " ".join(line * (1_000_000 // len(line)))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "word " * 49)], "doc_id long, text string")
+    assert {x.doc_id: (x.n_words, x.n_removed) for x in removed_report(docs, Phrases()).collect()} == {1: (1_000_000, 0), 2: (1_000_000, 1_000_000), 3: (49, 0)}
