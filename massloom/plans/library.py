@@ -389,3 +389,23 @@ def ambiguous_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
     codons = F.array(*map(F.lit, ("GCN", "RAY", "SAR", "MTT", "TAR", "YTN", "AUG")))
     dna = F.concat(*(F.get(codons, ((F.col("p_partkey") + k) % 7).cast("int")) for k in range(3)))
     return _table(spark, sf_dir, "part").select("p_partkey", translate(dna).alias("protein"))
+
+
+@_query("""SELECT 'scan=' || l_orderkey AS id, CAST(1 + l_orderkey % 3 AS INTEGER) AS ms_level, CAST(CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE -1 END AS INTEGER) AS polarity, l_orderkey * 0.5::DOUBLE AS rt_s,
+CASE WHEN l_orderkey % 3 > 0 THEN 100 + l_orderkey / 7.0::DOUBLE END AS precursor_mz, CAST(CASE WHEN l_orderkey % 3 > 0 AND l_orderkey % 5 > 0 THEN l_orderkey % 5 END AS INTEGER) AS charge,
+count(*) AS n_peaks, round(min(l_extendedprice), 4) AS first_mz, round(max(l_extendedprice), 4) AS last_mz, round(sum(l_quantity), 4) AS total, CAST(NULL AS VARCHAR) AS error FROM lineitem GROUP BY l_orderkey""")
+def mzml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as spectra whose lines are peaks, written as mzML, half of them compressed, and read back."""
+    from massloom.sources.mzml import read_mzml, write_mzml
+
+    key, root = F.col("l_orderkey"), scratch(spark)
+    line = F.struct(F.col("l_extendedprice").cast("double").alias("mz"), F.col("l_quantity").cast("double").alias("intensity"))
+    orders = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("peaks"))
+    rows = orders.select(F.concat(F.lit("scan="), key).alias("id"), (1 + key % 3).cast("int").alias("ms_level"), F.when(key % 2 == 0, 1).otherwise(-1).alias("polarity"), (key * 0.5).alias("rt_s"),
+                         F.when(key % 3 > 0, 100 + key / 7.0).alias("precursor_mz"), F.when(key % 5 > 0, key % 5).cast("int").alias("charge"), "peaks")
+    for half in (0, 1):
+        write_mzml(rows.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half), f"{root}/{half}", compress=bool(half))
+    back = read_mzml(spark, f"{root}/*")
+    of = lambda name: F.transform("peaks", lambda p: p[name])
+    total = F.aggregate(of("intensity"), F.lit(0.0), lambda a, x: a + x)
+    return back.select("id", "ms_level", "polarity", "rt_s", "precursor_mz", "charge", F.size("peaks").cast("long").alias("n_peaks"), F.round(F.array_min(of("mz")), 4).alias("first_mz"), F.round(F.array_max(of("mz")), 4).alias("last_mz"), F.round(total, 4).alias("total"), "error")
