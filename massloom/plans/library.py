@@ -59,12 +59,12 @@ def location_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own
 
 
-@_query("""SELECT conv_id, turn, CASE WHEN contains(t, ',') THEN replace(t, '"', '''') ELSE rtrim(t) END AS text FROM (SELECT conv_id, turn, ltrim(regexp_replace(text, '[\\n\\r]', ' ', 'g')) AS t FROM conversations WHERE regexp_matches(text, '^[^"'']') AND NOT contains(text, '\\r'))""")
+@_query("""SELECT conv_id, turn, CASE WHEN contains(t, ',') OR regexp_matches(t, '^["'']') THEN replace(t, '"', '''') ELSE rtrim(t) END AS text FROM (SELECT conv_id, turn, ltrim(regexp_replace(coalesce(text, ''), '[\\n\\r]', ' ', 'g')) AS t FROM conversations)""")
 def csv_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns, with the quotes that they have, written as lines and read back by the tokenizer."""
     from massloom.sources.delimited import to_lines, tokenize
 
-    turns = _table(spark, sf_dir, "conversations").where(F.rlike("text", F.lit("^[^\"']")) & ~F.contains("text", F.lit("\r")))
+    turns = _table(spark, sf_dir, "conversations")
     turns = turns.select("conv_id", "turn", F.ltrim(F.regexp_replace("text", r"[\n\r]", " ")).alias("text"))
     back = to_lines(turns).select(tokenize(F.col("value"), ",").alias("t"))
     return back.select(F.col("t.fields")[0].cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("t.fields")[1].cast(turns.schema["turn"].dataType).alias("turn"), F.col("t.fields")[2].alias("text"))
@@ -106,14 +106,14 @@ def obo_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(values, "id")
 
 
-@_query("""SELECT 'PEPK' AS sequence, CAST(o_orderkey AS VARCHAR) AS scan_index, 'run.raw' AS raw_file, CAST(o_custkey % 4 AS INTEGER) AS z, CAST(NULL AS DOUBLE) AS score, 'Unknown' AS class FROM orders WHERE o_orderkey % 10 = 0""")
+@_query("""SELECT 'PEPK' AS sequence, CAST(o_orderkey AS VARCHAR) AS scan_index, 'run.raw' AS raw_file, CAST(o_custkey % 4 AS INTEGER) AS z, CAST(NULL AS DOUBLE) AS score, 'Unknown' AS class FROM orders""")
 def converted_psms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifications written as a file, opened by the format's name and converted."""
     from massloom.sources.delimited import write_delimited
     from massloom.sources.psm import read_psms
 
     path = scratch(spark) + "/found.csv"
-    rows = _table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    rows = _table(spark, sf_dir, "orders")
     write_delimited([rows.select(F.col("o_orderkey").alias("scan_index"), F.lit("PEPK").alias("sequence"), F.lit("run.raw").alias("raw_file"), (F.col("o_custkey") % 4).alias("z"))], path)
     return stats.convert(read_psms(spark, path, format="basic_csv"))
 
@@ -350,7 +350,7 @@ def exact_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return band_join(left, right, ("a_value", "b_value"), Tolerance.absolute(0.0), (["a_user"], ["b_user"])).where("a_id < b_id").select("a_id", "b_id")
 
 
-@_query("""WITH o AS (SELECT * FROM orders WHERE o_orderkey % 10 = 0) SELECT CAST(o_orderkey AS VARCHAR) AS psm_id, 'PEPK' AS peptide, CAST(o_custkey % 4 + 1 AS INTEGER) AS charge, round(o_totalprice, 2) AS mz, 'P' || o_custkey % 7 AS protein, 'ms_run[' || (o_orderkey // 10 % 3 + 1) || ']:scan=' || o_orderkey AS scan,
+@_query("""WITH o AS (SELECT * FROM orders) SELECT CAST(o_orderkey AS VARCHAR) AS psm_id, 'PEPK' AS peptide, CAST(o_custkey % 4 + 1 AS INTEGER) AS charge, round(o_totalprice, 2) AS mz, 'P' || o_custkey % 7 AS protein, 'ms_run[' || (o_orderkey // 10 % 3 + 1) || ']:scan=' || o_orderkey AS scan,
 CASE WHEN o_custkey % 7 < 5 THEN 'protein ' || o_custkey % 7 END AS description, CAST(NULL AS VARCHAR) AS error FROM o""")
 def mztab_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of three files and their proteins, some of which are missing and some written twice, as mzTab and back."""
@@ -358,7 +358,7 @@ def mztab_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from massloom.sources.psm import read_psms
 
     path = scratch(spark) + "/found.mztab"
-    orders = _table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    orders = _table(spark, sf_dir, "orders")
     key = F.col("o_custkey") % 7
     proteins = orders.select(F.concat(F.lit("P"), key).alias("accession"), F.concat(F.lit("protein "), key).alias("description")).where("accession not in ('P5', 'P6')").distinct()
     proteins = proteins.unionAll(proteins.select("accession", F.concat("description", F.lit(" again"))))

@@ -153,11 +153,11 @@ def good_and_bad(rows: DataFrame, error: str = "error") -> tuple[DataFrame, Data
 
 
 def to_lines(rows: DataFrame, separator: str = ",") -> DataFrame:
-    """value: one line per row, without a header. Quotes only around fields that hold the separator, " in them becomes '."""
+    """value: one line per row, without a header. Quotes only around fields that hold the separator or begin with a quote, " in them becomes '."""
 
     def field(c: str) -> Column:
         text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-        return F.when(F.contains(text, F.lit(separator)), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit("'")), F.lit('"'))).otherwise(text)
+        return F.when(F.contains(text, F.lit(separator)) | F.rlike(text, F.lit("^\\s*[\"']")), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit("'")), F.lit('"'))).otherwise(text)
 
     return rows.select(F.concat_ws(separator, *(field(c) for c in rows.columns)).alias("value"))
 
