@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,17 +86,30 @@ def combined(a: FragmentModel, b: FragmentModel) -> FragmentModel:
     return FragmentModel(tuple(every.values()), tuple(sorted({*a.charges, *b.charges})), tuple(dict.fromkeys(a.precursor_losses + b.precursor_losses)), a.precursor or b.precursor, a.immonium or b.immonium, max(a.ppm, b.ppm), internal)
 
 
+def residue_sums(sequence: Column | str) -> Column:
+    """Struct of masses of the residues and their running sums; nulls for letters without a mass and all sums from there on."""
+
+    def one(text: str) -> dict:
+        masses = [MONO.get(x) for x in text]
+        known = next((k for k, m in enumerate(masses) if m is None), len(masses))
+        return {"masses": masses, "sums": [*accumulate(masses[:known]), *[None] * (len(masses) - known)]}
+
+    @F.pandas_udf("masses array<double>, sums array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([one(t) if t is not None else {"masses": None, "sums": None} for t in s], columns=["masses", "sums"])
+
+    return run(sequence)
+
+
 def fragments(peptides: DataFrame, model: FragmentModel, key: list[str], sequence: str = "peptide") -> DataFrame:
     """key, length, ion, index (residues in it), position (of the last residue from the N-terminus), loss, variant, charge, neutral, mz.
 
-    Prefix sums are a running fold over the residues of each sequence, so nothing is shuffled.
+    Prefix sums are made once for each sequence, in one pass, and serve all series; nothing is shuffled.
     """
-    table = F.create_map(*(F.lit(x) for kv in MONO.items() for x in kv))
     n = F.length(sequence)
-    masses = F.transform(F.sequence(F.lit(1), n), lambda k: F.element_at(table, F.substring(F.col(sequence), k, F.lit(1))))
-    base = peptides.where(n > 0).select(*key, n.alias("length"), masses.alias("masses_"))
-    grown = F.aggregate("masses_", F.array().cast("array<double>"), lambda acc, m: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + m)))
-    base = base.select(*key, "length", "masses_", grown.alias("sums_")).withColumn("total_", F.element_at("sums_", -1))
+    base = peptides.where(n > 0).select(*key, n.alias("length"), residue_sums(sequence).alias("r_"))
+    base = base.select(*key, "length", F.col("r_.masses").alias("masses_"), F.col("r_.sums").alias("sums_")).withColumn("total_", F.element_at("sums_", -1))
     ladder = base.select(*key, "length", "total_", F.posexplode("sums_").alias("at_", "sum_")).withColumn("index_n", F.col("at_") + 1)
     out = None
     for s in model.series:

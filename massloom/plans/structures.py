@@ -139,3 +139,21 @@ def larger_isobaric_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = _table(spark, sf_dir, "part").select("p_size", (F.lit(250.125) + F.col("p_size") * 9.0045).alias("mass")).distinct()
     out = generate.isobaric_sets(targets, "mass", Tolerance.absolute(0.02), 5, fixed=[("Carbamidomethyl", 57.021464, "C")], variable=[("Oxidation", 15.994915, "M")], n_term=[("Acetyl", 42.010565, "AGK")])
     return out.select("p_size", "residues", "n_term")
+
+
+@_query(f"""WITH n AS (SELECT p_partkey, p_partkey % 8 AS k, {_SQL_RESIDUES.format("p_name")} AS s FROM part), t AS (SELECT p_partkey, k, CASE k WHEN 0 THEN s WHEN 1 THEN s || 'B' WHEN 2 THEN '[Acetyl]-' || s || '/2' WHEN 3 THEN s || '[U:Oxidation|INFO:late#g1(0.75)]'
+WHEN 4 THEN '(?' || s[1:2] || ')' || s[3:] WHEN 5 THEN '<[Oxidation]@M>' || s WHEN 6 THEN s || '+' || s ELSE s || '[' END AS text FROM n)
+SELECT p_partkey, CASE WHEN k < 7 THEN text END AS text, CASE k WHEN 0 THEN 'unambiguous' WHEN 1 THEN 'semi_ambiguous' WHEN 2 THEN 'unambiguous' WHEN 3 THEN 'simple_linear' WHEN 4 THEN 'simple_linear' WHEN 5 THEN 'linear' WHEN 6 THEN 'chimeric' END AS complexity,
+CASE WHEN k < 7 THEN k <= 4 END AS simple, CASE k WHEN 2 THEN 'name:Acetyl' WHEN 3 THEN 'name:Oxidation,info:late' WHEN 5 THEN 'name:Oxidation' WHEN 7 THEN NULL ELSE '' END AS typed, CASE k WHEN 3 THEN 0.75::DOUBLE END AS score, k = 7 AS bad FROM t""")
+def proforma_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of every complexity and some that are none: read, typed and written again."""
+    from massloom.functions.proforma import narrowest, report
+
+    s, key = F.col("s"), F.col("p_partkey") % 8
+    text = F.when(key == 0, s).when(key == 1, F.concat(s, F.lit("B"))).when(key == 2, F.concat(F.lit("[Acetyl]-"), s, F.lit("/2"))).when(key == 3, F.concat(s, F.lit("[U:Oxidation|INFO:late#g1(0.75)]")))
+    text = text.when(key == 4, F.concat(F.lit("(?"), F.substring(s, 1, 2), F.lit(")"), F.substring(s, F.lit(3), F.length(s)))).when(key == 5, F.concat(F.lit("<[Oxidation]@M>"), s)).when(key == 6, F.concat(s, F.lit("+"), s)).otherwise(F.concat(s, F.lit("[")))
+    out = _table(spark, sf_dir, "part").select("p_partkey", _residues("p_name").alias("s")).select("p_partkey", report(text).alias("r"))
+    options = F.flatten(F.transform("r.modifications", lambda m: m["options"]))
+    typed = F.array_join(F.transform(options, lambda o: F.concat_ws(":", o["kind"], o["value"])), ",")
+    score = F.array_max(F.transform(options, lambda o: o["score"]))
+    return out.select("p_partkey", "r.text", "r.complexity", narrowest(F.col("r.complexity"), "simple_linear").alias("simple"), typed.alias("typed"), score.alias("score"), F.col("r.error").isNotNull().alias("bad"))
