@@ -346,22 +346,26 @@ def distance(identical: str = "identical", mass_similar: str = "mass_similar", a
     return 1 - (F.col(identical) + F.col(mass_similar)) / 2 / F.least(F.length(a), F.length(b))
 
 
-def consecutive(queries: DataFrame, genes: list[DataFrame], keep: int = 1, **how: object) -> DataFrame:
-    """query_id, gene (from 0), template_id and the alignment: gene by gene, the rest of each query behind its best hit so far.
+def consecutive(queries: DataFrame, genes: list[DataFrame], keep: int = 1, together: tuple[str, ...] = (), **how: object) -> DataFrame:
+    """query_id, gene (from 0), rank, template_id and the alignment: gene by gene, the rest of each query behind its best hit so far.
 
-    genes: a table of templates (template_id, template) for each gene; one step of DataFrame operations per gene.
+    genes: a table of templates (template_id, template) for each gene; one step of DataFrame operations per gene. together: columns of all these tables (such as species and chain) in which
+    later genes of a query must be equal to its first hit's; a template where one is null goes with none, and the first gene of a query is free.
     """
-    left, out = queries.select("query_id", "query", F.lit(0).alias("from_")), None
+    left, out = queries.select("query_id", "query", F.lit(0).alias("from_"), *(F.lit(None).cast("string").alias(f"of_{c}") for c in together)), None
     for k, templates in enumerate(genes):
-        rest = left.select("query_id", "query", "from_", F.substring(F.col("query"), F.col("from_") + 1, F.length("query")).alias("rest_"))
-        met = align_pairs(_met(rest.where("length(rest_) > 0"), templates), "rest_", "template", "local", **how)
+        rest = left.select("query_id", "query", "from_", *(f"of_{c}" for c in together), F.substring(F.col("query"), F.col("from_") + 1, F.length("query")).alias("rest_"))
+        met = _met(rest.where("length(rest_) > 0"), templates.select("template_id", "template", *(F.col(c).cast("string").alias(f"own_{c}") for c in together)))
+        for c in together:
+            met = met.where(F.col(f"of_{c}").isNull() | (F.col(f"of_{c}") == F.col(f"own_{c}")))
+        met = align_pairs(met, "rest_", "template", "local", **how)
         used = F.aggregate(F.expr(r"regexp_extract_all(cigar, '([0-9:]+)([A-Za-z=])', 0)"), F.lit(0), lambda acc, s: acc + F.when(s.endswith("I"), F.lit(0)).otherwise(F.regexp_extract(s, r"^(\d+)", 1).cast("int")))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("normalised"), F.desc("score"), "template_id"))
         ranked = met.withColumn("end_", F.col("from_") + F.col("start_a") + used).withColumn("rank", rank).where(F.col("rank") <= keep)
         own = ranked.select("query_id", F.lit(k).alias("gene"), "rank", "template_id", (F.col("from_") + F.col("start_a")).alias("start_query"), F.col("end_").alias("end_query"), "cigar", "score", "normalised")
         out = own if out is None else out.unionByName(own)
-        first = ranked.where("rank = 1").select("query_id", F.col("end_").alias("to_"))
-        left = left.join(first, "query_id", "left").select("query_id", "query", F.coalesce("to_", "from_").alias("from_"))
+        first = ranked.where("rank = 1").select("query_id", F.col("end_").alias("to_"), *(F.coalesce(f"of_{c}", f"own_{c}").alias(f"to_{c}") for c in together))
+        left = left.join(first, "query_id", "left").select("query_id", "query", F.coalesce("to_", "from_").alias("from_"), *(F.coalesce(f"to_{c}", f"of_{c}").alias(f"of_{c}") for c in together))
     return out
 
 

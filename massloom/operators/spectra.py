@@ -59,31 +59,38 @@ def series_scores(fragments: DataFrame, annotated: DataFrame, spectrum: str = "s
     return total.join(found, [spectrum, "ion"], "left").fillna(0, ["found"]).select(spectrum, "ion", "found", "total")
 
 
-def shift_fdr(fragments: DataFrame, peaks: DataFrame, tol: Tolerance, spectrum: str = "spectrum_id", shifts: range = range(-25, 26), shift: float = math.pi) -> DataFrame:
+def shift_fdr(fragments: DataFrame, peaks: DataFrame, tol: Tolerance, spectrum: str = "spectrum_id", shifts: range = range(-25, 26), shift: float = math.pi, intensity: str | None = None) -> DataFrame:
     """spectrum, actual (share of peaks with a fragment), average and deviation of that share over shifted peaks, fdr, sigma.
 
-    Shifts are pi + k for whole k. A shifted peak is held against the fragments by its shifted place.
+    Shifts are pi + k for whole k. A shifted peak is held against the fragments by its shifted place. score: log2 of sigma, null unless that is above 0. With the name of an intensity
+    column there are also intensity_actual, _average, _deviation, _fdr, _sigma and _score, of the share of the spectrum's intensity.
     """
-    n = peaks.groupBy(spectrum).agg(F.count("*").alias("n_peaks"))
-    moved = peaks.select(spectrum, "peak_idx", "mz", F.explode(F.array(F.lit(None).cast("int"), *(F.lit(k) for k in shifts))).alias("k"))
-    moved = moved.select(F.col(spectrum), "peak_idx", "k", F.coalesce(F.col("mz") + F.lit(shift) + F.col("k"), F.col("mz")).alias("shifted_mz"))
+    value = F.col(intensity).cast("double") if intensity else F.lit(0.0)
+    n = peaks.groupBy(spectrum).agg(F.count("*").alias("n_peaks"), F.sum(value).alias("total_"))
+    moved = peaks.select(spectrum, "peak_idx", "mz", value.alias("i_"), F.explode(F.array(F.lit(None).cast("int"), *(F.lit(k) for k in shifts))).alias("k"))
+    moved = moved.select(F.col(spectrum), "peak_idx", "k", "i_", F.coalesce(F.col("mz") + F.lit(shift) + F.col("k"), F.col("mz")).alias("shifted_mz"))
     # the bins are spread out on the fragments, of which there are fewer; a semi-join counts each moved peak once, so nothing has to be made distinct
     moved = moved.withColumn("bin_", bin_of(F.col("shifted_mz"), tol))
     targets = fragments.select(F.col(spectrum).alias("fragment_spectrum"), F.col("mz").alias("fragment_mz"), F.explode(bins_near(F.col("mz"), tol)).alias("fragment_bin"))
     on = [moved[spectrum] == targets["fragment_spectrum"], F.col("bin_") == F.col("fragment_bin"), tol.within(F.col("shifted_mz"), F.col("fragment_mz"))]
-    each = moved.join(targets, on, "left_semi").groupBy(spectrum, "k").agg(F.count("*").alias("hits"))
+    each = moved.join(targets, on, "left_semi").groupBy(spectrum, "k").agg(F.count("*").alias("hits"), F.sum("i_").alias("intensity"))
     m = len(shifts)
-    total = each.groupBy(spectrum).agg(
-        F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("hits"))), F.lit(0)).alias("actual_hits"),
-        F.coalesce(F.sum(F.when(F.col("k").isNotNull(), F.col("hits"))), F.lit(0)).alias("sum_hits"),
-        F.coalesce(F.sum(F.when(F.col("k").isNotNull(), F.col("hits") * F.col("hits"))), F.lit(0)).alias("square_hits"),
-    )
-    out = n.join(total, spectrum, "left").fillna(0, ["actual_hits", "sum_hits", "square_hits"])
-    average = F.col("sum_hits") / (F.col("n_peaks") * m)
-    deviation = F.sqrt(F.col("square_hits") * m - F.col("sum_hits") * F.col("sum_hits")) / (F.col("n_peaks") * m)
-    out = out.select(spectrum, "n_peaks", (F.col("actual_hits") / F.col("n_peaks")).alias("actual"), average.alias("average"), deviation.alias("deviation"))
-    fdr = F.col("average") / F.nullif(F.col("actual"), F.lit(0.0))
-    return out.select("*", fdr.alias("fdr"), ((F.col("actual") - F.col("average")) / F.nullif(F.col("deviation"), F.lit(0.0))).alias("sigma"))
+    own, false = F.col("k").isNull(), F.col("k").isNotNull()
+    sums = {}
+    for name, c in (("", F.col("hits")), ("intensity_", F.col("intensity"))):
+        sums |= {f"{name}actual_sum": F.sum(F.when(own, c)), f"{name}false_sum": F.sum(F.when(false, c)), f"{name}square_sum": F.sum(F.when(false, c * c))}
+    out = n.join(each.groupBy(spectrum).agg(*(c.alias(k) for k, c in sums.items())), spectrum, "left").fillna(0, list(sums))
+    cols = [F.col(spectrum), F.col("n_peaks")]
+    for name, total in (("", F.col("n_peaks")), ("intensity_", F.nullif(F.col("total_"), F.lit(0.0)))):
+        spread = F.col(f"{name}square_sum") * m - F.col(f"{name}false_sum") * F.col(f"{name}false_sum")
+        cols += [(F.col(f"{name}actual_sum") / total).alias(f"{name}actual"), (F.col(f"{name}false_sum") / (total * m)).alias(f"{name}average"), (F.sqrt(F.greatest(spread, F.lit(0).cast("double"))) / (total * m)).alias(f"{name}deviation")]
+    out = out.select(*cols)
+    for name in ("", "intensity_"):
+        average, actual = F.col(f"{name}average"), F.col(f"{name}actual")
+        out = out.withColumn(f"{name}fdr", average / F.nullif(actual, F.lit(0.0))).withColumn(f"{name}sigma", (actual - average) / F.nullif(F.col(f"{name}deviation"), F.lit(0.0)))
+        out = out.withColumn(f"{name}score", F.when(F.col(f"{name}sigma") > 0, F.log2(f"{name}sigma")))
+    own = ["actual", "average", "deviation", "fdr", "sigma", "score"]
+    return out.select(spectrum, "n_peaks", *own, *(f"intensity_{c}" for c in own if intensity))
 
 
 def weighted_cosine(a: Column, b: Column, mz_a: Column | None = None) -> Column:

@@ -155,6 +155,20 @@ def shift_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("spectrum_id", "n_peaks", *(F.round(c, 9).alias(c) for c in ("actual", "average", "deviation")))
 
 
+@_query(f"""WITH {_SQL_LADDER}, f AS (SELECT DISTINCT p_partkey % 150 AS spectrum_id, mz FROM ions),
+p AS (SELECT user_id AS spectrum_id, event_id AS peak_idx, value * 8 + 60 AS mz, event_id % 997 + 1 AS i FROM events),
+q AS (SELECT spectrum_id, peak_idx, i, k, coalesce(mz + {math.pi!r}::DOUBLE + k, mz) AS mz FROM p, (SELECT NULL::INTEGER AS k UNION ALL SELECT CAST(unnest(range(-25, 26)) AS INTEGER))),
+h AS (SELECT spectrum_id, k, sum(i) AS i FROM (SELECT DISTINCT q.spectrum_id, k, peak_idx, i FROM q JOIN f ON q.spectrum_id = f.spectrum_id AND abs(q.mz - f.mz) <= 0.05) GROUP BY ALL),
+t AS (SELECT spectrum_id, sum(CASE WHEN k IS NULL THEN i ELSE 0 END) AS a, sum(CASE WHEN k IS NOT NULL THEN i ELSE 0 END) AS s, sum(CASE WHEN k IS NOT NULL THEN i * i ELSE 0 END) AS q FROM h GROUP BY 1)
+SELECT spectrum_id, round(coalesce(a, 0) / total, 9) AS actual, round(coalesce(s, 0) / (total * 51), 9) AS average, round(sqrt(coalesce(q, 0) * 51 - coalesce(s, 0) * coalesce(s, 0)) / (total * 51), 9) AS deviation
+FROM (SELECT spectrum_id, sum(i) AS total FROM p GROUP BY 1) LEFT JOIN t USING (spectrum_id)""")
+def intensity_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the intensity that fragments explain, and that they explain in shifted spectra."""
+    ions, peaks = _cut_fragments(spark, sf_dir)
+    out = spectra.shift_fdr(ions, peaks, Tolerance.absolute(0.05), intensity="intensity")
+    return out.select("spectrum_id", *(F.round(f"intensity_{c}", 9).alias(c) for c in ("actual", "average", "deviation")))
+
+
 _SQL_PIECES = f"""pieces AS (SELECT doc_id, list_filter(regexp_extract_all({_SQL_RESIDUES.format("text")}, '{_TRYPSIN}'), lambda x: x <> '') AS p FROM documents),
 spread AS (SELECT doc_id, p, CAST(unnest(range(0, len(p))) AS INTEGER) AS first_piece FROM pieces),
 cut AS (SELECT doc_id, first_piece, 0 AS missed, p[first_piece + 1] AS peptide FROM spread UNION ALL

@@ -159,3 +159,22 @@ def annotations(text: Column | str) -> Column:
             yield s.map(one)
 
     return run(text)
+
+
+def write_library_index(library: DataFrame, path: str, row_group_mb: int = 8) -> None:
+    """A library (key, name, ...) as Parquet in the order of keys, with row groups of some MB and a Bloom filter of names in each.
+
+    Of such a table, `library_entries` reads the row groups whose range of keys, or whose filter, can hold what is asked for, and no others.
+    """
+    ordered = library.repartitionByRange("key").sortWithinPartitions("key")
+    ordered.write.option("parquet.block.size", row_group_mb << 20).option("parquet.bloom.filter.enabled#name", "true").parquet(path)
+
+
+def library_entries(spark: SparkSession, path: str, keys: list[int] | None = None, names: list[str] | None = None, between: tuple[int, int] | None = None) -> DataFrame:
+    """Spectra of a library index with one of the keys, one of the names, and a key in the range (bounds included), as far as each is given."""
+    out = spark.read.parquet(path)
+    if keys is not None:
+        out = out.where(F.col("key").isin(keys))
+    if names is not None:
+        out = out.where(F.col("name").isin(names))
+    return out.where(F.col("key").between(*between)) if between else out

@@ -174,3 +174,14 @@ def test_distant_clusters_stay_apart():
     far = np.array([[0, 0.25, 1], [0.25, 0, 1], [1, 1, 0]])
     found, merges = pr.cluster(rows, far, "global", al.Scoring(), 4, most=0.5)
     assert [[x.key for x in c] for c in found] == [[0, 1], [2]] and [m[:4] for m in merges] == [(0, 0, 1, 0.25)]
+
+
+def test_consecutive_genes_of_one_species(spark):
+    queries = spark.createDataFrame([(1, "AGWTHKLMFP"), (2, "WWWWHKLMFP")], "query_id long, query string")
+    first = spark.createDataFrame([("v1", "AGWT", "human"), ("v2", "WWWW", None)], "template_id string, template string, species string")
+    second = spark.createDataFrame([("j1", "HKLMFP", "mouse"), ("j2", "HKLMFA", "human")], "template_id string, template string, species string")
+    free = {(x.query_id, x.gene): x.template_id for x in al.consecutive(queries, [first, second]).collect()}
+    assert free == {(1, 0): "v1", (1, 1): "j1", (2, 0): "v2", (2, 1): "j1"}
+    rows = al.consecutive(queries, [first, second], together=("species",)).collect()
+    assert {(x.query_id, x.gene): x.template_id for x in rows} == {(1, 0): "v1", (1, 1): "j2", (2, 0): "v2", (2, 1): "j1"}
+    assert [(x.start_query, x.end_query) for x in rows if (x.query_id, x.gene) == (1, 0)] == [(0, 4)]

@@ -182,3 +182,23 @@ def test_modification_operators(spark):
     assert {(r["option"], r["found"], r["total"]) for r in st.ambiguity(every.where("fragment_id = 2"), every, ["k"]).collect()} == {("N", 0, 1), ("D", 1, 2)}
     psms = spark.createDataFrame([("AK", "1", "f", 2, 0.5, False, None), ("AK", "1", "f", 2, 0.5, None, "x")], "peptide string, scan string, raw_file string, charge int, confidence double, decoy boolean, error string")
     assert [r["class"] for r in st.convert(psms).collect()] == ["Target"]
+
+
+def test_library_index(spark, tmp_path):
+    from massloom.sources import spectra as sp
+
+    n = 4000
+    rows = [(k, f"spectrum {k}", [(100.0 + k, float(k % 9))]) for k in range(n)]
+    library = spark.createDataFrame(rows, "key long, name string, peaks array<struct<mz:double,intensity:double>>").repartition(3)
+    sp.write_library_index(library, f"{tmp_path}/index", row_group_mb=1)
+    found = sp.library_entries(spark, f"{tmp_path}/index", keys=[5, n + 1], names=None)
+    assert [x.name for x in found.collect()] == ["spectrum 5"] and sp.library_entries(spark, f"{tmp_path}/index", names=["spectrum 7", "none"]).first().key == 7
+    assert sp.library_entries(spark, f"{tmp_path}/index", between=(10, 12)).count() == 3 and sp.library_entries(spark, f"{tmp_path}/index", keys=[]).count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(key" in plan
+    import glob
+
+    import pyarrow.parquet as pq
+
+    ranges = sorted((m.row_group(g).column(0).statistics.min, m.row_group(g).column(0).statistics.max) for m in (pq.ParquetFile(f).metadata for f in glob.glob(f"{tmp_path}/index/*.parquet")) for g in range(m.num_row_groups))
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))  # a key is in one row group
