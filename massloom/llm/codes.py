@@ -38,16 +38,20 @@ class Codebook:
 
 
 def overlapping(x: np.ndarray, book: np.ndarray) -> np.ndarray:
-    """Which entries of `book` may be nearest to each row of x: those whose interval overlaps that of the best."""
+    """Which entries of `book` may be nearest to each row of x: those whose interval overlaps that of the best.
+
+    Intervals of a row are as wide as that of the entry of largest norm: the product's error, the rounding of |c|^2 / 2 and that of their difference, all in float32.
+    """
     g = (x.shape[1] + 2) * 2.0**-24
-    width = g / (1 - g) * 1.0001  # float64 rounding of the norms is far below the last factor
-    xf, cf = x.astype(np.float64), book.astype(np.float64)
+    cf, c32 = book.astype(np.float64), book.astype(np.float32)
     half = (cf * cf).sum(1) / 2
-    dots = (x.astype(np.float32) @ book.astype(np.float32).T).astype(np.float64)
-    size = np.sqrt((xf * xf).sum(1))[:, None] * np.sqrt(2 * half)
-    error = width * size + 2.0**-48 * (half + np.abs(dots)) + 1e-6
-    gap = half - dots
-    return gap - error <= (gap + error).min(1, keepdims=True)
+    most, size = np.sqrt(2 * half.max()), np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
+    width = 1.001 * ((g / (1 - g) + 2.0**-23) * size * most + 2.0**-22 * half.max()) + 1e-6
+    gap = x.astype(np.float32) @ c32.T
+    np.subtract(half.astype(np.float32), gap, out=gap)
+    # rounded up, so that the float32 bound is no less than the exact one
+    bound = np.nextafter((gap.min(1) + 2 * width).astype(np.float32), np.float32(np.inf))
+    return gap <= bound[:, None]
 
 
 def nearest(x: np.ndarray, book: np.ndarray, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
