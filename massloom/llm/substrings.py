@@ -176,12 +176,24 @@ class Automaton:
         known = (self.names[at] == names[starts]) & (self.docs[at] < doc)
         starts, at = starts[known], self.place[at[known]]
         count = np.zeros(len(own) + 1, np.int64)
-        each = np.arange(window)
-        for k in range(0, len(starts), 1 << 13):
-            s, p = starts[k : k + (1 << 13)], at[k : k + (1 << 13)]
-            s = s[(own[s[:, None] + each] == self.words[p[:, None] + each]).all(1)]
-            np.add.at(count, s, 1)
-            np.add.at(count, s + window, -1)
+        fresh = np.flatnonzero(np.concatenate((np.ones(min(1, len(starts)), bool), (np.diff(starts) != 1) | (np.diff(at) != 1))))
+        if len(fresh) * 8 < len(starts):  # neighbours here and there: stretches are compared as wholes
+            for x, y in zip(fresh.tolist(), np.append(fresh[1:], len(starts)).tolist()):
+                s, p, n = int(starts[x]), int(at[x]), y - x + window - 1
+                same = np.zeros(n + 2, np.int8)
+                same[1:-1] = own[s : s + n] == self.words[p : p + n]
+                edge = np.flatnonzero(np.diff(same))
+                for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    if hi - lo >= window:
+                        count[s + lo] += 1
+                        count[s + hi] -= 1
+        else:
+            each = np.arange(window)
+            for k in range(0, len(starts), 1 << 13):
+                s, p = starts[k : k + (1 << 13)], at[k : k + (1 << 13)]
+                s = s[(own[s[:, None] + each] == self.words[p[:, None] + each]).all(1)]
+                np.add.at(count, s, 1)
+                np.add.at(count, s + window, -1)
         return np.cumsum(count)[:-1] > 0
 
 
