@@ -43,7 +43,13 @@ AMBIGUOUS = {"B": ("N", "D"), "Z": ("Q", "E")}
 STANDARD = "ARNDCQEGHILKMFPSTWYV"
 
 #: Monoisotopic masses (Da) of elements.
-ELEMENTS = {"H": 1.0078250319, "C": 12.0, "N": 14.0030740043, "O": 15.9949146193, "P": 30.97376199842, "S": 31.9720711735, "Se": 79.9165218}
+ELEMENTS = {
+    "H": 1.0078250319, "C": 12.0, "N": 14.0030740043, "O": 15.9949146193, "P": 30.97376199842, "S": 31.9720711735, "Se": 79.9165218,
+    "Li": 7.01600455, "B": 11.0093054, "F": 18.99840322, "Na": 22.98976928, "Mg": 23.9850417, "Al": 26.98153863, "Si": 27.9769265325, "Cl": 34.96885268, "K": 38.96370668, "Ca": 39.96259098,
+    "Mn": 54.9380451, "Fe": 55.9349375, "Co": 58.933195, "Ni": 57.9353429, "Cu": 62.9295975, "Zn": 63.9291422, "As": 74.9215965, "Br": 78.9183371, "Ag": 106.905097, "I": 126.904473,
+}
+#: Masses (Da) of heavier isotopes, by the key that formulas have for them.
+ISOTOPE_MASSES = {"2H": 2.0141017778, "13C": 13.0033548378, "15N": 15.0001088982, "17O": 16.9991317, "18O": 17.999161, "34S": 33.9678669}
 #: Average weights (Da) of elements.
 WEIGHTS = {"H": 1.00794, "C": 12.0107, "N": 14.0067, "O": 15.9994, "P": 30.973762, "S": 32.065, "Se": 78.96}
 #: Heavier isotopes of elements as (neutrons more, natural share).

@@ -68,6 +68,21 @@ def _matrix() -> dict[tuple[str, str], int]:
     return out | {k: -1 for x in [*known, "X"] for k in ((x, "X"), ("X", x))}
 
 
+def read_matrix(text: str) -> dict[tuple[str, str], int]:
+    """A matrix in the usual text form (lines of #, a line of letters, then a letter and its scores a line); letters that it lacks score its least with all."""
+    lines = [x.split() for x in text.splitlines() if x.strip() and not x.startswith("#")]
+    if len(lines) < 2:
+        raise ValueError("no matrix")
+    letters, out = lines[0], {}
+    for a, *scores in lines[1:]:
+        if len(scores) != len(letters) or a not in letters:
+            raise ValueError(f"{len(letters)} scores expected behind one of {''.join(letters)}: {a} {' '.join(scores)}")
+        out |= {(a, b): int(v) for b, v in zip(letters, scores)}
+    least = min(out.values())
+    every = STANDARD + "BZJUOX"
+    return {(a, b): out.get((a, b), out.get((b, a), least)) for a in every for b in every}
+
+
 BLOSUM62 = _matrix()
 IDENTITY = {(a, b): int(a == b) for a in STANDARD + "BZJUOX" for b in STANDARD + "BZJUOX"}
 

@@ -96,7 +96,7 @@ def isobaric_sets(
     wide = asked.agg(F.max(F.col("hi_") - F.col("lo_"))).first()[0] or 1.0
     width = F.lit(max(float(wide), 1e-4))
     lower = halves.where(F.col("size") <= most // 2).select(F.lit(1).alias("one_"), F.col("text").alias("text_"), F.col("m").alias("m_"), F.col("last").alias("last_"), F.col("size").alias("size_"))
-    upper = halves.where("size > 0").withColumn("bin_", F.floor(F.col("m") / width))
+    upper = halves.where("size > 0").select(F.floor(F.col("m") / width).alias("bin_"), F.col("text").alias("upper_text_"), F.col("m").alias("upper_m_"), F.col("first").alias("upper_first_"), F.col("size").alias("upper_size_"))
     if upper.limit(broadcast_rows + 1).count() <= broadcast_rows:
         upper = F.broadcast(upper)
     # each target goes through the lower halves, of which there are no more than upper ones
@@ -104,8 +104,9 @@ def isobaric_sets(
     from_, to = F.floor((F.col("lo_") - F.col("m_")) / width), F.floor((F.col("hi_") - F.col("m_")) / width)
     met = met.withColumn("bin_", F.explode(F.sequence(from_, to))).join(upper, "bin_")
     # of a set of n, the lower half has n // 2
-    met = met.where((F.col("first") >= F.col("last_")) & ((F.col("size") == F.col("size_")) | (F.col("size") == F.col("size_") + 1)) & (F.col("size") + F.col("size_") <= most))
-    met = met.where((F.col("m_") + F.col("m")).between(F.col("lo_"), F.col("hi_"))).withColumn("residues", F.concat("text_", "text"))
+    lower_size, upper_size = F.col("size_"), F.col("upper_size_")
+    met = met.where((F.col("upper_first_") >= F.col("last_")) & (upper_size - lower_size).isin(0, 1) & (upper_size + lower_size <= most))
+    met = met.where((F.col("m_") + F.col("upper_m_")).between(F.col("lo_"), F.col("hi_"))).withColumn("residues", F.concat("text_", "upper_text_"))
     bare = F.regexp_replace("residues", r"\[[^\]]*\]", "")
     left = lambda on: F.length(F.regexp_replace(bare, F.concat(F.lit("[^#"), on, F.lit("]")), F.lit("")))
     can = (F.col("n_term").isNull() | (left(F.col("on_n_")) > 0)) & (F.col("c_term").isNull() | (left(F.col("on_c_")) > 0))

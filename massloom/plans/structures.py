@@ -157,3 +157,21 @@ def proforma_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = F.array_join(F.transform(options, lambda o: F.concat_ws(":", o["kind"], o["value"])), ",")
     score = F.array_max(F.transform(options, lambda o: o["score"]))
     return out.select("p_partkey", "r.text", "r.complexity", narrowest(F.col("r.complexity"), "simple_linear").alias("simple"), typed.alias("typed"), score.alias("score"), F.col("r.error").isNotNull().alias("bad"))
+
+
+@_query(f"""WITH t AS (SELECT p_partkey, 1 + p_size % 9 AS c, 1 + p_partkey % 4 AS o FROM part) SELECT p_partkey, 'C' || CASE WHEN c > 1 THEN CAST(c AS VARCHAR) ELSE '' END || 'H' || (2 * c) || 'O' || CASE WHEN o > 1 THEN CAST(o AS VARCHAR) ELSE '' END AS formula,
+CAST(CASE p_partkey % 5 WHEN 3 THEN 2 ELSE 0 END AS INTEGER) AS charge, round(c * 12.0::DOUBLE + 2 * c * {ch.ELEMENTS["H"]!r}::DOUBLE + o * {ch.ELEMENTS["O"]!r}::DOUBLE, 5) AS mass FROM t""")
+def formula_notations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One formula a part, written in five notations and read."""
+    from massloom.functions.formulas import formulas
+
+    key = F.col("p_partkey") % 5
+    c, h, o = (1 + F.col("p_size") % 9).cast("string"), (2 * (1 + F.col("p_size") % 9)).cast("string"), (1 + F.col("p_partkey") % 4).cast("string")
+    kinds = [("proforma", "C{}H{}O{}"), ("psi_mod", "C {} H {} N 0 O {}"), ("xl_mod", "C{} H{} O{}"), ("resid", "C {} H {} O {} 2+"), ("unimod", "H(0) C({}) H({}) O({})")]
+    out = None
+    for k, (notation, form) in enumerate(kinds):
+        a, b, d, e = form.split("{}")
+        own = _table(spark, sf_dir, "part").where(key == k).select("p_partkey", formulas(F.concat(F.lit(a), c, F.lit(b), h, F.lit(d), o, F.lit(e)), notation).alias("f"))
+        out = own if out is None else out.unionAll(own)
+    one = F.col("f.formulas")[0]
+    return out.select("p_partkey", one["hill"].alias("formula"), one["charge"].alias("charge"), F.round(one["mass"], 5).alias("mass"))

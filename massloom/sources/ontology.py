@@ -5,10 +5,11 @@ Everything is columns over the terms that `vocabulary.read_obo` gives; the closu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.functions.chemistry import ELEMENTS, map_mass
+from massloom.functions.formulas import formulas
 from massloom.session import scratch
 from massloom.sources.vocabulary import property_values
 
@@ -146,3 +147,26 @@ def gnome(terms: DataFrame) -> DataFrame:
 def known_elements(formula: Column) -> Column:
     """Whether all elements of a formula have a mass here."""
     return F.forall(F.map_keys(formula), lambda k: k.isin(*ELEMENTS))
+
+
+def read_unimod(spark: SparkSession, path: str) -> DataFrame:
+    """id, name, description, composition, formula, delta, rules (residues, position, losses), error of an XML file of modifications (umod:mod records).
+
+    losses: masses of neutral losses of a rule, but those of 0. error: a composition that can't be read.
+    """
+    loss = "struct<_mono_mass:double,_composition:string>"
+    schema = f"_title string, _full_name string, _record_id long, `umod:delta` struct<_mono_mass:double,_composition:string>, `umod:specificity` array<struct<_site:string,_position:string,`umod:NeutralLoss`:array<{loss}>>>"
+    raw = spark.read.format("xml").option("rowTag", "umod:mod").schema(schema).load(path)
+    positions = {"Any N-term": "any_n_term", "Any C-term": "any_c_term", "Protein N-term": "protein_n_term", "Protein C-term": "protein_c_term"}
+
+    def rule(s: Column) -> Column:
+        place = F.lit("anywhere")
+        for k, v in positions.items():
+            place = F.when(s["_position"] == k, v).otherwise(place)
+        losses = F.transform(F.filter(F.coalesce(s["umod:NeutralLoss"], F.array().cast(f"array<{loss}>")), lambda x: x["_mono_mass"] != 0), lambda x: x["_mono_mass"])
+        return F.struct(F.when(F.length(s["_site"]) == 1, F.array(s["_site"])).otherwise(F.array().cast("array<string>")).alias("residues"), place.alias("position"), losses.alias("losses"))
+
+    delta = F.col("`umod:delta`")
+    found = formulas(delta["_composition"], "unimod")
+    out = raw.select(F.concat(F.lit("UNIMOD:"), "_record_id").alias("id"), F.col("_title").alias("name"), F.col("_full_name").alias("description"), delta["_composition"].alias("composition"), found.alias("f"), delta["_mono_mass"].alias("delta"), F.transform("`umod:specificity`", rule).alias("rules"))
+    return out.select("id", "name", "description", "composition", F.col("f.formulas")[0]["formula"].alias("formula"), "delta", "rules", F.col("f.error").alias("error"))

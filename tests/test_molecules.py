@@ -37,11 +37,11 @@ def test_texts_that_are_no_molecules(text):
 
 
 def test_molecule_columns(spark):
-    df = spark.createDataFrame([("C1CC2CCC1CC2",), ("C(",), (None,), ("[NH4+].[Fe]",), (" OCC ",)], "s string")
+    df = spark.createDataFrame([("C1CC2CCC1CC2",), ("C(",), (None,), ("[NH4+].[Xe]",), (" OCC ",)], "s string")
     a, b, c, d, e = df.select(molecules("s").alias("m")).select("m.*").collect()
     assert (a.formula, a.rings, a.charge, len(a.bonds), a.error) == ("C8H14", 2, 0, 9, None) and a.mass == pytest.approx(110.10955, abs=1e-4)
     assert b.error and b.formula is None and c.error is None and c.formula is None
-    assert (d.formula, d.mass, d.charge, d.rings) == ("FeH4N", None, 1, 0) and e.formula == "C2H6O"
+    assert (d.formula, d.mass, d.charge, d.rings) == ("H4NXe", None, 1, 0) and e.formula == "C2H6O"
 
 
 def _terms(spark, text):
@@ -174,8 +174,64 @@ def test_isobaric_sets_by_brute_force(spark):
                             continue
                         total = sum(m for _, _, m in own) + ch.WATER + mn + mc
                         want |= {(k, "".join(t for t, _, _ in own), n, c) for k, x in targets if abs(x - total) <= 0.4}
-        df = spark.createDataFrame(targets, "k int, mass double")
+        df = spark.createDataFrame([(k, m, 0.0, "x", 1) for k, m in targets], "k int, mass double, m double, text string, size int")
         got = generate.isobaric_sets(df, "mass", Tolerance.absolute(0.4), most, "ACGKM", fixed, variable, n_term, c_term).collect()
         rows = [(x.k, x.residues, x.n_term, x.c_term) for x in got]
         assert len(rows) == len(set(rows)) and set(rows) == want
     assert generate.isobaric_sets(df.limit(0), "mass", Tolerance(1e-5), 4).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, notation, want",
+    [
+        ("C2H-1[13C3]O", "proforma", [({"C": 2, "H": -1, "13C": 3, "O": 1}, 0)]),
+        ("C2H3:z+1", "proforma", [({"C": 2, "H": 3}, 1)]),
+        ("C 2 H -1 (13)C 3 N 0 O 1", "psi_mod", [({"C": 2, "H": -1, "13C": 3, "O": 1}, 0)]),
+        ("C8 H6 D4 O2 N-1", "xl_mod", [({"C": 8, "H": 6, "2H": 4, "O": 2, "N": -1}, 0)]),
+        ("H(25) C(8) 13C(7) N 15N(2) O(3)", "unimod", [({"H": 25, "C": 8, "13C": 7, "N": 1, "15N": 2, "O": 3}, 0)]),
+        ("H(6) C(4) N(2) dHex", "unimod", [({"H": 16, "C": 10, "N": 2, "O": 4}, 0)]),
+        ("Water", "unimod", [({"H": 2, "O": 1}, 0)]),
+        ("C 2 H 3 N 1 O 1 +", "resid", [({"C": 2, "H": 3, "N": 1, "O": 1}, 1)]),
+        ("C 4 H 5 N 1 O 3, C 4 H 6 N 2 O 2 2-", "resid", [({"C": 4, "H": 5, "N": 1, "O": 3}, 0), ({"C": 4, "H": 6, "N": 2, "O": 2}, -2)]),
+        ("[NH4+]", "smiles", [({"N": 1, "H": 4}, 1)]),
+    ],
+)
+def test_formula_notations(text, notation, want):
+    from massloom.functions.formulas import read_formula
+
+    assert read_formula(text, notation) == want
+
+
+@pytest.mark.parametrize("text, notation", [("", "psi_mod"), ("C 2 ?", "psi_mod"), ("Zz3", "xl_mod"), ("C(", "unimod"), ("what", "unimod"), ("C2 H3", "resid"), ("C", "none"), ("C(", "smiles"), ("C[99C2]", "proforma")])
+def test_texts_that_are_no_formulas(spark, text, notation):
+    from massloom.functions.formulas import formulas, read_formula
+
+    with pytest.raises(ValueError):
+        read_formula(text, notation)
+    if notation in ("psi_mod", "unimod"):
+        df = spark.createDataFrame([(text,), (None,)], "t string").select(formulas("t", notation).alias("f")).select("f.*").collect()
+        assert [(x.formulas, x.error is None) for x in df] == [(None, False), (None, True)]
+
+
+def test_unimod_xml(spark, tmp_path):
+    (tmp_path / "unimod.xml").write_text("""<?xml version="1.0"?><umod:unimod xmlns:umod="http://www.unimod.org/xmlns/schema/unimod_2"><umod:modifications>
+<umod:mod title="Acetyl" full_name="Acetylation" record_id="1"><umod:specificity site="K" position="Anywhere" classification="Multiple" hidden="1"/><umod:specificity site="N-term" position="Protein N-term" classification="PT" hidden="0"/>
+<umod:delta mono_mass="42.010565" avge_mass="42.0367" composition="H(2) C(2) O"/></umod:mod>
+<umod:mod title="Phospho" full_name="Phosphorylation" record_id="21"><umod:specificity site="S" position="Anywhere"><umod:NeutralLoss mono_mass="97.976896" composition="H(3) O(4) P"/><umod:NeutralLoss mono_mass="0" composition="0"/></umod:specificity><umod:delta mono_mass="79.966331" composition="H O(3) P"/></umod:mod>
+</umod:modifications></umod:unimod>""")
+    rows = {x.id: x for x in on.read_unimod(spark, f"{tmp_path}/unimod.xml").collect()}
+    a, b = rows["UNIMOD:1"], rows["UNIMOD:21"]
+    assert (a.name, a.description, a.composition, a.delta) == ("Acetyl", "Acetylation", "H(2) C(2) O", 42.010565) and a.error is None
+    assert [(r.residues, r.position) for r in a.rules] == [(["K"], "anywhere"), ([], "protein_n_term")]
+    assert b.formula == {"H": 1, "O": 3, "P": 1} and [list(r.losses) for r in b.rules] == [[97.976896]]
+
+
+def test_matrices():
+    from massloom.operators import alignment as al
+
+    own = al.read_matrix("# comment\n   A  R\nA  4 -1\nR -1  5\n")
+    assert own["A", "R"] == -1 and own["R", "R"] == 5 and own["A", "W"] == -1 and own["W", "W"] == -1
+    assert al.align("AR", "AR", scoring=al.Scoring(matrix=own)).score == 9
+    for bad in ("", "A R\nA 1\n", "A\nR 1\n"):
+        with pytest.raises(ValueError):
+            al.read_matrix(bad)
