@@ -44,6 +44,8 @@ class Brown:
     sweeps: int = 4
     prior: float = 5.0
     shard_mb: float = 16.0
+    #: Rows of one word (one from each shard or sum of shards) that meet in a task.
+    fan: int = 256
 
     @property
     def units(self) -> int:
@@ -207,9 +209,33 @@ def _neighbours(docs: DataFrame, model: Model, how: Brown) -> DataFrame:
         pair, n = np.unique(np.concatenate((inverse * wide + left, inverse * wide + right)), return_counts=True)
         bounds = pa.array(np.searchsorted(pair, np.arange(len(word) + 1) * wide).astype(np.int32))
         lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(kind))) for x, kind in ((pair % wide, np.int16), (n, np.int32))]
-        return pa.table({"word": word.view(np.int64), "ending": endings[first].astype(np.int32), "at": lists[0], "n": lists[1]})
+        shard = pa.array([texts.column("shard")[0].as_py()] * len(word), pa.int64())
+        return pa.table({"shard": shard, "word": word.view(np.int64), "ending": endings[first].astype(np.int32), "at": lists[0], "n": lists[1]})
 
-    return docs.where("train").groupBy("shard").applyInArrow(run, "word long, ending int, at array<smallint>, n array<int>")
+    return docs.where("train").groupBy("shard").applyInArrow(run, "shard long, word long, ending int, at array<smallint>, n array<int>")
+
+
+def _folded(near: DataFrame, parts: int, how: Brown) -> DataFrame:
+    """near by part (of the words), summed over the shards in steps of `fan`, until a word has no more than `fan` rows; how many steps follows from the number of shards (as many as parts)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        word, first, inverse = np.unique(rows.column("word").to_numpy(), return_index=True, return_inverse=True)
+        lists, many = rows.column("at").combine_chunks(), rows.column("n").combine_chunks()
+        wide = 2 * how.classes
+        key = np.repeat(inverse, lists.value_lengths().to_numpy()) * wide + lists.flatten().to_numpy()
+        pair, at = np.unique(key, return_inverse=True)
+        n = np.zeros(len(pair), np.int64)
+        np.add.at(n, at, many.flatten().to_numpy())
+        bounds = pa.array(np.searchsorted(pair, np.arange(len(word) + 1) * wide).astype(np.int32))
+        own = {k: pa.array([rows.column(k)[0].as_py()] * len(word), pa.int64()) for k in ("part", "shard")}
+        return pa.table({**own, "word": word, "ending": rows.column("ending").to_numpy()[first], "at": pa.ListArray.from_arrays(bounds, pa.array((pair % wide).astype(np.int16))), "n": pa.ListArray.from_arrays(bounds, pa.array(n))})
+
+    near = near.select(F.pmod(F.xxhash64("word"), F.lit(parts)).alias("part"), "shard", "word", "ending", "at", F.col("n").cast("array<long>").alias("n"))
+    shards = parts
+    while shards > how.fan:
+        shards = -(-shards // how.fan)
+        near = near.withColumn("shard", F.floor(F.col("shard") / how.fan)).groupBy("part", "shard").applyInArrow(run, "part long, shard long, word long, ending int, at array<smallint>, n array<long>")
+    return near
 
 
 def gains(grid: np.ndarray, prior: float) -> np.ndarray:
@@ -332,7 +358,7 @@ def language_model(docs: DataFrame, how: Brown = Brown()) -> DataFrame:
         of_endings = np.concatenate(((to_class.T @ pairs[:, endings]).T, pairs[endings] @ to_class), axis=1)
         of_endings *= how.prior / np.maximum(of_endings.sum(axis=1, keepdims=True) / 2, 1)
         parts = met.agg(F.max("shard")).first()[0] + 1
-        near = _neighbours(docs, model, how).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)))
+        near = _folded(_neighbours(docs, model, how), parts, how)
         chosen = work.save(_word_classes(near, to_class.T @ pairs @ to_class, of_endings, how), "classes")
         classed = work.save(met.join(chosen, "word", "left").select("shard", "word", "c", "once", F.coalesce("cls", F.lit(-1)).alias("cls")), "classed")
         work.drop(met)

@@ -253,3 +253,15 @@ def test_long_texts_that_repeat_themselves(spark, line):
     text = " ".join(line * (1_000_000 // len(line)))
     docs = spark.createDataFrame([(1, text), (2, text), (3, "word " * 49)], "doc_id long, text string")
     assert {x.doc_id: (x.n_words, x.n_removed) for x in removed_report(docs, Phrases()).collect()} == {1: (1_000_000, 0), 2: (1_000_000, 1_000_000), 3: (49, 0)}
+
+
+def test_neighbours_are_summed_in_steps(spark):
+    """Many shards and a fan of two give the scores of one step."""
+    from massloom.llm.brown import Brown, language_model
+
+    r = random.Random(11)
+    words = ["the", "of", *("".join(r.choice("bcdgkl") + r.choice("aeiou") for _ in range(2)) for _ in range(60))]
+    docs = spark.createDataFrame([(k, " ".join(r.choices(words, [20, 10] + [1] * 60, k=r.randint(5, 40)))) for k in range(300)], "doc_id long, text string")
+    how = dict(frequent=6, endings=8, classes=4, sweeps=2, shard_mb=0.002)
+    one, steps = (sorted(map(tuple, language_model(docs, Brown(**how, fan=fan)).collect())) for fan in (256, 2))
+    assert [x[:5] for x in one] == [x[:5] for x in steps] and all(abs(a[6] - b[6]) < 1e-9 for a, b in zip(one, steps))
