@@ -166,3 +166,23 @@ def test_satellites_losses_and_linkers(spark):
     assert {(r["index"], r["loss"]) for r in more.collect()} == {(1, ""), (2, ""), (1, "-X"), (2, "-X")}
     halves = fr.cleaved_linkers(spark.createDataFrame([(100.0, 200.0)], "mass_a double, mass_b double"), [(54.0, 86.0)])
     assert {(r["neutral_a"], r["neutral_b"]) for r in halves.collect()} == {(154.0, 286.0), (186.0, 254.0)}
+
+
+@pytest.mark.parametrize("tol", [Tolerance.ppm(2000), Tolerance.absolute(0.3), Tolerance.absolute(0.0)])
+def test_left_band_join_keeps_each_row(spark, tol):
+    """Repeated rows and nulls among them; against all pairs."""
+    import random
+
+    r = random.Random(3)
+    left = [(k % 40, r.choice([None, round(r.uniform(-50, 900), 1)])) for k in range(90)] + [(7, 100.0), (7, 100.0)]
+    right = [(k, r.choice([None, round(r.uniform(-50, 900), 1)])) for k in range(90)] + [(99, 100.0)]
+    a, b = spark.createDataFrame(left, "k int, x double"), spark.createDataFrame(right, "m int, y double")
+    near = lambda x, y: abs(x - y) <= (tol.value * abs(x) if tol.relative else tol.value)
+    want = []
+    for k, x in left:
+        hits = [(m, y) for m, y in right if x is not None and y is not None and near(x, y)]
+        want += [(k, x, m, y) for m, y in hits or [(None, None)]]
+    got = joins.band_join(a, b, ("x", "y"), tol, how="left").select("k", "x", "m", "y").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    inner = joins.band_join(a, b, ("x", "y"), tol).select("k", "x", "m", "y").collect()
+    assert sorted(map(repr, map(tuple, inner))) == sorted(repr(w) for w in want if w[2] is not None)
