@@ -178,3 +178,21 @@ def library_entries(spark: SparkSession, path: str, keys: list[int] | None = Non
     if names is not None:
         out = out.where(F.col("name").isin(names))
     return out.where(F.col("key").between(*between)) if between else out
+
+
+def write_speclib(library: DataFrame, path: str, attributes: list[tuple[str, str, str]] = [], sets: dict[str, list[tuple[str, str, str]]] | None = None) -> None:  # noqa: B006
+    """A library as text files, each with the head: <mzSpecLib>, its attributes and sets (by section: attributes that all spectra have), as (accession, name, value)."""
+    line = lambda a: f"{a[0]}|{a[1]}={a[2]}"
+    head = ["<mzSpecLib>", *map(line, attributes)]
+    for section, own in (sets or {}).items():
+        head += [f"<AttributeSet {section}=all>", *map(line, own)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        started = False
+        for pdf in batches:
+            if not started and len(pdf):
+                started = True
+                yield pd.DataFrame({"value": ["\n".join(head)]})
+            yield pdf
+
+    library_lines(library).mapInPandas(run, "value string").write.text(path)

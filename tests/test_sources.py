@@ -202,3 +202,41 @@ def test_library_index(spark, tmp_path):
 
     ranges = sorted((m.row_group(g).column(0).statistics.min, m.row_group(g).column(0).statistics.max) for m in (pq.ParquetFile(f).metadata for f in glob.glob(f"{tmp_path}/index/*.parquet")) for g in range(m.num_row_groups))
     assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))  # a key is in one row group
+
+
+def test_files_are_opened_by_name_or_first_line(spark, tmp_path):
+    from massloom.sources.mzml import spectrum_text
+    from massloom.sources.opening import kind_of, open_file
+
+    texts = {
+        "a.fasta": ">sp|P1|A protein\nAGK\n",
+        "b.unknown": "\n>sp|P1|A protein\nAGK\n",
+        "c.mgf": "BEGIN IONS\nTITLE=x\nPEPMASS=100\n100 1\nEND IONS\n",
+        "d.txt": "BEGIN IONS\nTITLE=x\nPEPMASS=100\n100 1\nEND IONS\n",
+        "e.mzML": "<mzML><run>" + spectrum_text({"id": "s"}, 0, False).replace('<referenceableParamGroupRef ref="mz"/>', "").replace('<referenceableParamGroupRef ref="intensity"/>', "") + "</run></mzML>",
+        "f.obo": "format-version: 1.2\n\n[Term]\nid: A:1\nname: a\n",
+        "g.csv": "raw_file,scan_index,sequence,z\nr.raw,1,PEPK,2\n",
+        "h.mzspeclib": "<mzSpecLib>\n<Spectrum=1>\nMS:1003061|library spectrum name=x\n<Peaks>\n100.0\t1.0\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    kinds = {name: open_file(spark, str(tmp_path / name)) for name in texts}
+    assert {n: k for n, (k, _) in kinds.items()} == {"a.fasta": "sequences", "b.unknown": "sequences", "c.mgf": "spectra_mgf", "d.txt": "spectra_mgf", "e.mzML": "spectra_mzml", "f.obo": "ontology", "g.csv": "identifications", "h.mzspeclib": "library"}
+    assert all(df.count() == 1 for n, (_, df) in kinds.items() if n != "f.obo") and kinds["f.obo"][1].where("id = 'A:1'").count() == 1
+    assert open_file(spark, str(tmp_path / "g.csv"), format="basic_csv")[1].first()["peptide"] == "PEPK"
+    (tmp_path / "z.bin").write_text("nothing known")
+    for call in (lambda: kind_of(spark, str(tmp_path / "z.bin")), lambda: open_file(spark, "x", kind="none"), lambda: open_file(spark, "x", format="none")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_libraries_are_written_with_heads_and_sets(spark, tmp_path):
+    from massloom.sources import spectra as sp
+
+    text = "<mzSpecLib>\nMS:1003186|library format version=1.0\n<AttributeSet Spectrum=all>\nMS:1000044|dissociation method=HCD\n" + "".join(f"<Spectrum={k}>\nMS:1003061|library spectrum name=s{k}\n<Peaks>\n{100 + k}.5\t1.0\ty1\n" for k in range(1, 6))
+    (tmp_path / "in.txt").write_text(text)
+    first = sp.read_speclib(spark, str(tmp_path / "in.txt"))
+    sp.write_speclib(first.repartition(2), f"{tmp_path}/out", [("MS:1003186", "library format version", "1.0")], {"Spectrum": [("MS:1000044", "dissociation method", "HCD")]})
+    again = sp.read_speclib(spark, f"{tmp_path}/out")
+    rows = [sorted((x.key, x.name, x.error, [a.value for a in x.attributes], [(p.mz, p.annotations) for p in x.peaks]) for x in df.collect()) for df in (first, again)]
+    assert rows[0] == rows[1] and len(rows[0]) == 5 and rows[0][0][3] == ["HCD", "s1"]
