@@ -57,7 +57,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packing),
 ]
 
-#: Classifiers, near duplicates and packing have no SQL; tests/llm holds the stages against brute force.
+#: Classifiers, near duplicates and packing have no SQL; tests/llm holds the operators against brute force, and the stages against what a plain reading of odd rows says.
 ORACLE_SQL: str | None = None
 
 
