@@ -8,7 +8,8 @@ features are those whose shares in P and U differ by more than chance.
 
 Null and empty texts have no words and get the score of the bias alone. Rows with null ids or repeated rows are scored like others;
 null labels do not count, and an id labelled twice is toxic if one of its labels says so. Without a positive example every
-score is next to 0. Labels of the held-out fold are never read, and neither are lang, source or ids as inputs of a score.
+score is next to 0. A very long text is a batch by itself, an empty table gives no rows, and further columns of either table, clashing names included, are ignored (`drop_toxic` keeps those
+of the documents). Labels of the held-out fold are never read, and neither are lang, source or ids as inputs of a score.
 """
 
 from __future__ import annotations

@@ -265,3 +265,82 @@ def test_neighbours_are_summed_in_steps(spark):
     how = dict(frequent=6, endings=8, classes=4, sweeps=2, shard_mb=0.002)
     one, steps = (sorted(map(tuple, language_model(docs, Brown(**how, fan=fan)).collect())) for fan in (256, 2))
     assert [x[:5] for x in one] == [x[:5] for x in steps] and all(abs(a[6] - b[6]) < 1e-9 for a, b in zip(one, steps))
+
+
+def _nnpu(positive, unlabelled, size, prior, how):
+    """The non-negative risk, its gradient by finite differences, and the same steps."""
+
+    def parts(theta):
+        z = lambda x: theta[-1] + sum(theta[k] for k in x)
+        plus = sum(math.log1p(math.exp(-z(x))) for x in positive) / len(positive)
+        as_negative = sum(math.log1p(math.exp(z(x))) for x in positive) / len(positive)
+        return prior * plus, sum(math.log1p(math.exp(z(x))) for x in unlabelled) / len(unlabelled) - prior * as_negative
+
+    theta, m, v = [0.0] * size + [math.log(prior / (1 - prior))], [0.0] * (size + 1), [0.0] * (size + 1)
+    signs = set()
+    for step in range(1, how.steps + 1):
+        _, negative = parts(theta)
+        signs.add(negative >= 0)
+        risk = (lambda t: sum(parts(t))) if negative >= 0 else (lambda t: -parts(t)[1])
+        g = []
+        for k in range(size + 1):
+            up, down = list(theta), list(theta)
+            up[k], down[k] = up[k] + 1e-5, down[k] - 1e-5
+            g.append((risk(up) - risk(down)) / 2e-5 + (how.decay * theta[k] if k < size else 0))
+        m = [0.9 * a + 0.1 * b for a, b in zip(m, g)]
+        v = [0.999 * a + 0.001 * b * b for a, b in zip(v, g)]
+        theta = [t - how.rate * (a / (1 - 0.9**step)) / (math.sqrt(b / (1 - 0.999**step)) + 1e-8) for t, a, b in zip(theta, m, v)]
+    return theta, signs
+
+
+def test_nnpu_fit_by_finite_differences():
+    from massloom.llm.toxicity import NnPU, fit
+
+    how = NnPU(steps=60)
+    positive, unlabelled = [[0, 1], [0, 2], [1]], [[0, 3], [3], [2, 3], [4], []]
+    seen = set()
+    for prior in (0.3, 0.85):  # with the larger one the negative part of the risk falls below 0
+        want, signs = _nnpu(positive, unlabelled, 5, prior, how)
+        w, bias = fit([np.array(x, np.int64) for x in positive], [np.array(x, np.int64) for x in unlabelled], 5, prior, how)
+        assert np.abs(np.append(w, bias) - np.array(want)).max() < 2e-3
+        seen |= signs
+    assert seen == {True, False}
+
+
+def test_toxicity_scores_by_plain_counts():
+    import pyarrow as pa
+
+    from massloom.llm import toxicity as tx
+
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdé") for _ in range(r.randint(1, 11))) for _ in range(40)]
+
+    def bases(word):
+        """Names of a word and its beginnings, in the order of their hashes."""
+        raw = word.lower().encode() if word.isascii() else "".join(c.lower() if c.isascii() else c for c in word).encode()
+        return [raw] + [raw[:n] + b"..." for n in tx.STEMS if len(raw) > n]
+
+    number = {}
+    for w in words:
+        _, hashes = tx._bases(pa.RecordBatch.from_pydict({"text": [w]}))
+        number |= dict(zip(bases(w), hashes.tolist()))
+    keys = np.array(sorted(set(number.values()))[::2], np.uint64)
+    weights = np.array([[r.uniform(-1, 1) for _ in range(tx.LEVELS)] for _ in keys])
+    model = tx.Linear(keys, weights, -0.25)
+    texts = [" ".join(r.choice([str, str.upper])(r.choice(words)) if w.isascii() else w for w in r.choices(words, k=r.randint(0, 30))) for _ in range(60)] + ["", None, (words[0] + ", ") * 5000]
+    got = model.scores(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}))
+    place = {k: i for i, k in enumerate(keys.tolist())}
+    for text, score in zip(texts, got):
+        n = collections.Counter(b for w in re.split("[\x00-\x2f:-@\\[-`{-\x7f]+", text or "") if w for b in bases(w))
+        z = -0.25 + sum(weights[place[number[b]]][: min(c, tx.LEVELS)].sum() for b, c in n.items() if number.get(b) in place)
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_toxicity_with_clashing_columns(spark):
+    from massloom.llm import toxicity as tx
+
+    docs = spark.createDataFrame([(k, f"word{k % 7} " * (k + 1), 5.0, 1, True) for k in range(30)] + [(99, "long " * 50_000, 5.0, 1, True)], "doc_id long, text string, score double, predicted int, held_out boolean")
+    labels = spark.createDataFrame([(k, int(k % 7 == 1), 0.5, "x") for k in range(30)], "doc_id long, toxic int, score double, text string")
+    got = tx.toxicity(docs, labels)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.where("score between 0 and 1").count() == 31
+    assert tx.drop_toxic(docs, labels).columns == docs.columns
