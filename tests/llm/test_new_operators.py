@@ -344,3 +344,37 @@ def test_toxicity_with_clashing_columns(spark):
     got = tx.toxicity(docs, labels)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.where("score between 0 and 1").count() == 31
     assert tx.drop_toxic(docs, labels).columns == docs.columns
+
+
+def _plain_states(p, d, own):
+    h = p[f"{d}_hn"].shape[0]
+    state, out = [0.0] * h, []
+    for byte in own if d == "f" else own[::-1]:
+        gate = [1 / (1 + math.exp(-(float(p[f"{d}_xg"][byte][k]) + sum(state[i] * float(p[f"{d}_hg"][i][k]) for i in range(h))))) for k in range(2 * h)]
+        back = [sum(state[i] * float(p[f"{d}_hn"][i][k]) for i in range(h)) for k in range(h)]
+        new = [math.tanh(float(p[f"{d}_xn"][byte][k]) + gate[k] * back[k]) for k in range(h)]
+        state = [gate[h + k] * state[k] + (1 - gate[h + k]) * new[k] for k in range(h)]
+        out.append(state)
+    return out if d == "f" else out[::-1]
+
+
+def test_language_probabilities_by_plain_loops():
+    """Every position's label probabilities, both directions, pooled over a text's segments."""
+    import pyarrow as pa
+
+    from massloom.llm import langid
+    from massloom.llm.textcols import utf8
+
+    net = langid.Network(["a", "b", "c"], 4, seed=3)
+    texts = ["short", "", "é" * 40 + " and a text of more than one segment of bytes " * 2, "x", None]
+    x, length, row = langid.segments(*utf8(pa.array(texts, pa.string())), 64)
+    got = np.zeros((len(texts), 3))
+    np.add.at(got, row, net.probabilities(x, length))
+    for k, text in enumerate(texts):
+        raw, want = list((text or "").encode()), np.zeros(3)
+        for at in range(0, len(raw), 64):
+            own = raw[at : at + 64]
+            for f, b in zip(_plain_states(net.p, "f", own), _plain_states(net.p, "b", own)):
+                z = np.array([*f, *b]) @ net.p["out"].astype(float) + net.p["bias"]
+                want += np.exp(z) / np.exp(z).sum()
+        assert np.abs(got[k] - want).max() < 1e-3
