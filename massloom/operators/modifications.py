@@ -50,10 +50,16 @@ def merge_rules(rules: Column) -> Column:
     return F.transform(positions, lambda p: F.struct(p.alias("position"), F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(rules, lambda r: r["position"] == p), lambda r: r["residues"])))).alias("residues")))
 
 
-def find_by_mass(targets: DataFrame, modifications: DataFrame, tol: Tolerance, delta: str = "delta_mass", residue: str | None = None) -> DataFrame:
-    """targets with every modification (mod_*) whose mass is within tolerance and that the target's residue, if given, can carry."""
+def find_by_mass(targets: DataFrame, modifications: DataFrame, tol: Tolerance, delta: str = "delta_mass", residue: str | None = None, index: str | None = None, length: str | None = None) -> DataFrame:
+    """targets with every modification (mod_*) whose mass is within tolerance and that the target can carry.
+
+    residue: a column of the target's residue, which must be one of the modification's. index and length: columns of its place (from 0) and its chain's length; then the modification's `rules`
+    (residues, position) decide, an array that is empty for one that can be anywhere.
+    """
     table = modifications.select(*(F.col(c).alias(f"mod_{c}") for c in modifications.columns))
     met = band_join(targets, table, (delta, "mod_delta"), tol)
+    if index and length and residue:
+        return met.where((F.size("mod_rules") == 0) | placed(F.col("mod_rules"), F.col(residue), F.col(index), F.col(length)))
     return met.where(F.array_contains("mod_residues", F.col(residue))) if residue else met
 
 
@@ -63,17 +69,24 @@ def find_by_formula(targets: DataFrame, modifications: DataFrame, formula: str =
     return targets.join(table, targets[formula] == table["mod_formula"])
 
 
-def replace_mass_shifts(shifts: DataFrame, modifications: DataFrame, tol: Tolerance, closest: bool = True) -> DataFrame:
+def replace_mass_shifts(shifts: DataFrame, modifications: DataFrame, tol: Tolerance, closest: bool = True, index: str | None = None, length: str | None = None) -> DataFrame:
     """shifts (residue, delta_mass, ...) and `name`: the only modification that fits, or the closest one; null if none does.
 
-    Each distinct pair of residue and mass is searched once.
+    With columns of place (from 0) and chain length, the modifications' rules decide, so that terminal ones are found at the ends only. Each distinct residue and mass (at a start,
+    at an end, or inside) is searched once.
     """
-    asked = shifts.select("residue", "delta_mass").distinct()
-    met = find_by_mass(asked, modifications, tol, residue="residue")
-    own = Window.partitionBy("residue", "delta_mass")
-    met = met.withColumn("n_", F.count("*").over(own)).withColumn("k_", F.row_number().over(own.orderBy(F.abs(F.col("delta_mass") - F.col("mod_delta")), "mod_name")))
-    best = met.where("k_ = 1" if closest else "k_ = 1 and n_ = 1").select(F.col("residue").alias("r_"), F.col("delta_mass").alias("d_"), F.col("mod_name").alias("name"))
-    return shifts.join(best, (shifts["residue"] == F.col("r_")) & (shifts["delta_mass"] == F.col("d_")), "left").drop("r_", "d_")
+    at_end = bool(index and length)
+    first, last = (F.col(index) == 0, F.col(index) == F.col(length) - 1) if at_end else (F.lit(False), F.lit(False))
+    named = shifts.withColumn("first_", first).withColumn("last_", last)
+    # a place that is like all of its kind
+    kind = F.when(F.col("first_"), 0).otherwise(1)
+    asked = named.select("residue", "delta_mass", "first_", "last_").distinct().withColumn("place_", kind).withColumn("n_", F.when(F.col("last_"), kind + 1).otherwise(3))
+    met = find_by_mass(asked, modifications, tol, residue="residue", **({"index": "place_", "length": "n_"} if at_end else {}))
+    own = Window.partitionBy("residue", "delta_mass", "first_", "last_")
+    met = met.withColumn("many_", F.count("*").over(own)).withColumn("k_", F.row_number().over(own.orderBy(F.abs(F.col("delta_mass") - F.col("mod_delta")), "mod_name")))
+    best = met.where("k_ = 1" if closest else "k_ = 1 and many_ = 1").select(F.col("residue").alias("r_"), F.col("delta_mass").alias("d_"), F.col("first_").alias("f_"), F.col("last_").alias("l_"), F.col("mod_name").alias("name"))
+    on = (named["residue"] == F.col("r_")) & (named["delta_mass"] == F.col("d_")) & (named["first_"] == F.col("f_")) & (named["last_"] == F.col("l_"))
+    return named.join(best, on, "left").select(*shifts.columns, "name")
 
 
 def glycan_fragments(glycans: DataFrame, column: str = "glycan", peptide_mass: str | None = None) -> DataFrame:

@@ -186,3 +186,18 @@ def test_left_band_join_keeps_each_row(spark, tol):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     inner = joins.band_join(a, b, ("x", "y"), tol).select("k", "x", "m", "y").collect()
     assert sorted(map(repr, map(tuple, inner))) == sorted(repr(w) for w in want if w[2] is not None)
+
+
+def test_terminal_modifications_are_found_at_the_ends(spark):
+    from massloom.operators import modifications as md
+
+    rule = "array<struct<residues:array<string>,position:string>>"
+    table = spark.createDataFrame(
+        [("Acetyl", 42.0106, [([], "any_n_term"), (["K"], "anywhere")]), ("Trimethyl", 42.047, [(["K"], "anywhere")]), ("Amidated", -0.984, [([], "any_c_term")]), ("Label", 100.0, [])], f"name string, delta double, rules {rule}"
+    )
+    rows = [(1, "A", 42.01, 0, 5), (2, "A", 42.01, 2, 5), (3, "K", 42.01, 2, 5), (4, "G", -0.98, 4, 5), (5, "G", -0.98, 0, 5), (6, "G", -0.98, 0, 1), (7, "W", 100.0, 1, 5), (8, "K", 500.0, 1, 5)]
+    shifts = spark.createDataFrame(rows, "id int, residue string, delta_mass double, at int, n int")
+    got = {x.id: x.name for x in md.replace_mass_shifts(shifts, table, Tolerance.absolute(0.05), index="at", length="n").collect()}
+    assert got == {1: "Acetyl", 2: None, 3: "Acetyl", 4: "Amidated", 5: None, 6: "Amidated", 7: "Label", 8: None}
+    only = {x.id: x.name for x in md.replace_mass_shifts(shifts, table, Tolerance.absolute(0.05), closest=False, index="at", length="n").collect()}
+    assert only[3] is None and only[1] == "Acetyl"  # two fit on K
