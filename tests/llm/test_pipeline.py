@@ -31,7 +31,7 @@ def test_stages(spark, data_dir):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert len(corpus_pipeline.STAGES) == 5
 
 
