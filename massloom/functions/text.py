@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +17,12 @@ CODONS = {"".join(c): _CODE[k] for k, c in enumerate(itertools.product("TCAG", r
 NUCLEOTIDES = {"R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
 
 
+def of_distinct(texts: pa.Array, one: Callable[[str | None], object], kind: pa.DataType) -> pa.Array:
+    """What `one` makes of each text of a batch, as `kind`; equal texts are worked on once."""
+    own = pa.compute.dictionary_encode(texts, null_encoding="encode")
+    return pa.array([one(t) for t in own.dictionary.to_pylist()], kind).take(own.indices)
+
+
 def trigrams(text: Column) -> Column:
     """All runs of three characters; non-ASCII ones count as NUL."""
     letters = F.split(F.regexp_replace(text, r"[^\x00-\x7F]", "\x00"), "")

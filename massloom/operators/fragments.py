@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massloom.functions.chemistry import ELEMENTS, FORMULA, MONO, PROTON, WATER, formula_mass, parse_formula
 from massloom.functions.masses import ladders
+from massloom.functions.text import of_distinct
+from massloom.session import spread
 
 _H, _C, _N, _O = (ELEMENTS[e] for e in "HCNO")
 
@@ -89,15 +90,16 @@ def combined(a: FragmentModel, b: FragmentModel) -> FragmentModel:
 def residue_sums(sequence: Column | str) -> Column:
     """Struct of masses of the residues and their running sums; nulls for letters without a mass and all sums from there on."""
 
-    def one(text: str) -> dict:
+    def one(text: str | None) -> dict:
+        if text is None:
+            return {"masses": None, "sums": None}
         masses = [MONO.get(x) for x in text]
         known = next((k for k, m in enumerate(masses) if m is None), len(masses))
         return {"masses": masses, "sums": [*accumulate(masses[:known]), *[None] * (len(masses) - known)]}
 
-    @F.pandas_udf("masses array<double>, sums array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([one(t) if t is not None else {"masses": None, "sums": None} for t in s], columns=["masses", "sums"])
+    @F.arrow_udf("masses array<double>, sums array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        return of_distinct(texts, one, pa.struct([("masses", pa.list_(pa.float64())), ("sums", pa.list_(pa.float64()))]))
 
     return run(sequence)
 
@@ -105,10 +107,10 @@ def residue_sums(sequence: Column | str) -> Column:
 def fragments(peptides: DataFrame, model: FragmentModel, key: list[str], sequence: str = "peptide") -> DataFrame:
     """key, length, ion, index (residues in it), position (of the last residue from the N-terminus), loss, variant, charge, neutral, mz.
 
-    Prefix sums are made once for each sequence, in one pass, and serve all series; nothing is shuffled.
+    Prefix sums are made once for each sequence, in one pass, and serve all series; only the sequences are shuffled, so that the work is spread.
     """
     n = F.length(sequence)
-    base = peptides.where(n > 0).select(*key, n.alias("length"), residue_sums(sequence).alias("r_"))
+    base = spread(peptides, *key).where(n > 0).select(*key, n.alias("length"), residue_sums(sequence).alias("r_"))
     base = base.select(*key, "length", F.col("r_.masses").alias("masses_"), F.col("r_.sums").alias("sums_")).withColumn("total_", F.element_at("sums_", -1))
     ladder = base.select(*key, "length", "total_", F.posexplode("sums_").alias("at_", "sum_")).withColumn("index_n", F.col("at_") + 1)
     out = None
@@ -195,7 +197,7 @@ def modified_fragments(peptides: DataFrame, model: FragmentModel, key: list[str]
     """key, ion_index, chain, length, ion, index, inside, loss, variant, charge, neutral, mz, error: fragments of ProForma texts with modifications, open places and cross-links.
 
     Each text becomes one ladder of prefixes and suffixes in one pass, and every part of it meets the model's rules (series, places, losses, hydrogens, charges) of its side: an array
-    of constants, so nothing is shuffled. losses: masses of loss names beside those known. inside: the open modifications that lie in the fragment. A text that can't be read gives one
+    of constants, so only the texts are shuffled, which spreads the work. losses: masses of loss names beside those known. inside: the open modifications that lie in the fragment. A text that can't be read gives one
     row with `error`; fragments that would have no mass are left out.
     """
     known = LOSSES | (losses or {})
@@ -208,7 +210,7 @@ def modified_fragments(peptides: DataFrame, model: FragmentModel, key: list[str]
         for v in s.variants
     ] + [("precursor", "whole", loss, 0, -known[loss], 0, -1, None) for loss in (model.precursor_losses if model.precursor else ())]
     table = F.array(*(F.struct(*(F.lit(x).cast(k.split()[1]).alias(n) for n, x, k in zip(names, r, kind))) for r in rules)) if rules else F.array().cast("array<struct<" + ",".join(k.replace(" ", ":") for k in kind) + ">>")
-    own = peptides.select(*key, ladders(sequence).alias("l_")).select(*key, F.explode_outer("l_.parts").alias("p_"), F.col("l_.error").alias("error"))
+    own = spread(peptides, *key).select(*key, ladders(sequence).alias("l_")).select(*key, F.explode_outer("l_.parts").alias("p_"), F.col("l_.error").alias("error"))
     index, length = F.col("p_.index"), F.col("p_.length")
     fits = lambda r: (r["side"] == F.col("p_.side")) & (index > r["skip_n"]) & (index < length - r["skip_c"]) & (r["take"].isNull() | (index <= r["take"]))
     out = own.select(*key, "p_", "error", F.explode_outer(F.when(F.col("error").isNull(), F.filter(table, fits))).alias("r_")).where("error is not null or r_ is not null")

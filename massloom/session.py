@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "massloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,3 +27,9 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="massloom-")
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def spread(rows: DataFrame, *keys: str, each: int = 20_000) -> DataFrame:
+    """rows in partitions of about `each`, by keys if given: rows of which much is made are more work than their bytes tell, so tasks are counted by rows."""
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+    return rows.repartition(min(n, 100_000), *keys)
