@@ -22,3 +22,51 @@ def test_equal_texts_are_worked_on_once():
 def test_tasks_grow_with_rows(spark):
     assert spread(spark.range(1000), "id", each=10).rdd.getNumPartitions() == 100
     assert spread(spark.range(0)).count() == 0 and spread(spark.range(50), each=7).distinct().count() == 50
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_generated_sides_are_not_broadcast(spark, data_dir):
+    from massloom.plans import QUERIES
+
+    for name in ("annotate_scores", "series_scores"):
+        plan = QUERIES[name](spark, data_dir)._jdf.queryExecution().sparkPlan().toString()
+        assert "fragment_id" in plan or "peak_idx" in plan
+        for line in plan.splitlines():
+            assert "BroadcastHashJoin" not in line or "asked_" not in line and "bin_" not in line and "fragment_id" not in line, line
+
+
+def test_nearest_compares_values_not_rows(spark):
+    from pyspark.sql import functions as F
+
+    from massloom.functions.tolerance import Tolerance
+    from massloom.operators import joins
+
+    a = spark.range(3000).select(F.col("id").alias("i"), (F.col("id") % 3).cast("double").alias("x"))
+    b = spark.range(3000).select(F.col("id").alias("j"), (F.col("id") % 2 + 0.5).alias("y"))
+    met = joins.nearest_join(a, b, ("x", "y"), Tolerance.absolute(0.5), ["i"], [F.col("y"), F.col("j")])
+    assert {(r.i % 3, r.j, r.y) for r in met.collect()} == {(0, 0, 0.5), (1, 0, 0.5), (2, 1, 1.5)} and met.count() == 3000
+    joined = [int(n.split(",")[0].rstrip(")").split()[-1]) for n in _rows_of_joins(met)]
+    assert joined and max(joined) <= 3000
+
+
+def _rows_of_joins(df):
+    """Rows out of each join of a run, as its metrics tell."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    found, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        kind = p.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+            continue
+        if kind.endswith("QueryStage"):
+            todo.append(p.plan())
+            continue
+        if "Join" in kind and p.metrics().contains("numOutputRows"):
+            found.append(str(p.metrics().apply("numOutputRows").value()))
+        todo += [p.children().apply(k) for k in range(p.children().size())]
+    return found
