@@ -67,13 +67,16 @@ def shift_fdr(fragments: DataFrame, peaks: DataFrame, tol: Tolerance, spectrum:
     """
     value = F.col(intensity).cast("double") if intensity else F.lit(0.0)
     n = peaks.groupBy(spectrum).agg(F.count("*").alias("n_peaks"), F.sum(value).alias("total_"))
-    moved = peaks.select(spectrum, "peak_idx", "mz", value.alias("i_"), F.explode(F.array(F.lit(None).cast("int"), *(F.lit(k) for k in shifts))).alias("k"))
-    moved = moved.select(F.col(spectrum), "peak_idx", "k", "i_", F.coalesce(F.col("mz") + F.lit(shift) + F.col("k"), F.col("mz")).alias("shifted_mz"))
-    # the bins are spread out on the fragments, of which there are fewer; a semi-join counts each moved peak once, so nothing has to be made distinct
+    # places are moved, not peaks: peaks of equal place are counted, and fragments of equal place are one target
+    places = peaks.groupBy(spectrum, "mz").agg(F.count("*").alias("n_"), F.sum(value).alias("i_"))
+    moved = places.select(spectrum, "mz", "n_", "i_", F.explode(F.array(F.lit(None).cast("int"), *(F.lit(k) for k in shifts))).alias("k"))
+    moved = moved.select(F.col(spectrum), "k", "n_", "i_", F.coalesce(F.col("mz") + F.lit(shift) + F.col("k"), F.col("mz")).alias("shifted_mz"))
+    # the bins are spread out on the fragments, of which there are fewer; a semi-join counts each moved place once
     moved = moved.withColumn("bin_", bin_of(F.col("shifted_mz"), tol))
-    targets = fragments.select(F.col(spectrum).alias("fragment_spectrum"), F.col("mz").alias("fragment_mz"), F.explode(bins_near(F.col("mz"), tol)).alias("fragment_bin"))
+    targets = fragments.select(F.col(spectrum).alias("fragment_spectrum"), F.col("mz").alias("fragment_mz")).distinct().withColumn("fragment_bin", F.explode(bins_near(F.col("fragment_mz"), tol)))
     on = [moved[spectrum] == targets["fragment_spectrum"], F.col("bin_") == F.col("fragment_bin"), tol.within(F.col("shifted_mz"), F.col("fragment_mz"))]
-    each = moved.join(targets, on, "left_semi").groupBy(spectrum, "k").agg(F.count("*").alias("hits"), F.sum("i_").alias("intensity"))
+    # fragments are far more than their tables' bytes tell, so they are not broadcast
+    each = moved.join(targets.hint("merge"), on, "left_semi").groupBy(spectrum, "k").agg(F.sum("n_").alias("hits"), F.sum("i_").alias("intensity"))
     m = len(shifts)
     own, false = F.col("k").isNull(), F.col("k").isNotNull()
     sums = {}

@@ -70,3 +70,20 @@ def _rows_of_joins(df):
             found.append(str(p.metrics().apply("numOutputRows").value()))
         todo += [p.children().apply(k) for k in range(p.children().size())]
     return found
+
+
+def test_shifted_places_are_moved_once(spark):
+    """Peaks of one place and fragments of one place are each one row of the semi-join."""
+    from pyspark.sql import functions as F
+
+    from massloom.functions.tolerance import Tolerance
+    from massloom.operators import spectra
+
+    peaks = spark.range(2000).select(F.lit(1).alias("spectrum_id"), F.col("id").alias("peak_idx"), F.lit(100.0).alias("mz"), F.lit(2).alias("intensity"))
+    ions = spark.range(2000).select(F.lit(1).alias("spectrum_id"), F.lit(100.01).alias("mz"))
+    out = spectra.shift_fdr(ions, peaks, Tolerance.absolute(0.05), intensity="intensity")
+    row = out.collect()[0]
+    assert (row.n_peaks, row.actual, row.average, row.intensity_actual) == (2000, 1.0, 0.0, 1.0)
+    assert max(map(int, _rows_of_joins(out))) <= 52
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "fragment_bin" in x]
