@@ -1,10 +1,15 @@
 """Ontologies as graphs: ancestors of all terms, and the typed rows of protein modification, cross-linker and glycan vocabularies (OBO).
 
-Everything is columns over the terms that `vocabulary.read_obo` gives; the closure is rounds of joins in which the paths that are known double.
+Everything is columns over the terms that `vocabulary.read_obo` gives; the closure goes from the roots down, so that each term takes over its parents' ancestors once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,27 +26,100 @@ def edges(terms: DataFrame) -> DataFrame:
     return terms.select(F.col("id").alias("child"), F.explode("parents").alias("parent")).distinct()
 
 
-def closure(links: DataFrame) -> DataFrame:
+def closure(links: DataFrame, levels: int = 64) -> DataFrame:
     """id, ancestor, distance: everything that can be reached from each child of links (child, parent), by the shortest way.
 
-    After each round, ways twice as long are known, so rounds grow with the logarithm of the depth; each round is a written table. Only ways that a round has found or shortened
-    are carried on. Terms on a ring are ancestors of themselves.
+    Terms are taken level by level from the roots: one all of whose parents are done takes over their ancestors, so each of its ways is made once. A term's ancestors are a row
+    until the end. What isn't done after `levels` levels (terms on rings, which are ancestors of themselves, those below them and very deep ones) is closed among itself by doubling
+    the ways and then takes over the ancestors of the parents that are done. Each round is a written table.
     """
     spark, root = links.sparkSession, scratch(links.sparkSession)
-    start = links.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct()
-    start.write.parquet(f"{root}/000")
-    known = fresh = spark.read.parquet(f"{root}/000")
     turn = 0
+
+    def save(t: DataFrame) -> DataFrame:
+        nonlocal turn
+        turn += 1
+        t.write.parquet(f"{root}/{turn:04}")
+        return spark.read.schema(t.schema).parquet(f"{root}/{turn:04}")
+
+    links = save(links.select("child", "parent").where("child is not null").distinct())
+    kind = links.schema["child"].dataType.simpleString()
+    done: list[DataFrame] = []
+    # links of children that are not done, whose parents are names
+    waiting, names = links, links.select(F.col("child").alias("parent")).distinct()
+    for _ in range(levels):
+        if not waiting.limit(1).count():
+            break
+        still = save(waiting.join(names, "parent", "left_semi"))
+        names = still.select(F.col("child").alias("parent")).distinct()
+        ready = waiting.join(still.select("child").distinct(), "child", "left_anti").select("child").distinct()
+        if not ready.limit(1).count():  # only rings and what is below them is left
+            break
+        done.append(save(_taken_over(links.join(ready, "child"), _rows(done), kind)))
+        waiting = still
+    found = [t.select("id", F.explode(F.arrays_zip("ancestors", "distances")).alias("a")).select("id", F.col("a.ancestors").alias("ancestor"), F.col("a.distances").alias("distance")) for t in ([_rows(done)] if done else [])]
+    if waiting.limit(1).count():
+        rest = waiting.select(F.col("child").alias("id")).distinct()
+        inner = save(_doubled(links.join(rest.select(F.col("id").alias("child")), "child", "left_semi").join(rest.select(F.col("id").alias("parent")), "parent", "left_semi"), save))
+        own = inner.unionAll(rest.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")))
+        outer = links.join(rest.select(F.col("id").alias("child")), "child", "left_semi").join(rest.select(F.col("id").alias("parent")), "parent", "left_anti")
+        up = own.join(outer.select(F.col("child").alias("ancestor"), F.col("parent").alias("beyond")), "ancestor").select("id", F.col("beyond").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
+        up = save(up.groupBy("id", "ancestor").agg(F.min("distance").alias("distance")))
+        if found:
+            further = found[0].select(F.col("id").alias("ancestor"), F.col("ancestor").alias("beyond"), F.col("distance").alias("more"))
+            far = up.join(further, "ancestor").select("id", F.col("beyond").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+            up = up.unionAll(far).groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
+        found += [inner, up]
+    if not found:
+        return links.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
+    out = found[0]
+    for t in found[1:]:
+        out = out.unionAll(t)
+    return out
+
+
+def _rows(done: list[DataFrame]) -> DataFrame | None:
+    out = None
+    for t in done:
+        out = t if out is None else out.unionAll(t)
+    return out
+
+
+def _taken_over(links: DataFrame, known: DataFrame | None, kind: str) -> DataFrame:
+    """id, ancestors, distances of each child of links (child, parent): its parents and what they have in known, by the shortest way."""
+    if known is None:
+        each = links.select("child", F.array("parent").alias("a"), F.array(F.lit(1)).alias("d"))
+    else:
+        met = links.join(known.withColumnRenamed("id", "parent"), "parent", "left")
+        none = F.array().cast(f"array<{kind}>")
+        each = met.select("child", F.concat(F.array("parent"), F.coalesce("ancestors", none)).alias("a"), F.concat(F.array(F.lit(1)), F.coalesce(F.transform("distances", lambda d: d + 1), F.array().cast("array<int>"))).alias("d"))
+    own = each.groupBy("child").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("d")).alias("d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("a")
+            row, names = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+            codes, far = pc.dictionary_encode(names).indices.to_numpy(), b.column("d").flatten().to_numpy()
+            order = np.lexsort((far, codes, row))
+            first = np.ones(len(order), bool)
+            first[1:] = (row[order][1:] != row[order][:-1]) | (codes[order][1:] != codes[order][:-1])
+            kept = order[first]
+            ends = pa.array(np.searchsorted(row[kept], np.arange(len(b) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("child"), pa.ListArray.from_arrays(ends, names.take(pa.array(kept))), pa.ListArray.from_arrays(ends, pa.array(far[kept], pa.int32()))], ["id", "ancestors", "distances"])
+
+    return own.mapInArrow(run, f"id {kind}, ancestors array<{kind}>, distances array<int>")
+
+
+def _doubled(links: DataFrame, save) -> DataFrame:
+    """The closure of links by doubling: after each round ways twice as long are known, so rounds grow with the logarithm of the depth. Only ways that a round has found or shortened are carried on."""
+    known = fresh = save(links.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct())
     while fresh.limit(1).count():
         onward = lambda t: t.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("beyond"), F.col("distance").alias("more"))
         far = fresh.join(onward(known), "ancestor").unionAll(known.join(onward(fresh), "ancestor"))
         far = far.groupBy("id", F.col("beyond").alias("ancestor")).agg(F.min(F.col("distance") + F.col("more")).alias("distance"))
         old = known.select("id", "ancestor", F.col("distance").alias("old"))
-        turn += 1
-        far.join(old, ["id", "ancestor"], "left").where("old is null or distance < old").drop("old").write.parquet(f"{root}/{turn:03}-new")
-        fresh = spark.read.parquet(f"{root}/{turn:03}-new")
-        known.unionAll(fresh).groupBy("id", "ancestor").agg(F.min("distance").alias("distance")).write.parquet(f"{root}/{turn:03}")
-        known = spark.read.parquet(f"{root}/{turn:03}")
+        fresh = save(far.join(old, ["id", "ancestor"], "left").where("old is null or distance < old").drop("old"))
+        known = save(known.unionAll(fresh).groupBy("id", "ancestor").agg(F.min("distance").alias("distance")))
     return known
 
 

@@ -87,3 +87,13 @@ def test_shifted_places_are_moved_once(spark):
     assert max(map(int, _rows_of_joins(out))) <= 52
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "fragment_bin" in x]
+
+
+def test_closure_takes_each_way_once(spark, monkeypatch):
+    """A graph without rings needs no doubling of ways."""
+    from massloom.sources import ontology as on
+
+    monkeypatch.setattr(on, "_doubled", None)
+    links = spark.createDataFrame([(f"N:{k}", f"N:{p}") for k in range(1, 40) for p in {k // 2, k * 2 // 3}], "child string, parent string")
+    got = {(x.id, x.ancestor): x.distance for x in on.closure(links).collect()}
+    assert got["N:39", "N:0"] == 6 and got["N:39", "N:26"] == 1 and got["N:39", "N:17"] == 2 and ("N:39", "N:20") not in got
