@@ -97,3 +97,17 @@ def test_closure_takes_each_way_once(spark, monkeypatch):
     links = spark.createDataFrame([(f"N:{k}", f"N:{p}") for k in range(1, 40) for p in {k // 2, k * 2 // 3}], "child string, parent string")
     got = {(x.id, x.ancestor): x.distance for x in on.closure(links).collect()}
     assert got["N:39", "N:0"] == 6 and got["N:39", "N:26"] == 1 and got["N:39", "N:17"] == 2 and ("N:39", "N:20") not in got
+
+
+def test_values_meet_before_rows(spark):
+    from pyspark.sql import functions as F
+
+    from massloom.functions.tolerance import Tolerance
+    from massloom.operators import joins
+    from massloom.plans import QUERIES
+
+    a, b = (spark.range(60).select(F.col("id").alias(i), (F.col("id") % 3).cast("double").alias(x)) for i, x in (("i", "x"), ("j", "y")))
+    out = joins.band_join_of_values(a, b, ("x", "y"), Tolerance.absolute(1.0), d=F.col("x") - F.col("y"))
+    assert out.count() == out.distinct().count() == 7 * 400 and out.where("d <> x - y").count() == 0
+    assert min(map(int, _rows_of_joins(out))) == 7
+    assert "band_join_of_values" in QUERIES["ppm_join"].__code__.co_names
