@@ -43,9 +43,8 @@ def glycan_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(sugar.alias("sugar"), parent.cast("int").alias("parent"))
 
     trees = _table(spark, sf_dir, "part").select("p_partkey", gl.structure_texts(F.transform(F.sequence(F.lit(0), n - 1), node)).alias("glycan"), F.lit(1000.0).alias("peptide"))
-    out = gl.structure_fragments(trees, "glycan", "peptide")
-    kinds = F.expr("concat_ws('', " + ", ".join(f"regexp_extract(part, '(^|[0-9])({s}[0-9]+)', 2)" for s in _TREE_KINDS) + ")")
-    return out.groupBy("p_partkey", "ion", "breaks", kinds.alias("part")).agg(F.sum("ways").alias("ways"), F.round(F.first("neutral"), 4).alias("neutral"))
+    out = gl.structure_fragments(trees, "glycan", "peptide", by_node=False)
+    return out.select("p_partkey", "ion", "breaks", "part", "ways", F.round("neutral", 4).alias("neutral"))
 
 
 _LETTER_MASSES = "(VALUES " + ", ".join(f"('{a}', {ch.MONO[a]!r}::DOUBLE)" for a in ch.STANDARD) + ") AS w(aa, m)"

@@ -111,3 +111,14 @@ def test_values_meet_before_rows(spark):
     assert out.count() == out.distinct().count() == 7 * 400 and out.where("d <> x - y").count() == 0
     assert min(map(int, _rows_of_joins(out))) == 7
     assert "band_join_of_values" in QUERIES["ppm_join"].__code__.co_names
+
+
+def test_structures_are_summed_where_they_are(spark, data_dir):
+    from massloom.operators import glycans as gl
+    from massloom.plans import QUERIES
+
+    assert "Aggregate" not in QUERIES["glycan_structures"](spark, data_dir)._jdf.queryExecution().sparkPlan().toString()
+    df = spark.createDataFrame([("Man[Man]Man",), (None,), ("?",)], "g string")
+    rows = gl.structure_fragments(df, "g", by_node=False).collect()
+    assert {(x.part, x.breaks): x.ways for x in rows if x.g == "Man[Man]Man"} == {("Hex1", 0): 2, ("Hex1", 2): 1, ("Hex2", 1): 2, ("Hex3", 0): 1}
+    assert [x.error is not None for x in rows if x.g != "Man[Man]Man"] == [True]
