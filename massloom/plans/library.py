@@ -403,6 +403,8 @@ def mzml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("peaks"))
     rows = orders.select(F.concat(F.lit("scan="), key).alias("id"), (1 + key % 3).cast("int").alias("ms_level"), F.when(key % 2 == 0, 1).otherwise(-1).alias("polarity"), (key * 0.5).alias("rt_s"),
                          F.when(key % 3 > 0, 100 + key / 7.0).alias("precursor_mz"), F.when(key % 5 > 0, key % 5).cast("int").alias("charge"), "peaks")
+    rows.write.parquet(f"{root}-orders")  # grouped once for both halves
+    rows = spark.read.schema(rows.schema).parquet(f"{root}-orders")
     for half in (0, 1):
         write_mzml(rows.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half), f"{root}/{half}", compress=bool(half))
     back = read_mzml(spark, f"{root}/*")

@@ -59,8 +59,8 @@ def decode_array(text: str, params: list[tuple[str, str, str]]) -> np.ndarray:
     return np.frombuffer(raw, kind).astype(np.float64)
 
 
-def parse_spectrum(text: str, groups: dict[str, list]) -> dict:
-    """One <spectrum> element. What could be read stays beside an error."""
+def parse_spectrum(text: str, groups: dict[str, list], whole: bool = True) -> dict:
+    """One <spectrum> element. What could be read stays beside an error. Peaks are dicts, or two arrays if not `whole`."""
     out: dict = dict.fromkeys(_NAMES)
     try:
         node = ElementTree.fromstring(text)
@@ -95,12 +95,20 @@ def parse_spectrum(text: str, groups: dict[str, list]) -> dict:
             raise ValueError(f"{len(mz)} m/z and {len(intensity)} intensities")
         if (said := node.get("defaultArrayLength")) is not None and int(said) != len(mz):
             raise ValueError(f"{said} peaks expected, found {len(mz)}")
-        out["peaks"] = [{"mz": x, "intensity": y} for x, y in zip(mz.tolist(), intensity.tolist())]
+        out["peaks"] = (mz, intensity) if not whole else [{"mz": x, "intensity": y} for x, y in zip(mz.tolist(), intensity.tolist())]
     except (ElementTree.ParseError, ValueError, zlib.error) as e:
         out["error"] = str(e)
     return out
 
 
+def _peaks(pairs: list[tuple[np.ndarray, np.ndarray] | None]) -> pa.Array:
+    """Lists of peaks of pairs of arrays."""
+    have = [p for p in pairs if p is not None]
+    both = pa.StructArray.from_arrays([pa.array(np.concatenate([p[k] for p in have]) if have else np.zeros(0)) for k in (0, 1)], ["mz", "intensity"])
+    ends = np.cumsum([0] + [0 if p is None else len(p[0]) for p in pairs])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.array([p is None for p in pairs] + [False])), both)
+
+
 def _groups(blocks: DataFrame) -> DataFrame:
     """file, groups: parameters by group of the heads of files that have any, as JSON."""
     head = blocks.where(F.contains("value", F.lit("<referenceableParamGroup ")))
@@ -145,8 +153,8 @@ def read_mzml(spark: SparkSession, path: str, most_files: int = 100_000) -> Data
             for file, groups_, text in zip(*(b.column(c).to_pylist() for c in ("file", "groups", "text"))):
                 if groups_ not in known:
                     known = {None: {}, groups_: json.loads(groups_)}
-                rows.append(parse_spectrum(text, known[groups_]) | {"file": file})
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(_NAMES, _KINDS)], _NAMES)
+                rows.append(parse_spectrum(text, known[groups_], False) | {"file": file})
+            yield pa.RecordBatch.from_arrays([_peaks([r[n] for r in rows]) if n == "peaks" else pa.array([r[n] for r in rows], k) for n, k in zip(_NAMES, _KINDS)], _NAMES)
 
     return own.mapInArrow(run, SPECTRUM)
 
@@ -169,8 +177,10 @@ def _param(accession: str, name: str, value: object = "", unit: str = "") -> str
 
 def spectrum_text(row: dict, index: int, compress: bool) -> str:
     """The element of one spectrum (columns of SPECTRUM; missing and null ones are left out)."""
-    peaks = row.get("peaks") or []
-    out = [f'<spectrum index="{index}" id={quoteattr(str(row.get("id") or f"index={index}"))} defaultArrayLength="{len(peaks)}">']
+    peaks = row.get("peaks")
+    if not isinstance(peaks, tuple):  # dicts
+        peaks = tuple(np.array([p[name] for p in peaks or ()], "<f8") for name in ("mz", "intensity"))
+    out = [f'<spectrum index="{index}" id={quoteattr(str(row.get("id") or f"index={index}"))} defaultArrayLength="{len(peaks[0])}">']
     if row.get("ms_level") is not None:
         out.append(_param("MS:1000511", "ms level", row["ms_level"]))
     if row.get("polarity"):
@@ -187,8 +197,8 @@ def spectrum_text(row: dict, index: int, compress: bool) -> str:
             window = "<isolationWindow>" + _param("MS:1000827", "isolation window target m/z", repr(middle)) + _param("MS:1000828", "isolation window lower offset", repr(middle - row["isolation_low"])) + _param("MS:1000829", "isolation window upper offset", repr(row["isolation_high"] - middle)) + "</isolationWindow>"
         out.append(f'<precursorList count="1"><precursor>{window}<selectedIonList count="1"><selectedIon>{ion}</selectedIon></selectedIonList><activation>{ways}</activation></precursor></precursorList>')
     out.append('<binaryDataArrayList count="2">')
-    for name in ("mz", "intensity"):
-        raw = np.array([p[name] for p in peaks], "<f8").tobytes()
+    for name, values in zip(("mz", "intensity"), peaks):
+        raw = values.astype("<f8").tobytes()
         text = base64.b64encode(zlib.compress(raw) if compress else raw).decode()
         out.append(f'<binaryDataArray encodedLength="{len(text)}"><referenceableParamGroupRef ref="{name}"/><binary>{text}</binary></binaryDataArray>')
     return "".join(out) + "</binaryDataArrayList></spectrum>"
@@ -202,8 +212,12 @@ def write_mzml(spectra: DataFrame, path: str, compress: bool = True) -> None:
         for b in batches:
             texts = [] if started else [_HEAD.format(way=_WAYS[compress])]
             started = True
-            for row in b.to_pylist():
-                texts.append(spectrum_text(row, n, compress))
+            lists = b.column("peaks") if "peaks" in b.schema.names else pa.nulls(len(b), _KINDS[-2])
+            mz, intensity = (lists.flatten().field(name).to_numpy(zero_copy_only=False) for name in ("mz", "intensity"))
+            ends = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(int)
+            for k, row in enumerate(b.select([c for c in b.schema.names if c != "peaks"]).to_pylist()):
+                own = slice(ends[k], ends[k + 1])
+                texts.append(spectrum_text(row | {"peaks": (mz[own], intensity[own])}, n, compress))
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
         if started:

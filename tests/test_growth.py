@@ -122,3 +122,13 @@ def test_structures_are_summed_where_they_are(spark, data_dir):
     rows = gl.structure_fragments(df, "g", by_node=False).collect()
     assert {(x.part, x.breaks): x.ways for x in rows if x.g == "Man[Man]Man"} == {("Hex1", 0): 2, ("Hex1", 2): 1, ("Hex2", 1): 2, ("Hex3", 0): 1}
     assert [x.error is not None for x in rows if x.g != "Man[Man]Man"] == [True]
+
+
+def test_spectra_are_grouped_once(spark, data_dir, monkeypatch):
+    from massloom.plans import QUERIES
+    from massloom.sources import mzml
+
+    plans, write = [], mzml.write_mzml
+    monkeypatch.setattr(mzml, "write_mzml", lambda rows, *a, **k: (plans.append(rows._jdf.queryExecution().sparkPlan().toString()), write(rows, *a, **k)))
+    QUERIES["mzml_files"](spark, data_dir)
+    assert len(plans) == 2 and not any("Aggregate" in p for p in plans)
