@@ -20,6 +20,7 @@ from massloom.operators import fragments as fr
 from massloom.operators import generate, joins, ranking, spectra
 from massloom.operators import modifications as md
 from massloom.operators import statistics as stats
+from massloom.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -310,7 +311,8 @@ def codon_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""WITH l AS (SELECT p_partkey, substr(p_name, k, 1) AS c FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS k FROM part)), n AS (SELECT p_partkey, c, count(*) AS n FROM l WHERE c <> ' ' GROUP BY ALL)
 SELECT p_partkey, string_agg(c || n, ' ' ORDER BY c) AS composition FROM n GROUP BY 1""")
 def composition_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = _table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", "")).alias("element"), F.lit(1).alias("n")).where("element not in (' ', '')")
+    # a part's letters are counted where the part is, so a task holds those of its share of parts only
+    letters = spread(_table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", F.explode(F.split("p_name", "")).alias("element"), F.lit(1).alias("n")).where("element not in (' ', '')")
     return joins.composition_key(letters, ["p_partkey"])
 
 

@@ -132,3 +132,10 @@ def test_spectra_are_grouped_once(spark, data_dir, monkeypatch):
     monkeypatch.setattr(mzml, "write_mzml", lambda rows, *a, **k: (plans.append(rows._jdf.queryExecution().sparkPlan().toString()), write(rows, *a, **k)))
     QUERIES["mzml_files"](spark, data_dir)
     assert len(plans) == 2 and not any("Aggregate" in p for p in plans)
+
+
+def test_letters_are_counted_in_place(spark, data_dir):
+    from massloom.plans import QUERIES
+
+    plan = _plan(QUERIES["composition_key"](spark, data_dir))
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
