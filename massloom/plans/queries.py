@@ -198,8 +198,11 @@ j AS (SELECT p_partkey, peptide, row_number() OVER (PARTITION BY p_partkey ORDER
 SELECT p_partkey, CAST(rank AS INTEGER) AS rank, peptide FROM j WHERE rank <= 3""")
 def mass_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     observed = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("observed"))
-    met = joins.mass_join(observed, _peptides(spark, sf_dir).select("peptide"), "observed", ch.peptide_mass(F.col("peptide")), Tolerance.ppm(10))
-    return ranking.top_k(met, ["p_partkey"], [F.abs(F.col("observed") - F.col("mass")), F.col("peptide")], 3).select("p_partkey", "rank", "peptide")
+    # equal observed masses have equal peptides: each is searched once, and keeps three before it meets its parts
+    met = joins.mass_join(observed.select("observed").distinct(), _peptides(spark, sf_dir).select("peptide"), "observed", ch.peptide_mass(F.col("peptide")), Tolerance.ppm(10))
+    order = [F.abs(F.col("observed") - F.col("mass")), F.col("peptide")]
+    best = ranking.top_k(met, ["observed"], order, 3).drop("rank")
+    return ranking.top_k(observed.hint("merge").join(best, "observed"), ["p_partkey"], order, 3).select("p_partkey", "rank", "peptide")
 
 
 @_query("""WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part), q AS (SELECT DISTINCT lower(p_type || ' ' || p_brand) AS query FROM part UNION SELECT DISTINCT lower(p_name) || 's' FROM part),

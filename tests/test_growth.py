@@ -139,3 +139,16 @@ def test_letters_are_counted_in_place(spark, data_dir):
 
     plan = _plan(QUERIES["composition_key"](spark, data_dir))
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_equal_masses_are_searched_once(spark, tmp_path):
+    from massloom.functions.chemistry import MONO, WATER
+    from massloom.plans import QUERIES
+
+    mass = sum(MONO[x] for x in "AAAAAGK") + WATER
+    spark.createDataFrame([(k, "AAAAAGK AAAAGAK AAAGAAK AAGAAAK"[8 * (k % 4) :][:7] + "R") for k in range(8)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k % 50, mass) for k in range(100)], "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    out = QUERIES["mass_search"](spark, str(tmp_path))
+    rows = out.collect()
+    assert len(rows) == 150 and all(x.peptide == "AAAAAGK AAAAGAK AAAGAAK"[8 * ((x["rank"] - 1) // 2) :][:7] for x in rows)
+    assert max(map(int, _rows_of_joins(out))) == 300
