@@ -9,7 +9,7 @@ character counts as a word there.
 Candidates are found by SimHash blocks. A line is cut into pieces at its local extremes (a word whose hash is the least of those within `reach` places),
 so that a cut moves only if words next to it change; a block is the 64-bit SimHash of
 one piece, with the word after it. By the pigeonhole principle
-lines that differ in fewer places than they have pieces share a block. Of a line's blocks the `blocks` least ones, by hash, are kept. A line
+lines that differ in fewer places than they have pieces share a block. All pieces of at least `least` words are a line's blocks, however many they are. A line
 of at most `short` words has further blocks, of all its words and of all but each one. The 64-bit SimHashes of two
 whole lines of more than `short` words may differ in at most `bits` bits; of their words, as bitmaps tell, at most `unshared` percent may be
 in one of them only; and their lengths differ as far as the edit similarity allows. Every link is confirmed by edit distance; README has the measured recall of the candidates. Of each connected group the first occurrence, by (doc_id, text's hash, line), stays.
@@ -48,7 +48,6 @@ class FuzzyLines:
     percent: int = 80
     min_words: int = 5
     reach: int = 2
-    blocks: int = 6
     least: int = 3
     short: int = 12
 
@@ -165,8 +164,6 @@ def blocks(units: Units, how: FuzzyLines) -> tuple[np.ndarray, np.ndarray, np.nd
     first = np.ones(len(order), bool)
     first[1:] = (keys[0][1:] != keys[0][:-1]) | (rows[0][1:] != rows[0][:-1])
     keys[0], rows[0] = keys[0][first], rows[0][first]
-    least = np.arange(len(rows[0])) - np.searchsorted(rows[0], rows[0]) < how.blocks
-    keys[0], rows[0] = keys[0][least], rows[0][least]
     for n in range(how.min_words, how.short + 1):
         own = np.flatnonzero(units.n == n)
         if not len(own):

@@ -152,3 +152,16 @@ def test_equal_masses_are_searched_once(spark, tmp_path):
     rows = out.collect()
     assert len(rows) == 150 and all(x.peptide == "AAAAAGK AAAAGAK AAAGAAK"[8 * ((x["rank"] - 1) // 2) :][:7] for x in rows)
     assert max(map(int, _rows_of_joins(out))) == 300
+
+
+def test_every_piece_of_a_line_is_a_block():
+    import random
+
+    from massloom.llm import lines as ln
+
+    r = random.Random(4)
+    made = ln.Lines(pa.array([" ".join(f"w{r.randrange(10**6)}" for _ in range(400))]))
+    how = ln.FuzzyLines()
+    units = ln.Units(made, made.words.hashes(lower=True), made.n_words > 0)
+    size = [int(x) for x in ln.np.diff(ln.np.flatnonzero(ln.cuts(units, how.reach)), append=400)]
+    assert len(ln.blocks(units, how)[2]) == sum(x >= how.least for x in size) > 40
