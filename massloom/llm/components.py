@@ -44,7 +44,6 @@ def link_in_buckets(
     possible: Callable[[str, str], Column],
     links: Callable[[DataFrame], DataFrame],
     kind: str = "long",
-    some: int = 30,
     most_buckets: int = 1_000_000,
 ) -> DataFrame:
     """Components of the links between ids that share a bucket, without writing out all pairs of a bucket.
@@ -53,12 +52,7 @@ def link_in_buckets(
     traits: id and columns that `possible` reads; joined only to ids that share a bucket.
     possible: a cheap condition that every linked pair meets, given the prefixes of its two sides' columns.
     links: keeps those of the pairs (a, b) that are linked.
-    In each round some ids of a bucket, its hubs, are held against the bucket's other ids that are not
-    known to be in the hub's component yet. A hub has then met everyone it needs to and leaves the bucket; a bucket
-    is done when its ids are all in one component. So each linked pair of a bucket ends in one component, as if
-    all pairs had been compared, while a group of n near copies costs about n comparisons. The first hub is the least id. In the
-    second round about `some` of the ids outside of the bucket's least component are hubs (those whose hash lies below their
-    number's share, so that no task sorts a bucket), and in the third all that are still outside of it.
+    Rounds are those of `meet_hubs`, the first hub being the bucket's least id.
     Up to `most_buckets` keys of larger buckets are broadcast (8 bytes each); more are joined by shuffle.
     """
     several = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
@@ -68,11 +62,35 @@ def link_in_buckets(
     active = active.unionAll(members.join(small(several.where("n > 2").select("bucket"), most_buckets), "bucket"))
     if traits is not None:
         active = active.join(traits, "id")
-    carried = [c for c in active.columns if c not in ("bucket", "id")]
     active = work.save(active, "active")
     work.drop(several)
-    label = None
-    for turn in range(3):
+    label = meet_hubs(work, active, None, possible, links)
+    if label is None:
+        label = members.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
+    return label
+
+
+def meet_hubs(
+    work: Workspace,
+    active: DataFrame,
+    label: DataFrame | None,
+    possible: Callable[[str, str], Column],
+    links: Callable[[DataFrame], DataFrame],
+    turns: tuple[str | int, ...] = ("least", 32, "rest"),
+    once: bool = False,
+) -> DataFrame | None:
+    """Components of the links between ids that share a bucket and of those in label; active (a written table): bucket, id, and what `possible` reads.
+
+    In each round some ids of a bucket, its hubs, are held against the bucket's other ids that are not
+    known to be in the hub's component yet. A hub has then met everyone it needs to and leaves the bucket; a bucket
+    is done when its ids are all in one component. So each linked pair of a bucket ends in one component, as if
+    all pairs had been compared, while a group of n near copies costs about n comparisons. The hubs of a turn are the "least" id, or about so many of all ids
+    (those whose hash lies below their number's share, so that no task sorts a bucket, and buckets that share ids share hubs): most are in the
+    bucket's largest component, and meet only the few ids that are not. At last, for the "rest", all that are still outside of the least component are hubs.
+    once: two ids that share many buckets meet in the first of them only, for which each id carries the list of its buckets.
+    """
+    carried = [c for c in active.columns if c not in ("bucket", "id")]
+    for turn in turns:
         if not active.limit(1).count():
             break
         own = active.withColumn("component", F.col("id"))
@@ -80,21 +98,21 @@ def link_in_buckets(
             own = active.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
             own = work.save(own, "own")
         state = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
-        if turn == 0:
-            hub = F.col("id") == F.col("lo")
-        else:
-            hub = F.col("component") != F.col("lo")
-            if turn == 1:
-                share = F.xxhash64("id", "bucket") / F.lit(2.0**64) + 0.5  # of the ids, those before this one
-                hub = hub & (share * F.col("many") < some)
+        share = F.xxhash64("id") / F.lit(2.0**64) + 0.5  # of the ids, those before this one
+        hub = share * F.col("many") < turn if isinstance(turn, int) else {"least": F.col("id") == F.col("lo"), "rest": F.col("component") != F.col("lo")}[turn]
         open_ = work.save(own.join(state.drop("hi"), "bucket").withColumn("hub", hub).drop("lo", "many"), "open")
-        first = open_.where("hub").select(F.col("bucket").alias("hub_bucket"), *(F.col(c).alias(f"hub_{c}") for c in ("id", "component", *carried)))
+        sides, first_of_all = open_, F.lit(True)
+        if once:
+            lists = open_.groupBy("id").agg(F.collect_list("bucket").alias("buckets"), F.collect_list(F.when(F.col("hub"), F.col("bucket"))).alias("as_hub"))
+            sides = work.save(open_.join(lists, "id"), "sides")
+            first_of_all = F.array_min(F.array_intersect("buckets", "hub_as_hub")) == F.col("bucket")
+        first = sides.where("hub").select(F.col("bucket").alias("hub_bucket"), *(F.col(c).alias(f"hub_{c}") for c in ("id", "component", *carried, *(["as_hub"] if once else []))))
         # two hubs of a bucket meet once
         on = (F.col("bucket") == F.col("hub_bucket")) & (F.col("component") != F.col("hub_component")) & (~F.col("hub") | (F.col("id") > F.col("hub_id")))
-        pairs = open_.join(first, on & possible("", "hub_")).select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b"))
+        pairs = sides.join(first, on & possible("", "hub_") & first_of_all).select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b"))
         pairs = work.save(pairs.distinct(), "pairs")
         found = work.save(links(pairs).select("a", "b"), "found")
-        work.drop(active, own, pairs)
+        work.drop(active, own, pairs, *([sides] if once else []))
         active = open_.where("not hub").select(*active.columns)
         active._massloom_path = open_._massloom_path
         if found.limit(1).count():
@@ -103,6 +121,4 @@ def link_in_buckets(
             if before is not None:
                 work.drop(before)
     work.drop(active)
-    if label is None:
-        label = members.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
     return label

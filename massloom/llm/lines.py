@@ -12,7 +12,7 @@ one piece, with the word after it. By the pigeonhole principle
 lines that differ in fewer places than they have pieces share a block. All pieces of at least `least` words are a line's blocks, however many they are. A line
 of at most `short` words has further blocks, of all its words and of all but each one. The 64-bit SimHashes of two
 whole lines of more than `short` words may differ in at most `bits` bits; of their words, as bitmaps tell, at most `unshared` percent may be
-in one of them only; and their lengths differ as far as the edit similarity allows. Every link is confirmed by edit distance; README has the measured recall of the candidates. Of each connected group the first occurrence, by (doc_id, text's hash, line), stays.
+in one of them only; and their lengths differ as far as the edit similarity allows. Pairs of lines that share a block are met by hubs (`components.meet_hubs`), each in the first block that both share. Every link is confirmed by edit distance; README has the measured recall of the candidates. Of each connected group the first occurrence, by (doc_id, text's hash, line), stays.
 
 Null texts stay null and empty ones empty. Rows without an id keep all lines. Rows that repeat an id with the same text are one document and
 keep the same lines; with different texts they are documents of their own. A very long line or text is handled whole: in a batch by
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massloom.llm.components import link_in_buckets
+from massloom.llm.components import components, meet_hubs
 from massloom.llm.edits import all_within
 from massloom.llm.textcols import PUNCTUATION, U64, Words, chunks, mix, powers, utf8
 from massloom.llm.workspace import Workspace, small
@@ -197,10 +197,50 @@ def bitmaps(units: Units) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
-def _first_lines(docs: DataFrame, how: FuzzyLines) -> DataFrame:
-    """One row per normal form of a batch: k1, k2 (128 bits that name it), the first line that has it (d, h, l), characters n, words w, SimHash s and bitmap (null for short ones), blocks keys."""
+def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The stretches of data (8 bytes an entry) between bounds."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _joined(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, width)
+
+
+def _gathered(found: Iterator[tuple[np.ndarray, ...]], limit: int = 8 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same arrays, some joined until they have `limit` bytes."""
+    have, size = [], 0
+    for x in found:
+        have.append(x)
+        size += sum(y.nbytes for y in x)
+        if size > limit:
+            yield tuple(map(np.concatenate, zip(*have)))
+            have, size = [], 0
+    if have:
+        yield tuple(map(np.concatenate, zip(*have)))
+
+
+def _dealt(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Rows by the shard of their key; where each shard's rows begin there, and their end; the shards."""
+    shard = (np.ascontiguousarray(key).view(U64) % U64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    at = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    return order, np.append(at, len(order)), pa.array(shard[order][at], pa.int32())
+
+
+def _picked(data: np.ndarray, many: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with `many` entries each, one behind the other, the entries of some rows in their order, and their bounds."""
+    start, size = np.cumsum(many) - many, many[rows]
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    return data[np.repeat(start[rows] - bounds[:-1], size) + np.arange(bounds[-1])], bounds
+
+
+def _first_lines(docs: DataFrame, how: FuzzyLines, shards: int) -> DataFrame:
+    """One row per normal form: the first line that has it (d, h, l), characters n, words w, SimHash s and bitmap (null for short ones), blocks keys (8 bytes each).
+
+    Forms of a batch go to the shards of their names, a batch's share of a shard as one row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for b in chunks(batches):
             lines = Lines(b.column("text"))
             w = lines.words
@@ -230,16 +270,69 @@ def _first_lines(docs: DataFrame, how: FuzzyLines) -> DataFrame:
             whole, line, key = blocks(units, how)
             sim, many = np.zeros(len(own), U64), np.zeros(len(own), np.int64)
             sim[fuzzy], many[fuzzy] = whole, np.bincount(line, minlength=len(fuzzy))
-            brief = np.ones(len(own), bool)
-            brief[fuzzy] = units.n <= how.short
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), pa.array(key.view(np.int64)))
-            words, sketch = np.zeros(len(own), np.int32), np.zeros((len(own), len(BITMAP)), np.int64)
+            words, sketch = np.zeros(len(own), np.int64), np.zeros((len(own), len(BITMAP)), np.int64)
             words[fuzzy], sketch[fuzzy] = units.n, bitmaps(units)
-            cols = [k1[own].view(np.int64), k2[own].view(np.int64), doc[own], text[own], number[own].astype(np.int32), sizes[own].astype(np.int32), words]
-            masked = [pa.array(x, mask=brief) for x in (sim.view(np.int64), *sketch.T)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *masked, lists], ["k1", "k2", "d", "h", "l", "n", "w", "s", *BITMAP, "keys"])
-
-    return docs.select("doc_id", "h", "text").mapInArrow(run, f"k1 bigint, k2 bigint, d bigint, h bigint, l int, n int, w int, s bigint, {', '.join(f'{p} bigint' for p in BITMAP)}, keys array<bigint>")
+            table = np.column_stack([k1[own].view(np.int64), k2[own].view(np.int64), doc[own], text[own], number[own] << 32 | sizes[own], words << 32 | many, sim.view(np.int64), sketch])
+            yield table, key.view(np.int64)
+
+    def parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, key in _gathered(run(batches)):
+            order, at, shard = _dealt(table[:, 0], shards)
+            keys, bounds = _picked(key, table[:, 5] & 0xFFFFFFFF, order)
+            yield pa.RecordBatch.from_arrays([shard, _binary(table[order], at * table.shape[1]), _binary(keys, bounds[at])], ["shard", "rows", "keys"])
+
+    def once(found: pa.Table) -> pa.Table:
+        rows, keys = _joined(found.column("rows"), 7 + len(BITMAP)), _joined(found.column("keys"), 1)[:, 0]
+        k1, k2, d, h, at, many = rows.T[:6]
+        order = np.lexsort((at, h, d, k2, k1))
+        own = order[np.concatenate((np.ones(1, bool), (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)))]
+        words, low = many[own] >> 32, 0xFFFFFFFF
+        cols = [d[own], h[own], (at[own] >> 32).astype(np.int32), (at[own] & low).astype(np.int32), words.astype(np.int32)]
+        masked = [pa.array(x, mask=words <= how.short) for x in rows[own, 6:].T]
+        return pa.Table.from_arrays([*map(pa.array, cols), *masked, _binary(*_picked(keys, many & low, own))], ["d", "h", "l", "n", "w", "s", *BITMAP, "keys"])
+
+    dealt = docs.select("doc_id", "h", "text").mapInArrow(parcels, "shard int, rows binary, keys binary")
+    return dealt.groupBy("shard").applyInArrow(once, f"d bigint, h bigint, l int, n int, w int, s bigint, {', '.join(f'{p} bigint' for p in BITMAP)}, keys binary")
+
+
+def _met(nodes: DataFrame, how: FuzzyLines, shards: int) -> DataFrame:
+    """What the lines that share a block (bucket) have to do with each other; blocks of one line give nothing.
+
+    a, b: a bucket's least id and another of its ids, if lengths and SimHashes let them be linked. a, bucket, s, n: an id that shares the bucket with two or more others and isn't the least one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray]]:
+        for b in batches:
+            keys = b.column("keys")
+            many = np.diff(np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]) // 8
+            own = np.column_stack([b.column(c).to_numpy() for c in ("id", "s", "size")])
+            yield (np.column_stack([_joined(keys, 1), np.repeat(own, many, axis=0)]),)
+
+    def parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (table,) in _gathered(run(batches)):
+            if len(table):
+                order, at, shard = _dealt(table[:, 0], shards)
+                yield pa.RecordBatch.from_arrays([shard, _binary(table[order], at * table.shape[1])], ["shard", "rows"])
+
+    def meet(found: pa.Table) -> pa.Table:
+        rows = _joined(found.column("rows"), 4)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        key, id_, s = rows.T[:3].copy()
+        n, brief = rows[:, 3] & 0xFFFFFFFF, rows[:, 3] >> 32 <= how.short
+        first = np.concatenate((np.ones(1, bool), np.diff(key) != 0))
+        at = np.flatnonzero(first)
+        many, other = np.diff(at, append=len(key)), np.flatnonzero(~first)
+        hub, of = np.repeat(at, many - 1), other[np.repeat(many > 2, many - 1)]
+        near = np.abs(n[hub] - n[other]) <= np.maximum(n[hub], n[other]) * (100 - how.percent) // 100
+        near &= brief[hub] | brief[other] | (np.bitwise_count(s[hub].view(U64) ^ s[other].view(U64)) <= how.bits)
+        pairs = np.unique(np.column_stack([id_[hub[near]], id_[other[near]]]), axis=0)
+        none, own = pa.nulls(len(pairs)), pa.table({"a": id_[of], "bucket": key[of], "s": pa.array(s[of], mask=brief[of]), "n": n[of].astype(np.int32)})
+        linked = pa.table({"a": pairs[:, 0], "b": pairs[:, 1], **{c: none.cast(own.schema.field(c).type) for c in ("bucket", "s", "n")}})
+        return pa.concat_tables([linked, own.add_column(1, "b", pa.nulls(len(of), pa.int64()))])
+
+    size = F.shiftleft(F.col("w").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    dealt = nodes.select("id", F.coalesce("s", F.lit(0).cast("long")).alias("s"), size.alias("size"), "keys").mapInArrow(parcels, "shard int, rows binary")
+    return dealt.groupBy("shard").applyInArrow(meet, "a bigint, b bigint, bucket bigint, s bigint, n int")
 
 
 def _forms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -262,11 +355,11 @@ def _forms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, how: FuzzyLines) -> DataFrame:
-    """a, b of the pairs (a, b, fa, fb) whose forms are similar enough."""
+    """a, b of the pairs (a, b, a_form, b_form) whose forms are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in gathered(batches):
-            forms = list(zip(found.column("fa").to_pylist(), found.column("fb").to_pylist()))
+            forms = list(zip(found.column("a_form").to_pylist(), found.column("b_form").to_pylist()))
             keep = all_within(forms, [max(len(x), len(y)) * (100 - how.percent) // 100 for x, y in forms])
             yield pa.RecordBatch.from_arrays([found.column(c).combine_chunks() for c in "ab"], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -282,42 +375,44 @@ def _confirmed(pairs: DataFrame, how: FuzzyLines) -> DataFrame:
         if have:
             yield pa.Table.from_batches(have)
 
-    return pairs.select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "a_form", "b_form").mapInArrow(run, "a bigint, b bigint")
 
 
 def kept_lines(work: Workspace, docs: DataFrame, how: FuzzyLines) -> DataFrame:
     """d, h, lines: of the lines with a word of each document (id and hash of its text), the numbers of those that stay."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").where("doc_id is not null")
-    nodes = _first_lines(named, how).groupBy("k1", "k2").agg(F.min(F.struct("d", "h", "l")).alias("at"), *(F.first(c).alias(c) for c in ("n", "w", "s", *BITMAP, "keys")))
-    nodes = work.save(nodes.select(F.monotonically_increasing_id().alias("id"), "at.*", "n", "w", "s", *BITMAP, "keys"), "nodes")
-    members = nodes.select(F.explode("keys").alias("bucket"), "id")
-
-    def most(n: Column, m: Column) -> Column:
-        return (F.greatest(n, m) * (100 - how.percent) / 100).cast("int")
+    shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = work.save(_first_lines(named, how, shards).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    met = work.save(_met(nodes, how, shards), "met")
+    ids = met.select(F.col("a").alias("id")).union(met.where("b is not null").select("b")).distinct()
+    shared = work.save(nodes.join(ids, "id", "left_semi").select("id", "d", "h", "l", "w", *BITMAP), "shared")
+    wanted = shared.groupBy("d", "h").agg(F.collect_list(F.struct("id", "l")).alias("x"))
+    wanted = work.save(wanted.select("d", "h", F.col("x.id").alias("ids"), F.col("x.l").alias("ls")), "wanted")
+    forms = work.save(_forms(named, wanted), "forms")
+
+    def alike(a: str, b: str) -> Column:
+        odd = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in BITMAP), F.lit(0))
+        # so many bits differ, on average, if that share of the words is in one line only
+        expected = (1 - F.exp((F.col(f"{a}w") + F.col(f"{b}w")) * (-2 * how.unshared / 100 / CELLS))) * (CELLS / 2)
+        return F.coalesce(odd <= expected, F.lit(True))
 
     def possible(a: str, b: str) -> Column:
         n, m = F.col(f"{a}n"), F.col(f"{b}n")
         near = F.bit_count(F.col(f"{a}s").bitwiseXOR(F.col(f"{b}s"))) <= how.bits
-        odd = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in BITMAP), F.lit(0))
-        # so many bits differ, on average, if that share of the words is in one line only
-        expected = (1 - F.exp((F.col(f"{a}w") + F.col(f"{b}w")) * (-2 * how.unshared / 100 / CELLS))) * (CELLS / 2)
-        return (F.abs(n - m) <= most(n, m)) & F.coalesce(near, F.lit(True)) & F.coalesce(odd <= expected, F.lit(True))
+        return (F.abs(n - m) <= (F.greatest(n, m) * (100 - how.percent) / 100).cast("int")) & F.coalesce(near, F.lit(True)) & alike(a, b)
 
-    known: list[DataFrame] = []
+    def sided(table: DataFrame, side: str) -> DataFrame:
+        return table.select(*(F.col(c).alias(side if c == "id" else f"{side}_{c}") for c in table.columns))
 
     def links(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        if known:
-            ids = ids.join(known[0].select("id"), "id", "left_anti")
-        wanted = nodes.join(ids, "id", "left_semi").groupBy("d", "h").agg(F.collect_list(F.struct("id", "l")).alias("x"))
-        wanted = work.save(wanted.select("d", "h", F.col("x.id").alias("ids"), F.col("x.l").alias("ls")), "wanted")
-        more = work.save(_forms(named, wanted), "forms")
-        known[:] = [known[0].union(more) if known else more]
-        forms = known[0]
-        both = pairs.join(forms.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a").join(forms.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
-        return _confirmed(both, how)
-
-    label = link_in_buckets(work, members, nodes.select("id", "n", "w", "s", *BITMAP), possible, links)
+        return _confirmed(pairs.join(sided(forms, "a"), "a").join(sided(forms, "b"), "b"), how)
+
+    marks = shared.select("id", "w", *BITMAP)
+    pairs = met.where("b is not null").select("a", "b").distinct()
+    pairs = pairs.join(sided(marks, "a"), "a").join(sided(marks, "b"), "b").where(alike("a_", "b_")).select("a", "b")
+    label = components(work, work.save(links(pairs), "found"))
+    rest = work.save(met.where("b is null").select("bucket", F.col("a").alias("id"), "s", "n").join(marks, "id"), "rest")
+    label = meet_hubs(work, rest, label, possible, links, turns=(32, 256, "rest"), once=True)
     grouped = nodes.select("id", "d", "h", "l").join(label, "id").groupBy("component").agg(F.min(F.struct("d", "h", "l", "id")).alias("first"))
     later = label.join(grouped.select(F.col("first.id").alias("id")), "id", "left_anti").select("id")
     return nodes.join(later, "id", "left_anti").groupBy("d", "h").agg(F.collect_list("l").alias("lines"))

@@ -165,3 +165,25 @@ def test_every_piece_of_a_line_is_a_block():
     units = ln.Units(made, made.words.hashes(lower=True), made.n_words > 0)
     size = [int(x) for x in ln.np.diff(ln.np.flatnonzero(ln.cuts(units, how.reach)), append=400)]
     assert len(ln.blocks(units, how)[2]) == sum(x >= how.least for x in size) > 40
+
+
+def test_hubs_are_of_the_largest_component_too(spark):
+    """A chain of ids, each linked to those within 60, in forty buckets that all share: few pairs are compared, and each once."""
+    from pyspark.sql import functions as F
+
+    from massloom.llm.components import meet_hubs
+    from massloom.llm.workspace import Workspace
+
+    work, compared = Workspace(spark, "hubs"), []
+
+    def links(pairs):
+        compared.append(pairs.count())
+        return pairs.where("abs(a - b) <= 60")
+
+    own = spark.range(1, 601).crossJoin(spark.range(40).withColumnRenamed("id", "bucket")).select("bucket", "id", F.lit(0).alias("x"))
+    label = meet_hubs(work, work.save(own, "members"), None, lambda a, b: F.lit(True), links, once=True)
+    assert {tuple(r) for r in label.collect()} == {(k, 1) for k in range(1, 601)} and sum(compared) < 40_000
+    few = spark.createDataFrame([(b, i, 0) for b, ids in enumerate(([1, 2, 3], [2, 3, 4, 5], [5, 6, 9], [7, 8, 1])) for i in ids], "bucket long, id long, x int")
+    compared.clear()
+    assert meet_hubs(work, work.save(few, "few"), None, lambda a, b: F.lit(True), lambda p: links(p).where("false"), turns=(2, "rest"), once=True) is None
+    assert sum(compared) == 3 + 6 + 3 + 3 - 1  # 2 and 3 share two buckets
