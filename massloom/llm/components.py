@@ -37,6 +37,18 @@ def components(work: Workspace, edges: DataFrame) -> DataFrame:
             return label
 
 
+def merged(work: Workspace, label: DataFrame, edges: DataFrame) -> DataFrame:
+    """label (id, component) with the components that edges (a, b) link made one; only those that an edge touches are gone through in rounds."""
+    of = {x: label.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"}
+    between = edges.join(of["a"], "a", "left").join(of["b"], "b", "left").select(*(F.coalesce(f"of_{x}", x).alias(x) for x in "ab"))
+    top = components(work, between)
+    known = label.select("id", "component").union(edges.select("a", "a").union(edges.select("b", "b")).distinct().toDF("id", "component").join(label, "id", "left_anti"))
+    moved = known.join(top.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    out = work.save(moved.select("id", F.coalesce("to", "component").alias("component")), "label")
+    work.drop(top)
+    return out
+
+
 def link_in_buckets(
     work: Workspace,
     members: DataFrame,
@@ -116,8 +128,7 @@ def meet_hubs(
         active = open_.where("not hub").select(*active.columns)
         active._massloom_path = open_._massloom_path
         if found.limit(1).count():
-            edges = found if label is None else found.union(label.select("id", "component"))
-            before, label = label, components(work, edges)
+            before, label = label, components(work, found) if label is None else merged(work, label, found)
             if before is not None:
                 work.drop(before)
     work.drop(active)
