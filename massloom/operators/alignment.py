@@ -340,6 +340,8 @@ def align_pairs(pairs: DataFrame, a: str = "a", b: str = "b", kind: str = "globa
                     rows[at] = (al.start_a, al.start_b, al.cigar, al.score, al.normalised, s["identical"], s["mass_similar"], s["similar"], s["gaps"], s["length"], None)
             yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in whole})
 
+    # a filter on what it gives would be taken below exchanges, and each pair aligned again there
+    run = run.asNondeterministic()
     return pairs.withColumn("al_", run(a, b, F.col(kind_column) if kind_column else F.lit(kind))).select(*pairs.columns, "al_.*")
 
 

@@ -1,6 +1,7 @@
-"""Best templates of each query by alignment score, without aligning every pair.
+"""Best templates of each query by alignment score.
 
-A pair's score has an upper bound from what both sequences hold, wherever it stands: a residue counts fully only as often as both have its letter; any other residue
+Sequences of one mass for each residue are scored in full, all pairs of a pack and a strip at once (`alignment_batch.score_all`): that takes less than the bounds of these pairs would. For
+sequences of several possible masses, which are aligned one by one, bounds leave pairs out. A pair's score has an upper bound from what both sequences hold, wherever it stands: a residue counts fully only as often as both have its letter; any other residue
 can at most be in its best mismatch, or, if a block of masses around it agrees with a block of the other side, in an isobaric block. Each side's residues are summed so, and as every step
 of an alignment belongs to both sides, half of both sums is never exceeded; gaps only cost. Templates are visited by falling bound until it falls below the
 query's kth score so far; that score starts from the templates that share most residue triples with the query. Pairs that are visited are aligned in batches.
@@ -16,8 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from massloom.functions.chemistry import AMBIGUOUS
 from massloom.operators.alignment import ALIGNED, Residues, Scoring, _blocks, align_pairs, residues
-from massloom.operators.alignment_batch import _LETTERS, _PLACE, Table, align_rows, letter_scores
+from massloom.operators.alignment_batch import _LETTERS, _PLACE, Table, align_rows, letter_scores, score_all
+from massloom.session import scratch
 
 _BINS = 8192
 
@@ -154,6 +157,33 @@ def search(queries: list[Residues], templates: list[Residues], keep: int, kind:
     return [[(-s, at) for s, at in x] for x in best], aligned
 
 
+def _by_masses(own: list[Residues]) -> tuple[list[int], list[int]]:
+    """Places of sequences of one mass for each residue, and of the others."""
+    one = [all(len(m) == 1 for m in r.masses) for r in own]
+    return [k for k, x in enumerate(one) if x], [k for k, x in enumerate(one) if not x]
+
+
+def ranked(queries: list[Residues], templates: list[Residues], keep: int, kind: str, scoring: Scoring, steps: int, least: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
+    """What `search` finds, by way of all scores where both sides have one mass for each residue."""
+    (one_q, more_q), (one_t, more_t) = _by_masses(queries), _by_masses(templates)
+    best: list[list[tuple[int, int]]] = [[] for _ in queries]
+    low = np.full(len(queries), np.iinfo(np.int64).min) if least is None else least.astype(np.int64).copy()
+    if one_q and one_t:
+        kinds: dict[tuple, int] = {}
+        score = score_all(Table([queries[k] for k in one_q], kinds), Table([templates[k] for k in one_t], kinds), kind, scoring, steps)
+        first = np.argsort(-score, axis=1, kind="stable")[:, :keep]
+        for k, places, own in zip(one_q, first.tolist(), np.take_along_axis(score, first, 1).tolist()):
+            best[k] = [(s, one_t[at]) for s, at in zip(own, places)]
+            if len(best[k]) == keep:
+                low[k] = max(low[k], own[-1])
+    for of_q, of_t in ((one_q, more_t), (more_q, list(range(len(templates))))):
+        if of_q and of_t:
+            found, _ = search([queries[k] for k in of_q], [templates[k] for k in of_t], keep, kind, scoring, steps, low[of_q])
+            for k, hits in zip(of_q, found):
+                best[k] = sorted([*best[k], *((s, of_t[at]) for s, at in hits)], key=lambda x: (-x[0], x[1]))[:keep]
+    return best
+
+
 def _read(texts: list[str | None]) -> list[Residues | None]:
     out: list[Residues | None] = []
     for t in texts:
@@ -185,22 +215,34 @@ def best_templates(
 
     queries: query_id, query; templates: template_id, template (ids are distinct, sequences as in `alignment`). The rows are those of ranking all alignments: bounds leave
     out only pairs that can't be among them. A query that is null or no sequence gives one row with `error`; such templates are left out. Queries meet templates in groups of about `pack` by `strip`
-    of them, whatever their numbers; triples that more than `common` templates have don't propose the templates from which a query's threshold starts, which costs time, never a result.
+    of them, whatever their numbers. Of queries that may have several masses, a threshold starts from the templates that share triples with them; triples that more than `common` templates have
+    don't propose any, which costs time, never a result. Both tables are written to the shared folder first, so that what makes them runs once.
     """
-    queries, templates = queries.select("query_id", "query"), templates.select("template_id", "template")
-    n_packs, n_strips = max(1, -(-queries.count() // pack)), max(1, -(-templates.count() // strip))
+    spark, root = queries.sparkSession, scratch(queries.sparkSession)
+
+    def written(table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{root}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{root}/{name}")
+
+    queries, templates = written(queries.select("query_id", "query"), "queries"), written(templates.select("template_id", "template"), "templates")
+    n_queries, n_templates = queries.count(), templates.count()
+    spread = min(max(1, -(-n_queries // pack)), 10_000)  # alignments cost more than their bytes tell, so their tasks are counted by rows
+    pack *= max(1, min(4, strip // max(1, n_templates)))  # where templates don't fill a strip, a group has more queries
+    n_packs, n_strips = max(1, -(-n_queries // pack)), max(1, -(-n_templates // strip))
 
     theirs = _triples(templates, "template_id", "template")
     rare = theirs.join(theirs.groupBy("triple").agg(F.count("*").alias("many")).where(F.col("many") <= common).select("triple"), "triple")
-    shared = _triples(queries, "query_id", "query").join(rare, "triple").groupBy("query_id", "template_id").agg(F.count("*").alias("triples"))
+    several = queries.where(F.col("query").rlike(f"[{''.join(AMBIGUOUS)}#]"))
+    shared = _triples(several, "query_id", "query").join(rare, "triple").groupBy("query_id", "template_id").agg(F.count("*").alias("triples"))
     first = shared.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("triples"), "template_id"))).where(F.col("place") <= 2 * keep)
-    # alignments cost more than their bytes tell, so tasks are counted by rows
-    spread = min(n_packs * 4, 10_000)
-    scored = align_pairs(first.join(queries, "query_id").join(templates, "template_id").select("query_id", "query", "template").repartition(spread, "query_id"), "query", "template", kind, scoring, steps).where("score is not null")
-    least = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") == keep).select("query_id", F.col("score").alias("least"))
+    least = None
+    if not several.isEmpty():
+        scored = align_pairs(first.join(queries, "query_id").join(templates, "template_id").select("query_id", "query", "template").repartition(spread, "query_id"), "query", "template", kind, scoring, steps).where("score is not null")
+        least = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") == keep).select("query_id", F.col("score").alias("least"))
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.join(least, "query_id", "left").select("query_id", "query", "least", F.pmod(F.xxhash64("query_id"), F.lit(n_packs)).cast("int").alias("pack"), every(n_strips).alias("strip"))
+    left = queries.join(least, "query_id", "left") if least is not None else queries.withColumn("least", F.lit(None).cast("int"))
+    left = left.select("query_id", "query", "least", F.pmod(F.xxhash64("query_id"), F.lit(n_packs)).cast("int").alias("pack"), every(n_strips).alias("strip"))
     right = templates.select("template_id", "template", F.pmod(F.xxhash64("template_id"), F.lit(n_strips)).cast("int").alias("strip"), every(n_packs).alias("pack"))
     id_q, id_t = queries.schema["query_id"].dataType, templates.schema["template_id"].dataType
     schema = T.StructType([T.StructField("query_id", id_q), T.StructField("template_id", id_t), T.StructField("score", T.IntegerType())])
@@ -210,7 +252,7 @@ def best_templates(
         (qs, ts), out = (_read(own["query"].tolist()), _read(others["template"].tolist())), []
         good_q, good_t = [k for k, r in enumerate(qs) if r], [k for k, r in enumerate(ts) if r]
         low = own["least"].fillna(np.iinfo(np.int32).min).to_numpy(np.int64)[good_q]
-        found, _ = search([qs[k] for k in good_q], [ts[k] for k in good_t], keep, kind, scoring, steps, low)
+        found = ranked([qs[k] for k in good_q], [ts[k] for k in good_t], keep, kind, scoring, steps, low)
         for k, hits in zip(good_q, found):
             out += [(own["query_id"].iloc[k], others["template_id"].iloc[good_t[at]], s) for s, at in hits]
         return pd.DataFrame(out, columns=["query_id", "template_id", "score"])

@@ -10,7 +10,7 @@ import pytest
 from massloom.operators import alignment as al
 from massloom.operators import alignment_index as ix
 from massloom.operators import profiles as pr
-from massloom.operators.alignment_batch import Table, align_many, align_rows
+from massloom.operators.alignment_batch import Table, align_many, align_rows, score_all
 
 RESIDUES = "ARNDCQEGHILKMFPSTWYV"
 
@@ -76,6 +76,37 @@ def test_index_gives_the_rows_of_all_pairs(kind, scoring):
         assert aligned < full.size
 
 
+@pytest.mark.parametrize("scoring", [al.Scoring(), al.Scoring(mismatch=-1, pair="peptide_to_database", mass_mismatch=-2), al.Scoring(matrix=al.IDENTITY)])
+def test_all_scores_are_those_of_single_alignments(scoring):
+    r = random.Random(7)
+    queries = [al.residues(s) for s in _families(r, 9, 3) + ["", "A", "AAAAAAAA", "NGGN", "[Acetyl]-AGAG"]]
+    templates = [al.residues(s) for s in _families(random.Random(7), 9, 3) + ["", "GGGG", "AAAAAA"]]
+    for kind in al.TYPES:
+        kinds: dict = {}
+        want = [[al.align(x, y, kind, scoring).score for y in templates] for x in queries]
+        for cells in (1_000_000, 700):
+            assert score_all(Table(queries, kinds), Table(templates, kinds), kind, scoring, 4, cells).tolist() == want
+
+
+def test_ranking_with_and_without_several_masses():
+    r = random.Random(8)
+    queries = [al.residues(s) for s in _families(r, 30, 6) + ["ABZN", "A", "GGZZK"]]
+    templates = [al.residues(s) for s in _families(r, 40, 6) + ["BAZ", "AA", "GGQEK"] + _families(r, 20, 6)]
+    for keep in (1, 4):
+        got = ix.ranked(queries, templates, keep, "either_global", al.Scoring(), 4)
+        for q, row in zip(queries, got):
+            assert row == [(-s, at) for s, at in sorted((-al.align(q, t, "either_global").score, at) for at, t in enumerate(templates))[:keep]]
+
+
+def test_plain_words_are_ranked_without_alignment(monkeypatch):
+    """A word against all part names costs no alignment of its own, however many words there are."""
+    r = random.Random(9)
+    own = [al.residues(_sequence(r, 8, 12)) for _ in range(300)]
+    monkeypatch.setattr(ix, "align_rows", None)
+    monkeypatch.setattr(ix.Bounds, "of_query", None)
+    assert all(len(x) == 3 for x in ix.ranked(own, own[:64], 3, "either_global", al.Scoring(), 4))
+
+
 def test_bounds_are_never_exceeded():
     r = random.Random(4)
     own = [al.residues(_changed(r, _sequence(r, 1, 12), 4)) for _ in range(50)] + [al.residues(s) for s in ("BZBZ", "N[deamidated]GD", "LLI", "OUXJ")]
