@@ -226,9 +226,9 @@ def best_templates(
 
     queries, templates = written(queries.select("query_id", "query"), "queries"), written(templates.select("template_id", "template"), "templates")
     n_queries, n_templates = queries.count(), templates.count()
-    spread = min(max(1, -(-n_queries // pack)), 10_000)  # alignments cost more than their bytes tell, so their tasks are counted by rows
     pack *= max(1, min(4, strip // max(1, n_templates)))  # where templates don't fill a strip, a group has more queries
     n_packs, n_strips = max(1, -(-n_queries // pack)), max(1, -(-n_templates // strip))
+    spread = min(n_packs, 10_000)  # alignments cost more than their bytes tell, so their tasks are counted by rows
 
     theirs = _triples(templates, "template_id", "template")
     rare = theirs.join(theirs.groupBy("triple").agg(F.count("*").alias("many")).where(F.col("many") <= common).select("triple"), "triple")
