@@ -152,10 +152,9 @@ def _group(pairs: list[tuple[str, str]], most: np.ndarray, blocks: int, alphabet
     return out
 
 
-def all_within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
-    """Whether each pair's edit distance is at most its `most`."""
-    out = np.zeros(len(pairs), bool)
-    rest: dict[int, list[tuple[int, int, tuple[str, str]]]] = {}
+def bounded(pairs: list[tuple[str, str]], most: list[int]) -> tuple[np.ndarray, list[tuple[int, tuple[str, str]]]]:
+    """Which pairs are found to be within `most` by a bound; those that still may be, by number, stripped."""
+    out, rest = np.zeros(len(pairs), bool), []
     for k, ((a, b), m) in enumerate(zip(pairs, most)):
         if abs(len(a) - len(b)) <= m and bound(a, b, m) <= m:  # so are most pairs that are near
             out[k] = True
@@ -164,8 +163,23 @@ def all_within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
         if len(b) <= m:
             out[k] = True
         elif a and len(b) - len(a) <= m:
-            blocks = (len(a) + 63) // 64
-            rest.setdefault(next((x for x in CLASSES if x >= blocks), 0), []).append((len(b), k, (a, b)))
+            rest.append((k, (a, b)))
+    return out, rest
+
+
+def all_within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
+    """Whether each pair's edit distance is at most its `most`."""
+    out, rest = bounded(pairs, most)
+    return out | distances_within(rest, most)
+
+
+def distances_within(pairs: list[tuple[int, tuple[str, str]]], most: list[int]) -> np.ndarray:
+    """Of numbered pairs (shorter, longer) whether the distance is at most most[number]; the others are False. The more pairs of like length there are, the less each costs."""
+    out = np.zeros(len(most), bool)
+    rest: dict[int, list[tuple[int, int, tuple[str, str]]]] = {}
+    for k, (a, b) in pairs:
+        blocks = (len(a) + 63) // 64
+        rest.setdefault(next((x for x in CLASSES if x >= blocks), 0), []).append((len(b), k, (a, b)))
     alone = rest.pop(0, [])
     for blocks, found in rest.items():
         points = np.frombuffer("".join(a + b for *_, (a, b) in found).encode("utf-32-le"), np.uint32)

@@ -21,6 +21,7 @@ itself. An empty table gives an empty one. Other columns pass through unchanged,
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -32,13 +33,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massloom.llm.components import components, meet_hubs
-from massloom.llm.edits import all_within
+from massloom.llm.components import components, meet_hubs, merged
+from massloom.llm.edits import bounded, distances_within
 from massloom.llm.textcols import PUNCTUATION, U64, Words, chunks, mix, powers, utf8
 from massloom.llm.workspace import Workspace, small
 
+#: Ids of a bucket of which all pairs are looked at in one task, and possible pairs for each of its ids that are taken from there; larger or closer buckets are met by hubs.
+MOST_FULL, MOST_PAIRS = 2000, 4
 #: Documents whose lines are to be confirmed, up to this many, are broadcast; more are joined by shuffle.
 BROADCAST_DOCS = 300_000
+#: The same for ids (8 bytes each, 16 with their component).
+BROADCAST_IDS = 500_000
+#: Letters of the shorter sides of pairs that a task compares.
+LETTERS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -52,6 +59,11 @@ class FuzzyLines:
     short: int = 12
 
 
+#: A-Z in lower case, all other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
 class Lines:
     """Lines of a batch of texts: start, end (without the \\n), row of each, number in its row; and their words."""
 
@@ -69,18 +81,40 @@ class Lines:
         self.row = rows[np.concatenate(([0], np.cumsum(last)[:-1]))] if len(last) else np.zeros(0, np.int64)
         self.first = np.searchsorted(self.row, np.arange(len(size) + 1))
         self.number = np.arange(len(self.row)) - self.first[self.row]
+
+    @functools.cached_property
+    def words(self) -> Words:
         low = self.buf.copy()
         capital = (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97) & (low[:-1] == 0xC3)
         low[1:][capital] += 0x20
-        self.words = Words(low, np.concatenate((self.start, [len(low)])), gaps=PUNCTUATION)
-        # between a line's end and the next one's start there is only the \\n, which is a gap
-        self.n_words = np.diff(self.words.rows)
+        return Words(low, np.concatenate((self.start, [len(low)])), gaps=PUNCTUATION)
 
-    def form(self, k: int) -> bytes:
-        a, b = self.words.rows[k], self.words.rows[k + 1]
-        data = self.words.buf.tobytes() if not hasattr(self, "_data") else self._data
-        self._data = data
-        return b" ".join(data[x:y] for x, y in zip(self.words.start[a:b].tolist(), self.words.end[a:b].tolist())).lower()
+    @property
+    def n_words(self) -> np.ndarray:
+        # between a line's end and the next one's start there is only the \\n, which is a gap
+        return np.diff(self.words.rows)
+
+    def worded(self) -> np.ndarray:
+        """Which lines have a word."""
+        if not len(self.start):
+            return np.zeros(0, bool)
+        # behind a line there is at most its \\n
+        return np.logical_or.reduceat(np.append(~PUNCTUATION[self.buf], False), self.start) & (self.end > self.start)
+
+    def texts(self, which: np.ndarray) -> pa.Array:
+        """Some lines as they are."""
+        data, bounds = _picked(self.buf, self.end - self.start, which, self.start)
+        return _strings(data, bounds)
+
+    def forms(self) -> pa.Array:
+        """The normal form of every line; each must have a word."""
+        w = self.words
+        keep, data = ~PUNCTUATION[w.buf], LOWER[w.buf]
+        last = np.zeros(len(w.start), bool)
+        last[w.rows[1:] - 1] = True
+        gap = w.end[~last]  # behind each word but a line's last there is a gap
+        keep[gap], data[gap] = True, 32
+        return _strings(data[keep], np.concatenate(([0], np.cumsum(keep, dtype=np.int64)))[w.bounds])
 
 
 class Units:
@@ -105,10 +139,22 @@ class Units:
         self.at = np.cumsum(self.n) - self.n
 
 
-def lanes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How often each of 64 bits is set in the runs of hashes that begin at `at`: (16, runs), four counters of 16 bits side by side."""
-    mask = U64(0x0001000100010001)
-    return np.stack([np.add.reduceat(hashes >> U64(k) & mask, at) for k in range(16)])
+def lanes(hashes: np.ndarray, at: np.ndarray, n: np.ndarray, bits: int = 16) -> np.ndarray:
+    """How often each of 64 bits is set in the runs of n (fewer than 2 ** bits) hashes that begin at `at`: (bits, runs), counters of so many bits side by side."""
+    mask, out, total = U64(sum(1 << k for k in range(0, 64, bits))), np.empty((bits, len(at)), U64), np.zeros(len(hashes) + 1, U64)
+    for k in range(bits):
+        np.cumsum(hashes >> U64(k) & mask, out=total[1:])  # counters run over, their differences don't
+        out[k] = total[at + n] - total[at]
+    return out
+
+
+def majority_of_bytes(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The same of counters of 8 bits."""
+    mask, out = U64(0x0101010101010101), np.zeros(len(n), U64)
+    more = (0x7F - n // 2).astype(U64) * mask
+    for k in range(8):
+        out |= (ones[k] + more >> U64(7) & mask) << U64(k)
+    return out
 
 
 def majority(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -125,7 +171,7 @@ def simhashes(hashes: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     if not len(at):
         return np.zeros(0, U64)
     if n.max() < 1 << 15:
-        return majority(lanes(hashes, at), n)
+        return majority(lanes(hashes, at, n), n)
     out = np.zeros(len(at), U64)
     for k in range(64):
         ones = np.add.reduceat((hashes >> U64(k) & U64(1)).astype(np.int64), at)
@@ -146,24 +192,26 @@ def cuts(units: Units, reach: int) -> np.ndarray:
 
 
 def blocks(units: Units, how: FuzzyLines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """SimHash of each line; line and hash of each of its blocks (distinct, lines ascending)."""
+    """SimHash of each line; line and hash of each of its blocks (lines ascending; a line that repeats a piece has its block again)."""
     if not len(units.n):
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64)
     begin = np.flatnonzero(cuts(units, how.reach))
     size, line = np.diff(begin, append=len(units.hashes)), np.repeat(np.arange(len(units.n)), units.n)[begin]
-    if size.max() < 1 << 15 and units.n.max() < 1 << 15:
-        ones = lanes(units.hashes, begin)
+    if size.max() < 1 << 8 and units.n.max() < 1 << 15:
+        ones, half = lanes(units.hashes, begin, size, 8), U64(0x00FF00FF00FF00FF)
+        total = np.zeros((16, len(begin) + 1), U64)  # of each line's pieces in counters of 16 bits
+        np.cumsum(ones & half, axis=1, out=total[:8, 1:])
+        np.cumsum(ones >> U64(8) & half, axis=1, out=total[8:, 1:])
+        at = np.searchsorted(line, np.arange(len(units.n) + 1))
+        piece, whole = majority_of_bytes(ones, size), majority(total[:, at[1:]] - total[:, at[:-1]], units.n)
+    elif size.max() < 1 << 15 and units.n.max() < 1 << 15:
+        ones = lanes(units.hashes, begin, size)
         piece, whole = majority(ones, size), majority(np.add.reduceat(ones, np.searchsorted(line, np.arange(len(units.n))), axis=1), units.n)
     else:
         piece, whole = simhashes(units.hashes, begin, size), simhashes(units.hashes, units.at, units.n)
     use = size >= how.least
     after = units.hashes[np.minimum(begin + size, len(units.hashes) - 1)] * (begin + size < (units.at + units.n)[line])
     keys, rows = [mix(piece + mix(after + size.astype(U64)))[use]], [line[use]]
-    order = np.lexsort((keys[0], rows[0]))
-    keys[0], rows[0] = keys[0][order], rows[0][order]
-    first = np.ones(len(order), bool)
-    first[1:] = (keys[0][1:] != keys[0][:-1]) | (rows[0][1:] != rows[0][:-1])
-    keys[0], rows[0] = keys[0][first], rows[0][first]
     for n in range(how.min_words, how.short + 1):
         own = np.flatnonzero(units.n == n)
         if not len(own):
@@ -176,15 +224,13 @@ def blocks(units: Units, how: FuzzyLines) -> tuple[np.ndarray, np.ndarray, np.nd
         keys += [left[:, n], (left[:, :n] + right).ravel()]  # the whole line, and all words but each one
         rows += [own, np.repeat(own, n)]
     key, row = np.concatenate(keys), np.concatenate(rows)
-    order = np.lexsort((key, row))
-    key, row = key[order], row[order]
-    once = np.ones(len(key), bool)
-    once[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-    return whole, row[once], key[once]
+    order = np.argsort(row.astype(np.uint16) if len(units.n) < 1 << 16 else row, kind="stable")
+    return whole, row[order], key[order]
 
 
 #: Odd; a form is named by two sums of its words' hashes times powers of these.
 NAME_BASES = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+NAME_BASES_INV = tuple(pow(base, -1, 1 << 64) for base in NAME_BASES)
 CELLS = 256
 BITMAP = [f"p{k}" for k in range(CELLS // 64)]
 
@@ -202,8 +248,18 @@ def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def _strings(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The stretches of UTF-8 data between bounds."""
+    return pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
+
+
 def _joined(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, width)
+    parts = []
+    for x in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(x):
+            bounds = np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, 4 * x.offset)
+            parts.append(np.frombuffer(x.buffers()[2] or b"", np.int64, (int(bounds[-1]) - int(bounds[0])) // 8, int(bounds[0])))
+    return np.concatenate([np.zeros(0, np.int64), *parts]).reshape(-1, width)
 
 
 def _gathered(found: Iterator[tuple[np.ndarray, ...]], limit: int = 8 << 20) -> Iterator[tuple[np.ndarray, ...]]:
@@ -222,14 +278,14 @@ def _gathered(found: Iterator[tuple[np.ndarray, ...]], limit: int = 8 << 20) ->
 def _dealt(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Rows by the shard of their key; where each shard's rows begin there, and their end; the shards."""
     shard = (np.ascontiguousarray(key).view(U64) % U64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
     at = np.flatnonzero(np.diff(shard[order], prepend=-1))
     return order, np.append(at, len(order)), pa.array(shard[order][at], pa.int32())
 
 
-def _picked(data: np.ndarray, many: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows with `many` entries each, one behind the other, the entries of some rows in their order, and their bounds."""
-    start, size = np.cumsum(many) - many, many[rows]
+def _picked(data: np.ndarray, many: np.ndarray, rows: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with `many` entries each, one behind the other or from `start` on, the entries of some rows in their order, and their bounds."""
+    start, size = np.cumsum(many) - many if start is None else start, many[rows]
     bounds = np.concatenate(([0], np.cumsum(size)))
     return data[np.repeat(start[rows] - bounds[:-1], size) + np.arange(bounds[-1])], bounds
 
@@ -249,8 +305,11 @@ def _first_lines(docs: DataFrame, how: FuzzyLines, shards: int) -> DataFrame:
                 continue
             hashes, n = w.hashes(lower=True), lines.n_words[keep]
             at = np.cumsum(n) - n
-            place = np.arange(len(hashes)) - np.repeat(at, n)
-            k1, k2 = (mix(np.add.reduceat(hashes * powers(base, int(n.max()))[place], at) + n.astype(U64)) for base in NAME_BASES)
+            total, names = np.zeros(len(hashes) + 1, U64), []
+            for base, inverse in zip(NAME_BASES, NAME_BASES_INV):
+                np.cumsum(hashes * powers(base, len(hashes)), out=total[1:])
+                names.append(mix((total[at + n] - total[at]) * powers(inverse, len(hashes))[at] + n.astype(U64)))
+            k1, k2 = names
             doc, text = (b.column(c).to_numpy()[lines.row[keep]] for c in ("doc_id", "h"))
             number = lines.number[keep]
             order = np.lexsort((number, text, doc, k2, k1))
@@ -295,10 +354,58 @@ def _first_lines(docs: DataFrame, how: FuzzyLines, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(once, f"d bigint, h bigint, l int, n int, w int, s bigint, {', '.join(f'{p} bigint' for p in BITMAP)}, keys binary")
 
 
+def _pairs_of(at: np.ndarray, many: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of places in buckets of `many` rows from `at` on, about `limit` at a time: first and second place, and the bucket."""
+    cost = np.cumsum(many * (many - 1) // 2)
+    begin = 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(cost, (cost[begin - 1] if begin else 0) + limit, "right")))
+        own = np.arange(begin, end)
+        of = np.repeat(own, many[own])
+        place = np.arange(len(of)) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
+        left, behind = at[of] + place, many[of] - 1 - place
+        first = np.repeat(left, behind)
+        yield first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(behind) - behind, behind), np.repeat(of, behind)
+        begin = end
+
+
+def _near(how: FuzzyLines, n: np.ndarray, s: np.ndarray, brief: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether lengths n and SimHashes s (of lines that aren't brief) of places x and y let them be linked."""
+    out = np.abs(n[x] - n[y]) <= np.maximum(n[x], n[y]) * (100 - how.percent) // 100
+    return out & (brief[x] | brief[y] | (np.bitwise_count(s[x].view(U64) ^ s[y].view(U64)) <= how.bits))
+
+
+def _across(rest: DataFrame, how: FuzzyLines, shards: int) -> DataFrame:
+    """a, b of the ids of a bucket that are in different components and that lengths, SimHashes and bitmaps let be linked; rest: bucket, id, s, n, w, bitmap, component."""
+
+    def meet(found: pa.Table) -> pa.Table:
+        found = found.sort_by("bucket")
+        key, id_, component, n, w = (found.column(c).to_numpy() for c in ("bucket", "id", "component", "n", "w"))
+        brief, (s, *bitmap) = found.column("s").is_null().to_numpy(), (found.column(c).fill_null(0).to_numpy() for c in ("s", *BITMAP))
+        # so many bits differ, on average, if that share of the words is in one line only
+        expected = (1 - np.exp(np.arange(2 * int(w.max()) + 1) * (-2 * how.unshared / 100 / CELLS))) * (CELLS / 2)
+        at, pairs = np.flatnonzero(np.concatenate((np.ones(1, bool), np.diff(key) != 0))), [np.zeros((0, 2), np.int64)]
+        for x, y, _ in _pairs_of(at, np.diff(at, append=len(key))):
+            apart = component[x] != component[y]
+            x, y = x[apart], y[apart]
+            near = _near(how, n, s, brief, x, y)
+            x, y = x[near], y[near]
+            odd = sum(np.bitwise_count((p[x] ^ p[y]).view(U64)).astype(np.int64) for p in bitmap)
+            near = brief[x] | brief[y] | (odd <= expected[w[x] + w[y]])
+            a, b = id_[x[near]], id_[y[near]]
+            pairs.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+        pairs = np.concatenate(pairs)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("bucket"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(meet, "a bigint, b bigint")
+
+
 def _met(nodes: DataFrame, how: FuzzyLines, shards: int) -> DataFrame:
     """What the lines that share a block (bucket) have to do with each other; blocks of one line give nothing.
 
-    a, b: a bucket's least id and another of its ids, if lengths and SimHashes let them be linked. a, bucket, s, n: an id that shares the bucket with two or more others and isn't the least one.
+    a, b, star: two ids that lengths and SimHashes let be linked, and whether one is the least of a bucket that both share. All such pairs of a bucket are there if it has
+    at most MOST_FULL ids and MOST_PAIRS times as many pairs as ids; of other buckets those with the least id, and a, bucket, s, n for each other id, with star for buckets of more than MOST_FULL ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray]]:
@@ -316,66 +423,99 @@ def _met(nodes: DataFrame, how: FuzzyLines, shards: int) -> DataFrame:
 
     def meet(found: pa.Table) -> pa.Table:
         rows = _joined(found.column("rows"), 4)
+        order = np.argsort(rows[:, 0])
+        same = np.diff(rows[order, 0]) == 0
+        rows = rows[order[np.append(same, False) | np.insert(same, 0, False)]]  # most blocks have one line
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        rows = rows[np.concatenate((np.ones(min(1, len(rows)), bool), (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)))]
         key, id_, s = rows.T[:3].copy()
         n, brief = rows[:, 3] & 0xFFFFFFFF, rows[:, 3] >> 32 <= how.short
-        first = np.concatenate((np.ones(1, bool), np.diff(key) != 0))
+        first = np.concatenate((np.ones(min(1, len(rows)), bool), np.diff(key) != 0))
         at = np.flatnonzero(first)
-        many, other = np.diff(at, append=len(key)), np.flatnonzero(~first)
-        hub, of = np.repeat(at, many - 1), other[np.repeat(many > 2, many - 1)]
-        near = np.abs(n[hub] - n[other]) <= np.maximum(n[hub], n[other]) * (100 - how.percent) // 100
-        near &= brief[hub] | brief[other] | (np.bitwise_count(s[hub].view(U64) ^ s[other].view(U64)) <= how.bits)
-        pairs = np.unique(np.column_stack([id_[hub[near]], id_[other[near]]]), axis=0)
-        none, own = pa.nulls(len(pairs)), pa.table({"a": id_[of], "bucket": key[of], "s": pa.array(s[of], mask=brief[of]), "n": n[of].astype(np.int32)})
-        linked = pa.table({"a": pairs[:, 0], "b": pairs[:, 1], **{c: none.cast(own.schema.field(c).type) for c in ("bucket", "s", "n")}})
-        return pa.concat_tables([linked, own.add_column(1, "b", pa.nulls(len(of), pa.int64()))])
+        many = np.diff(at, append=len(key))
+
+        def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return _near(how, n, s, brief, x, y)
+
+        full, pairs = many <= MOST_FULL, []
+        whole = np.flatnonzero(full)
+        for x, y, of in _pairs_of(at[whole], many[whole]):
+            possible = near(x, y)
+            x, y, of = x[possible], y[possible], whole[of[possible]]
+            full &= np.bincount(of, minlength=len(at)) <= MOST_PAIRS * many
+            pairs.append(np.column_stack([id_[x], id_[y], ~first[x]])[full[of] | first[x]])
+        other = np.flatnonzero(~first & np.repeat(~full, many))
+        hub, far = np.repeat(at, many)[other], np.repeat(many > MOST_FULL, many)[other]
+        met = far & near(hub, other)
+        pairs = np.concatenate([np.zeros((0, 3), np.int64), *pairs, np.column_stack([id_[hub[met]], id_[other[met]], np.zeros(met.sum(), np.int64)])])
+        pairs = pairs[np.lexsort(pairs.T[::-1])]
+        pairs = pairs[np.concatenate((np.ones(min(1, len(pairs)), bool), (np.diff(pairs[:, 0]) != 0) | (np.diff(pairs[:, 1]) != 0)))]
+        none, own = pa.nulls(len(pairs)), pa.table({"a": id_[other], "bucket": key[other], "s": pa.array(s[other], mask=brief[other]), "n": n[other].astype(np.int32)})
+        linked = pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "star": pairs[:, 2] == 0, **{c: none.cast(own.schema.field(c).type) for c in ("bucket", "s", "n")}})
+        own = own.add_column(1, "b", pa.nulls(len(other), pa.int64())).add_column(2, "star", pa.array(np.repeat(many > MOST_FULL, many)[other]))
+        return pa.concat_tables([linked, own])
 
     size = F.shiftleft(F.col("w").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
     dealt = nodes.select("id", F.coalesce("s", F.lit(0).cast("long")).alias("s"), size.alias("size"), "keys").mapInArrow(parcels, "shard int, rows binary")
-    return dealt.groupBy("shard").applyInArrow(meet, "a bigint, b bigint, bucket bigint, s bigint, n int")
+    return dealt.groupBy("shard").applyInArrow(meet, "a bigint, b bigint, star boolean, bucket bigint, s bigint, n int")
 
 
 def _forms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, form of the lines in wanted (d, h, ids, ls)."""
+    """id, form, words w and bitmap of the lines in wanted (d, h, lines), again for each row that repeats a document."""
+    own = ["id", "w", *BITMAP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            ids, wanted = [], []  # only the lines that are asked for are parted into words
-            for text, own, numbers in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("ids").to_pylist(), b.column("ls").to_pylist()):
-                every = text.split(b"\n")
-                ids += own
-                wanted += [every[x] for x in numbers]
-            lines = Lines(pa.array(wanted, pa.binary()).cast(pa.string()))
-            forms = [lines.form(k).decode() for k in range(len(wanted))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string())], ["id", "form"])
+            lines, asked = Lines(b.column("text")), b.column("lines")
+            row, of = np.repeat(np.arange(b.num_rows), asked.value_lengths().to_numpy()), asked.flatten()
+            # only the lines that are asked for are parted into words
+            forms = Lines(lines.texts(lines.first[row] + of.field("l").to_numpy())).forms()
+            yield pa.RecordBatch.from_arrays([*map(of.field, own), forms], [*own, "form"])
 
     wanted = small(wanted.withColumnRenamed("h", "wanted_h"), BROADCAST_DOCS)
-    joined = docs.join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("wanted_h"))).select("text", "ids", "ls")
-    return joined.mapInArrow(run, "id bigint, form string").dropDuplicates(["id"])
+    joined = docs.join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("wanted_h"))).select("text", "lines")
+    return joined.mapInArrow(run, f"id bigint, w int, {', '.join(f'{p} bigint' for p in BITMAP)}, form string")
+
+
+def _gathered_pairs(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator[pa.Table]:
+    """Pairs are compared many at once: batches of about `limit` bytes."""
+    have, size = [], 0
+    for batch in batches:
+        have.append(batch)
+        size += batch.nbytes
+        if size > limit:
+            yield pa.Table.from_batches(have)
+            have, size = [], 0
+    if have:
+        yield pa.Table.from_batches(have)
 
 
-def _confirmed(pairs: DataFrame, how: FuzzyLines) -> DataFrame:
-    """a, b of the pairs (a, b, a_form, b_form) whose forms are similar enough."""
+def _confirmed(work: Workspace, pairs: DataFrame, how: FuzzyLines) -> DataFrame:
+    """a, b of the pairs (a, b, a_form, b_form) whose forms are similar enough. Those that aren't told by a bound of their distance are compared with others of like length."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in gathered(batches):
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _gathered_pairs(batches):
             forms = list(zip(found.column("a_form").to_pylist(), found.column("b_form").to_pylist()))
-            keep = all_within(forms, [max(len(x), len(y)) * (100 - how.percent) // 100 for x, y in forms])
+            most = [max(len(x), len(y)) * (100 - how.percent) // 100 for x, y in forms]
+            near, open_ = bounded(forms, most)
+            rows = np.concatenate((np.flatnonzero(near), [k for k, _ in open_])).astype(np.int64)
+            none = [None] * int(near.sum())
+            cols = [none + [x for _, (x, _) in open_], none + [y for _, (_, y) in open_], none + [most[k] for k, _ in open_], none + [len(x) for _, (x, _) in open_]]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([*(found.column(c).combine_chunks().take(rows) for c in "ab"), *map(pa.array, cols, kinds)], ["a", "b", "short", "long", "most", "size"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _gathered_pairs(batches):
+            keep = distances_within(list(enumerate(zip(found.column("short").to_pylist(), found.column("long").to_pylist()))), found.column("most").to_pylist())
             yield pa.RecordBatch.from_arrays([found.column(c).combine_chunks() for c in "ab"], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def gathered(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator[pa.Table]:
-        """Pairs are compared many at once: batches of about `limit` bytes."""
-        have, size = [], 0
-        for batch in batches:
-            have.append(batch)
-            size += batch.nbytes
-            if size > limit:
-                yield pa.Table.from_batches(have)
-                have, size = [], 0
-        if have:
-            yield pa.Table.from_batches(have)
-
-    return pairs.select("a", "b", "a_form", "b_form").mapInArrow(run, "a bigint, b bigint")
+    pairs = work.save(pairs.select("a", "b", "a_form", "b_form").mapInArrow(told, "a bigint, b bigint, short string, long string, most int, size int"), "told")
+    known, rest = pairs.where("size is null").select("a", "b"), pairs.where("size is not null")
+    letters = rest.agg(F.sum("size")).first()[0] or 0
+    if not letters:
+        return known
+    alike = rest.repartitionByRange(1 + int(letters / LETTERS), "size").mapInArrow(compared, "a bigint, b bigint")
+    return known.unionAll(alike)
 
 
 def kept_lines(work: Workspace, docs: DataFrame, how: FuzzyLines) -> DataFrame:
@@ -384,11 +524,16 @@ def kept_lines(work: Workspace, docs: DataFrame, how: FuzzyLines) -> DataFrame:
     shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = work.save(_first_lines(named, how, shards).withColumn("id", F.monotonically_increasing_id()), "nodes")
     met = work.save(_met(nodes, how, shards), "met")
-    ids = met.select(F.col("a").alias("id")).union(met.where("b is not null").select("b")).distinct()
+    pairs = work.save(met.where("b is not null").groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+    rest = met.where("b is null").select("bucket", F.col("a").alias("id"), "s", "n", F.col("star").alias("large"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(rest.select("id")).distinct()
     shared = work.save(nodes.join(ids, "id", "left_semi").select("id", "d", "h", "l", "w", *BITMAP), "shared")
-    wanted = shared.groupBy("d", "h").agg(F.collect_list(F.struct("id", "l")).alias("x"))
-    wanted = work.save(wanted.select("d", "h", F.col("x.id").alias("ids"), F.col("x.l").alias("ls")), "wanted")
+    rest = work.save(rest.join(shared.select("id", "w", *BITMAP), "id"), "rest")
+    work.drop(met)
+    wanted = work.save(shared.groupBy("d", "h").agg(F.collect_list(F.struct("id", "l", "w", *BITMAP)).alias("lines")), "wanted")
     forms = work.save(_forms(named, wanted), "forms")
+    if forms.count() > shared.count():
+        forms = work.save(forms.dropDuplicates(["id"]), "forms")
 
     def alike(a: str, b: str) -> Column:
         odd = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in BITMAP), F.lit(0))
@@ -401,21 +546,30 @@ def kept_lines(work: Workspace, docs: DataFrame, how: FuzzyLines) -> DataFrame:
         near = F.bit_count(F.col(f"{a}s").bitwiseXOR(F.col(f"{b}s"))) <= how.bits
         return (F.abs(n - m) <= (F.greatest(n, m) * (100 - how.percent) / 100).cast("int")) & F.coalesce(near, F.lit(True)) & alike(a, b)
 
-    def sided(table: DataFrame, side: str) -> DataFrame:
-        return table.select(*(F.col(c).alias(side if c == "id" else f"{side}_{c}") for c in table.columns))
-
     def links(pairs: DataFrame) -> DataFrame:
-        return _confirmed(pairs.join(sided(forms, "a"), "a").join(sided(forms, "b"), "b"), how)
-
-    marks = shared.select("id", "w", *BITMAP)
-    pairs = met.where("b is not null").select("a", "b").distinct()
-    pairs = pairs.join(sided(marks, "a"), "a").join(sided(marks, "b"), "b").where(alike("a_", "b_")).select("a", "b")
-    label = components(work, work.save(links(pairs), "found"))
-    rest = work.save(met.where("b is null").select("bucket", F.col("a").alias("id"), "s", "n").join(marks, "id"), "rest")
-    label = meet_hubs(work, rest, label, possible, links, turns=(32, 256, "rest"), once=True)
-    grouped = nodes.select("id", "d", "h", "l").join(label, "id").groupBy("component").agg(F.min(F.struct("d", "h", "l", "id")).alias("first"))
-    later = label.join(grouped.select(F.col("first.id").alias("id")), "id", "left_anti").select("id")
-    return nodes.join(later, "id", "left_anti").groupBy("d", "h").agg(F.collect_list("l").alias("lines"))
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        own = forms.join(small(asked, BROADCAST_IDS), "id", "left_semi")
+        a, b = (own.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("form", "w", *BITMAP))) for x in "ab")
+        return _confirmed(work, pairs.select("a", "b").join(a, "a").join(b, "b").where(alike("a_", "b_")), how)
+
+    # a bucket's ids are held against its least one; after that, other pairs only if they aren't in one component yet
+    label = components(work, work.save(links(pairs.where("star")), "found"))
+    known = small(label.select("id", "component"), BROADCAST_IDS)
+    others = pairs.where("not star").select("a", "b")
+    for x in "ab":
+        others = others.join(known.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")), x, "left")
+    others = others.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    full = rest.where("not large").join(known, "id", "left").select("bucket", "id", "s", "n", "w", *BITMAP, F.coalesce("component", "id").alias("component"))
+    others = work.save(others.unionAll(_across(full, how, shards)).distinct(), "others")
+    found = work.save(links(others), "found")
+    if found.limit(1).count():
+        label = merged(work, label, found)
+    large = work.save(rest.where("large").drop("large"), "large")
+    label = meet_hubs(work, large, label, possible, links, turns=(32, 256, "rest"), once=True)
+    labelled = work.save(shared.select("id", "d", "h", "l").join(label, "id").select("component", F.struct("d", "h", "l").alias("line")), "labelled")
+    later = labelled.join(labelled.groupBy("component").agg(F.min("line").alias("first")), "component").where("line <> first")
+    every = nodes.select("d", "h", F.col("l").alias("here"), F.lit(None).cast("int").alias("gone")).unionAll(later.select("line.d", "line.h", F.lit(None).cast("int"), "line.l"))
+    return every.groupBy("d", "h").agg(F.array_except(F.collect_list("here"), F.collect_list("gone")).alias("lines"))
 
 
 def _shortened(docs: DataFrame, how: FuzzyLines) -> tuple[DataFrame, str]:
@@ -431,7 +585,7 @@ def _shortened(docs: DataFrame, how: FuzzyLines) -> tuple[DataFrame, str]:
 def _cut(batch: pa.RecordBatch, stay: str) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
     """Of each row the text that is left, its number of lines before, and how many went."""
     lines, texts = Lines(batch.column("text")), batch.column("text").cast(pa.binary()).to_pylist()
-    gone = lines.n_words > 0
+    gone = lines.worded()
     lists = batch.column(stay)
     kept, size = lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy()
     gone[lines.first[np.repeat(np.arange(len(size)), size)] + kept] = False

@@ -495,3 +495,39 @@ def test_model_is_a_distribution():
     words = np.array([1, 1, 1, 4, 2, 1.0])
     m = brown.fit(np.array([1, 2, 3], np.uint64), pairs, words, int(pairs.sum()), int(words.sum()), how)
     assert (10**m.follows).sum(axis=1) == pytest.approx(np.ones(2))
+
+
+def test_lines_meet_within_their_components(spark, monkeypatch):
+    """Buckets of all kinds (all pairs at once, across components, by hubs) give the same groups; pairs in one component are not written, and of odd bits those of negative words count in full."""
+    import pandas as pd
+
+    how = lines.FuzzyLines()
+    r = random.Random(15)
+    common = "alpha beta gamma delta epsilon zeta"
+    texts = [f"{common} {_text(r, 5)}" for _ in range(40)]
+    texts += [x[:-1] + "q" for x in texts[:20]] + ["same words of many lines here " + c for c in "abcdefghijklmnopqrst"]
+    docs, got = frame(spark, texts), []
+    for full, pairs in ((2000, 4), (2000, 0), (5, 0)):
+        monkeypatch.setattr(lines, "MOST_FULL", full)
+        monkeypatch.setattr(lines, "MOST_PAIRS", pairs)
+        got.append({x["doc_id"]: x["n_removed"] for x in lines.line_report(docs, how).collect()})
+    assert got[0] == got[1] == got[2]
+    assert [got[0][k] for k in range(20)] == [0] * 20 and [got[0][k] for k in range(40, 60)] == [1] * 20 and sum(got[0][k] for k in range(60, 80)) == 19
+    rows = [(7, k, None, 60, 10, 1 if k < 30 else k) for k in range(32)] + [(8, 40, 0, 300, 50, 40), (8, 41, 0, 300, 50, 41)]
+    rest = pd.DataFrame(rows, columns=["bucket", "id", "s", "n", "w", "component"]).astype({"s": "Int64"})
+    for p in lines.BITMAP:
+        rest[p] = pd.array([None] * 32 + [-1, 0], "Int64")
+    kinds = "bucket long, id long, s long, n int, w int, component long, " + ", ".join(f"{p} long" for p in lines.BITMAP)
+    across = lines._across(spark.createDataFrame(rest.astype(object).where(rest.notna(), None).values.tolist(), kinds), how, 4)
+    assert {(x["a"], x["b"]) for x in across.collect()} == {*((k, 30) for k in range(30)), *((k, 31) for k in range(31))}
+
+
+def test_lines_forms_of_a_batch():
+    texts = pa.array(["Ab,, C\n\n ÀÉ!x  \nno", None, "", "é\n--\nZ z\n"])
+    found = lines.Lines(texts)
+    assert found.worded().tolist() == [True, False, True, True, True, False, True, False]
+    own = np.flatnonzero(found.worded())
+    assert lines.Lines(found.texts(own[::-1])).forms().to_pylist() == ["z z", "é", "no", "àé x", "ab c"]
+    h = np.random.default_rng(1).integers(0, 1 << 63, 900, dtype=np.uint64)
+    at, n = np.array([0, 255, 500]), np.array([255, 245, 200])
+    assert lines.majority_of_bytes(lines.lanes(h, at, n, 8), n).tolist() == lines.majority(lines.lanes(h, at, n), n).tolist()
