@@ -113,6 +113,23 @@ def test_values_meet_before_rows(spark):
     assert "band_join_of_values" in QUERIES["ppm_join"].__code__.co_names
 
 
+def test_few_rows_are_met_again_and_again(spark):
+    """A frequent value: right rows of a written result repeat after a few, packs are bounded, and nulls and further columns stay."""
+    from pyspark.sql import functions as F
+
+    from massloom.functions.tolerance import Tolerance
+    from massloom.operators import joins
+
+    a = spark.range(5000).select(F.nullif(F.col("id"), F.lit(7)).alias("i"), F.when(F.col("id") < 4999, 1.0).alias("x"))
+    b = spark.range(1300).select(F.col("id").alias("j"), F.lit(1.0).alias("y"), F.nullif(F.col("id") % 5, F.lit(3)).alias("k"))
+    assert sorted(len(r.p) for r in joins.packs(a, "x", "p").collect()) == [967, 4032]
+    out = joins.band_join_of_values(a.where("i is null or i < 700"), b, ("x", "y"), Tolerance(0.1), d=F.col("x") - F.col("y"))
+    assert out.columns == ["y", "x", "i", "d", "j", "k"] and out.count() == out.distinct().count() == 700 * 1300
+    assert out.where("i is null").count() == 1300 and out.where("k is null").count() == 700 * 260 and out.where("d <> 0 or k <> j % 5").count() == 0
+    found = [r.j for r in out.select("j").limit(1008).collect()]
+    assert found[:504] == found[504:] and len(set(found)) == 504
+
+
 def test_structures_are_summed_where_they_are(spark, data_dir):
     from massloom.operators import glycans as gl
     from massloom.plans import QUERIES
